@@ -199,8 +199,11 @@ def duration_hms(seconds: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    return (F.when(n >= 1024 ** 2, F.concat(F.format_string("%.1f", n / 1024 ** 2), F.lit("MB")))
-            .when(n >= 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit("KB")))
+    def tenth(x: Column) -> Column:
+        return F.format_string("%.1f", F.bround(x, 1))
+
+    return (F.when(n >= 1024 ** 2, F.concat(tenth(n / 1024 ** 2), F.lit("MB")))
+            .when(n >= 1024, F.concat(tenth(n / 1024), F.lit("KB")))
             .otherwise(F.concat(n.cast("string"), F.lit("B"))))
 
 

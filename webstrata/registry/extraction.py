@@ -1,3 +1,86 @@
 """Extraction jobs over the page archive."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import dom, extract, markdown
+from ..operators import query as q
+from ..operators import snippets as sn
+from ..plans import fixture
+from .common import DOCUMENTS, has, sql
+
+# patterns in the syntax shared by Python, Java and RE2
+PATTERNS = [r'href="(/[^"/]*)"', r"track\(([0-9]+)\)", r"Content-Length: ([0-9]+)", r"<h1>([^<]*)</h1>"]
+WORD = r"[^\p{L}\p{N}_]+"
+TERMS = ["the", "and", "que", "und"]
+
+
+def _resources(run):
+    return lambda spark, folder: run(fixture.load_pages(spark, folder))
+
+
+def _html(run):
+    return lambda spark, folder: run(dom.shred_html(fixture.load_pages(spark, folder)))
+
+
+def _values(resources):
+    hits = extract.extract_regex_values(resources, PATTERNS)
+    return hits.select("id", "selector", "source", "n", "value", F.element_at("groups", 1).alias("g1"))
+
+
+def _matches_sql(select: str) -> str:
+    """All matches in order, with the pieces of text before them."""
+    parts = " UNION ALL ".join(
+        f"SELECT id, '{p}' AS selector, '{c}' AS source, regexp_extract_all({c}, '{p}') AS m, "
+        f"regexp_extract_all({c}, '{p}', 1) AS g, string_split_regex({c}, '{p}') AS s FROM r WHERE {c} IS NOT NULL"
+        for p in PATTERNS for c in ("headers", "content"))
+    rows = (f"m AS (SELECT id, selector, source, (generate_subscripts(m, 1) - 1)::INT AS n, unnest(m) AS value, "
+            f"nullif(unnest(g), '') AS g1, unnest(s[:-2]) AS piece FROM ({parts}) WHERE len(m) > 0)")
+    return sql(select, more=rows)
+
+
+OFFSETS = ("(sum(length(piece) + length(value)) OVER (PARTITION BY id, selector, source ORDER BY n))::INT")
+
+HIGHLIGHT_SQL = sql(f"""
+SELECT id, "start"::INT AS "start", ("start" + length(w))::INT AS stop, w AS text FROM (
+  SELECT id, w, coalesce(sum(length(w) + length(s)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "start"
+  FROM (SELECT id, unnest(p) AS w, unnest(list_append(regexp_extract_all(content, '{WORD}'), '')) AS s, generate_subscripts(p, 1) AS i
+        FROM (SELECT id, content, string_split_regex(content, '{WORD}') AS p FROM r)))
+WHERE lower(w) IN ('the', 'and', 'que', 'und')""", DOCUMENTS)
+
+
+def _stripped(spark, folder):
+    docs = fixture.load_documents(spark, folder)
+    marked = F.regexp_replace("content", "(the|que|und)", "**$1**")
+    return docs.select("id", sn.strip_markers(marked).alias("text"), F.size(sn.marked_spans(marked)).cast("long").alias("marks"))
+
+
+_MARKED = r"trim(regexp_replace(regexp_replace(content, '(the|que|und)', '**\1**', 'g'), '\s+', ' ', 'g'))"
+_MARKER = r"\*\*([a-zA-Z_'' -]+)\*\*"
+STRIPPED_SQL = sql(rf"SELECT id, trim(regexp_replace({_MARKED}, '{_MARKER}', '\1', 'g')) AS text, "
+                   rf"len(regexp_extract_all({_MARKED}, '{_MARKER}'))::BIGINT AS marks FROM r", DOCUMENTS)
+
+H1_SQL = sql("SELECT id, unnest(regexp_extract_all(content, '(?s)<h1>.*?</h1>')) AS value FROM r WHERE type = 'html'")
+SNIPPET = q.text("the") & q.field("type", "html")
+
+QUERIES = {
+    "regex_extract": (_resources(_values), _matches_sql("SELECT id, selector, source, n, value, g1 FROM m")),
+    "regex_offsets": (_resources(lambda r: extract.extract_regex(r, PATTERNS)
+                                 .select("id", "selector", "source", "value", "start", "stop")),
+                      _matches_sql(f"SELECT id, selector, source, value, {OFFSETS} - length(value)::INT AS \"start\", {OFFSETS} AS stop FROM m")),
+    "select_h1": (_html(lambda s: dom.select_nodes(s, "h1", tail=False).select("id", "value")), H1_SQL),
+    "select_links": (_html(lambda s: dom.select_nodes(s, "a", attr="href", path="/ul/li/a$").select("id", "value")), None),
+    "count_nodes": (_html(lambda s: dom.count_nodes(s, "li").select("id", "n")),
+                    sql("SELECT id, len(regexp_extract_all(content, '<li>'))::BIGINT AS n FROM r WHERE type = 'html'")),
+    "page_nodes": (_html(lambda s: dom.nodes(s).groupBy("kind", "tag").agg(F.count("*").alias("n"))), None),
+    "page_components": (_resources(dom.page_components), None),
+    "snippets": (_resources(lambda r: sn.snippets(r, SNIPPET)), None),
+    "snippet_hits": (_resources(lambda r: sn.snippets(r, SNIPPET).select("id", F.col("snippet").isNotNull().alias("found"))),
+                     sql(f"SELECT id, true AS found FROM r WHERE {has('the')} AND type = 'html' AND status >= 100")),
+    "markdown": (_resources(markdown.to_markdown), None),
+    "markdown_savings": (_resources(markdown.markdown_savings), None),
+    "highlight_spans": (lambda spark, folder: sn.highlight_spans(fixture.load_documents(spark, folder), "content", TERMS, ["id"]),
+                        HIGHLIGHT_SQL),
+    "strip_markers": (_stripped, STRIPPED_SQL),
+}
