@@ -31,7 +31,7 @@ def split_tokens(value: str) -> list[str]:
 
 
 def has_tokens(col: Column, words: list[str], prefix: bool = False) -> Column:
-    """True where ``words`` are consecutive tokens of ``col``; the last may be a stem.
+    """True where ``words`` are consecutive tokens of ``col``; the last may be a stem.  NULL for NULL.
 
     The text is tested in place, without building a token array: a substring test
     on the longest word discards most rows, the pattern then checks the borders.
@@ -41,8 +41,7 @@ def has_tokens(col: Column, words: list[str], prefix: bool = False) -> Column:
     low = F.lower(col)
     end = "" if prefix else f"(?:$|{SEPARATOR})"
     pattern = f"(?:^|{SEPARATOR})" + f"{SEPARATOR}+".join(words) + end
-    found = low.contains(max(words, key=len)) & low.rlike(pattern)
-    return F.coalesce(found, F.lit(False))
+    return low.contains(max(words, key=len)) & low.rlike(pattern)
 
 
 def squash(col: Column) -> Column:

@@ -92,7 +92,7 @@ def _plan(queries: dict[str, Query]) -> _Plan:
                         plan.lengths[literal] = len(atom.words)
                         for k, word in enumerate(atom.words):
                             stem = atom.prefix and k == len(atom.words) - 1
-                            for name in atom.fields:
+                            for name in atom.possible_fields:
                                 plan.elements.append((literal, k, name, word, stem))
                             if stem:
                                 plan.stems.add(len(word))

@@ -43,9 +43,14 @@ class Query:
     def __invert__(self) -> "Query":
         return Not(self)
 
-    def column(self) -> Column:
+    def condition(self) -> Column:
+        """For WHERE, where NULL counts as false: free of wrappers, so that it reaches the scan."""
         raise NotImplementedError
 
+    def column(self) -> Column:
+        """The same as a flag that is never NULL."""
+        return F.coalesce(self.condition(), F.lit(False))
+
     def atoms(self) -> list["Query"]:
         return [self]
 
@@ -65,7 +70,7 @@ class Query:
 
 @dataclass(frozen=True)
 class All(Query):
-    def column(self) -> Column:
+    def condition(self) -> Column:
         return F.lit(True)
 
     def disjuncts(self, negate: bool = False):
@@ -85,10 +90,16 @@ class Text(Query):
     def name(self) -> str | None:
         return self.fields[0] if len(self.fields) == 1 else None
 
-    def column(self) -> Column:
-        tests = [tx.has_tokens(F.col(f).cast("string"), list(self.words), self.prefix)
-                 for f in self.fields]
-        return F.coalesce(_fold(operator.or_, tests), F.lit(False))
+    @property
+    def possible_fields(self) -> list[str]:
+        """Fields worth a look: ids are single tokens of digits."""
+        if len(self.words) == 1 and self.words[0].isdigit():
+            return list(self.fields)
+        return [f for f in self.fields if f not in ("id", "site")]
+
+    def condition(self) -> Column:
+        return _fold(operator.or_, [F.lit(False)] + [
+            tx.has_tokens(F.col(f).cast("string"), list(self.words), self.prefix) for f in self.possible_fields])
 
 
 @dataclass(frozen=True)
@@ -98,8 +109,8 @@ class Url(Query):
     part: str
     name: str = "url"
 
-    def column(self) -> Column:
-        return F.coalesce(F.lower("url").contains(self.part), F.lit(False))
+    def condition(self) -> Column:
+        return F.lower("url").contains(self.part)
 
 
 @dataclass(frozen=True)
@@ -108,8 +119,8 @@ class Number(Query):
     op: str
     value: int | float
 
-    def column(self) -> Column:
-        return F.coalesce(COMPARISONS[self.op](F.col(self.name), F.lit(self.value)), F.lit(False))
+    def condition(self) -> Column:
+        return COMPARISONS[self.op](F.col(self.name), F.lit(self.value))
 
 
 @dataclass(frozen=True)
@@ -119,8 +130,8 @@ class Member(Query):
     name: str
     values: tuple
 
-    def column(self) -> Column:
-        return F.coalesce(F.col(self.name).isin(list(self.values)), F.lit(False))
+    def condition(self) -> Column:
+        return F.col(self.name).isin(list(self.values))
 
 
 class _Compound(Query):
@@ -132,23 +143,23 @@ class _Compound(Query):
 
 
 class And(_Compound):
-    def column(self) -> Column:
-        return _fold(operator.and_, [p.column() for p in self.parts])
+    def condition(self) -> Column:
+        return _fold(operator.and_, [p.condition() for p in self.parts])
 
     def disjuncts(self, negate: bool = False):
         return (_union if negate else _product)([p.disjuncts(negate) for p in self.parts])
 
 
 class Or(_Compound):
-    def column(self) -> Column:
-        return _fold(operator.or_, [p.column() for p in self.parts])
+    def condition(self) -> Column:
+        return _fold(operator.or_, [p.condition() for p in self.parts])
 
     def disjuncts(self, negate: bool = False):
         return (_product if negate else _union)([p.disjuncts(negate) for p in self.parts])
 
 
 class Not(_Compound):
-    def column(self) -> Column:
+    def condition(self) -> Column:
         return ~self.parts[0].column()
 
     def disjuncts(self, negate: bool = False):
@@ -242,6 +253,8 @@ def field(name: str, term) -> Query:
         return types(term) if name == "type" else number(name, "=", term)
     if name not in TEXT_FIELDS:
         return number(name, "=", term)
+    if name == "type" and term.strip().lower() in S.TYPES:
+        return Member("type", (term.strip().lower(),))
     return replace(text(term), fields=(name,))
 
 
@@ -294,7 +307,7 @@ def search(resources: DataFrame, query: Query, site_ids: list[int] | None = None
         parts = [s for p in parts for s in (p.parts if isinstance(p, And) else (p,))]
     parts.sort(key=lambda p: isinstance(p, (Text, _Compound)))
     for part in parts:
-        resources = resources.where(part.column())
+        resources = resources.where(part.condition())
     return resources
 
 
