@@ -12,6 +12,7 @@ from webstrata.functions.htmltree import Tree, flatten
 from webstrata.operators import dom, extract, markdown
 from webstrata.operators import query as q
 from webstrata.operators import snippets as sn
+from webstrata.operators.extras import search_extras
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- note one -->lost
 <h1 id="top_part one">Head <em>line</em></h1>after<p class="a_b c-d - e">x <b>y</b> z<p>second<ul><li>1<li>2<ul><li>in</ul></ul>
@@ -180,3 +181,13 @@ def test_extras():
     assert extract.usable_patterns(["a+", "(", r"h1>([^<]*)"]) == ["a+", r"h1>([^<]*)"]
     assert extract.requested_extras(["Markdown", "nope"]) == (["markdown"], ["nope"])
     assert extract.needed_columns(["markdown"]) == ["content"] and extract.needed_columns(["regex", "xpath"]) == ["content", "headers"]
+
+
+def test_search_with_extras(spark):
+    rows = table(spark, PAGE, "<p>other</p>").withColumn("status", F.lit(200))
+    tables, rejected = search_extras(rows, q.field("content", "second"), ["Markdown", "snippets", "regex", "xpath", "thumbs"],
+                                     patterns=["sec[a-z]+"], selectors=[{"tag": "b", "text": True}, {"tag": "img", "attr": "src"}])
+    assert rejected == ["thumbs"] and set(tables) == {"markdown", "snippets", "regex", "xpath"}
+    assert [r.id for r in tables["markdown"].collect()] == [0] and "**second**" in tables["snippets"].first().snippet
+    assert tables["regex"].first().value == "second"
+    assert [(r.selector, r.value) for r in tables["xpath"].orderBy("selector").collect()] == [(0, "y"), (1, "a&b.png")]

@@ -12,8 +12,12 @@ WORD = r"\p{L}\p{N}_"
 
 def lookup(values: dict, key: Column) -> Column:
     """Value of a small fixed table, NULL where the key is unknown."""
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    def literal(x) -> str:
+        return str(x) if isinstance(x, int) else f"'{x}'"
+
+    # one SQL fragment: building the map from single literals takes longer than the lookup
+    table = F.expr(f"map({', '.join(literal(x) for item in values.items() for x in item)})")
+    return F.try_element_at(table, key)
 
 
 # ---- identity and URLs

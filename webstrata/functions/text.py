@@ -30,7 +30,7 @@ def split_tokens(value: str) -> list[str]:
     return "".join(ch if kept(ch) else " " for ch in value.lower()).split()
 
 
-def has_tokens(col: Column, words: list[str], prefix: bool = False) -> Column:
+def has_tokens(col: Column, words: list[str], prefix: bool = False, lowered: bool = False) -> Column:
     """True where ``words`` are consecutive tokens of ``col``; the last may be a stem.  NULL for NULL.
 
     The text is tested in place, without building a token array: a substring test
@@ -38,7 +38,7 @@ def has_tokens(col: Column, words: list[str], prefix: bool = False) -> Column:
     """
     if not words:
         return F.lit(False)
-    low = F.lower(col)
+    low = col if lowered else F.lower(col)
     end = "" if prefix else f"(?:$|{SEPARATOR})"
     pattern = f"(?:^|{SEPARATOR})" + f"{SEPARATOR}+".join(words) + end
     return low.contains(max(words, key=len)) & low.rlike(pattern)

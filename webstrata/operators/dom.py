@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text as tx
 from ..functions.htmltree import flatten
+from .groups import spread
 
 DOM = ("struct<html:string,lead:string,nodes:array<struct<node:int,parent:int,depth:int,last:int,kind:string,"
        "tag:string,path:string,attrs:map<string,string>,text:string,tail:string,start:int,stop:int,tail_stop:int>>>")
@@ -28,7 +29,9 @@ def parse(html: Column) -> Column:
     """Parsed page, NULL for missing or blank input."""
     @F.arrow_udf(DOM)
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([flatten(p) if p and p.strip() else None for p in pages.to_pylist()], _DOM)
+        # page by page into Arrow: the Python rows of a whole batch would be many times its size
+        parts = [pa.array([flatten(p.as_py()) if p.is_valid and p.as_py().strip() else None], _DOM) for p in pages]
+        return pa.concat_arrays(parts) if parts else pa.array([], _DOM)
 
     return run(html)
 
@@ -36,7 +39,7 @@ def parse(html: Column) -> Column:
 def shred_html(resources: DataFrame) -> DataFrame:
     """(site, id, url, dom) of the HTML rows."""
     pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull())
-    return pages.select("site", "id", "url", parse(F.col("content")).alias("dom"))
+    return spread(pages.select("site", "id", "url", "content")).select("site", "id", "url", parse(F.col("content")).alias("dom"))
 
 
 def nodes(shredded: DataFrame) -> DataFrame:
@@ -57,6 +60,15 @@ def _matches(node: Column, tag: str | None, attr: str | None, path: str | None,
     return F.coalesce(test, F.lit(False))
 
 
+def _value(dom: Column, n: Column, attr: str | None, text: bool, tail: bool) -> Column:
+    if attr is not None:
+        return F.try_element_at(n["attrs"], F.lit(attr))
+    if text:
+        return n["text"]
+    stop = n["tail_stop"] if tail else n["stop"]
+    return F.substring(dom["html"], n["start"] + 1, stop - n["start"])
+
+
 def select_nodes(shredded: DataFrame, tag: str | None = None, attr: str | None = None, text: bool = False,
                  path: str | None = None, equals: dict[str, str] | None = None, tail: bool = True) -> DataFrame:
     """One row per hit: an attribute's value, the element's own text, or its outer HTML.
@@ -64,21 +76,25 @@ def select_nodes(shredded: DataFrame, tag: str | None = None, attr: str | None =
     ``path`` is a pattern on ``/html/body/...``; ``equals`` fixes attribute values.
     Outer HTML includes the text right after the element unless ``tail`` is off.
     """
-    hits = F.filter("dom.nodes", lambda n: _matches(n, tag, attr, path, equals or {}))
-    dom = F.col("dom")
+    how = {"tag": tag, "attr": attr, "text": text, "path": path, "equals": equals, "tail": tail}
+    return select_all(shredded, [how]).drop("selector")
+
+
+def select_all(shredded: DataFrame, selectors: list[dict]) -> DataFrame:
+    """Hits of several selectors, each marked with its number; pages are parsed once."""
+    if not selectors:
+        return shredded.select("site", "id", "url").limit(0)
 
-    def value(n: Column) -> Column:
-        if attr is not None:
-            return F.try_element_at(n["attrs"], F.lit(attr))
-        if text:
-            return n["text"]
-        stop = n["tail_stop"] if tail else n["stop"]
-        return F.substring(dom["html"], n["start"] + 1, stop - n["start"])
+    def hits(number: int, how: dict) -> Column:
+        tail, text, attr = how.get("tail", True), how.get("text", False), how.get("attr")
+        found = F.filter("dom.nodes", lambda n: _matches(n, how.get("tag"), attr, how.get("path"), how.get("equals") or {}))
+        values = F.transform(found, lambda n: F.struct(
+            F.lit(number).alias("selector"), n["node"].alias("node"), F.trim(_value(F.col("dom"), n, attr, text, tail)).alias("value")))
+        # an element without own text is no hit of a text selector
+        return F.filter(values, lambda v: v["value"] != "") if text and attr is None else values
 
-    found = F.transform(hits, lambda n: F.struct(n["node"].alias("node"), F.trim(value(n)).alias("value")))
-    rows = shredded.select("site", "id", "url", F.explode(found).alias("h")).select("site", "id", "url", "h.*")
-    # an element without own text is no hit of a text selector
-    return rows.where(F.col("value") != "") if text and attr is None else rows
+    rows = F.flatten(F.array(*[hits(i, how) for i, how in enumerate(selectors)]))
+    return shredded.select("site", "id", "url", F.explode(rows).alias("h")).select("site", "id", "url", "h.*")
 
 
 def count_nodes(shredded: DataFrame, tag: str | None = None, path: str | None = None) -> DataFrame:
@@ -115,7 +131,7 @@ def page_components(resources: DataFrame) -> DataFrame:
     """The texts of a resource by kind, for any type of content."""
     # pages above the limit are searched by URL and headers only
     small = F.when(F.length("content") <= S.SNIPPET_MAX_CONTENT, F.col("content"))
-    parsed = resources.select("site", "id", "url", tx.squash(F.coalesce("headers", F.lit(""))).alias("headers"),
+    parsed = spread(resources.select("site", "id", "url", "headers", "content")).select("site", "id", "url", tx.squash(F.coalesce("headers", F.lit(""))).alias("headers"),
                               small.alias("content"), parse(small).alias("dom"))
     parts = component_columns(F.col("dom"), F.col("content"))
     return parsed.select("site", "id", "url", "headers", *[c.alias(n) for n, c in parts.items()])

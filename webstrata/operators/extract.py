@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import spread
+
 # --- fixed values: pattern shapes that risk catastrophic backtracking
 HAZARDS = [
     r"\([^)]*\*[^)]*\+", r"\([^)]*\+[^)]*\*", r"\([^)]*\+[^)]*\+", r"\([^)]*\*[^)]*\*",
@@ -68,10 +70,12 @@ def extract_regex(resources: DataFrame, patterns: list[str]) -> DataFrame:
                         yield {"selector": p.pattern, "value": m.group(), "source": name, "groups": groups,
                                "start": m.start(), "stop": m.end()}
 
-        rows = zip(headers.to_pylist(), content.to_pylist())
-        return pa.array([list(hits((("headers", h), ("content", c)))) for h, c in rows], pa.list_(_HIT))
+        kind = pa.list_(_HIT)
+        parts = [pa.array([list(hits((("headers", h.as_py()), ("content", c.as_py()))))], kind)
+                 for h, c in zip(headers, content)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    found = resources.select("site", "id", "url", F.posexplode(run("headers", "content")).alias("pos", "h"))
+    found = spread(resources.select("site", "id", "url", "headers", "content")).select("site", "id", "url", F.posexplode(run("headers", "content")).alias("pos", "h"))
     return found.select("site", "id", "url", "pos", "h.*")
 
 
@@ -93,7 +97,7 @@ def extract_regex_values(resources: DataFrame, patterns: list[str]) -> DataFrame
 
     searches = F.array(*[F.struct(F.lit(p).alias("selector"), F.lit(c).alias("source"), zipped(c, p).alias("hits"))
                          for p in usable for c in ("headers", "content")])
-    runs = resources.select("site", "id", "url", F.explode(searches).alias("s"))
+    runs = spread(resources.select("site", "id", "url", "headers", "content")).select("site", "id", "url", F.explode(searches).alias("s"))
     hits = runs.select("site", "id", "url", "s.selector", "s.source", F.posexplode("s.hits").alias("n", "h"))
     pairs = F.array(*[F.struct(F.lit(g).alias("key"), F.col(f"h.g{g}").alias("value")) for g in range(1, widest + 1)])
     groups = (F.map_from_entries(F.filter(pairs, lambda p: p["value"] != "")) if widest

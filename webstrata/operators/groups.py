@@ -22,6 +22,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-wise work on an input that comes in too few pieces.
+
+    Only an input known to make file splits for less than a quarter of the cores is redistributed;
+    anything larger keeps its partitions, so this never shuffles big data.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 4 * known < cores * split else df
+
+
 def salted_join(rows: DataFrame, small: DataFrame, on: list[str], row_key: list[str],
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join many rows per key with at most one row per key.

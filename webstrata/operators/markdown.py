@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.htmltree import Node, Tree
+from .groups import spread
 
 HAS_TAG = re.compile(r"<[a-zA-Z]+[^>]*>")
 SPACES = re.compile(r"[ \t\r\n]+")
@@ -220,13 +221,13 @@ def markdown(html: Column) -> Column:
 def to_markdown(resources: DataFrame) -> DataFrame:
     """(site, id, url, markdown) of the HTML rows."""
     pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull())
-    return pages.select("site", "id", "url", markdown(F.col("content")).alias("markdown"))
+    return spread(pages.select("site", "id", "url", "content")).select("site", "id", "url", markdown(F.col("content")).alias("markdown"))
 
 
 def markdown_savings(resources: DataFrame) -> DataFrame:
     """Bytes before and after conversion, per site."""
     pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull())
-    sizes = pages.select("site", F.octet_length("content").alias("html"), F.octet_length(markdown(F.col("content"))).alias("md"))
+    sizes = spread(pages.select("site", "content")).select("site", F.octet_length("content").alias("html"), F.octet_length(markdown(F.col("content"))).alias("md"))
     return sizes.groupBy("site").agg(
         F.count("*").alias("pages"), F.sum("html").alias("html_bytes"),
         F.sum(F.coalesce("md", F.lit(0))).alias("markdown_bytes"))

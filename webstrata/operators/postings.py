@@ -10,18 +10,23 @@ resource columns afterwards.
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .groups import cut, spread
 from .query import All, Member, Number, Query, Text, Url, TEXT_FIELDS, effective
 
 KEY = ("site", "id")
 # rows of a literal table below which it is certain to be small enough to broadcast
 BROADCAST_ROWS = 50_000
+# distinct words up to which they are written into the scan's own filter
+PUSHED_WORDS = 500
 
 
 def build_postings(resources: DataFrame, key: tuple[str, ...] = KEY,
@@ -29,7 +34,7 @@ def build_postings(resources: DataFrame, key: tuple[str, ...] = KEY,
     """(key..., field, token, pos) for every token of every indexed field; no shuffle."""
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text"))
                       for f in fields])
-    per_field = resources.select(*key, F.explode(texts).alias("t"))
+    per_field = spread(resources.select(*dict.fromkeys([*key, *fields]))).select(*key, F.explode(texts).alias("t"))
     return (per_field.select(*[F.col(k).alias(f"k_{k}") for k in key], F.col("t.field").alias("field"),
                              F.posexplode(tx.tokens(F.col("t.text"))).alias("pos", "token"))
             .select(*[F.col(f"k_{k}").alias(k) for k in key], "field", "token", "pos"))
@@ -62,8 +67,7 @@ def term_stats(postings: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 class _Plan:
     """Saved queries broken into rows of small tables."""
 
-    elements: list[tuple]      # (literal, k, field or None, token, is_stem)
-    lengths: dict[int, int]    # literal -> number of tokens
+    elements: list[tuple]      # (literal, n tokens, k, field, token, is_stem)
     uses: list[tuple]          # (literal, conjunction, negated)
     conjunctions: list[tuple]  # (conjunction, query_id, n_positive)
     checks: dict[int, list]    # conjunction -> [(field, op, number, text list, negated)]
@@ -79,7 +83,7 @@ def _check_row(atom: Query, negated: bool) -> tuple:
 
 
 def _plan(queries: dict[str, Query]) -> _Plan:
-    plan = _Plan([], {}, [], [], {}, set())
+    plan = _Plan([], [], [], {}, set())
     literals: dict[Text, int] = {}
     for query_id, query in queries.items():
         for conjunction in effective(query).disjuncts():
@@ -89,11 +93,10 @@ def _plan(queries: dict[str, Query]) -> _Plan:
                 if isinstance(atom, Text):
                     if atom not in literals:
                         literals[atom] = literal = len(literals)
-                        plan.lengths[literal] = len(atom.words)
                         for k, word in enumerate(atom.words):
                             stem = atom.prefix and k == len(atom.words) - 1
                             for name in atom.possible_fields:
-                                plan.elements.append((literal, k, name, word, stem))
+                                plan.elements.append((literal, len(atom.words), k, name, word, stem))
                             if stem:
                                 plan.stems.add(len(word))
                     plan.uses.append((literals[atom], number, negated))
@@ -113,34 +116,26 @@ def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
 def _literal_hits(postings: DataFrame, plan: _Plan, key: tuple[str, ...]) -> DataFrame:
     """(literal, key...) once per row that contains the literal."""
     spark = postings.sparkSession
-    rows = _small(spark, plan.elements, "literal int, k int, field string, token string, stem boolean")
-    exact = rows.where(~F.col("stem")).drop("stem")
-    words = sorted({t for _, _, _, t, stem in plan.elements if not stem})
-    slim = postings.select(*key, "field", "token", "pos")
-    # an explicit list lets the scan skip files; past a few hundred words it would not pay
-    scan = slim.where(F.col("token").isin(words)) if 0 < len(words) <= 500 else slim
-    found = scan.join(exact, ["field", "token"])
-    if plan.stems:
-        stems = rows.where(F.col("stem")).drop("stem").withColumnRenamed("token", "head")
-        heads = F.array(*[F.struct(F.substring("token", 1, n).alias("head")) for n in sorted(plan.stems)])
-        cut = (slim.where(F.length("token") >= min(plan.stems))
-               .withColumn("h", F.explode(F.array_distinct(heads))).select("*", "h.head").drop("h"))
-        found = found.unionByName(cut.join(stems, ["field", "head"]).drop("head"))
-
-    counts = _small(spark, list(plan.lengths.items()), "literal int, n int")
-    long = {lit for lit, n in plan.lengths.items() if n > 1}
-    single = found
-    result = None
-    if long:
-        marked = found.join(counts, "literal")
-        starts = (marked.where(F.col("n") > 1)
-                  .groupBy("literal", *key, "field", (F.col("pos") - F.col("k")).alias("start"))
-                  .agg(F.count("*").alias("seen"), F.first("n").alias("n"))
-                  .where(F.col("seen") == F.col("n")))
-        result = starts.select("literal", *key)
-        single = marked.where(F.col("n") == 1)
-    single = single.select("literal", *key)
-    return (single if result is None else single.unionByName(result)).distinct()
+    elements = _small(spark, plan.elements, "literal int, n int, k int, field string, probe string, stem boolean")
+    words = sorted({(t, stem) for *_, t, stem in plan.elements})
+    scan = postings.select(*key, "field", "token", "pos")
+    if len(words) <= PUSHED_WORDS:
+        # the scan skips files and row groups; past that many words it would not pay
+        exact = [t for t, stem in words if not stem]
+        tests = ([F.col("token").isin(exact)] if exact else []) + [F.col("token").startswith(t) for t, stem in words if stem]
+        scan = scan.where(functools.reduce(operator.or_, tests))
+    # a token can stand for itself and for the stems of the lengths in use
+    probes = [F.struct(F.col("token").alias("probe"), F.lit(False).alias("stem"))] + [
+        F.struct(F.substring("token", 1, n).alias("probe"), F.lit(True).alias("stem")) for n in sorted(plan.stems)]
+    probed = scan.withColumn("p", F.explode(F.array_distinct(F.array(*probes)))) if plan.stems else scan.withColumn("p", probes[0])
+    found = (probed.select(*key, "field", "pos", "p.probe", "p.stem")
+             .join(elements, ["field", "probe", "stem"]).select("literal", "n", "k", *key, "field", "pos"))
+
+    # a phrase needs all its tokens at one start; single tokens collapse per field before the shuffle
+    start = F.when(F.col("n") > 1, F.col("pos") - F.col("k"))
+    whole = (found.groupBy("literal", "n", *key, "field", start.alias("start")).agg(F.count("*").alias("seen"))
+             .where((F.col("n") == 1) | (F.col("seen") == F.col("n"))))
+    return whole.select("literal", *key).distinct()
 
 
 def _passes(checks: Column) -> Column:
@@ -174,37 +169,45 @@ def search_postings(postings: DataFrame, resources: DataFrame, queries: dict[str
     spark = postings.sparkSession
     plan = _plan(queries)
     narrow = resources.select(*dict.fromkeys([*key, "id", "site", "url", "type", "status", "size", "time"]))
-    conjunctions = _small(
-        spark, [(c, q, n, plan.checks.get(c, [])) for c, q, n in plan.conjunctions],
-        f"conj int, query_id string, positives int, checks {CHECKS}")
-    uses = _small(spark, plan.uses, "literal int, conj int, negated boolean")
+    known = [(c, q, n, plan.checks.get(c, [])) for c, q, n in plan.conjunctions]
+    if not known:
+        return narrow.select(F.lit("").alias("query_id"), *key).limit(0)
+    conjunctions = _small(spark, known, f"conj int, query_id string, positives int, checks {CHECKS}")
 
-    judged = None
+    # what speaks for or against a row: a literal it holds, or an open conjunction it meets
+    events = []
     if plan.uses:
-        judged = (_literal_hits(postings, plan, key).join(uses, "literal")
-                  .groupBy("conj", *key)
-                  .agg(F.count_if(~F.col("negated")).alias("held"),
-                       F.count_if(F.col("negated")).alias("barred")))
-
-    parts = []
-    if any(n for _, _, n in plan.conjunctions):
-        full = (judged.join(conjunctions, "conj")
-                .where((F.col("barred") == 0) & (F.col("held") == F.col("positives")) & (F.col("positives") > 0)))
-        parts.append(full.join(narrow, list(key)).where(_passes(F.col("checks"))).select("query_id", *key))
-    open_ended = [(c, q, plan.checks.get(c, [])) for c, q, n in plan.conjunctions if not n]
+        uses = _small(spark, plan.uses, "literal int, conj int, negated boolean")
+        events.append(_literal_hits(postings, plan, key).join(uses, "literal").select(
+            "conj", *key, F.when(F.col("negated"), "barred").otherwise("held").alias("event")))
+    open_ended = [row for row in known if not row[2]]
     if open_ended:
-        # no text to start from: test each row against the few such conjunctions in place
-        names = ("name", "op", "num", "words", "negated")
-        cases = [{"conj": c, "query_id": q, "checks": [dict(zip(names, row)) for row in rows]}
-                 for c, q, rows in open_ended]
-        literal = F.from_json(F.lit(json.dumps(cases)),
-                              f"array<struct<conj:int,query_id:string,checks:{CHECKS}>>")
-        rows = narrow.select("*", F.explode(F.filter(literal, lambda c: _passes(c["checks"]))).alias("c"))
-        rows = rows.select(F.col("c.conj").alias("conj"), F.col("c.query_id").alias("query_id"), *key)
-        if judged is not None and any(neg for _, _, neg in plan.uses):
-            rows = rows.join(judged.where(F.col("barred") > 0).select("conj", *key), ["conj", *key], "left_anti")
-        parts.append(rows.select("query_id", *key))
-    if not parts:
-        return narrow.select(F.lit("").alias("query_id"), *key).limit(0)
-    result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        events.append(_open_rows(narrow, open_ended, key))
+    judged = functools.reduce(DataFrame.unionByName, events).groupBy("conj", *key).agg(
+        *[F.count_if(F.col("event") == e).alias(e) for e in ("held", "barred", "open")])
+    matched = (judged.join(conjunctions, "conj")
+               .where((F.col("barred") == 0) & (F.col("held") == F.col("positives")))
+               .where((F.col("positives") > 0) | (F.col("open") > 0)))
+    if len(open_ended) == len(known):
+        return matched.select("query_id", *key).distinct()
+    checked = matched
+    if open_ended:
+        # both halves read this: write it once
+        matched = cut(matched.select("query_id", "positives", "conj", *key))
+        checked = matched.where(F.col("positives") > 0).join(conjunctions.select("conj", "checks"), "conj")
+    result = checked.join(narrow, list(key)).where(_passes(F.col("checks"))).select("query_id", *key)
+    if open_ended:
+        result = result.unionByName(matched.where(F.col("positives") == 0).select("query_id", *key))
     return result.distinct()
+
+
+def _open_rows(narrow: DataFrame, open_ended: list[tuple], key: tuple[str, ...]) -> DataFrame:
+    """(conj, key..., event) of rows that meet a conjunction with no text to start from.
+
+    The few such conjunctions travel as a literal and are tested against each row in place.
+    """
+    names = ("name", "op", "num", "words", "negated")
+    cases = [{"conj": c, "checks": [dict(zip(names, row)) for row in rows]} for c, _, _, rows in open_ended]
+    literal = F.from_json(F.lit(json.dumps(cases)), f"array<struct<conj:int,checks:{CHECKS}>>")
+    met = narrow.select("*", F.explode(F.filter(literal, lambda c: _passes(c["checks"]))).alias("c"))
+    return met.select(F.col("c.conj").alias("conj"), *key, F.lit("open").alias("event"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as N
+from ..functions import text as tx
+from .groups import spread
 from .query import Query, search
 
 SORTS = ("id", "url", "status", "size")
@@ -63,6 +65,37 @@ def navigation(resources: DataFrame, query: Query, limit: int, offset: int,
         (F.lit(offset + limit) < n).alias("has_next"))
 
 
+def facets(resources: DataFrame, query: Query, site_ids: list[int] | None = None) -> DataFrame:
+    """Distinct sites, types and statuses of a result with their row counts."""
+    hits = search(resources, query, site_ids)
+    values = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in ("site", "type", "status")])
+    return hits.select(F.explode(values).alias("f")).groupBy("f.field", "f.value").agg(F.count("*").alias("n"))
+
+
+def with_sites(resources: DataFrame, sites: DataFrame) -> DataFrame:
+    """Resource rows with the name of their site; rows of unlisted sites keep a NULL name."""
+    names = sites.select(F.col("id").alias("site"), F.col("name").alias("site_name"))
+    return resources.join(names, "site", "left")
+
+
+def set_algebra(resources: DataFrame, pairs: list[tuple[str, str]], field: str = "content") -> DataFrame:
+    """Per pair of terms: rows with either, both, one of them only, and whether the counts add up.
+
+    One pass: the text is lower-cased once, each term tested once, each pair counted from the flags.
+    """
+    words = {w: f"w{i}" for i, w in enumerate(dict.fromkeys(w for p in pairs for w in p))}
+    lowered = spread(resources.select(field)).select(F.lower(field).alias("low"))
+    flags = lowered.select(*[F.coalesce(tx.has_tokens(F.col("low"), tx.split_tokens(w), lowered=True), F.lit(False)).alias(n)
+                             for w, n in words.items()])
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(words[a]).alias("x"), F.col(words[b]).alias("y"))
+                     for a, b in pairs])
+    x, y = F.col("x"), F.col("y")
+    counts = flags.select(F.explode(rows).alias("p")).select("p.*").groupBy("a", "b").agg(
+        F.count_if(x).alias("n_a"), F.count_if(y).alias("n_b"), F.count_if(x & y).alias("n_and"),
+        F.count_if(x | y).alias("n_or"), F.count_if(x & ~y).alias("n_minus"))
+    return counts.withColumn("holds", F.col("n_a") + F.col("n_b") == F.col("n_and") + F.col("n_or"))
+
+
 def to_json(df: DataFrame, forced: list[str] | None = None) -> DataFrame:
     """One JSON object per row: NULL fields are left out, except forced ones, and times are ISO-8601."""
     def value(name: str, type_: str) -> Column:

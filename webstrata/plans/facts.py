@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as N
 from ..functions import text as tx
+from ..operators.groups import spread
 
 NON_TEXT = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[^>]*>")
 REFERENCE = r"(?is)<(?:a|area|link|script|img|iframe|source|video|audio|embed)\b[^>]*\s(?:href|src)\s*=[^>]*>"
@@ -72,7 +73,8 @@ def page_facts(resources: DataFrame) -> DataFrame:
     """Narrow per-page table over the HTML rows of a resource table."""
     html = F.col("content")
     words = tx.tokens(visible_text(html))
-    return resources.where((F.col("type") == "html") & html.isNotNull()).select(
+    pages = resources.where((F.col("type") == "html") & html.isNotNull()).select("site", "id", "url", "content")
+    return spread(pages).select(
         "site", "id", "url",
         title(html).alias("title"),
         meta_description(html).alias("description"),
@@ -93,10 +95,10 @@ def page_facts(resources: DataFrame) -> DataFrame:
 
 def link_table(resources: DataFrame) -> DataFrame:
     """One row per reference in an HTML page, in page order."""
-    base = (resources.where((F.col("type") == "html") & F.col("content").isNotNull())
-            .select("site", "id", "url", F.posexplode(
-                F.regexp_extract_all(without_scripts(F.col("content")), F.lit(REFERENCE), F.lit(0)))
-                .alias("pos", "markup")))
+    pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull())
+    markup = F.regexp_extract_all(without_scripts(F.col("content")), F.lit(REFERENCE), F.lit(0))
+    base = spread(pages.select("site", "id", "url", "content")).select(
+        "site", "id", "url", F.posexplode(markup).alias("pos", "markup"))
     tag = F.lower(F.regexp_extract("markup", r"^<([A-Za-z]+)", 1))
     raw = F.trim(unescape(F.concat(*[F.regexp_extract("markup", VALUE, g) for g in (1, 2, 3)])))
     rel = F.lower(F.trim(F.regexp_extract("markup", REL, 1)))

@@ -60,6 +60,12 @@ def shared_links(links: DataFrame) -> DataFrame:
             .groupBy("href").agg(F.count("*").alias("pages")))
 
 
+def link_counts(links: DataFrame) -> DataFrame:
+    """Internal and external links per page that has any."""
+    return links.where(F.col("tag") == "a").groupBy("id", "url").agg(
+        F.count_if("internal").alias("internal_links"), F.count_if(~F.col("internal")).alias("external_links"))
+
+
 def render_blockers(resources: DataFrame) -> DataFrame:
     """Per page: what delays its first paint."""
     html = F.col("content")

@@ -212,6 +212,8 @@ QUERIES = {
                               _links_sql("SELECT DISTINCT l.href, l.url FROM l JOIN b ON l.href = b.href")),
     "shared_assets": (_links(lambda l, r: perf.shared_links(l)),
                       _links_sql("SELECT href, count(DISTINCT url) AS pages FROM l GROUP BY href")),
+    "link_counts": (_links(lambda l, r: perf.link_counts(l)),
+                    _links_sql("SELECT id, url, count(*) AS internal_links, 0::BIGINT AS external_links FROM l GROUP BY 1, 2")),
     "orphan_assets": (_links(lambda l, r: files.orphan_assets(r, l)),
                       _links_sql(f"SELECT id, url, type, size FROM r WHERE type <> 'html' AND {SEEN} "
                                  "AND regexp_replace(url, '#.*$', '') NOT IN (SELECT href FROM l)")),

@@ -53,19 +53,15 @@ def _one(name: str):
     return run, sql(f"SELECT '{name}' AS query_id, site, id FROM r WHERE {SAVED[name][1]}", DOCUMENTS)
 
 
-def _algebra(spark, folder):
+def _postings_join(spark, folder):
+    """Postings with the columns of their resource, counted by type."""
     docs = fixture.load_documents(spark, folder)
-    pairs = [("the", "of"), ("de", "la"), ("und", "the")]
-    words = sorted({w for p in pairs for w in p})
-    flags = docs.select(*[q.field("content", w).column().alias(w) for w in words])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("in_a"), F.col(b).alias("in_b"))
-                     for a, b in pairs])
-    both = F.col("in_a") & F.col("in_b")
-    return (flags.select(F.explode(rows).alias("p")).select("p.*").groupBy("a", "b").agg(
-        F.count_if("in_a").alias("n_a"), F.count_if("in_b").alias("n_b"), F.count_if(both).alias("n_and"),
-        F.count_if(F.col("in_a") | F.col("in_b")).alias("n_or"),
-        F.count_if(F.col("in_a") & ~F.col("in_b")).alias("n_minus"))
-        .withColumn("holds", F.col("n_a") + F.col("n_b") == F.col("n_and") + F.col("n_or")))
+    per_row = P.build_postings(docs, fields=("content",)).groupBy("site", "id").agg(F.count("*").alias("tokens"))
+    return (per_row.join(docs.select("site", "id", "type"), ["site", "id"], "left")
+            .groupBy("type").agg(F.sum("tokens").alias("postings"), F.count("*").alias("n")))
+
+
+PAIRS = [("the", "of"), ("de", "la"), ("und", "the")]
 
 
 def _pair_sql(a: str, b: str) -> str:
@@ -119,8 +115,8 @@ QUERIES = {
                  _where("type = 'html' AND contains(lower(url), 'example.com')") + " ORDER BY url, id LIMIT 1"),
     "search_total": (lambda spark, folder: R.total(fixture.load_pages(spark, folder), q.text("and")),
                      _where(has("and"), listed="count(*) AS total")),
-    "set_algebra": (_algebra, sql(" UNION ALL ".join(_pair_sql(a, b) for a, b in
-                                                     [("the", "of"), ("de", "la"), ("und", "the")]), DOCUMENTS)),
+    "set_algebra": (lambda spark, folder: R.set_algebra(fixture.load_documents(spark, folder), PAIRS),
+                    sql(" UNION ALL ".join(_pair_sql(a, b) for a, b in PAIRS), DOCUMENTS)),
     "postings_build": (lambda spark, folder: P.build_postings(fixture.load_documents(spark, folder))
                        .groupBy("field", "token").agg(F.count("*").alias("n"), F.countDistinct("id").alias("df")),
                        sql("SELECT field, token, count(*) AS n, count(DISTINCT id) AS df FROM t GROUP BY ALL", DOCUMENTS, TOKENS)),
@@ -128,6 +124,8 @@ QUERIES = {
                    sql("SELECT token, count(DISTINCT id) AS df, count(*) AS cf, CASE WHEN count(DISTINCT id) >= 10 THEN 'common' "
                        "WHEN count(DISTINCT id) > 3 THEN 'specific' ELSE 'rare' END AS band FROM t WHERE field = 'content' "
                        "GROUP BY token", DOCUMENTS, TOKENS)),
+    "postings_join": (_postings_join, sql("SELECT r.type, count(*) AS postings, count(DISTINCT t.id) AS n FROM t LEFT JOIN r ON t.id = r.id "
+                                          "WHERE t.field = 'content' GROUP BY 1", DOCUMENTS, TOKENS)),
     "saved_queries": (_saved, sql(" UNION ALL ".join(f"SELECT '{n}' AS query_id, site, id FROM r WHERE {c}"
                                                      for n, (_, c) in SAVED.items()), DOCUMENTS)),
     "phrase_index": _one("phrase"),

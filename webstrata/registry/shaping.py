@@ -167,7 +167,34 @@ def _latest(spark, folder):
             .select("user_id", "event_id", "event_type", "value"))
 
 
+def _site_join(resources):
+    sites = resources.groupBy(F.col("site").alias("id")).agg(F.min(N.host(F.col("url"))).alias("name"))
+    joined = R.with_sites(resources.select("site", "size"), sites)
+    return joined.groupBy("site_name").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def _result_sets(resources):
+    one = q.search(resources, q.field("content", "the")).select("id")
+    two = q.search(resources, q.field("content", "of")).select("id")
+    parts = {"union": one.union(two).distinct(), "intersect": one.intersect(two), "except": one.exceptAll(two),
+             "without": one.join(two, "id", "left_anti")}
+    frames = [df.select(F.lit(n).alias("operation"), "id") for n, df in parts.items()]
+    result = frames[0]
+    for f in frames[1:]:
+        result = result.unionByName(f)
+    return result
+
+
+_A, _B = has("the", ("content",)), has("of", ("content",))
+SETS_SQL = sql(" UNION ALL ".join(f"SELECT '{n}' AS operation, id FROM r WHERE status >= 100 AND {c}" for n, c in {
+    "union": f"({_A} OR {_B})", "intersect": f"{_A} AND {_B}", "except": f"{_A} AND NOT {_B}", "without": f"{_A} AND NOT {_B}"}.items()))
+
 QUERIES = {
+    "result_sets": (_resources(_result_sets), SETS_SQL),
+    "site_join": (_resources(_site_join), sql(f"SELECT {_HOST} AS site_name, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY 1")),
+    "result_facets": (_resources(lambda r: R.facets(r, q.text("the"))),
+                      sql(" UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS value, count(*) AS n FROM r WHERE {has('the')} "
+                                             "AND status >= 100 GROUP BY 2" for f in ("site", "type", "status")))),
     "resource_ids": (_pages(lambda p: p.select("page_id", N.resource_id(F.col("url")).alias("id"), N.resource_id(N.host(F.col("url"))).alias("site"))),
                      "SELECT page_id, ('0x' || substr(sha1(url), 1, 12))::BIGINT AS id, "
                      f"('0x' || substr(sha1({_HOST}), 1, 12))::BIGINT AS site FROM pages"),

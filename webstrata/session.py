@@ -14,7 +14,9 @@ def local_session(cpus: str = "*", app: str = "webstrata", **conf: str) -> Spark
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false")
+               # no stack trace per column expression: it dominates the time to build a query
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
