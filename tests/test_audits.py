@@ -169,3 +169,13 @@ def test_template_sample_on_a_hot_template(spark):
     df = spark.range(5000).select("id", F.format_string("http://h/p/%05d", "id").alias("url"), F.lit("html").alias("type"))
     got = files.template_sample(df, 3).orderBy("rank").collect()
     assert [(r.template, r.pages, r.rank, r.id) for r in got] == [("/p/{n}", 5000, i + 1, i) for i in range(3)]
+
+
+def test_pages_that_close_nothing(spark):
+    """Patterns stay linear on pages of many open elements."""
+    bodies = [t * 60_000 for t in ("<script>", "<style>", "<!--", "<h1>", "<title>", "<script ", "<a href=", "< a")]
+    df = spark.createDataFrame([(1, i, f"http://h/{i}", "html", 200, 1, b) for i, b in enumerate(bodies)],
+                               "site long, id long, url string, type string, status int, size long, content string")
+    got = {r.id: r.words for r in facts.page_facts(df).collect()}
+    assert got[0] == got[1] == got[2] == 0 and got[7] == 60_000
+    assert facts.link_table(df).count() <= 1 and perf.render_blockers(df).count() == 8

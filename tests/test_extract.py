@@ -1,6 +1,7 @@
 """Nodes, components, snippets, spans, Markdown and regular expressions."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -88,6 +89,21 @@ def test_any_markup_makes_a_tree(parts):
     markdown.markdown_text(source)
 
 
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<h1>", "<script ", "<a href=", "<div>", "</p>", "<b>x</i>", "<ul><li>", "<a b='", "<br>t "])
+def test_costly_pages_stay_cheap(piece):
+    started = time.perf_counter()
+    flat = flatten(piece * 20_000)
+    markdown.markdown_text(piece * 20_000)
+    assert time.perf_counter() - started < 20 and len(flat["nodes"]) <= 40_000
+
+
+@pytest.mark.parametrize("source, attrs", [
+    ("<a B=1 c='x y' d=\"&lt;b>\" e>", {"b": "1", "c": "x y", "d": "<b>", "e": ""}), ("<a href=/x/>t", {"href": "/x/"}),
+    ("<a t='1 < 2' u=\"<i>\">", {"t": "1 < 2", "u": "<i>"}), ("<a b='c>d", {"b": "'c"}), ("<a x = 'y' x=z/>", {"x": "y"}), ("<a", {})])
+def test_attributes(source, attrs):
+    assert dict(flatten(source)["nodes"][0]["attrs"]) == attrs
+
+
 def test_snippets(spark):
     body = "<html><body><p>" + " ".join(f"word{i}" for i in range(30)) + " target phrase here " + " ".join(
         f"more{i}" for i in range(30)) + "</p><p class='target'>x</p><!-- a target --></body></html>"

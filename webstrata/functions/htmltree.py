@@ -1,9 +1,13 @@
-"""A tolerant HTML tree for use inside tasks, on the standard library's tokenizer."""
+"""A tolerant HTML tree for use inside tasks.
+
+The tokenizer is one pattern whose every branch consumes what it looked at, so the time
+per page grows with its size, also on pages that open thousands of tags and close none.
+"""
 
 from __future__ import annotations
 
 import html as html_lib
-from html.parser import HTMLParser
+import re
 
 # --- fixed values of the HTML language
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -22,6 +26,10 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}),
 P_SCOPE = {"table", "td", "th", "caption", "button", "object", "applet", "marquee", "template", "html"}
 # --- end of fixed values
 
+# Elements nested deeper than this stay where they are but hold nothing: their text goes to the
+# element around them.  Work and memory per page then grow with its size, whatever it nests.
+MAX_DEPTH = 256
+
 
 class Node:
     """An element (``tag`` set), comment or processing instruction; ``items`` mixes text and children."""
@@ -35,19 +43,62 @@ class Node:
         self.first = self.last = first
 
 
-class Tree(HTMLParser):
+# a quoted value may hold anything, but one with "<" in it only up to a bound: an unclosed quote
+# must not make every later tag search the rest of the page
+_QUOTED = r"""(?:"(?:[^"<]*+|[^"]{0,16384}+)"|'(?:[^'<]*+|[^']{0,16384}+)')"""
+TOKEN = re.compile(
+    r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))"
+    r"|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
+    r"|<(?P<bogus>[!?/])(?P<data>[^>]*+)(?:>|\Z)"
+    rf"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|{_QUOTED})*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
+RAW_END = {tag: re.compile(rf"</{tag}[\s/>][^>]*>?|</{tag}\Z", re.IGNORECASE) for tag in RAW_TEXT}
+
+
+def _decoded(text: str) -> str:
+    return html_lib.unescape(text) if "&" in text else text
+
+
+class Tree:
     """Parsed document; ``root`` is a nameless node above all top-level ones."""
 
     def __init__(self, source: str):
-        super().__init__(convert_charrefs=True)
         self.chunks: list[str] = []
+        self.depth = 0
+        self.latest: Node | None = None
         self.root = self.open = Node("root", None, None, 0)
-        self.feed(source)
-        self.close()
+        self._read(source)
         while self.open is not self.root:
             self._end()
         self.root.last = len(self.chunks)
 
+    def _read(self, source: str) -> None:
+        at, size = 0, len(source)
+        while at < size:
+            found = TOKEN.search(source, at)
+            if found is None:
+                self._text(_decoded(source[at:]))
+                return
+            if found.start() > at:
+                self._text(_decoded(source[at:found.start()]))
+            at = found.end()
+            if found["start"] is not None:
+                tag = found["start"].lower()
+                self._start(tag, found["attrs"])
+                if tag in RAW_TEXT and self.open is self.latest:
+                    close = RAW_END[tag].search(source, at)
+                    stop = close.start() if close else size
+                    if stop > at:
+                        self._text(source[at:stop])
+                    at = stop
+            elif found["end"] is not None:
+                self._end_tag(found["end"].lower())
+            elif found["comment"] is not None:
+                self._note("comment", found["comment"])
+            elif found["bogus"] == "?":
+                self._note("pi", found["data"])
+
     def string(self, node: Node) -> str:
         """All text inside a node."""
         return "".join(self.chunks[node.first:node.last])
@@ -55,6 +106,7 @@ class Tree(HTMLParser):
     def _end(self) -> None:
         self.open.last = len(self.chunks)
         self.open = self.open.parent
+        self.depth -= 1
 
     def _end_open(self, tags: set[str], scope: set[str]) -> None:
         """End the outermost open element among ``tags`` within ``scope``, and all inside it."""
@@ -66,24 +118,20 @@ class Tree(HTMLParser):
         while found is not None and self.open is not found.parent:
             self._end()
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self._end_open({"p"}, P_SCOPE)
         if tag in ENDS:
             self._end_open(*ENDS[tag])
-        node = Node("element", tag, self.open, len(self.chunks))
-        for name, value in attrs:
-            node.attrs.setdefault(name, value or "")
+        node = self.latest = Node("element", tag, self.open, len(self.chunks))
+        for name, *values in ATTRIBUTE.findall(attrs):
+            node.attrs.setdefault(name.lower(), _decoded("".join(values)))
         self.open.items.append(node)
-        if tag not in VOID:
+        if tag not in VOID and self.depth < MAX_DEPTH and not SELF_CLOSED.search(attrs):
             self.open = node
+            self.depth += 1
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self._end()
-
-    def handle_endtag(self, tag: str) -> None:
+    def _end_tag(self, tag: str) -> None:
         node = self.open
         while node.tag is not None and node.tag != tag:
             node = node.parent
@@ -91,7 +139,7 @@ class Tree(HTMLParser):
             while self.open is not node.parent:
                 self._end()
 
-    def handle_data(self, data: str) -> None:
+    def _text(self, data: str) -> None:
         items = self.open.items
         self.chunks.append(data)
         if items and isinstance(items[-1], str):
@@ -99,11 +147,8 @@ class Tree(HTMLParser):
         else:
             items.append(data)
 
-    def handle_comment(self, data: str) -> None:
-        self.open.items.append(Node("comment", None, self.open, len(self.chunks), data))
-
-    def handle_pi(self, data: str) -> None:
-        self.open.items.append(Node("pi", None, self.open, len(self.chunks), data))
+    def _note(self, kind: str, data: str) -> None:
+        self.open.items.append(Node(kind, None, self.open, len(self.chunks), data))
 
 
 def _start_tag(node: Node) -> str:

@@ -33,7 +33,8 @@ def parse(html: Column) -> Column:
         parts = [pa.array([flatten(p.as_py()) if p.is_valid and p.as_py().strip() else None], _DOM) for p in pages]
         return pa.concat_arrays(parts) if parts else pa.array([], _DOM)
 
-    return run(html)
+    # not repeatable in the optimizer's eyes, or it would parse once more to filter empty pages
+    return run.asNondeterministic()(html)
 
 
 def shred_html(resources: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.htmltree import Node, Tree
 from .groups import spread
 
-HAS_TAG = re.compile(r"<[a-zA-Z]+[^>]*>")
+TAG_START = re.compile(r"<[a-zA-Z]")
 SPACES = re.compile(r"[ \t\r\n]+")
 BLANK_LINES = re.compile(r"(?:\n\s*-\s*\n|\n\s*\n)+")
 
@@ -45,9 +45,32 @@ class Place:
                      self.cell or tag == "td", self.table or tag == "table")
 
 
+class Sides:
+    """Neighbours of every child of one element: the nearest texts, and where each kind of element occurs."""
+
+    def __init__(self, items: list):
+        self.before, self.after = [""] * len(items), [""] * len(items)
+        self.first: dict[str, int] = {}
+        self.last: dict[str, int] = {}
+        text = ""
+        for i, item in enumerate(items):
+            self.before[i] = text
+            if isinstance(item, str):
+                text = item
+            elif item.tag:
+                self.first.setdefault(item.tag, i)
+                self.last[item.tag] = i
+        text = ""
+        for i in range(len(items) - 1, -1, -1):
+            self.after[i] = text
+            if isinstance(items[i], str):
+                text = items[i]
+
+
 class Writer:
     def __init__(self, source: str):
         self.tree = Tree(source)
+        self.sides: dict[int, Sides] = {}
 
     def result(self) -> str:
         return BLANK_LINES.sub("\n\n", self.children(self.tree.root, Place())).strip()
@@ -57,12 +80,12 @@ class Writer:
 
     def children(self, node: Node, place: Place) -> str:
         inner = place.inside(node.tag)
+        self.sides[id(node)] = Sides(node.items)
         return "".join(self.plain(node, i, inner) if isinstance(item, str) else self.element(item, node, i, inner)
                        for i, item in enumerate(node.items))
 
     def plain(self, parent: Node, position: int, place: Place) -> str:
-        later = {i.tag for i in parent.items[position + 1:] if isinstance(i, Node)} & {"ul", "ol", "table"}
-        gap = later & {"ol", "table"} or (later and not place.items)
+        gap = self.later(parent, position, "ol", "table") or (not place.items and self.later(parent, position, "ul"))
         return _words(parent.items[position]) + ("\n\n" if gap else "")
 
     def element(self, node: Node, parent: Node, position: int, place: Place) -> str:
@@ -82,16 +105,18 @@ class Writer:
         block = getattr(self, f"_{tag}", None)
         if block is not None:
             return block(node, parent, position, place)
-        line = not place.items or any(isinstance(i, Node) and i.tag in ("ul", "ol") for i in parent.items[position + 1:])
+        line = not place.items or self.later(parent, position, "ul", "ol")
         inner = self.children(node, place)
         return f"\n\n{inner}\n" if line else inner
 
-    @staticmethod
-    def spaced(parent: Node, position: int, body: str) -> str:
+    def later(self, parent: Node, position: int, *tags: str) -> bool:
+        """Whether one of the elements follows among the siblings."""
+        return any(self.sides[id(parent)].last.get(t, -1) > position for t in tags)
+
+    def spaced(self, parent: Node, position: int, body: str) -> str:
         """Give back the blanks that the neighbouring texts lose at their ends."""
-        before = next((i for i in reversed(parent.items[:position]) if isinstance(i, str)), "")
-        after = next((i for i in parent.items[position + 1:] if isinstance(i, str)), "")
-        return " " * before.endswith(" ") + body + " " * after.startswith(" ")
+        sides = self.sides[id(parent)]
+        return " " * sides.before[position].endswith(" ") + body + " " * sides.after[position].startswith(" ")
 
     def _a(self, node, parent, position, place):
         words, href = self.text(node), _words(node.attrs.get("href", ""))
@@ -114,7 +139,7 @@ class Writer:
         return self.children(node, place) + ("" if place.table else "\n\n")
 
     def _list(self, node, parent, position, place):
-        lead = "" if place.items and any(isinstance(i, Node) and i.tag == "li" for i in parent.items[:position]) else "\n"
+        lead = "" if place.items and self.sides[id(parent)].first.get("li", position) < position else "\n"
         if not self.text(node):
             return lead
         inner, number, lines = place.inside(node.tag), 0, []
@@ -198,7 +223,8 @@ class Writer:
 
 def markdown_text(source: str | None) -> str | None:
     """Markdown of one page; NULL without any tag, or if the page cannot be converted."""
-    if not source or not HAS_TAG.search(source):
+    start = TAG_START.search(source) if source else None
+    if start is None or source.find(">", start.end()) < 0:
         return None
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 20_000))

@@ -13,11 +13,14 @@ from ..functions import scalar as N
 from ..functions import text as tx
 from ..operators.groups import spread
 
-NON_TEXT = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[^>]*>")
-REFERENCE = r"(?is)<(?:a|area|link|script|img|iframe|source|video|audio|embed)\b[^>]*\s(?:href|src)\s*=[^>]*>"
+# A tag or element left open runs to the end of the page, as in browsers.  That also keeps every
+# pattern linear on pages that open thousands of elements and close none.
+TAG_END = r"[^>]*(?:>|\z)"
+NON_TEXT = (rf"(?is)<script\b{TAG_END}.*?(?:</script\s*>|\z)|<style\b{TAG_END}.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+            rf"|<[a-z/!?]{TAG_END}")
+OPAQUE = rf"(?is)<!--.*?(?:-->|\z)|(<(?:script|style)\b{TAG_END}).*?(?:</(?:script|style)\s*>|\z)"
 VALUE = r"(?is)\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
 REL = r"(?is)\srel\s*=\s*[\"']?([^\"'>]*)"
-OPAQUE = r"(?is)<!--.*?-->|(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
@@ -37,18 +40,26 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, OPAQUE, "$1")
 
 
-def first_or_null(html: Column, pattern: str) -> Column:
-    found = F.regexp_extract(html, pattern, 1)
-    return F.when(html.rlike(pattern), found)
+def tags(html: Column, *names: str) -> Column:
+    """Start tags of some elements, whole, in page order: one pass, later tests read short strings."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{'|'.join(names)})\b{TAG_END}"), F.lit(0))
+
+
+def any_tag(found: Column, pattern: str) -> Column:
+    return F.exists(found, lambda t: t.rlike(pattern))
+
+
+def count_tags(found: Column, pattern: str) -> Column:
+    return F.size(F.filter(found, lambda t: t.rlike(pattern))).cast("long")
 
 
 def title(html: Column) -> Column:
-    value = unescape(tx.squash(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+    value = unescape(tx.squash(F.regexp_extract(html, rf"(?is)<title\b{TAG_END}(.*?)(?:</title\s*>|\z)", 1)))
     return F.when(value != "", value)
 
 
-def meta_description(html: Column) -> Column:
-    tag = F.regexp_extract(html, r"(?is)<meta\s[^>]*name\s*=\s*[\"']?description\b[^>]*>", 0)
+def meta_description(found: Column) -> Column:
+    tag = F.try_element_at(F.filter(found, lambda t: t.rlike(r"(?is)^<meta\b.*\sname\s*=\s*[\"']?description\b")), F.lit(1))
     double = F.regexp_extract(tag, r'(?is)\scontent\s*=\s*"([^"]*)"', 1)
     single = F.regexp_extract(tag, r"(?is)\scontent\s*=\s*'([^']*)'", 1)
     value = unescape(tx.squash(F.when(double != "", double).otherwise(single)))
@@ -61,7 +72,7 @@ def headings(html: Column) -> Column:
 
 
 def h1_texts(html: Column) -> Column:
-    inner = F.regexp_extract_all(html, F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"), F.lit(1))
+    inner = F.regexp_extract_all(html, F.lit(rf"(?is)<h1\b{TAG_END}(.*?)(?:</h1\s*>|(?=<h[1-6]\b)|\z)"), F.lit(1))
     return F.transform(inner, lambda x: unescape(tx.squash(F.regexp_replace(x, "<[^>]*>", " "))))
 
 
@@ -71,32 +82,38 @@ def count_of(html: Column, pattern: str) -> Column:
 
 def page_facts(resources: DataFrame) -> DataFrame:
     """Narrow per-page table over the HTML rows of a resource table."""
-    html = F.col("content")
-    words = tx.tokens(visible_text(html))
+    html, head, text = F.col("content"), F.col("tags"), F.col("text")
     pages = resources.where((F.col("type") == "html") & html.isNotNull()).select("site", "id", "url", "content")
-    return spread(pages).select(
+    parts = spread(pages).select(
+        "site", "id", "url", "content", visible_text(html).alias("text"),
+        tags(html, "html", "link", "meta", "script", "img").alias("tags"))
+
+    def og(name: str) -> Column:
+        return any_tag(head, rf"(?is)^<meta\b.*\sproperty\s*=\s*[\"']?og:{name}\b")
+
+    return parts.select(
         "site", "id", "url",
         title(html).alias("title"),
-        meta_description(html).alias("description"),
-        html.rlike(r"(?is)<link\b[^>]*rel\s*=\s*[\"']?canonical\b").alias("has_canonical"),
-        html.rlike(r"(?is)<meta\b[^>]*property\s*=\s*[\"']?og:title\b").alias("has_og_title"),
-        html.rlike(r"(?is)<meta\b[^>]*property\s*=\s*[\"']?og:description\b").alias("has_og_description"),
-        html.rlike(r"(?is)<meta\b[^>]*property\s*=\s*[\"']?og:image\b").alias("has_og_image"),
-        html.rlike(r"(?is)<meta\b[^>]*name\s*=\s*[\"']?viewport\b").alias("has_viewport"),
-        html.rlike(r"(?is)<html\b[^>]*\slang\s*=").alias("has_lang"),
-        html.rlike(r"(?is)<script\b[^>]*application/ld\+json").alias("has_json_ld"),
+        meta_description(head).alias("description"),
+        any_tag(head, r"(?is)^<link\b.*\srel\s*=\s*[\"']?canonical\b").alias("has_canonical"),
+        og("title").alias("has_og_title"), og("description").alias("has_og_description"), og("image").alias("has_og_image"),
+        any_tag(head, r"(?is)^<meta\b.*\sname\s*=\s*[\"']?viewport\b").alias("has_viewport"),
+        any_tag(head, r"(?is)^<html\b.*\slang\s*=").alias("has_lang"),
+        any_tag(head, r"(?is)^<script\b.*application/ld\+json").alias("has_json_ld"),
         headings(html).alias("levels"),
         h1_texts(html).alias("h1"),
-        F.size(words).cast("long").alias("words"),
-        F.sha2(F.lower(visible_text(html)), 256).alias("text_hash"),
-        count_of(html, r"(?is)<img\b[^>]*>").alias("images"),
-        count_of(html, r"(?is)<img\b[^>]*\salt\s*=[^>]*>").alias("images_with_alt"))
+        F.size(tx.tokens(text)).cast("long").alias("words"),
+        F.sha2(F.lower(text), 256).alias("text_hash"),
+        count_tags(head, r"(?i)^<img\b").alias("images"),
+        count_tags(head, r"(?is)^<img\b.*\salt\s*=").alias("images_with_alt"))
 
 
 def link_table(resources: DataFrame) -> DataFrame:
     """One row per reference in an HTML page, in page order."""
     pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull())
-    markup = F.regexp_extract_all(without_scripts(F.col("content")), F.lit(REFERENCE), F.lit(0))
+    markup = tags(without_scripts(F.col("content")), "a", "area", "link", "script", "img", "iframe", "source", "video",
+                  "audio", "embed")
+    markup = F.filter(markup, lambda t: t.rlike(VALUE))
     base = spread(pages.select("site", "id", "url", "content")).select(
         "site", "id", "url", F.posexplode(markup).alias("pos", "markup"))
     tag = F.lower(F.regexp_extract("markup", r"^<([A-Za-z]+)", 1))

@@ -39,9 +39,8 @@ def crawl_report(resources: DataFrame, keyword: Column) -> DataFrame:
                 "style": type_ == "style", "script": type_ == "script", "img": type_ == "img"}
     seen = resources.where(F.col("status") >= 100)
     marked = seen.select(F.explode(F.array_compact(F.array(
-        *[F.when(test, F.lit(name)) for name, test in sections.items()]))).alias("section"), "url")
-    return marked.groupBy("section").agg(
-        F.count("*").alias("total"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
+        *[F.when(test, F.lit(name)) for name, test in sections.items()]))).alias("section"))
+    return marked.groupBy("section").agg(F.count("*").alias("total"))
 
 
 def crawl_report_urls(resources: DataFrame, keyword: Column) -> DataFrame:
@@ -98,7 +97,7 @@ def url_template(url: Column) -> Column:
 
 def url_templates(resources: DataFrame) -> DataFrame:
     return (resources.groupBy(url_template(F.col("url")).alias("template"))
-            .agg(F.count("*").alias("n"), F.min("url").alias("example")))
+            .agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
 
 
 def template_sample(resources: DataFrame, k: int = 3) -> DataFrame:

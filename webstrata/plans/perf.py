@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as N
 from ..operators.groups import salted_join
-from .facts import count_of
+from .facts import TAG_END, count_of, count_tags, tags
 
 ASSET_TAGS = ["script", "img", "iframe", "source", "video", "audio", "embed"]
 
@@ -68,19 +68,22 @@ def link_counts(links: DataFrame) -> DataFrame:
 
 def render_blockers(resources: DataFrame) -> DataFrame:
     """Per page: what delays its first paint."""
-    html = F.col("content")
-    scripts = count_of(html, r"(?is)<script\b[^>]*\ssrc\s*=[^>]*>")
-    deferred = count_of(html, r"(?is)<script\b[^>]*\ssrc\s*=[^>]*\s(?:async|defer)\b[^>]*>"
-                              r"|<script\b[^>]*\s(?:async|defer)\b[^>]*\ssrc\s*=[^>]*>")
-    inline_css = F.regexp_extract_all(html, F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), F.lit(1))
-    inline_js = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
+    html, found = F.col("content"), F.col("tags")
+    external = r"(?is)^<script\b.*\ssrc\s*="
+    scripts = count_tags(found, external)
+    deferred = F.size(F.filter(found, lambda t: t.rlike(external) & t.rlike(r"(?is)\s(?:async|defer)\b"))).cast("long")
+    inline_css, inline_js = F.col("css"), F.col("js")
 
     def weight(texts):
         return F.aggregate(texts, F.lit(0).cast("long"), lambda acc, x: acc + F.octet_length(x))
 
-    pages = resources.where((F.col("type") == "html") & html.isNotNull())
+    def bodies(name: str):
+        return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b{TAG_END}(.*?)(?:</{name}\s*>|\z)"), F.lit(1))
+
+    pages = resources.where((F.col("type") == "html") & html.isNotNull()).select(
+        "id", "url", tags(html, "link", "script").alias("tags"), bodies("style").alias("css"), bodies("script").alias("js"))
     facts = pages.select(
-        "id", "url", count_of(html, r"(?is)<link\b[^>]*rel\s*=\s*[\"']?stylesheet\b[^>]*>").alias("stylesheets"),
+        "id", "url", count_tags(found, r"(?is)^<link\b.*\srel\s*=\s*[\"']?stylesheet\b").alias("stylesheets"),
         scripts.alias("scripts"), (scripts - deferred).alias("blocking_scripts"),
         F.size(inline_css).cast("long").alias("inline_styles"), weight(inline_css).alias("inline_css_bytes"),
         F.size(F.filter(inline_js, lambda x: F.trim(x) != "")).cast("long").alias("inline_scripts"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import groups
 from ..operators import query as q
 from ..plans import errors, facts, files, fixture, perf, seo
 from .common import has, sql
@@ -28,6 +29,11 @@ def _links(run):
     return query
 
 
+def _referrers(links, resources):
+    links = groups.cut(links)  # read twice
+    return perf.broken_link_referrers(links, perf.broken_links(links, resources))
+
+
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 RELATION = (f"CASE WHEN {HOST} IN ('{DOMAIN}', 'www.{DOMAIN}') THEN 'main' "
             f"WHEN ends_with({HOST}, '.{DOMAIN}') THEN 'subdomain' ELSE 'external' END")
@@ -175,7 +181,7 @@ QUERIES = {
                    sql("SELECT type, count(*) AS n, max(size) AS largest, round(avg(size), 4) AS average, "
                        "quantile_disc(size, 0.5) AS median, quantile_disc(size, 0.9) AS p90 FROM r GROUP BY type")),
     "crawl_report": (_resources(lambda r: files.crawl_report(r, q.text("and").column())),
-                     sql(f"SELECT section, count(*) AS total, min(url) AS first_url, max(url) AS last_url FROM ({SECTIONS}) GROUP BY 1")),
+                     sql(f"SELECT section, count(*) AS total FROM ({SECTIONS}) GROUP BY 1")),
     "crawl_report_urls": (_resources(lambda r: files.crawl_report_urls(r, q.text("and").column())), sql(SECTIONS)),
     "file_types": (_resources(lambda r: files.file_types(r, DOMAIN)),
                    sql(f"SELECT type, count_if(contains(url, '{DOMAIN}'))::BIGINT AS internal, "
@@ -188,7 +194,7 @@ QUERIES = {
     "directories": (_resources(lambda r: files.directories(r, 1)),
                     sql(f"SELECT split_part({FULL_PATH}, '/', 2) AS directory, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY 1")),
     "url_templates": (_resources(files.url_templates),
-                      sql(f"SELECT {TEMPLATE} AS template, count(*) AS n, min(url) AS example FROM r GROUP BY 1")),
+                      sql(f"SELECT {TEMPLATE} AS template, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY 1")),
     "template_sample": (_resources(lambda r: files.template_sample(r, 3)),
                         sql("SELECT * FROM (SELECT template, count(*) OVER (PARTITION BY template) AS pages, "
                             "row_number() OVER (PARTITION BY template ORDER BY url, id) AS rank, id, url "
@@ -208,7 +214,7 @@ QUERIES = {
     "links": (_links(lambda l, r: l),
               _links_sql("SELECT site, id, url, pos, tag, rel, href_raw, href, host, internal FROM l")),
     "broken_links": (_links(perf.broken_links), _links_sql("SELECT href, status, pages, refs, example FROM b")),
-    "broken_link_referrers": (_links(lambda l, r: perf.broken_link_referrers(l, perf.broken_links(l, r))),
+    "broken_link_referrers": (_links(_referrers),
                               _links_sql("SELECT DISTINCT l.href, l.url FROM l JOIN b ON l.href = b.href")),
     "shared_assets": (_links(lambda l, r: perf.shared_links(l)),
                       _links_sql("SELECT href, count(DISTINCT url) AS pages FROM l GROUP BY href")),

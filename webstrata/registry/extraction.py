@@ -70,10 +70,15 @@ QUERIES = {
                                  .select("id", "selector", "source", "value", "start", "stop")),
                       _matches_sql(f"SELECT id, selector, source, value, {OFFSETS} - length(value)::INT AS \"start\", {OFFSETS} AS stop FROM m")),
     "select_h1": (_html(lambda s: dom.select_nodes(s, "h1", tail=False).select("id", "value")), H1_SQL),
-    "select_links": (_html(lambda s: dom.select_nodes(s, "a", attr="href", path="/ul/li/a$").select("id", "value")), None),
+    "select_links": (_html(lambda s: dom.select_nodes(s, "a", attr="href", path="/ul/li/a$").select("id", "value")),
+                     sql("SELECT id, replace(unnest(regexp_extract_all(content, '<li><a href=\"([^\"]*)\"', 1)), '&amp;', '&') AS value "
+                         "FROM r WHERE type = 'html'")),
     "count_nodes": (_html(lambda s: dom.count_nodes(s, "li").select("id", "n")),
                     sql("SELECT id, len(regexp_extract_all(content, '<li>'))::BIGINT AS n FROM r WHERE type = 'html'")),
-    "page_nodes": (_html(lambda s: dom.nodes(s).groupBy("kind", "tag").agg(F.count("*").alias("n"))), None),
+    "page_nodes": (_html(lambda s: dom.nodes(s).groupBy("kind", "tag").agg(F.count("*").alias("n"))),
+                   sql("SELECT 'element' AS kind, tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '<([a-z][a-z0-9]*)[ >]', 1)) "
+                       "AS tag FROM r WHERE type = 'html') GROUP BY tag UNION ALL SELECT 'comment', NULL, sum(len(regexp_extract_all(content, "
+                       "'<!--')))::BIGINT FROM r WHERE type = 'html'")),
     "page_components": (_resources(dom.page_components), None),
     "snippets": (_resources(lambda r: sn.snippets(r, SNIPPET)), None),
     "snippet_hits": (_resources(lambda r: sn.snippets(r, SNIPPET).select("id", F.col("snippet").isNotNull().alias("found"))),

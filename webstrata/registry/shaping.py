@@ -174,8 +174,9 @@ def _site_join(resources):
 
 
 def _result_sets(resources):
-    one = q.search(resources, q.field("content", "the")).select("id")
-    two = q.search(resources, q.field("content", "of")).select("id")
+    # each result is used four times: search once
+    one = groups.cut(q.search(resources, q.field("content", "the")).select("id"))
+    two = groups.cut(q.search(resources, q.field("content", "of")).select("id"))
     parts = {"union": one.union(two).distinct(), "intersect": one.intersect(two), "except": one.exceptAll(two),
              "without": one.join(two, "id", "left_anti")}
     frames = [df.select(F.lit(n).alias("operation"), "id") for n, df in parts.items()]
