@@ -1,11 +1,14 @@
 """Nodes, components, snippets, spans, Markdown and regular expressions."""
 
 import re
+import subprocess
+import sys
 import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_by
@@ -207,3 +210,10 @@ def test_search_with_extras(spark):
     assert [r.id for r in tables["markdown"].collect()] == [0] and "**second**" in tables["snippets"].first().snippet
     assert tables["regex"].first().value == "second"
     assert [(r.selector, r.value) for r in tables["xpath"].orderBy("selector").collect()] == [(0, "y"), (1, "a&b.png")]
+
+
+def test_task_functions_need_no_installed_package():
+    code = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read())('<h1>x</h1>'))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(markdown.markdown_text), capture_output=True, cwd="/",
+                          env={"PATH": "/usr/bin"}, timeout=60)
+    assert done.stdout.strip() == b"# x", done.stderr
