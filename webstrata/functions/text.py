@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN_CLASS = r"\p{L}\p{N}\p{Co}_-"
-TOKEN_PATTERN = f"[{TOKEN_CLASS}]+"
+TOKEN_CHAR = f"[{TOKEN_CLASS}]"
+TOKEN_PATTERN = f"{TOKEN_CHAR}+"
 SEPARATOR = f"[^{TOKEN_CLASS}]"
 
 
@@ -39,8 +40,10 @@ def has_tokens(col: Column, words: list[str], prefix: bool = False, lowered: boo
     if not words:
         return F.lit(False)
     low = col if lowered else F.lower(col)
-    end = "" if prefix else f"(?:$|{SEPARATOR})"
-    pattern = f"(?:^|{SEPARATOR})" + f"{SEPARATOR}+".join(words) + end
+    # the pattern starts with plain letters and looks back only where they occur
+    first, rest = words[0], words[1:]
+    pattern = f"{first}(?<!{TOKEN_CHAR}{first})" + "".join(f"{SEPARATOR}+{w}" for w in rest)
+    pattern += "" if prefix else f"(?!{TOKEN_CHAR})"
     return low.contains(max(words, key=len)) & low.rlike(pattern)
 
 

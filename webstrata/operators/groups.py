@@ -30,8 +30,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session shows no statistics
+        return df
     return df.repartition(cores) if 4 * known < cores * split else df
 
 

@@ -21,11 +21,11 @@ NON_TEXT = (rf"(?is)<script\b{TAG_END}.*?(?:</script\s*>|\z)|<style\b{TAG_END}.*
 OPAQUE = rf"(?is)<!--.*?(?:-->|\z)|(<(?:script|style)\b{TAG_END}).*?(?:</(?:script|style)\s*>|\z)"
 VALUE = r"(?is)\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
 REL = r"(?is)\srel\s*=\s*[\"']?([^\"'>]*)"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")]
 
 
 def unescape(col: Column) -> Column:
-    """The five entities that HTML writers must use."""
+    """The entities that HTML writers must use."""
     for name, char in ENTITIES:
         col = F.replace(col, F.lit(name), F.lit(char))
     return col

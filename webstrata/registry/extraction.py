@@ -8,6 +8,7 @@ from ..operators import dom, extract, markdown
 from ..operators import query as q
 from ..operators import snippets as sn
 from ..plans import fixture
+from ..plans.facts import ENTITIES
 from .common import DOCUMENTS, has, sql
 
 # patterns in the syntax shared by Python, Java and RE2
@@ -61,6 +62,20 @@ _MARKER = r"\*\*([a-zA-Z_'' -]+)\*\*"
 STRIPPED_SQL = sql(rf"SELECT id, trim(regexp_replace({_MARKED}, '{_MARKER}', '\1', 'g')) AS text, "
                    rf"len(regexp_extract_all({_MARKED}, '{_MARKER}'))::BIGINT AS marks FROM r", DOCUMENTS)
 
+# the given pages as tags and texts: comments gone, bodies of scripts and styles gone, their tags kept
+_OPEN = r"regexp_replace(coalesce(content, ''), '(?is)<!--.*?-->|(<(script|style)[^>]*>).*?</(script|style)>', '\1', 'g')"
+_ATTRS = r"""array_to_string(regexp_extract_all(o, '\s[a-z]+="([^"]*)"', 1), ' ')"""
+_TEXT = "regexp_replace(o, '<[^>]*>', ' ', 'g')"
+for _name, _char in [("&copy;", "©"), ("&middot;", "·"), *ENTITIES]:
+    _TEXT = f"replace({_TEXT}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+COMPONENTS_SQL = sql(rf"""
+SELECT site, id, url, trim(regexp_replace(headers, '\s+', ' ', 'g')) AS headers,
+  trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')) AS text,
+  trim(regexp_replace({_ATTRS}, '[\s_]+', ' ', 'g')) AS attributes,
+  array_to_string(list_transform(regexp_extract_all(coalesce(content, ''), '<!--(.*?)-->', 1), lambda x: trim(x)), ' ') AS comments,
+  array_to_string(list_transform(regexp_extract_all(o, '<[a-z][a-z0-9]*|\s[a-z]+="'), lambda x: trim(replace(replace(x, '<', ''), '="', ''))), ' ') AS markup
+FROM (SELECT *, {_OPEN} AS o FROM r)""")
+
 H1_SQL = sql("SELECT id, unnest(regexp_extract_all(content, '(?s)<h1>.*?</h1>')) AS value FROM r WHERE type = 'html'")
 SNIPPET = q.text("the") & q.field("type", "html")
 
@@ -79,7 +94,7 @@ QUERIES = {
                    sql("SELECT 'element' AS kind, tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '<([a-z][a-z0-9]*)[ >]', 1)) "
                        "AS tag FROM r WHERE type = 'html') GROUP BY tag UNION ALL SELECT 'comment', NULL, sum(len(regexp_extract_all(content, "
                        "'<!--')))::BIGINT FROM r WHERE type = 'html'")),
-    "page_components": (_resources(dom.page_components), None),
+    "page_components": (_resources(dom.page_components), COMPONENTS_SQL),
     "snippets": (_resources(lambda r: sn.snippets(r, SNIPPET)), None),
     "snippet_hits": (_resources(lambda r: sn.snippets(r, SNIPPET).select("id", F.col("snippet").isNotNull().alias("found"))),
                      sql(f"SELECT id, true AS found FROM r WHERE {has('the')} AND type = 'html' AND status >= 100")),
