@@ -65,9 +65,16 @@ STRIPPED_SQL = sql(rf"SELECT id, trim(regexp_replace({_MARKED}, '{_MARKER}', '\1
 # the given pages as tags and texts: comments gone, bodies of scripts and styles gone, their tags kept
 _OPEN = r"regexp_replace(coalesce(content, ''), '(?is)<!--.*?-->|(<(script|style)[^>]*>).*?</(script|style)>', '\1', 'g')"
 _ATTRS = r"""array_to_string(regexp_extract_all(o, '\s[a-z]+="([^"]*)"', 1), ' ')"""
-_TEXT = "regexp_replace(o, '<[^>]*>', ' ', 'g')"
-for _name, _char in [("&copy;", "©"), ("&middot;", "·"), *ENTITIES]:
-    _TEXT = f"replace({_TEXT}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+def _decoded(text: str) -> str:
+    """Entities of the given pages, also those cut off before their semicolon."""
+    for name, char in [("&copy;", "©"), ("&middot;", "·"), *ENTITIES]:
+        text = f"regexp_replace({text}, '{name}?', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
+    return text
+
+
+_TEXT = _decoded("regexp_replace(o, '<[^>]*>', ' ', 'g')")
 COMPONENTS_SQL = sql(rf"""
 SELECT site, id, url, trim(regexp_replace(headers, '\s+', ' ', 'g')) AS headers,
   trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')) AS text,
@@ -76,7 +83,9 @@ SELECT site, id, url, trim(regexp_replace(headers, '\s+', ' ', 'g')) AS headers,
   array_to_string(list_transform(regexp_extract_all(o, '<[a-z][a-z0-9]*|\s[a-z]+="'), lambda x: trim(replace(replace(x, '<', ''), '="', ''))), ' ') AS markup
 FROM (SELECT *, {_OPEN} AS o FROM r)""")
 
-H1_SQL = sql("SELECT id, unnest(regexp_extract_all(content, '(?s)<h1>.*?</h1>')) AS value FROM r WHERE type = 'html'")
+_H1 = f"replace(replace(replace({_decoded('h')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+H1_SQL = sql(f"SELECT id, '<h1>' || {_H1} || '</h1>' AS value FROM (SELECT id, unnest(regexp_extract_all(content, "
+             "'(?s)<h1>(.*?)</h1>', 1)) AS h FROM r WHERE type = 'html')")
 SNIPPET = q.text("the") & q.field("type", "html")
 
 QUERIES = {
