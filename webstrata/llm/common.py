@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,3 +103,21 @@ def rows(schema: str, *columns) -> pa.RecordBatch:
     fields = [x.split() for x in schema.split(", ")]
     arrays = [c.cast(ARROW[k]) if isinstance(c, pa.Array) else pa.array(c, ARROW[k]) for c, (_, k) in zip(columns, fields)]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
+
+
+def text_function(build: Callable[[], Callable[[list[bytes]], list]], schema: str) -> Callable[[Column], Column]:
+    """A column function from texts to structs.  ``build`` runs once per task and gives what turns a list of texts
+    (UTF-8, NULL as empty) into columns of ``schema``.  Texts are handled in pieces of bounded size."""
+    fields = [x.split() for x in schema.split(", ")]
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = build()
+        for column in columns:
+            named = pa.RecordBatch.from_arrays([column.cast(pa.string())], names=["text"])
+            parts = [work(texts_of(piece, "text")) for piece in pieces([named], "text")]
+            arrays = [pa.concat_arrays([pa.array(p[k], ARROW[kind]) for p in parts]) if parts else pa.array([], ARROW[kind])
+                      for k, (_, kind) in enumerate(fields)]
+            yield pa.StructArray.from_arrays(arrays, names=[n for n, _ in fields])
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<" + ", ".join(f"{n}: {k}" for n, k in fields) + ">").asNondeterministic()

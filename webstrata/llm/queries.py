@@ -5,16 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_output
-from .common import table
+from . import language, packing, quality, token_output, toxicity
+from .common import crc_mod, table, tokenizer_path
+
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
-    return token_output.token_digest(table(spark, folder, "documents"))
+    return token_output.token_digest(table(spark, folder, "documents"), WORD_BPE, end_id=2)
+
+
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    trees = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), trees).select("doc_id", "quality.*")
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return (docs.select("doc_id", toxicity.scored(F.col("text"), model).alias("made"))
+            .select("doc_id", held_out.alias("held_out"), "made.*"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = table(spark, folder, "documents"), tokenizer_path(PIECES)
+    held_out = crc_mod("doc_id", 3) == 1
+    model = language.fit(docs.where(~held_out), path)
+    return language.identify(docs.select("doc_id", "text"), model, path).select("doc_id", held_out.alias("held_out"), "language.*")
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(WORD_BPE), end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_quality_rules": op2_quality_rules,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
