@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-import re
+from itertools import chain, islice
 
 import numpy as np
 
 from .common import ragged
 
 SPECIAL = b"<|"  # how the special tokens of the vocabulary begin
-_TRAIL = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+TOGETHER = 256  # words given to the tokenizer at once
+
+
+class _Numbered(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class WordEncoder:
@@ -19,66 +27,108 @@ class WordEncoder:
     words and their ids, kept between batches and started anew at ``limit`` words, replaces most of the work.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 900_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        # words of small ASCII letters need none of the file's normalising and splitting
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.split_id = self.tokenizer.token_to_id("<|endoftext|>")
+        self.mark_ids = {m: self.tokenizer.token_to_id(m.decode() + "</w>") for m in (b",", b".")}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbered()
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def words(self, text: bytes) -> list[bytes]:
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
         if SPECIAL in text:  # special tokens are matched with case
             return [w if SPECIAL in w else w.lower() for w in text.split()]
-        return _TRAIL.sub(rb" \1", text.lower()).split()
-
-    def _add(self, words: list[bytes]) -> None:
-        plain = [w for w in words if SPECIAL not in w]
-        for a in range(0, len(plain), 256):
-            part = plain[a:a + 256]
-            joined = "<|endoftext|>".join(w.decode("utf-8", "replace") for w in part)
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype=np.int32)
+        return text.lower().split()
+
+    def _learn(self, known: int) -> None:
+        """Ids of the words numbered since there were ``known``."""
+        ascii_words, single, marked, other = [], [], [], []
+
+        def kind(w: bytes) -> list[bytes]:
+            return ascii_words if w.isalpha() else other if SPECIAL in w or not w.decode("utf-8", "replace").isalpha() else single
+
+        for w in list(islice(self.index, known, None)):
+            mark = self.mark_ids.get(w[-1:])
+            if mark is not None and w[-2:-1].isalpha():  # letters, then one mark: two words to the tokenizer
+                marked.append((self.index[w], w[:-1], mark))
+            else:
+                kind(w).append(w)
+        bare = len(self.index)
+        for k, (own, core, mark) in enumerate(marked):
+            marked[k] = own, self.index[core], mark
+        for w in islice(self.index, bare, None):
+            kind(w).append(w)
+        while len(self.index) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        for a in range(0, len(ascii_words), TOGETHER):
+            part = ascii_words[a:a + TOGETHER]
+            ids = self._encode(b" ".join(part).decode(), self.bare)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            self._put(part, ids, np.append(0, ends[:-1]), ends)
+        for a in range(0, len(single), TOGETHER):
+            part = single[a:a + TOGETHER]
+            ids = self._encode(" ".join(w.decode("utf-8", "replace") for w in part))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                self._put(part, ids, np.append(0, ends[:-1]), ends)
+            else:  # a letter whose small form is no single letter
+                other += part
+        plain = [w for w in other if SPECIAL not in w]
+        for a in range(0, len(plain), TOGETHER):
+            part = plain[a:a + TOGETHER]
+            ids = self._encode("<|endoftext|>".join(w.decode("utf-8", "replace") for w in part))
             ends = np.append(np.flatnonzero(ids == self.split_id), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            self._put(part, ids, starts, ends - starts)
-        for w in words:
+            self._put(part, ids, np.append(0, ends[:-1] + 1), ends)
+        for w in other:
             if SPECIAL in w:
-                ids = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.int32)
+                ids = self._encode(w.decode("utf-8", "replace"))
                 self._put([w], ids, np.array([0]), np.array([len(ids)]))
-
-    def _put(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.index)
+        if marked:
+            own, core, mark = (np.array(x) for x in zip(*marked))
+            lengths = self.lengths[core] + 1
+            ids = np.repeat(mark, lengths).astype(np.int32)
+            keep = np.ones(len(ids), bool)
+            keep[np.cumsum(lengths) - 1] = False
+            ids[keep] = self.ids[ragged(self.starts[core], lengths - 1)]
+            self._append(own, ids, np.cumsum(lengths) - lengths, lengths)
+
+    def _encode(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode(text, add_special_tokens=False).ids, dtype=np.int32)
+
+    def _put(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        self._append(np.array([self.index[w] for w in words]), ids, starts, ends - starts)
+
+    def _append(self, numbers: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(words) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
         self.ids[self.used:self.used + len(ids)] = ids
-        self.starts[n:n + len(words)], self.lengths[n:n + len(words)] = starts + self.used, lengths
-        self.index.update(zip(words, range(n, n + len(words))))
+        self.starts[numbers], self.lengths[numbers] = starts + self.used, lengths
         self.used += len(ids)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end_id``, and the number of ids of each text."""
         if len(self.index) > self.limit:
             self._reset()
-        split = [self.words(t) for t in texts]
-        get = self.index.get
-        while True:
-            found = [[get(w, -1) for w in words] for words in split]
-            missing = {w for words, at in zip(split, found) if -1 in at for w, i in zip(words, at) if i < 0}
-            if not missing:
-                break
-            self._add(list(missing))
-        counts = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(counts.sum()))
-        lengths = self.lengths[flat].astype(np.int64)
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        totals = np.bincount(text_of, weights=lengths, minlength=len(texts)).astype(np.int64) + 1
+        split, known = [self.words(t) for t in texts], len(self.index)
+        counts = np.array([len(x) for x in split], dtype=np.int64)
+        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        if len(self.index) > known:
+            self._learn(known)
+        lengths = self.lengths[flat]
+        ends = np.append(0, np.cumsum(lengths))
+        last = np.cumsum(counts)
+        totals = ends[last] - ends[last - counts] + 1
         out = np.full(int(totals.sum()), end_id, dtype=np.int32)
         keep = np.ones(len(out), dtype=bool)
         keep[np.cumsum(totals) - 1] = False
