@@ -57,7 +57,7 @@ def _code_points(words: list[str]) -> np.ndarray:
 
 
 class Vocabulary:
-    """The pieces made of small letters, with or without the mark; ids 0 .. n - 1, and n for a letter of no piece."""
+    """The pieces made of small letters, with or without the mark; ids 0 .. n - 1, and n for a letter that is no piece by itself."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -84,6 +84,7 @@ class Vocabulary:
         for _ in range(max(self.table, default=0)):
             power.append(power[-1] * _BASE)
         for end in range(1, n + 1):
+            unknown = np.ones(len(words), bool)
             for size in sorted(self.table):
                 if size > end:
                     break
@@ -91,9 +92,13 @@ class Vocabulary:
                 wanted = prefix[:, end] - prefix[:, end - size] * power[size]
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == wanted)
+                if size == 1:
+                    unknown[hit] = False
                 if len(hit):
                     yield end, end - size, hit, ids[at[hit]]
-            yield end, end - 1, np.arange(len(words)), np.full(len(words), len(self.pieces))
+            if unknown.any():
+                hit = np.flatnonzero(unknown)
+                yield end, end - 1, hit, np.full(len(hit), len(self.pieces))
 
 
 @cache
