@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, token_output, toxicity
+from . import language, main_text, near_vectors, packing, parity_join, quality, token_output, toxicity
 from .common import crc_mod, table, tokenizer_path
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -23,6 +23,19 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), trees).select("doc_id", "quality.*")
 
 
+def op3_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op5_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    return parity_join.parity_components(table(spark, folder, "documents"))
+
+
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return pages.select("page_id", "url", main_text.extracted(F.col("html")).alias("made")).select("page_id", "url", "made.*")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held_out = crc_mod("doc_id", 4) == 2
@@ -45,6 +58,9 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
+    "op3_near_vectors": op3_near_vectors,
+    "op5_parity_join": op5_parity_join,
+    "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
