@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, main_text, near_vectors, packing, parity_join, quality, token_output, toxicity
+from . import language, main_text, near_vectors, packing, parity_join, piece_trie, quality, quotes, token_output, toxicity
 from .common import crc_mod, table, tokenizer_path
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -27,10 +27,18 @@ def op3_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op4_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations_in_reply_order(table(spark, folder, "conversations"))
+
+
 def op5_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.parity_components(table(spark, folder, "documents"))
 
 
+def op6_piece_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_trie.piece_digest(table(spark, folder, "documents"), tokenizer_path(PIECES))
+
+
 def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return pages.select("page_id", "url", main_text.extracted(F.col("html")).alias("made")).select("page_id", "url", "made.*")
@@ -59,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_vectors": op3_near_vectors,
+    "op4_quote_links": op4_quote_links,
     "op5_parity_join": op5_parity_join,
+    "op6_piece_trie": op6_piece_trie,
     "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
