@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, main_text, near_vectors, packing, parity_join, piece_trie, quality, quotes, token_output, toxicity
+from . import language, main_text, near_vectors, oracles, packing, parity_join, piece_trie, quality, quotes, token_output, toxicity
 from .common import crc_mod, table, tokenizer_path
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -75,4 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_near_vectors": oracles.NEAR_VECTORS,
+    "op4_quote_links": oracles.QUOTE_LINKS,
+    "op5_parity_join": oracles.PARITY_JOIN,
+}

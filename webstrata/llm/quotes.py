@@ -104,7 +104,7 @@ def conversations_in_reply_order(messages: DataFrame) -> DataFrame:
     read = parsed(messages)
     placed = threads(reply_links(read))
     quotes = F.size(F.filter("passages", lambda p: p.level > 0)).cast("long")
-    rows = (read.select("conv_id", "turn", "role", F.col("own").alias("text"), quotes.alias("n_quotes"), F.xxhash64("text").alias("_tie"))
+    rows = (read.select("conv_id", "turn", "role", F.col("own").alias("text"), quotes.alias("n_quotes"), F.md5(F.col("text").cast("string")).alias("_tie"))
             .join(placed, ["conv_id", "turn"], "left"))
     rows = rows.select("conv_id", "turn", "role", "text", F.coalesce("thread", "turn").alias("thread"), "reply_to", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
                        "n_quotes", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "_tie")
