@@ -3,9 +3,11 @@
 A set's shingles are dealt by hash over the segments of a parity sketch; a segment holds the XOR of 64-bit words of its
 shingles, so one shingle more or less changes one segment, and the number of segments that differ never exceeds the
 symmetric difference.  For a size band whose similar pairs differ in at most ``d`` shingles, sketches have 2d + 2 segments:
-similar sets agree in d + 2 of them, and of these in one of the d + 1 fullest of either set (fullest by number of shingles,
-then by content, an order both sets see alike), so each set looks for partners by d + 1 segments only and no similar
-pair is missed.  A set enters its own band and those lower ones that hold similar smaller sets.
+similar sets agree in d + 2 of them, and of these in one of the d + 1 best of either set, in any order that both sets see
+alike, so each set looks for partners by d + 1 segments only and no similar pair is missed.  The best hold the most
+shingles that are not known as common, then the most shingles.  Common are those that several documents of a bounded
+sample share; that list only decides which segments are looked up, so passages that many documents quote make few
+chance partners, and no result depends on it.  A set enters its own band and those lower ones that hold similar smaller sets.
 
 Equal sets are folded first.  Sets that agree in a segment form a group.  Each set is first checked exactly against the
 partner it agrees with most among the smallest members of its groups; components of what is found are then taken
@@ -36,11 +38,15 @@ from .shingles import mixed, shingle_sets
 
 SIMILAR = 80  # percent
 BAND = 1.5  # upper size of a band over its lower one
-BUCKET_ENTRIES = 2 << 20
+BUCKET_ENTRIES = 1 << 20
 BLOCK = 1024
 BITS = 40  # of a segment and of a set, as sent; a chance match only costs a check
-PIECE = 4 << 20
-SEEN = 200_000  # sets a task remembers having sent
+PIECE = 2 << 20
+SEEN = 100_000  # sets a task remembers having sent
+SAMPLE = 8_000  # documents, about, whose shared shingles count as common
+SHARED_BY = 3
+COMMON = 500_000  # shingles listed as common at most
+FILTER_BITS = 23  # of the filter that lets documents without partners go early: 2 ** 17 rows at most
 _MASK = np.uint64((1 << BITS) - 1)
 
 
@@ -56,9 +62,12 @@ def bands(largest: int, similar: int = SIMILAR) -> list[tuple[int, int, int, int
     return out
 
 
-def segments(shingles: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """The segments by which a set looks for partners, over all bands it enters."""
+def segments(shingles: np.ndarray, common: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """The segments by which a set looks for partners, over all bands it enters; ``common`` is sorted."""
     n, out = len(shingles), []
+    at = np.searchsorted(common, shingles)
+    rare = np.append(common, np.uint64(0))[at] != shingles
+    rare |= at == len(common)
     top = 1
     while top < n:
         top *= 2
@@ -71,7 +80,7 @@ def segments(shingles: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
         part = (((shingles >> np.uint64(32)) * count) >> np.uint64(32)).astype(np.int64)  # ascends with the shingles
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         content = np.bitwise_xor.reduceat(mixed(shingles), first)
-        size = np.diff(np.append(first, n))
+        size = np.diff(np.append(first, n)) + (np.add.reduceat(rare, first, dtype=np.int64) << 32)
         sketch = mixed(content ^ mixed(part[first].astype(np.uint64) * np.uint64(1 << 20) + np.uint64(number)))
         if len(sketch) < wanted:  # empty segments fill up: all alike, the least full
             empty = np.setdiff1d(np.arange(2 * wanted), part[first])
@@ -115,69 +124,100 @@ def _short(key: int) -> int:
     return key & ((1 << BITS) - 1)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, number of shingles and set keys of each row."""
-    schema = "doc_id long, n long, c1 long, c2 long"
+def common_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """Shingles that several documents of a sample share, sorted, and the mean size of the sample's sets."""
+    share = min(1.0, sample / max(1, docs.count()))
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else docs
+    parts = 32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in pieces(batches, "text", PIECE):
                 sets = shingle_sets(texts_of(batch, "text"))
-                keys = [set_keys(s) for s in sets]
-                yield rows(schema, column_of(batch, "doc_id"), [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                part = (flat >> np.uint64(59)).astype(np.int64)
+                found = np.unique(part)
+                yield rows("part int, packed binary, n long", [-1, *found], [b"", *(flat[part == k].tobytes() for k in found)], [len(sets), *(int((part == k).sum()) for k in found)])
+
+    def count(key, packed):
+        flat = np.frombuffer(b"".join(packed["packed"].to_pylist()), np.uint64)
+        values, times = np.unique(flat, return_counts=True)
+        keep = values[times >= SHARED_BY]
+        if len(keep) > COMMON // parts:  # the most frequent of this part
+            keep = np.sort(values[np.argsort(-times, kind="stable")[:COMMON // parts]])
+        total = sum(packed["n"].to_pylist())
+        return pa.Table.from_batches([rows("part int, packed binary, n long", [key[0].as_py()], [keep.tobytes()], [total])])
+
+    found = (drawn.select(F.col("text").cast("string")).mapInArrow(send, "part int, packed binary, n long")
+             .groupBy("part").applyInArrow(count, "part int, packed binary, n long").collect())  # COMMON numbers at most
+    numbers = {r["part"]: r["n"] for r in found}
+    listed = np.concatenate([np.frombuffer(r["packed"], np.uint64) for r in found] or [np.zeros(0, np.uint64)])
+    return np.sort(listed), sum(n for k, n in numbers.items() if k >= 0) / max(1, numbers.get(-1, 0))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
+FOUND = "segment long, set long, smallest long, doc_id long, n long, c1 long, c2 long"
 
-def groups_of(docs: DataFrame, buckets: int, similar: int = SIMILAR) -> DataFrame:
-    """``segment``, ``set`` and the group's smallest set, for every segment that two sets or more look for."""
+
+def sets_and_groups(docs: DataFrame, buckets: int, common: np.ndarray, similar: int = SIMILAR) -> DataFrame:
+    """Rows of two kinds from one reading of the texts: doc_id, n, c1 and c2 of each document (``segment`` is NULL), and
+    ``segment``, ``set`` and the group's smallest set for every segment that two sets or more look for."""
+    shared, width = docs.sparkSession.sparkContext.broadcast(common), BITS // 8
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         with np.errstate(over="ignore"):
             for batch in pieces(batches, "text", PIECE):
-                sketches, owners = [], []
+                sketches, owners, keys, sizes = [], [], [], []
                 for shingles in shingle_sets(texts_of(batch, "text")):
                     key = set_keys(shingles)
+                    keys.append(key)
+                    sizes.append(len(shingles))
                     if len(shingles) and key not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
-                        sketches.append(segments(shingles, similar))
+                        sketches.append(segments(shingles, shared.value, similar))
                         owners.append(np.full(len(sketches[-1]), _short(key[0]), np.uint64))
-                if not sketches:
-                    continue
-                sketch, owner = np.concatenate(sketches), np.concatenate(owners)
-                bucket = ((sketch >> np.uint64(BITS)) * np.uint64(buckets) >> np.uint64(64 - BITS)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                width = BITS // 8
-                packed = np.hstack([(x[order] & _MASK).view(np.uint8).reshape(-1, 8)[:, :width] for x in (sketch, owner)])
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(edges))
-                yield rows("bucket int, packed binary", full, [packed[edges[k]:edges[k + 1]].tobytes() for k in full])
-
-    def meet(key, pieces_of):
-        width = BITS // 8
-        packed = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 2 * width) for x in pieces_of["packed"].to_pylist()])
-        both = np.zeros((2, len(packed), 8), np.uint8)
-        both[0, :, :width], both[1, :, :width] = packed[:, :width], packed[:, width:]
-        del packed
+                ids = column_of(batch, "doc_id")
+                known = np.asarray(ids.is_valid())
+                each = np.stack([np.asarray(ids.fill_null(0)), np.array(sizes), *np.array(keys, np.int64).reshape(-1, 2).T, known.astype(np.int64)], axis=1)
+                to = (mixed(each[:, 0].astype(np.uint64) + each[:, 2].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                yield dealt(to, each.view(np.uint8), 1)
+                if sketches:
+                    sketch, owner = np.concatenate(sketches), np.concatenate(owners)
+                    bucket = ((sketch >> np.uint64(BITS)) * np.uint64(buckets) >> np.uint64(64 - BITS)).astype(np.int64)
+                    yield dealt(bucket, np.hstack([(x & _MASK).view(np.uint8).reshape(-1, 8)[:, :width] for x in (sketch, owner)]), 0)
+
+    def dealt(bucket: np.ndarray, entries: np.ndarray, kind: int) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(edges))
+        entries = entries[order]
+        return rows("bucket int, kind int, packed binary", full, np.full(len(full), kind), [entries[edges[k]:edges[k + 1]].tobytes() for k in full])
+
+    def meet(key, sent):
+        kinds, packed = sent["kind"].to_pylist(), sent["packed"].to_pylist()
+        each = np.frombuffer(b"".join(p for p, k in zip(packed, kinds) if k), np.int64).reshape(-1, 5)
+        entries = np.frombuffer(b"".join(p for p, k in zip(packed, kinds) if not k), np.uint8).reshape(-1, 2 * width)
+        both = np.zeros((2, len(entries), 8), np.uint8)
+        both[0, :, :width], both[1, :, :width] = entries[:, :width], entries[:, width:]
         sketch, owner = both.view(np.uint64)[:, :, 0]
         order = np.lexsort((owner, sketch))
         sketch, owner = sketch[order], owner[order]
-        new = np.append(True, (sketch[1:] != sketch[:-1]) | (owner[1:] != owner[:-1]))  # a set sent by several tasks
+        new = np.append(True, (sketch[1:] != sketch[:-1]) | (owner[1:] != owner[:-1]))[:len(sketch)]  # a set sent by several tasks
         sketch, owner = sketch[new], owner[new]
-        first = np.flatnonzero(np.append(True, sketch[1:] != sketch[:-1]))
+        first = np.flatnonzero(np.append(True, sketch[1:] != sketch[:-1])[:len(sketch)])
         size = np.diff(np.append(first, len(sketch)))
         members = np.repeat(size > 1, size)
         segment = sketch[members].astype(np.int64) + (key[0].as_py() << BITS)
-        return pa.Table.from_batches([rows(GROUPS, segment, owner[members].astype(np.int64), np.repeat(owner[first], size)[members].astype(np.int64))])
-
-    sent = docs.select(F.col("text").cast("string")).mapInArrow(send, "bucket int, packed binary")
-    return sent.groupBy("bucket").applyInArrow(meet, GROUPS)
-
+        m, d = len(segment), len(each)
+        no = lambda n: pa.nulls(n, pa.int64())
+        groups = rows(FOUND, segment, owner[members].astype(np.int64), np.repeat(owner[first], size)[members].astype(np.int64), no(m), no(m), no(m), no(m))
+        sets = rows(FOUND, no(d), no(d), no(d), pa.array(each[:, 0], mask=each[:, 4] == 0), each[:, 1], each[:, 2], each[:, 3])
+        return pa.Table.from_batches([groups, sets])
 
-GROUPS = "segment long, set long, smallest long"
+    sent = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, "bucket int, kind int, packed binary"))
+    return sent.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
 def texts_with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -193,7 +233,13 @@ def texts_with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 chosen = [s for s, k in zip(sets, right) if k]
                 yield rows(schema, column_of(keep, "rep"), column_of(keep, "text"), [len(s) for s in chosen], [bit_sketch(s) for s in chosen])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep")
+    # most documents have no partner and go before the shuffle: a bit per hashed id, in a table of bounded length
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    word, bit = lambda c: F.shiftright(place(c), 6), lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
+    bits = wanted.groupBy(word("rep").alias("word")).agg(F.bit_or(bit("rep")).alias("bits"))
+    maybe = (docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).withColumn("word", word("rep"))
+             .join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit("rep")) != 0).select("rep", "text"))
+    found = maybe.join(wanted, "rep")
     return found.select("rep", "text", "c1").mapInArrow(run, schema)
 
 
@@ -269,11 +315,12 @@ def across(groups: DataFrame, known: DataFrame, texts: DataFrame, similar: int =
 def parity_components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
-    sets = stored(sets_of(docs), "parity-sets")
+    common, mean = common_shingles(docs)
+    buckets = tasks_for(spark, int(docs.count() * mean / 2), BUCKET_ENTRIES)
+    both = stored(sets_and_groups(docs, buckets, common, similar), "parity-groups")
+    sets = both.where("segment IS NULL").select("doc_id", "n", "c1", "c2")
+    found = both.where("segment IS NOT NULL").select("segment", "set", "smallest")
     classes = stored(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "parity-classes")
-    shingles = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = tasks_for(spark, shingles // 2, BUCKET_ENTRIES)
-    found = stored(groups_of(docs, buckets, similar), "parity-groups")
     # a set that by chance shares its short key with another is taken for both; each pair is checked later
     names = stored(classes.select("rep", "c1", F.col("c1").bitwiseAND((1 << BITS) - 1).alias("set")), "parity-names")
     groups = stored(found.join(names, "set").select("segment", "rep"), "parity-members")

@@ -10,7 +10,7 @@ import xxhash
 WORDS = 5
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 _MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-_KEPT = 500_000
+_KEPT = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
