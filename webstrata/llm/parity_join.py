@@ -40,6 +40,8 @@ SIMILAR = 80  # percent
 BAND = 1.5  # upper size of a band over its lower one
 BUCKET_ENTRIES = 1 << 20
 BLOCK = 1024
+NEAREST = 3
+SMALL = 8  # members of a group up to which its pairs are listed
 BITS = 40  # of a segment and of a set, as sent; a chance match only costs a check
 PIECE = 2 << 20
 SEEN = 100_000  # sets a task remembers having sent
@@ -91,9 +93,9 @@ def segments(shingles: np.ndarray, common: np.ndarray, similar: int = SIMILAR) -
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
-    """One bit per shingle, XORed into at least four times as many places, a power of two."""
+    """One bit per shingle, XORed into at least as many places, a power of two."""
     width = 64
-    while width < 4 * len(shingles):
+    while width < len(shingles):
         width *= 2
     places = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(places.astype(np.uint8)).tobytes()
@@ -261,11 +263,13 @@ def checked(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def across(groups: DataFrame, known: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def across(groups: DataFrame, known: DataFrame, texts: DataFrame, similar: int = SIMILAR, nearest: int = 0) -> DataFrame:
     """Distinct pairs (a < b) of one group, in different components, that their bit sketches allow to be similar.
 
-    In a group, the members of the component with most members stand on one side; only the others are compared with
-    each other.  Either kind is split into blocks, and each pair of blocks is one piece of work.
+    Groups of up to ``SMALL`` members list their pairs, each pair once for all its groups, and sketches are looked up for
+    the pairs.  In larger groups sketches travel with the members: those of the component with most members stand on one
+    side, only the others are compared with each other; either kind is split into blocks, each pair of blocks a piece of work.
+    With ``nearest``, only the large groups are read, and each member there gives its pairs with that many nearest sketches.
     """
     spark = groups.sparkSession
     placed = stored(groups.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -274,8 +278,13 @@ def across(groups: DataFrame, known: DataFrame, texts: DataFrame, similar: int =
     mixed_groups = stored(sizes.groupBy("segment").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
                           .where("main.n < all").select("segment", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_other")),
                           "parity-mixed")
+    few = F.col("n_main") + F.col("n_other") <= SMALL
+    listed = placed.join(mixed_groups.where(few).select("segment"), "segment").join(texts.select("rep", "n"), "rep")
+    side = lambda x: listed.select("segment", F.col("rep").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"))
+    pairs = (side("a").join(side("b"), "segment").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
+             .where(100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b")).select("a", "b").distinct())
     blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    member = (placed.join(mixed_groups, "segment").withColumn("other", F.col("component") != F.col("main"))
+    member = (placed.join(mixed_groups.where(~few), "segment").withColumn("other", F.col("component") != F.col("main"))
               .withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), blocks("n_other")).otherwise(blocks("n_main")))))
     seq = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
     works = F.when(F.col("other"), F.concat(F.transform(seq("n_other"), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"))),
@@ -303,13 +312,32 @@ def across(groups: DataFrame, known: DataFrame, texts: DataFrame, similar: int =
                 rest = np.flatnonzero((component[x:y] != component[x + k]) & (100 * np.minimum(n[x:y], n[x + k]) >= similar * np.maximum(n[x:y], n[x + k])))
                 if len(rest):
                     apart = np.bitwise_count(words[rest] ^ words[k]).sum(axis=1, dtype=np.int64)
-                    near = rest[apart * (100 + similar) <= sizes[rest] * (100 - similar)]
+                    close = apart * (100 + similar) <= sizes[rest] * (100 - similar)
+                    near = rest[close]
+                    if nearest and len(near) > nearest:
+                        near = near[np.argsort(apart[close] / sizes[near], kind="stable")[:nearest]]
                     found.append(np.stack([np.minimum(rep[x + near], rep[x + k]), np.maximum(rep[x + near], rep[x + k])]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.Table.from_batches([rows(schema, pairs[0], pairs[1])])
 
-    return (dealt.withColumn("task", F.pmod(F.xxhash64("segment", "low", "high"), F.lit(tasks)))
-            .groupBy("task").applyInArrow(compare, schema).distinct())
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y, n in zip(*(column_of(batch, c).to_pylist() for c in ("sketch_a", "sketch_b", "n"))):
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded_sketch(x, size) ^ folded_sketch(y, size)).sum())
+                found.append(apart * (100 + similar) <= n * (100 - similar))
+            keep = batch.filter(pa.array(found, pa.bool_()))
+            yield rows(schema, column_of(keep, "a"), column_of(keep, "b"))
+
+    of_large = (dealt.withColumn("task", F.pmod(F.xxhash64("segment", "low", "high"), F.lit(tasks)))
+                .groupBy("task").applyInArrow(compare, schema))
+    if nearest:
+        return of_large.distinct()
+    sketch = lambda x: texts.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
+    of_small = (pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+                .mapInArrow(near, schema))
+    return of_small.union(of_large).distinct()
 
 
 def parity_components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -330,7 +358,14 @@ def parity_components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "parity-first")
     texts = stored(texts_with_sets(docs, names.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", "c1")), "parity-texts")
     links = stored(checked(first, texts, similar), "parity-links")
-    more = stored(across(groups, components(links, "parity-components"), texts, similar).join(first, ["a", "b"], "left_anti"), "parity-more")
+    # groups that overlap hold the same sets again and again: the one with most members of each set comes first, and there
+    # the nearest sketches only, so that what hangs together does so before all pairs across components are looked at
+    sizes = stored(groups.groupBy("segment").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "parity-sizes")
+    chosen = groups.join(sizes, "segment").groupBy("rep").agg(F.max(F.struct("n", "segment")).alias("m")).select("m.segment").distinct()
+    near = across(groups.join(stored(chosen, "parity-chosen"), "segment"), components(links, "parity-components"), texts, similar, NEAREST)
+    near = stored(near.join(first, ["a", "b"], "left_anti"), "parity-near")
+    links, tried = links.union(stored(checked(near, texts, similar), "parity-links")), first.union(near)
+    more = stored(across(groups, components(links, "parity-components"), texts, similar).join(tried, ["a", "b"], "left_anti"), "parity-more")
     links = links.union(stored(checked(more, texts, similar), "parity-links"))
     grouped = components(links, "parity-components").select(F.col("node").alias("rep"), "component")
     result = stored(classes.join(grouped, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id")), "parity-result")
