@@ -73,11 +73,12 @@ def _units(passages: Column) -> Column:
 def reply_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to and n_linked (linked quoted passages) of the messages that quote an earlier one."""
     known = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    said = known.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(
+    # outer: an inner explode is preceded by a test of the array, for which everything below would be computed once more
+    said = known.select("conv_id", "turn", F.explode_outer(F.array_distinct(F.concat(
         F.transform(F.filter(_units(F.col("passages")), lambda u: u.level == 0), lambda u: u.form), F.array(normalised(F.col("own")))))).alias("form"))
     key = lambda: (F.xxhash64("form").alias("h"), F.length("form").alias("chars"))
     first = said.where("form <> ''").select("conv_id", "turn", *key()).groupBy("conv_id", "h", "chars").agg(F.min("turn").alias("original"))
-    quoted = (known.where(F.exists("passages", lambda p: p.level > 0)).select("conv_id", "turn", F.explode(_units(F.col("passages"))).alias("u"))
+    quoted = (known.where(F.col("text").rlike(r"(^|\n)[ \t]*>")).select("conv_id", "turn", F.explode_outer(_units(F.col("passages"))).alias("u"))
               .where("u.level > 0").select("conv_id", "turn", "u.level", "u.number", "u.form").select("conv_id", "turn", "level", "number", *key()))
     linked = quoted.join(stored(first, "quote-originals"), ["conv_id", "h", "chars"]).where("original < turn")
     weights = (linked.groupBy("conv_id", "turn", "level", "original", "number").agg(F.max("chars").alias("chars"))
