@@ -166,7 +166,7 @@ def test_group_helpers_on_a_hot_key(spark):
 
 
 def test_template_sample_on_a_hot_template(spark):
-    df = spark.range(5000).select("id", F.format_string("http://h/p/%05d", "id").alias("url"), F.lit("html").alias("type"))
+    df = spark.range(5000).select(F.lit(1).alias("site"), "id", F.format_string("http://h/p/%05d", "id").alias("url"), F.lit("html").alias("type"))
     got = files.template_sample(df, 3).orderBy("rank").collect()
     assert [(r.template, r.pages, r.rank, r.id) for r in got] == [("/p/{n}", 5000, i + 1, i) for i in range(3)]
 

@@ -68,7 +68,7 @@ def test_components(spark):
     assert page.comments == "note one" and page.headers == "H: 1 X: find me"
     assert page.markup.split() == ["html", "lang", "head", "title", "style", "body", "h1", "id", "em", "p", "class", "b", "p", "ul",
                                    "li", "li", "ul", "li", "img", "src", "script", "table", "tr", "td", "td", "tr", "td"]
-    assert (got[1].text, got[2].text, got[3].text, got[4].text) == ("", "just text here", "lead x end", "")
+    assert (got[1].text, got[2].text, got[3].text, got[4].text) == ("", "just text here", "lead x end", "a" * (2 ** 21 + 1))
 
 
 @settings(max_examples=200, deadline=None)
@@ -107,34 +107,65 @@ def test_attributes(source, attrs):
     assert dict(flatten(source)["nodes"][0]["attrs"]) == attrs
 
 
+def _searched(spark, *contents):
+    return table(spark, *contents).withColumn("status", F.lit(200))
+
+
 def test_snippets(spark):
     body = "<html><body><p>" + " ".join(f"word{i}" for i in range(30)) + " target phrase here " + " ".join(
         f"more{i}" for i in range(30)) + "</p><p class='target'>x</p><!-- a target --></body></html>"
-    rows = table(spark, body, "<p>nothing</p>", "<p>find</p>" * 2).withColumn("status", F.lit(200))
-    got = rows_by(sn.snippets(rows, q.text("target") | q.field("content", "find")), "id")
+    rows = _searched(spark, body, "<p>nothing</p>", "<p>find</p>" * 2)
+    wanted = q.text("target") | q.field("content", "find")
+    got = rows_by(sn.snippets(rows, wanted), "id")
     assert set(got) == {0, 2}
     first = got[0].snippet.split(" ... ")
-    assert "**target**" in first[0] and first[0].startswith("word") and first[0].endswith("more5")
-    assert len(first) == 3 and first[1] == "**target**" and first[2] == "a **target**" or len(first) == 4
-    assert "**find**" in got[2].snippet
+    assert first[0] == " ".join(f"word{i}" for i in range(22, 30)) + " **target** phrase here " + " ".join(f"more{i}" for i in range(6))
+    assert first[1:3] == ["**target**", "a **target**"] and got[2].snippet.startswith("**find** **find**")
+    rows_of = sorted((r.id, r.part, r.word, r.excerpt) for r in sn.excerpts(rows, wanted).collect())
+    assert (0, "text", 31, first[0]) in rows_of and (0, "attributes", 1, "**target**") in rows_of and (0, "comments", 2, "a **target**") in rows_of
+
+
+def test_every_excerpt_comes_back(spark):
+    rows = _searched(spark, " ".join(f"aa{i} hit bb{i} " + "z " * 60 for i in range(40)))
+    found = sn.excerpts(rows, q.field("content", "hit"))
+    assert found.where("part = 'text'").count() == 40 and sn.snippets(rows, q.field("content", "hit"), shown=2).first().snippet.endswith("+38 more")
+
+
+@pytest.mark.parametrize("text, terms, marked", [
+    ("a hit b hit", ["hit"], ["a **hit** b **hit**"]), ("hits only", ["hit"], []), ("big red car", ["red", "big red"], ["**big red** car"]),
+    (", [a] HIT!", ["hit"], [", [a] **HIT**!"]), ("hit-and-run é-Hit chit", ["hit"], ["**hit**-and-run é-**Hit** chit"]),
+    ("a.b aXb", ["a.b"], ["**a.b** aXb"])])
+def test_marks(spark, text, terms, marked):
+    found = sn._found(spark.createDataFrame([(1, text)], "id int, text string"), terms, 8)
+    assert [e.excerpt for r in found.collect() for e in r.excerpts] == marked
+
+
+def test_long_and_deep_pages_are_whole(spark):
+    long = "<html><body><p>" + "x " * 1_100_000 + "</p><p title='" + "<" * 30_000 + "'>needle</p></body></html>"
+    deep = "<div>" * 1_000 + "needle" + "</div>" * 1_000
+    rows = _searched(spark, long, deep)
+    parts = rows_by(dom.page_components(rows), "id")
+    assert parts[0].text.endswith("x needle") and parts[1].text == "needle"
+    assert {r.id: r.snippet for r in sn.snippets(rows, q.field("content", "needle")).collect()}[1] == "**needle**"
+    texts = dom.select_nodes(dom.shred_html(rows, paths=False), "p", text=True).where("id = 0").collect()
+    assert texts[-1].value == "needle"
+    assert dom.select_nodes(dom.shred_html(rows.where("id = 1")), "div", text=True).first().value == "needle"
 
 
-def test_snippet_counting_and_marks():
-    groups = [" ".join(f"aa{i} hit bb{i} " + "z" * 60 for i in range(40))]
-    text = sn.snippet_text(groups, ["hit"])
-    assert text.count(" ... ") == 3 and text.endswith("+ >15 more")
-    assert sn.snippet_text(["a hit", "b hit", "c hit", "d hit"], ["hit"]) == "a **hit** ... b **hit** ... c **hit** ... +1 more"
-    assert sn.snippet_text(["same hit", "same hit"], ["hit"]) == "same **hit** ... same **hit**"
-    assert sn.snippet_text(["hits only"], ["hit"]) is None
-    assert sn.snippet_text(["big red car"], ["red", "big red"]) == "**big red** car"
-    assert sn.snippet_text([", [a] hit!"], ["HIT".lower()]) == "[a] **hit**"
+def test_rejected_patterns_are_named(spark):
+    rows = _searched(spark, "<p>aab</p>")
+    with pytest.raises(ValueError, match="a\\+b\\+"):
+        extract.extract_regex(rows, ["(a+b+)"])
+    tables, rejected = search_extras(rows, q.field("content", "aab"), ["regex"], ["(a+b+)", "a+b"])
+    assert rejected == ["(a+b+)"] and [r.value for r in tables["regex"].collect()] == ["aab"]
+    assert extract.extract_regex_values(rows, []).count() == 0
 
 
 def test_highlights(spark):
-    assert sn.highlight_terms('"big red" AND car OR type it') == ["big red", "car"]
     df = spark.createDataFrame([(1, "Car CAR scar big  red, big red é-car"), (2, None), (3, "catcar")], "id int, t string")
     got = [tuple(r) for r in sn.highlight_spans(df, "t", ["car", "big red", "big"], ["id"]).orderBy("id", "start").collect()]
     assert got == [(1, 0, 3, "Car"), (1, 4, 7, "CAR"), (1, 13, 16, "big"), (1, 23, 30, "big red"), (1, 33, 36, "car")]
+    assert sn.highlight_spans(df, "t", [], ["id"]).count() == 0
 
 
 def test_markers(spark):
@@ -181,7 +212,7 @@ def test_markdown_edges(spark):
 def test_regex(spark):
     rows = table(spark, "a1 b22 a333", None)
     got = [(r.id, r.selector, r.source, r.value, r.groups, r.start, r.stop)
-           for r in extract.extract_regex(rows, [r"(a)?(\d+)", "(x+x+)+", "[", "H: "]).orderBy("id", "pos").collect()]
+           for r in extract.extract_regex(rows, [r"(a)?(\d+)", "H: "]).orderBy("id", "pos").collect()]
     assert got == [
         (0, r"(a)?(\d+)", "headers", "1", {2: "1"}, 3, 4), (0, r"(a)?(\d+)", "content", "a1", {1: "a", 2: "1"}, 0, 2),
         (0, r"(a)?(\d+)", "content", "22", {2: "22"}, 4, 6), (0, r"(a)?(\d+)", "content", "a333", {1: "a", 2: "333"}, 7, 11),

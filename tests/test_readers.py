@@ -54,7 +54,7 @@ def test_wget(spark, tmp_path):
     assert (logo.type, logo.content) == ("img", None) and "image/png" in logo.headers
     assert got[base + "odd.tmp"].type == "html"
     assert got[base + "bad.txt"].content == "ok � end"
-    assert (got[base + "big.txt"].content, got[base + "big.txt"].size) == (None, 2_000_001)
+    assert (got[base + "big.txt"].content, got[base + "big.txt"].size) == ("a" * 2_000_001, 2_000_001)
 
 
 def test_wget_without_content(spark, tmp_path):
@@ -136,12 +136,14 @@ def test_katana(spark, tmp_path):
     request = "GET / HTTP/1.1\nHost: example.com"
     put(tmp_path, "example.com/aa.txt", f"https://example.com/\n\n{request}\n\nHTTP/1.1 200 OK\nContent-Type: text/html; charset=utf-8\n\n<h1>hi</h1>\n\n<p>two")
     put(tmp_path, "example.com/cdn.net/bb.txt", f"https://cdn.net/x.png\r\n\r\n{request}\r\n\r\nHTTP/2.0 404 Not Found\r\ncontent-type: image/png\r\n\r\nPNG")
-    put(tmp_path, "example.com/cc.txt", f"https://example.com/c\n\n{request}\n\nHTTP/1.1 200 OK\nTransfer-Encoding: chunked\nContent-Type: text/plain\n\n1a\nhello\n0 is here\n0\n")
+    put(tmp_path, "example.com/cc.txt", f"https://example.com/c\n\n{request}\n\nHTTP/1.1 200 OK\nTransfer-Encoding: chunked\nContent-Type: text/plain\n\nf\nhello\n0 is here\n0\n")
+    put(tmp_path, "example.com/ff.txt", f"https://example.com/f\r\n\r\n{request}\r\n\r\nHTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n"
+        "Content-Type: text/plain\r\n\r\n6\r\nhello\n\r\n5;x=1\r\nworld\r\n0\r\n\r\n")
     put(tmp_path, "example.com/dd.txt", "https://example.com/bad\n\nonly two")
     put(tmp_path, "example.com/readme.txt", "a\n\nb\n\nc")
     put(tmp_path, "example.com/ee.txt", f"https://example.com/none\n\n{request}\n\nno status line")
     got = rows_by(sources.read_katana(spark, str(tmp_path)), "url")
-    assert set(got) == {"https://example.com/", "https://cdn.net/x.png", "https://example.com/c", "https://example.com/none"}
+    assert set(got) == {"https://example.com/", "https://cdn.net/x.png", "https://example.com/c", "https://example.com/none", "https://example.com/f"}
     home = got["https://example.com/"]
     assert (home.status, home.type, home.content) == (200, "html", "<h1>hi</h1>\n\n<p>two")
     assert home.size == len(home.content) and home.headers.startswith("HTTP/1.1 200 OK\nContent-Type")
@@ -149,6 +151,7 @@ def test_katana(spark, tmp_path):
     assert (image.status, image.type, image.content) == (0, "img", None) or (image.status, image.type) == (404, "img")
     assert image.content is None and image.site == home.site
     assert got["https://example.com/c"].content == "hello\n0 is here"
+    assert got["https://example.com/f"].content == "hello\nworld"
     assert (got["https://example.com/none"].status, got["https://example.com/none"].type) == (0, "other")
 
 

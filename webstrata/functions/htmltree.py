@@ -26,11 +26,6 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}),
 P_SCOPE = {"table", "td", "th", "caption", "button", "object", "applet", "marquee", "template", "html"}
 # --- end of fixed values
 
-# Elements nested deeper than this stay where they are but hold nothing: their text goes to the
-# element around them.  Work and memory per page then grow with its size, whatever it nests.
-MAX_DEPTH = 256
-
-
 class Node:
     """An element (``tag`` set), comment or processing instruction; ``items`` mixes text and children."""
 
@@ -43,9 +38,9 @@ class Node:
         self.first = self.last = first
 
 
-# a quoted value may hold anything, but one with "<" in it only up to a bound: an unclosed quote
-# must not make every later tag search the rest of the page
-_QUOTED = r"""(?:"(?:[^"<]*+|[^"]{0,16384}+)"|'(?:[^'<]*+|[^']{0,16384}+)')"""
+# a quoted value may hold anything; only the last quote of a page can be without an end, so a vain search for one
+# happens once per kind of quote
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
 TOKEN = re.compile(
     r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))"
     r"|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
@@ -65,7 +60,7 @@ class Tree:
 
     def __init__(self, source: str):
         self.chunks: list[str] = []
-        self.depth = 0
+        self.names: dict[str, int] = {}  # how many elements of a name are open
         self.latest: Node | None = None
         self.root = self.open = Node("root", None, None, 0)
         self._read(source)
@@ -105,12 +100,14 @@ class Tree:
 
     def _end(self) -> None:
         self.open.last = len(self.chunks)
+        self.names[self.open.tag] -= 1
         self.open = self.open.parent
-        self.depth -= 1
 
     def _end_open(self, tags: set[str], scope: set[str]) -> None:
         """End the outermost open element among ``tags`` within ``scope``, and all inside it."""
         node, found = self.open, None
+        if not any(self.names.get(t) for t in tags):
+            return
         while node.tag is not None and node.tag not in scope:
             if node.tag in tags:
                 found = node
@@ -127,12 +124,14 @@ class Tree:
         for name, *values in ATTRIBUTE.findall(attrs):
             node.attrs.setdefault(name.lower(), _decoded("".join(values)))
         self.open.items.append(node)
-        if tag not in VOID and self.depth < MAX_DEPTH and not SELF_CLOSED.search(attrs):
+        if tag not in VOID and not SELF_CLOSED.search(attrs):
             self.open = node
-            self.depth += 1
+            self.names[tag] = self.names.get(tag, 0) + 1
 
     def _end_tag(self, tag: str) -> None:
         node = self.open
+        if not self.names.get(tag):
+            return
         while node.tag is not None and node.tag != tag:
             node = node.parent
         if node.tag is not None:
@@ -156,7 +155,7 @@ def _start_tag(node: Node) -> str:
     return f"<{node.tag}{attrs}>"
 
 
-def flatten(source: str) -> dict:
+def flatten(source: str, paths: bool = False) -> dict:
     """The document as rows: markup written out once, and one row per node in document order.
 
     ``start``, ``stop`` and ``tail_stop`` are character offsets into that markup, so the
@@ -188,7 +187,7 @@ def flatten(source: str) -> dict:
             row = {"node": len(rows), "parent": own, "depth": len(stack) - 1, "kind": item.kind,
                    "tag": item.tag, "attrs": list(item.attrs.items()), "start": at, "stop": at, "tail_stop": at,
                    "last": len(rows), "text": item.data, "tail": "",
-                   "path": (rows[own]["path"] if own >= 0 else "") + "/" + (item.tag or item.kind)}
+                   "path": (rows[own]["path"] if own >= 0 else "") + "/" + (item.tag or item.kind) if paths else None}
             if item.kind == "element" and item.items and isinstance(item.items[0], str):
                 row["text"] = item.items[0]
             frame[3] = row["node"]

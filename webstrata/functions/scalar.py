@@ -119,11 +119,11 @@ def guessed_mime(path: Column) -> Column:
     return lookup(S.known_mimes(), extension(path))
 
 
-def wants_content(path: Column, size: Column, type_: Column) -> Column:
-    """Whether a mirrored file is text: small enough, not binary by name or MIME type."""
+def wants_content(path: Column, type_: Column) -> Column:
+    """Whether a mirrored file is text: not binary by name or MIME type, whatever its size."""
     mime = guessed_mime(path)
     textual = mime.isNull() | mime.startswith("text/") | mime.isin(S.TEXT_APPLICATION_MIMES)
-    return ((size <= S.MAX_CONTENT_BYTES) & ~extension(path).isin(S.BINARY_EXTENSIONS) & textual
+    return (~extension(path).isin(S.BINARY_EXTENSIONS) & textual
             & type_.isin("html", "text", "style", "script", "other"))
 
 

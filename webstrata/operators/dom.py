@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions import text as tx
 from ..functions.htmltree import flatten
 from .groups import spread
@@ -25,22 +24,25 @@ _NODE = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.in
 _DOM = pa.struct([("html", pa.string()), ("lead", pa.string()), ("nodes", pa.list_(_NODE))])
 
 
-def parse(html: Column) -> Column:
-    """Parsed page, NULL for missing or blank input."""
+def parse(html: Column, paths: bool = True) -> Column:
+    """Parsed page, NULL for missing or blank input.
+
+    ``paths`` are as long as a node is deep; leave them out where no selector asks for them.
+    """
     @F.arrow_udf(DOM)
     def run(pages: pa.Array) -> pa.Array:
         # page by page into Arrow: the Python rows of a whole batch would be many times its size
-        parts = [pa.array([flatten(p.as_py()) if p.is_valid and p.as_py().strip() else None], _DOM) for p in pages]
+        parts = [pa.array([flatten(p.as_py(), paths) if p.is_valid and p.as_py().strip() else None], _DOM) for p in pages]
         return pa.concat_arrays(parts) if parts else pa.array([], _DOM)
 
     # not repeatable in the optimizer's eyes, or it would parse once more to filter empty pages
     return run.asNondeterministic()(html)
 
 
-def shred_html(resources: DataFrame) -> DataFrame:
-    """(site, id, url, dom) of the HTML rows."""
+def shred_html(resources: DataFrame, paths: bool = True) -> DataFrame:
+    """(site, id, url, dom) of the HTML rows; without ``paths`` selectors by path find nothing."""
     pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull())
-    return spread(pages.select("site", "id", "url", "content")).select("site", "id", "url", parse(F.col("content")).alias("dom"))
+    return spread(pages.select("site", "id", "url", "content")).select("site", "id", "url", parse(F.col("content"), paths).alias("dom"))
 
 
 def nodes(shredded: DataFrame) -> DataFrame:
@@ -130,9 +132,8 @@ def component_columns(dom: Column, content: Column) -> dict[str, Column]:
 
 def page_components(resources: DataFrame) -> DataFrame:
     """The texts of a resource by kind, for any type of content."""
-    # pages above the limit are searched by URL and headers only
-    small = F.when(F.length("content") <= S.SNIPPET_MAX_CONTENT, F.col("content"))
+    page = F.col("content")
     parsed = spread(resources.select("site", "id", "url", "headers", "content")).select("site", "id", "url", tx.squash(F.coalesce("headers", F.lit(""))).alias("headers"),
-                              small.alias("content"), parse(small).alias("dom"))
+                              page, parse(page, paths=False).alias("dom"))
     parts = component_columns(F.col("dom"), F.col("content"))
     return parsed.select("site", "id", "url", "headers", *[c.alias(n) for n, c in parts.items()])

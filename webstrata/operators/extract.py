@@ -54,9 +54,17 @@ def needed_columns(extras: list[str]) -> list[str]:
     return sorted(needed)
 
 
+def accepted(patterns: list[str]) -> list[str]:
+    """The patterns, if all of them are usable; the message of the ``ValueError`` names the others."""
+    usable = usable_patterns(patterns)
+    if rejected := [p for p in patterns if p not in usable]:
+        raise ValueError(f"patterns that do not compile or may take very long: {rejected}")
+    return usable
+
+
 def extract_regex(resources: DataFrame, patterns: list[str]) -> DataFrame:
     """Every match in headers, then content: value, groups that took part, character offsets."""
-    usable = usable_patterns(patterns)
+    usable = accepted(patterns)
 
     @F.arrow_udf(HITS)
     def run(headers: pa.Array, content: pa.Array) -> pa.Array:
@@ -84,7 +92,10 @@ def extract_regex_values(resources: DataFrame, patterns: list[str]) -> DataFrame
 
     Groups that are empty or took no part are left out.
     """
-    usable = usable_patterns(patterns)
+    usable = accepted(patterns)
+    if not usable:
+        none = "CAST(NULL AS STRING) AS selector, CAST(NULL AS STRING) AS source, 0 AS n, CAST(NULL AS STRING) AS value, CAST(map() AS map<int,string>) AS groups"
+        return resources.selectExpr("site", "id", "url", *none.split(", ")).limit(0)
     counts = {p: re.compile(p).groups for p in usable}
     widest = max(counts.values(), default=0)
 

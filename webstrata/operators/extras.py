@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from . import dom
-from .extract import extract_regex, requested_extras
+from .extract import extract_regex, requested_extras, usable_patterns
 from .markdown import to_markdown
 from .query import Query, search
 from .snippets import snippets
@@ -13,7 +13,7 @@ from .snippets import snippets
 
 def search_extras(resources: DataFrame, query: Query, names: list[str], patterns: list[str] | None = None,
                   selectors: list[dict] | None = None, site_ids: list[int] | None = None) -> tuple[dict[str, DataFrame], list[str]]:
-    """Tables by extra name, and the names that are not known.
+    """Tables by extra name, and what was rejected: names that are not known, patterns that are not usable.
 
     ``patterns`` feed ``regex``; each of ``selectors`` holds arguments of ``select_nodes`` and
     feeds ``xpath``.  Pages are parsed only after the search has filtered them.
@@ -26,7 +26,9 @@ def search_extras(resources: DataFrame, query: Query, names: list[str], patterns
     if "snippets" in known:
         tables["snippets"] = snippets(resources, query, site_ids)
     if "regex" in known:
-        tables["regex"] = extract_regex(hits, patterns or [])
+        usable = usable_patterns(patterns or [])
+        rejected = rejected + [p for p in patterns or [] if p not in usable]
+        tables["regex"] = extract_regex(hits, usable)
     if "xpath" in known:
         tables["xpath"] = dom.select_all(dom.shred_html(hits), selectors or [])
     return tables, rejected

@@ -31,22 +31,43 @@ def ordering(sort: str | None) -> list[Column]:
 
 
 def page(df: DataFrame, sort: str | None = None, limit: int = S.DEFAULT_LIMIT, offset: int = 0,
-         seed: int | None = None) -> DataFrame:
-    """One page of results: a top-k, not a full sort.  ``sort="?"`` draws a random page."""
-    limit, offset = max(1, min(limit, S.MAX_LIMIT)), max(0, offset)
+         seed: int | None = None, after: dict | None = None) -> DataFrame:
+    """One page of results: a top-k, not a full sort.  ``sort="?"`` draws a random page.
+
+    An offset is gathered with the page; deep pages are cheaper with ``after``, the last row of the page before:
+    its values of the sort field, ``id`` and ``site``.
+    """
+    limit, offset = max(1, limit), max(0, offset)
+    if after is not None:
+        df = df.where(_beyond(sort, after))
     keys = [F.rand(seed) if seed is not None else F.rand()] if sort == "?" else ordering(sort)
     return df.orderBy(*keys).offset(offset).limit(limit)
 
 
+def _beyond(sort: str | None, row: dict) -> Column:
+    """Rows that come later than ``row`` in the order of ``sort``; NULL comes first or, descending, last."""
+    name = (sort or "+url").strip("*\"'`")
+    direction, key = name[:1], name[1:]
+    if direction not in ("+", "-") or key not in SORTS:
+        direction, key = "+", "url"
+    value = F.lit(row[key])
+    if direction == "+":
+        later = F.lit(True) & F.col(key).isNotNull() if row[key] is None else F.col(key) > value
+    else:
+        later = F.lit(False) if row[key] is None else F.col(key).isNull() | (F.col(key) < value)
+    ties = (F.col("id") > row["id"]) | ((F.col("id") == row["id"]) & (F.col("site") > row["site"])) if key != "id" else F.lit(False)
+    return later | (F.col(key).eqNullSafe(value) & ties)
+
+
 def sample_by_type(df: DataFrame, fractions: dict[str, float], seed: int) -> DataFrame:
     return df.sampleBy("type", fractions, seed)
 
 
 def search_page(resources: DataFrame, query: Query, requested: list[str] | None = None,
                 sort: str | None = None, limit: int = S.DEFAULT_LIMIT, offset: int = 0,
-                site_ids: list[int] | None = None, seed: int | None = None) -> DataFrame:
+                site_ids: list[int] | None = None, seed: int | None = None, after: dict | None = None) -> DataFrame:
     hits = search(resources, query, site_ids).select(*fields(requested))
-    return page(hits, sort, limit, offset, seed)
+    return page(hits, sort, limit, offset, seed, after)
 
 
 def total(resources: DataFrame, query: Query, site_ids: list[int] | None = None) -> DataFrame:

@@ -1,112 +1,109 @@
-"""Excerpts around search terms, highlighted spans."""
+"""Excerpts around search terms, places to highlight."""
 
 from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions import text as tx
 from .dom import page_components
 from .query import Query, search
 
-ORDER = ["url", "text", "attributes", "comments", "headers", "markup"]
-
-
-def _excerpts(text: str, pattern: re.Pattern, limit: int) -> list[str]:
-    """Distinct excerpts of one text, at most ``limit``, with every term in bold."""
-    found: dict[str, None] = {}
-    for match in pattern.finditer(text):
-        if len(found) >= limit:
-            break
-        left, right = max(0, match.start() - S.SNIPPET_CONTEXT), min(len(text), match.end() + S.SNIPPET_CONTEXT)
-        while left > 0 and text[left].isalnum():
-            left -= 1
-        while right < len(text) and text[right].isalnum():
-            right += 1
-        excerpt = re.sub(r"^[^\w\[]+|[^\w\]]+$", "", text[left:right])
-        if excerpt:
-            found[pattern.sub(r"**\1**", excerpt)] = None
-    return list(found)
-
-
-def snippet_text(groups: list[str], terms: list[str]) -> str | None:
-    """Excerpts from the texts in order of interest, the first few shown and the rest counted."""
-    # longer terms first, so that overlapping terms give one mark
-    words = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
-    pattern = re.compile(rf"\b({words})\b", re.IGNORECASE)
-    found: list[str] = []
-    for group in groups:
-        found += _excerpts(group or "", pattern, S.SNIPPETS_COUNTED + 1)
-        if len(found) > S.SNIPPETS_COUNTED:
-            break
-    if not found:
-        return None
-    shown = " ... ".join(found[:S.SNIPPETS_SHOWN])
-    if len(found) > S.SNIPPETS_COUNTED:
-        return f"{shown} ... + >{S.SNIPPETS_COUNTED} more"
-    rest = len(found) - S.SNIPPETS_SHOWN
-    return f"{shown} ... +{rest} more" if rest > 0 else shown
-
-
-def snippets(resources: DataFrame, query: Query, site_ids: list[int] | None = None) -> DataFrame:
-    """(site, id, url, snippet) of every hit; pages are parsed only after the filter."""
-    terms = list(dict.fromkeys(query.terms()))
-    hits = search(resources, query, site_ids)
-    if not terms:
-        return hits.select("site", "id", "url", F.lit(None).cast("string").alias("snippet"))
+# the texts of a resource, the most telling first
+PARTS = ["url", "text", "attributes", "comments", "headers", "markup"]
+WORDS_AROUND = 8
+_LETTER = r"[\p{L}\p{N}_]"
 
-    @F.arrow_udf("string")
-    def cut(*groups: pa.Array) -> pa.Array:
-        return pa.array([snippet_text(list(row), terms) for row in zip(*(g.to_pylist() for g in groups))], pa.string())
+# --- fixed value: how a marked word looks in stored excerpts
+MARKER = r"\*\*([a-zA-Z\-_' ]+)\*\*"
+# --- end of fixed value
 
-    parts = page_components(hits)
-    return parts.select("site", "id", "url", cut(*[F.col(c) for c in ORDER]).alias("snippet"))
 
+def term_pattern(terms: list[str]) -> str:
+    """Any of the terms as whole words, whatever the case; of terms that begin alike the longer one."""
+    words = "|".join(re.escape(t).replace(r"\ ", " ") for t in sorted(terms, key=len, reverse=True))
+    return rf"(?iu)(?<!{_LETTER})({words})(?!{_LETTER})"
 
-# ---------------------------------------------------------------- spans
 
-IGNORED = {"AND", "OR", "NOT", "and", "or", "not", "type", "status", "size", "url", "id"}
+def _found(texts: DataFrame, terms: list[str], around: int) -> DataFrame:
+    """``texts`` with an array column ``excerpts`` of (word, excerpt) for its column ``text``.
 
+    A text is its words.  Words where a term begins, no further apart than twice ``around``, share an
+    excerpt, which reaches ``around`` words beyond the first and the last of them.  Every array is a column of its own
+    before it is looked into, so the work grows with the length of the text.
+    """
+    pattern, longest = term_pattern(terms), max(len(t.split()) for t in terms)
+    # a term begins in the first of the words that are joined for the test
+    begins = rf"(?iu)^\S*?(?<!{_LETTER})(?:{'|'.join(re.escape(t).replace(chr(92) + ' ', ' ') for t in terms)})(?!{_LETTER})"
+    split = texts.where(F.col("text").rlike(pattern)).withColumn("w", F.split("text", " "))
+    tests = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, longest), " ").rlike(begins))
+    # no filter on what is computed here: it would be computed anew inside the filter, array by array
+    hits = split.withColumn("hits", tests).withColumn("i", F.when(F.size("hits") > 0, F.sequence(F.lit(1), F.size("hits"))))
+    firsts = hits.withColumn("firsts", F.filter("i", lambda k: (k == 1) | (
+        F.element_at("hits", k) - F.element_at("hits", F.greatest(k - 1, F.lit(1))) > 2 * around)))
+    lasts = firsts.withColumn("lasts", F.concat(F.transform(F.slice("firsts", F.lit(2), F.size("firsts") - 1), lambda k: k - 1), F.array(F.size("hits"))))
 
-def highlight_terms(entered: str) -> list[str]:
-    """Quoted phrases, then words of three letters and more, without operators and field names."""
-    phrases = [p.strip() for p in re.findall(r'"([^"]+)"', entered)]
-    words = re.findall(r"\b\w+\b", re.sub(r'"[^"]+"', "", entered))
-    return [p for p in phrases if p] + [w for w in words if w not in IGNORED and len(w) > 2]
+    def excerpt(a: Column, b: Column) -> Column:
+        low = F.greatest(F.element_at("hits", a) - around, F.lit(1))
+        words = F.slice("w", low, F.element_at("hits", b) + longest + around - low)
+        return F.struct(F.element_at("hits", a).alias("word"), F.regexp_replace(F.array_join(words, " "), pattern, r"**$1**").alias("excerpt"))
 
+    return lasts.withColumn("excerpts", F.zip_with("firsts", "lasts", excerpt)).drop("w", "hits", "i", "firsts", "lasts")
 
-def find_spans(text: str, pattern: re.Pattern) -> list[dict]:
-    """Matches in order, touching ones joined."""
-    found: list[dict] = []
-    for m in pattern.finditer(text):
-        if found and m.start() <= found[-1]["stop"]:
-            found[-1]["stop"] = max(found[-1]["stop"], m.end())
-        else:
-            found.append({"start": m.start(), "stop": m.end()})
-    return found
 
+def excerpts(resources: DataFrame, query: Query, site_ids: list[int] | None = None, around: int = WORDS_AROUND) -> DataFrame:
+    """One row per excerpt of every hit: (site, id, url, part, word, excerpt), terms marked with ``**``.
 
-def highlight_spans(df: DataFrame, column: str, terms: list[str], keys: list[str]) -> DataFrame:
-    """(keys..., start, stop, text) of the places to highlight."""
-    wanted = [t.strip("\"'") for t in terms]
-    words = "|".join(re.escape(t) for t in wanted if t)
+    ``part`` names the text, ``word`` counts the words of that text up to the first term, from 1.
+    """
+    terms = list(dict.fromkeys(query.terms()))
+    parts = page_components(search(resources, query, site_ids))
+    texts = parts.select("site", "id", "url", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), tx.squash(F.col(p)).alias("text")) for p in PARTS])).alias("t"))
+    if not terms:
+        return texts.select("site", "id", "url", "t.part", F.lit(0).alias("word"), F.lit("").alias("excerpt")).limit(0)
+    found = _found(texts.select("site", "id", "url", "t.part", "t.text"), terms, around)
+    # an inner explode would be preceded by a test of the array, which would be built once more for it
+    rows = found.select("site", "id", "url", "part", F.explode_outer("excerpts").alias("e")).where(F.col("e").isNotNull())
+    return rows.select("site", "id", "url", "part", "e.*")
 
-    @F.arrow_udf("array<struct<start:int,stop:int>>")
-    def run(texts: pa.Array) -> pa.Array:
-        pattern = re.compile(rf"\b({words})\b", re.IGNORECASE)
-        spans = [find_spans(t or "", pattern) for t in texts.to_pylist()]
-        return pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
-    places = df.select(*keys, column, F.explode(run(column)).alias("s"))
-    return places.select(*keys, "s.start", "s.stop",
-                         F.substring(F.col(column), F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("text"))
+def snippets(resources: DataFrame, query: Query, site_ids: list[int] | None = None, shown: int = 3, around: int = WORDS_AROUND) -> DataFrame:
+    """(site, id, url, snippet) of every hit: the first ``shown`` excerpts and how many more there are.
 
+    The parts of a hit are read one after the other within its row; NULL where none holds a term.
+    """
+    terms = list(dict.fromkeys(query.terms()))
+    hits = page_components(search(resources, query, site_ids))
+    if not terms:
+        return hits.select("site", "id", "url", F.lit(None).cast("string").alias("snippet"))
+    # parts are joined by more empty words than an excerpt reaches over, so that none spans two parts
+    gap = " " * (4 * around + 2)
+    whole = F.array_join(F.array(*[tx.squash(F.coalesce(F.col(p), F.lit(""))) for p in PARTS]), gap)
+    keyed = hits.select("site", "id", "url", whole.alias("text"))
+    found = _found(keyed, terms, around).select("site", "id", F.transform("excerpts", lambda e: F.trim(e["excerpt"])).alias("e"))
+    text = F.array_join(F.slice("e", 1, shown), " ... ")
+    more = F.size("e") - shown
+    display = found.select("site", "id", F.when(more > 0, F.concat(text, F.lit(" ... +"), more.cast("string"), F.lit(" more"))).otherwise(text).alias("snippet"))
+    return keyed.select("site", "id", "url").join(display, ["site", "id"], "left")
 
-MARKER = r"\*\*([a-zA-Z\-_' ]+)\*\*"
+
+def highlight_spans(df: DataFrame, column: str, terms: list[str], keys: list[str]) -> DataFrame:
+    """(keys..., start, stop, text) of the places to highlight; ``keys`` must tell the rows apart.
+
+    The pieces between the matches and the matches are laid end to end, so offsets are running sums of their lengths.
+    """
+    wanted = [t for t in terms if t.strip()]
+    if not wanted:
+        return df.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("text")).limit(0)
+    pattern = term_pattern(wanted)
+    pieces = df.where(F.col(column).rlike(pattern)).select(*keys, F.split(column, pattern, -1).alias("p"), F.regexp_extract_all(column, F.lit(pattern), F.lit(0)).alias("m"))
+    pairs = pieces.select(*keys, F.posexplode(F.arrays_zip(F.slice("p", F.lit(1), F.size("m")).alias("piece"), F.col("m").alias("match"))).alias("n", "z"))
+    stop = F.sum(F.length("z.piece") + F.length("z.match")).over(W.partitionBy(*keys).orderBy("n")).cast("int")
+    return (pairs.select(*keys, stop.alias("stop"), F.col("z.match").alias("text"))
+            .select(*keys, (F.col("stop") - F.length("text")).alias("start"), "stop", "text"))
 
 
 def strip_markers(snippet: Column) -> Column:

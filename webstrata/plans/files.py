@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as N
-from .errors import host_relation, percent, share_of_total
+from .errors import host_relation, percent
 
 # bytes above which an asset is reported, by type
 OVERSIZED = {"img": 2 * 1024 * 1024, "script": 500 * 1024, "style": 200 * 1024}
@@ -25,11 +25,20 @@ def type_counts(resources: DataFrame) -> DataFrame:
 
 
 def size_stats(resources: DataFrame) -> DataFrame:
-    return resources.groupBy("type").agg(
+    """Count, maximum, mean and exact quantiles of the sizes of each type."""
+    basic = resources.groupBy("type").agg(
         F.count("*").alias("n"), F.max("size").alias("largest"),
         F.round(F.avg("size"), 4).alias("average"),
-        F.percentile_approx("size", 0.5, 10000).alias("median"),
-        F.percentile_approx("size", 0.9, 10000).alias("p90"))
+    )
+    # exact: one row per type and size, and how many rows have that size or less
+    sizes = resources.where(F.col("size").isNotNull()).groupBy("type", "size").agg(F.count("*").alias("k"))
+    upto = sizes.withColumn("upto", F.sum("k").over(W.partitionBy("type").orderBy("size")))
+    whole = sizes.groupBy(F.col("type").alias("of")).agg(F.sum("k").alias("known"))
+    reached = upto.join(whole, F.col("type").eqNullSafe(F.col("of")))
+    ranks = reached.groupBy("of").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("known") * F.lit(q)), F.col("size"))).alias(n)
+                                          for n, q in (("median", 0.5), ("p90", 0.9))])
+    return basic.join(ranks, F.col("type").eqNullSafe(F.col("of")), "left").select(
+        "type", "n", "largest", "average", "median", "p90")
 
 
 def crawl_report(resources: DataFrame, keyword: Column) -> DataFrame:
@@ -103,20 +112,17 @@ def url_templates(resources: DataFrame) -> DataFrame:
 def template_sample(resources: DataFrame, k: int = 3) -> DataFrame:
     """``k`` pages per URL template, first by URL, with the template's page count.
 
-    Ranked in two steps: the best ``k`` per salt, then the best ``k`` of those, so a
-    template that most pages share is never sorted in one task.
+    Pages are counted by a plain aggregation.  The best are found in two steps, per salt and per template; the limit on
+    each rank is applied before the shuffle, so a template that most pages share is never sorted in one task.
     """
     pages = (resources.where(F.col("type") == "html")
-             .select("id", "url", url_template(F.col("url")).alias("template"),
+             .select("site", "id", "url", url_template(F.col("url")).alias("template"),
                      F.pmod(F.xxhash64("url"), F.lit(64)).alias("salt")))
-    by_salt = W.partitionBy("template", "salt").orderBy("url", "id")
-    first = (pages.withColumn("n", F.count("*").over(W.partitionBy("template", "salt")))
-             .withColumn("rank", F.row_number().over(by_salt)).where(F.col("rank") <= k))
-    share = F.when(F.col("rank") == 1, F.col("n")).otherwise(F.lit(0))
-    whole = W.partitionBy("template")
-    return (first.withColumn("pages", F.sum(share).over(whole))
-            .withColumn("rank", F.row_number().over(whole.orderBy("url", "id")).cast("long"))
-            .where(F.col("rank") <= k).select("template", "pages", "rank", "id", "url"))
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("url", "id", "site"))
+    best = pages.withColumn("rank", rank("template", "salt")).where(F.col("rank") <= k).drop("rank")
+    best = best.withColumn("rank", rank("template")).where(F.col("rank") <= k)
+    counts = pages.groupBy("template").agg(F.count("*").alias("pages"))
+    return best.join(counts, "template").select("template", "pages", F.col("rank").cast("long").alias("rank"), "site", "id", "url")
 
 
 def format_mix(resources: DataFrame) -> DataFrame:
@@ -124,7 +130,9 @@ def format_mix(resources: DataFrame) -> DataFrame:
     counts = (resources.where(F.col("type") == "img")
               .groupBy(N.extension(N.url_path(F.col("url"))).alias("extension"))
               .agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
-    return counts.withColumn("share", share_of_total())
+    # extensions are as many as sites make up: the total is a scalar, not a window over all of them in one task
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("share", percent(F.col("n"), total))
 
 
 def _limit(limits: dict[str, int]) -> Column:
@@ -140,7 +148,7 @@ def oversized(resources: DataFrame, limits: dict[str, int] = OVERSIZED,
               large: dict[str, int] = LARGE) -> DataFrame:
     """Assets above the limit of their type."""
     return (resources.where(F.col("type").isin(list(limits)))
-            .select("id", "url", "type", "size", size_tier(limits, large).alias("tier"))
+            .select("site", "id", "url", "type", "size", size_tier(limits, large).alias("tier"))
             .where(F.col("tier") != "ok"))
 
 
@@ -168,8 +176,8 @@ def freshness(resources: DataFrame, months: int = 6) -> DataFrame:
 def orphan_assets(resources: DataFrame, links: DataFrame) -> DataFrame:
     """Captured non-page resources that no page refers to."""
     assets = (resources.where((F.col("type") != "html") & (F.col("status") >= 100))
-              .select("id", "url", "type", "size", F.regexp_replace("url", "#.*$", "").alias("href")))
-    return assets.join(links.select("href").distinct(), "href", "left_anti").select("id", "url", "type", "size")
+              .select("site", "id", "url", "type", "size", F.regexp_replace("url", "#.*$", "").alias("href")))
+    return assets.join(links.select("href").distinct(), "href", "left_anti").select("site", "id", "url", "type", "size")
 
 
 def image_urls(resources: DataFrame) -> DataFrame:

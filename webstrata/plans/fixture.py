@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import scalar as N
 
 
-def resources_from_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) as a resource table; the missing columns follow from ``page_id``."""
+def resources_from_pages(pages: DataFrame, typed: bool = True) -> DataFrame:
+    """(page_id, url, html) as a resource table; the missing columns follow from ``page_id``.
+
+    ``typed`` tables hold invented types, for searches and audits by type, size and state.  Otherwise every row is the
+    HTML page that it is, for everything that reads pages.
+    """
     nth = F.col("page_id") % 20
     type_ = (F.when(F.col("page_id") % 10 == 0, "img").when(F.col("page_id") % 10 == 1, "script")
-             .when(F.col("page_id") % 10 == 2, "style").otherwise("html"))
+             .when(F.col("page_id") % 10 == 2, "style").otherwise("html")) if typed else F.lit("html")
     status = (F.when(nth == 3, 404).when(nth == 4, 301).when(nth == 5, 500).when(nth == 6, 0)
               .otherwise(200))
     stamp = F.timestamp_micros(F.lit(1704067200_000000) + F.col("page_id") * 3600_000000)
@@ -26,7 +30,7 @@ def resources_from_pages(pages: DataFrame) -> DataFrame:
         size.alias("size"),
         (F.col("page_id") % 500).cast("int").alias("time"),
         N.basic_headers(size, type_, N.url_path(F.col("url"))).alias("headers"),
-        F.when(type_ != "img", F.col("html")).alias("content"),
+        F.col("html").alias("content"),
         stamp.alias("created"),
         stamp.alias("modified"))
 
@@ -52,5 +56,9 @@ def load_pages(spark: SparkSession, folder: str) -> DataFrame:
     return resources_from_pages(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def load_html(spark: SparkSession, folder: str) -> DataFrame:
+    return resources_from_pages(spark.read.parquet(f"{folder}/pages.parquet"), typed=False)
+
+
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     return resources_from_documents(spark.read.parquet(f"{folder}/documents.parquet"))

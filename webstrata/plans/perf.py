@@ -62,7 +62,7 @@ def shared_links(links: DataFrame) -> DataFrame:
 
 def link_counts(links: DataFrame) -> DataFrame:
     """Internal and external links per page that has any."""
-    return links.where(F.col("tag") == "a").groupBy("id", "url").agg(
+    return links.where(F.col("tag") == "a").groupBy("site", "id", "url").agg(
         F.count_if("internal").alias("internal_links"), F.count_if(~F.col("internal")).alias("external_links"))
 
 
@@ -81,9 +81,9 @@ def render_blockers(resources: DataFrame) -> DataFrame:
         return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b{TAG_END}(.*?)(?:</{name}\s*>|\z)"), F.lit(1))
 
     pages = resources.where((F.col("type") == "html") & html.isNotNull()).select(
-        "id", "url", tags(html, "link", "script").alias("tags"), bodies("style").alias("css"), bodies("script").alias("js"))
+        "site", "id", "url", tags(html, "link", "script").alias("tags"), bodies("style").alias("css"), bodies("script").alias("js"))
     facts = pages.select(
-        "id", "url", count_tags(found, r"(?is)^<link\b.*\srel\s*=\s*[\"']?stylesheet\b").alias("stylesheets"),
+        "site", "id", "url", count_tags(found, r"(?is)^<link\b.*\srel\s*=\s*[\"']?stylesheet\b").alias("stylesheets"),
         scripts.alias("scripts"), (scripts - deferred).alias("blocking_scripts"),
         F.size(inline_css).cast("long").alias("inline_styles"), weight(inline_css).alias("inline_css_bytes"),
         F.size(F.filter(inline_js, lambda x: F.trim(x) != "")).cast("long").alias("inline_scripts"),

@@ -23,7 +23,7 @@ def length_verdict(col: Column, low: int, high: int) -> Column:
 def title_audit(facts: DataFrame) -> DataFrame:
     """Title, its length verdict and how many pages share it."""
     pages = with_group_size(facts.select(*ROW, "url", "title"), ["title"], ROW, "pages_with_title")
-    return pages.select("id", "url", "title", F.length("title").alias("length"),
+    return pages.select("site", "id", "url", "title", F.length("title").alias("length"),
                         length_verdict(F.col("title"), 30, 60).alias("verdict"), "pages_with_title")
 
 
@@ -41,7 +41,7 @@ def meta_audit(facts: DataFrame) -> DataFrame:
              "has_lang", "has_json_ld"]
     pages = with_group_size(facts.select(*ROW, "url", "description", *flags), ["description"], ROW,
                             "pages_with_description")
-    return pages.select("id", "url", F.length("description").alias("length"),
+    return pages.select("site", "id", "url", F.length("description").alias("length"),
                         length_verdict(F.col("description"), 120, 158).alias("verdict"),
                         "pages_with_description", *flags)
 
@@ -59,7 +59,7 @@ def longest(texts: Column) -> Column:
 def heading_audit(facts: DataFrame) -> DataFrame:
     h1 = F.size(F.filter("levels", lambda x: x == 1)).cast("long")
     return facts.select(
-        "id", "url", F.size("levels").cast("long").alias("headings"), h1.alias("h1_count"),
+        "site", "id", "url", F.size("levels").cast("long").alias("headings"), h1.alias("h1_count"),
         F.when(h1 == 0, "missing").when(h1 > 1, "multiple").otherwise("single").alias("h1_verdict"),
         hierarchy_breaks(F.col("levels")).alias("breaks"),
         (longest(F.col("h1")) > 70).alias("h1_too_long"))
@@ -69,7 +69,7 @@ def content_quality(facts: DataFrame) -> DataFrame:
     """Words, images without alt text, and pages with the very same visible text."""
     slim = facts.select(*ROW, "url", "words", "images", "images_with_alt", "text_hash")
     pages = with_group_size(slim, ["text_hash"], ROW, "pages_with_text")
-    return pages.select("id", "url", "words", "images",
+    return pages.select("site", "id", "url", "words", "images",
                         (F.col("images") - F.col("images_with_alt")).alias("images_without_alt"),
                         "pages_with_text")
 
@@ -79,8 +79,8 @@ def keyword_density(resources: DataFrame, keyword: str) -> DataFrame:
     words = tx.tokens(visible_text(F.col("content")))
     hits = F.size(F.filter("words", lambda w: w == keyword.lower())).cast("long")
     pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull()).select(
-        "id", "url", words.alias("words"))
-    counts = pages.select("id", "url", hits.alias("hits"), F.size("words").cast("long").alias("words"))
+        "site", "id", "url", words.alias("words"))
+    counts = pages.select("site", "id", "url", hits.alias("hits"), F.size("words").cast("long").alias("words"))
     density = percent(F.col("hits"), F.col("words"))
     band = F.when(density < 1, "low").when(density <= 3, "right").when(density > 3, "stuffed")
     return counts.select("*", density.alias("density"), band.alias("band"))
@@ -105,7 +105,7 @@ def page_scorecard(facts: DataFrame) -> DataFrame:
         "no_h2": ~F.array_contains("levels", 2),
     }
     rank = {"high": list(issues)[:5], "medium": list(issues)[5:8], "low": list(issues)[8:]}
-    flagged = marked.select("id", "url", *[c.alias(n) for n, c in issues.items()])
+    flagged = marked.select("site", "id", "url", *[c.alias(n) for n, c in issues.items()])
 
     def count(names: list[str]) -> Column:
         return sum((F.col(n).cast("long") for n in names[1:]), F.col(names[0]).cast("long"))

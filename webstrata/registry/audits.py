@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import groups
 from ..operators import query as q
 from ..plans import errors, facts, files, fixture, perf, seo
-from .common import has, sql
+from .common import BOTH, HTML, has, sql
 from .shaping import FULL_PATH
 
 DOMAIN = "example.com"
@@ -18,13 +18,17 @@ def _resources(run):
     return lambda spark, folder: run(fixture.load_pages(spark, folder))
 
 
+def _html(run):
+    return lambda spark, folder: run(fixture.load_html(spark, folder))
+
+
 def _facts(run):
-    return lambda spark, folder: run(facts.page_facts(fixture.load_pages(spark, folder)))
+    return lambda spark, folder: run(facts.page_facts(fixture.load_html(spark, folder)))
 
 
 def _links(run):
     def query(spark, folder):
-        resources = fixture.load_pages(spark, folder)
+        resources = fixture.load_html(spark, folder)
         return run(facts.link_table(resources), resources)
     return query
 
@@ -83,10 +87,10 @@ def _alone(name: str) -> str:
 
 
 def _facts_sql(select: str) -> str:
-    return sql(select, more=PAGE_FACTS)
+    return sql(select, HTML, PAGE_FACTS)
 
 
-SCORE = f"""s AS (SELECT id, url, {H1_COUNT} <> 1 AS h1_not_single, {_alone('title')} > 1 AS title_duplicate,
+SCORE = f"""s AS (SELECT site, id, url, {H1_COUNT} <> 1 AS h1_not_single, {_alone('title')} > 1 AS title_duplicate,
     description IS NULL AS description_missing, {_verdict('title', 30, 60)} <> 'optimal' AS title_length,
     breaks > 0 AS hierarchy_broken, coalesce(lower(title) IN ('page title', 'untitled'), false) AS title_generic,
     h1_length > 70 AS h1_too_long, images > images_with_alt AS alt_missing, NOT list_contains(levels, '2') AS no_h2
@@ -115,7 +119,7 @@ BROKEN = ("b AS (SELECT g.href, c.status, g.pages, g.refs, g.example FROM g LEFT
 
 
 def _links_sql(select: str) -> str:
-    return sql(select, more=", ".join([LINKS, CAPTURED, TARGETS, BROKEN]))
+    return sql(select, HTML, ", ".join([LINKS, CAPTURED, TARGETS, BROKEN]))
 
 
 STATUS_SQL = sql(f"""
@@ -143,13 +147,32 @@ SECTIONS = ("SELECT 'all' AS section, url FROM r WHERE status >= 100 UNION ALL "
             "SELECT type, url FROM r WHERE status >= 100 UNION ALL "
             f"SELECT 'keyword', url FROM r WHERE status >= 100 AND type = 'html' AND {has('and')}")
 
-BLOCKERS = r"""k AS (SELECT id, url, 0::BIGINT AS stylesheets, 0::BIGINT AS scripts, 0::BIGINT AS blocking_scripts,
+# the given pages load nothing: these variants get style sheets, scripts and pictures that depend on their size
+ASSETS = ["<link rel=\"stylesheet\" href=\"/all.css\">", "<link rel=\"stylesheet\" href=\"https://cdn.example.org/a.css\">",
+          "<script src=\"/one.js\"></script>", "<script async src=\"/two.js\"></script>", "<img src=\"/p.png\" alt=\"p\">"]
+
+
+def with_assets(resources):
+    """Pages with the asset tags whose number divides their size put at their end."""
+    added = F.concat(*[F.when(F.col("size") % (k + 1) == 0, t).otherwise("") for k, t in enumerate(ASSETS)])
+    return resources.withColumn("content", F.concat("content", F.lit("<hr>"), added))
+
+
+_CHECKS = [f"(size % {k + 1} = 0)::BIGINT" for k in range(len(ASSETS))]
+# an unclosed script or style of the page itself would swallow what is added: the given pages have none
+BLOCKERS = rf"""k AS (SELECT site, id, url, {_CHECKS[0]} + {_CHECKS[1]} AS stylesheets, {_CHECKS[2]} + {_CHECKS[3]} AS scripts, {_CHECKS[2]} AS blocking_scripts,
     len(regexp_extract_all(content, '(?is)<style[^>]*>'))::BIGINT AS inline_styles,
     list_sum(list_transform(regexp_extract_all(content, '(?is)<style[^>]*>(.*?)</style>', 1), lambda x: strlen(x)))::BIGINT AS inline_css_bytes,
     len(regexp_extract_all(content, '(?is)<script[^>]*>'))::BIGINT AS inline_scripts,
     list_sum(list_transform(regexp_extract_all(content, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: strlen(x)))::BIGINT AS inline_js_bytes,
-    0::BIGINT AS blockers
-  FROM r WHERE type = 'html')"""
+    {_CHECKS[0]} + {_CHECKS[1]} + {_CHECKS[2]} AS blockers
+  FROM r)"""
+_ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+SHARED_SQL = sql(f"""SELECT href, count(*) AS pages, CASE WHEN count(*) > 1 THEN 'global' WHEN count_if(home) > 0 THEN 'homepage' ELSE 'single page' END AS scope
+FROM (SELECT DISTINCT site, id, {FULL_PATH} = '/' AS home, unnest(list_filter([
+  CASE WHEN size % 1 = 0 THEN {_ORIGIN} || '/all.css' END, CASE WHEN size % 2 = 0 THEN 'https://cdn.example.org/a.css' END,
+  CASE WHEN size % 3 = 0 THEN {_ORIGIN} || '/one.js' END, CASE WHEN size % 4 = 0 THEN {_ORIGIN} || '/two.js' END,
+  CASE WHEN size % 5 = 0 THEN {_ORIGIN} || '/p.png' END], lambda x: x IS NOT NULL)) AS href FROM r) GROUP BY href""", HTML)
 
 # the given pages hold inline styles and scripts; their own function call serves as an extra pattern
 PATTERNS = {**perf.ANTI_PATTERNS, "tracking call": r"\btrack\([0-9]+\)", "inline margin": r"margin:0"}
@@ -197,14 +220,14 @@ QUERIES = {
                       sql(f"SELECT {TEMPLATE} AS template, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY 1")),
     "template_sample": (_resources(lambda r: files.template_sample(r, 3)),
                         sql("SELECT * FROM (SELECT template, count(*) OVER (PARTITION BY template) AS pages, "
-                            "row_number() OVER (PARTITION BY template ORDER BY url, id) AS rank, id, url "
-                            f"FROM (SELECT id, url, {TEMPLATE} AS template FROM r WHERE type = 'html')) WHERE rank <= 3")),
+                            "row_number() OVER (PARTITION BY template ORDER BY url, id, site) AS rank, site, id, url "
+                            f"FROM (SELECT site, id, url, {TEMPLATE} AS template FROM r WHERE type = 'html')) WHERE rank <= 3")),
     "format_mix": (_resources(files.format_mix),
                    sql(rf"SELECT lower(regexp_extract({FULL_PATH}, '[^/](\.[^./]+)$', 1)) AS extension, count(*) AS n, "
                        "sum(size)::BIGINT AS bytes, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share "
                        "FROM r WHERE type = 'img' GROUP BY 1")),
     "oversized": (_resources(lambda r: files.oversized(r, SMALL_LIMITS, SMALL_LARGE)),
-                  sql(f"SELECT id, url, type, size, {TIER} AS tier FROM r WHERE type <> 'html' AND {TIER} <> 'ok'")),
+                  sql(f"SELECT site, id, url, type, size, {TIER} AS tier FROM r WHERE type <> 'html' AND {TIER} <> 'ok'")),
     "size_tiers": (_resources(lambda r: files.size_tiers(r, SMALL_LIMITS, SMALL_LARGE)),
                    sql(f"SELECT type, {TIER} AS tier, count(*) AS n, sum(size)::BIGINT AS bytes FROM r WHERE type <> 'html' GROUP BY 1, 2")),
     "freshness": (_resources(files.freshness),
@@ -216,49 +239,51 @@ QUERIES = {
     "broken_links": (_links(perf.broken_links), _links_sql("SELECT href, status, pages, refs, example FROM b")),
     "broken_link_referrers": (_links(_referrers),
                               _links_sql("SELECT DISTINCT l.href, l.url FROM l JOIN b ON l.href = b.href")),
-    "shared_assets": (_links(lambda l, r: perf.shared_links(l)),
+    "shared_assets": (lambda spark, folder: perf.shared_assets(facts.link_table(with_assets(fixture.load_html(spark, folder)))), SHARED_SQL),
+    "shared_links": (_links(lambda l, r: perf.shared_links(l)),
                       _links_sql("SELECT href, count(DISTINCT url) AS pages FROM l GROUP BY href")),
     "link_counts": (_links(lambda l, r: perf.link_counts(l)),
-                    _links_sql("SELECT id, url, count(*) AS internal_links, 0::BIGINT AS external_links FROM l GROUP BY 1, 2")),
-    "orphan_assets": (_links(lambda l, r: files.orphan_assets(r, l)),
-                      _links_sql(f"SELECT id, url, type, size FROM r WHERE type <> 'html' AND {SEEN} "
-                                 "AND regexp_replace(url, '#.*$', '') NOT IN (SELECT href FROM l)")),
+                    _links_sql("SELECT site, id, url, count(*) AS internal_links, 0::BIGINT AS external_links FROM l GROUP BY 1, 2, 3")),
+    "orphan_assets": (lambda spark, folder: files.orphan_assets(fixture.load_pages(spark, folder), facts.link_table(fixture.load_html(spark, folder))),
+                      sql(f"SELECT site, id, url, type, size FROM r WHERE type <> 'html' AND {SEEN} "
+                          "AND regexp_replace(url, '#.*$', '') NOT IN (SELECT href FROM l)", BOTH, LINKS.replace("FROM r", "FROM h"))),
     "title_audit": (_facts(seo.title_audit),
-                    _facts_sql(f"SELECT id, url, title, length(title)::INT AS length, {_verdict('title', 30, 60)} AS verdict, "
+                    _facts_sql(f"SELECT site, id, url, title, length(title)::INT AS length, {_verdict('title', 30, 60)} AS verdict, "
                                f"{_alone('title')} AS pages_with_title FROM p")),
     "title_summary": (_facts(seo.title_summary),
                       _facts_sql(f"SELECT verdict, count(*) AS pages, count_if(n > 1)::BIGINT AS duplicated FROM (SELECT "
                                  f"{_verdict('title', 30, 60)} AS verdict, {_alone('title')} AS n FROM p) GROUP BY 1")),
     "meta_audit": (_facts(seo.meta_audit),
-                   _facts_sql(f"SELECT id, url, length(description)::INT AS length, {_verdict('description', 120, 158)} AS verdict, "
+                   _facts_sql(f"SELECT site, id, url, length(description)::INT AS length, {_verdict('description', 120, 158)} AS verdict, "
                               f"{_alone('description')} AS pages_with_description, has_canonical, has_og_title, has_og_description, "
                               "has_og_image, has_viewport, has_lang, has_json_ld FROM p")),
     "heading_audit": (_facts(seo.heading_audit),
-                      _facts_sql(f"SELECT id, url, len(levels)::BIGINT AS headings, {H1_COUNT}::BIGINT AS h1_count, CASE {H1_COUNT} "
+                      _facts_sql(f"SELECT site, id, url, len(levels)::BIGINT AS headings, {H1_COUNT}::BIGINT AS h1_count, CASE {H1_COUNT} "
                                  "WHEN 0 THEN 'missing' WHEN 1 THEN 'single' ELSE 'multiple' END AS h1_verdict, breaks, "
                                  "h1_length > 70 AS h1_too_long FROM p")),
     "content_quality": (_facts(seo.content_quality),
-                        _facts_sql("SELECT id, url, len(words)::BIGINT AS words, images::BIGINT AS images, "
+                        _facts_sql("SELECT site, id, url, len(words)::BIGINT AS words, images::BIGINT AS images, "
                                    "(images - images_with_alt)::BIGINT AS images_without_alt, "
                                    "count(*) OVER (PARTITION BY text_hash) AS pages_with_text FROM p")),
-    "keyword_density": (_resources(lambda r: seo.keyword_density(r, "the")),
+    "keyword_density": (_html(lambda r: seo.keyword_density(r, "the")),
                         _facts_sql("SELECT *, CASE WHEN density < 1 THEN 'low' WHEN density <= 3 THEN 'right' WHEN density > 3 "
-                                   "THEN 'stuffed' END AS band FROM (SELECT id, url, len(list_filter(words, lambda w: w = 'the'))::BIGINT AS hits, "
+                                   "THEN 'stuffed' END AS band FROM (SELECT site, id, url, len(list_filter(words, lambda w: w = 'the'))::BIGINT AS hits, "
                                    "len(words)::BIGINT AS words, round(100.0 * len(list_filter(words, lambda w: w = 'the')) / "
                                    "nullif(len(words), 0), 6)::DOUBLE AS density FROM p)")),
     "page_scorecard": (_facts(seo.page_scorecard),
                        sql(f"SELECT *, {_sum(ISSUES[:5])} AS high, {_sum(ISSUES[5:8])} AS medium, {_sum(ISSUES[8:])} AS low FROM s",
-                           more=PAGE_FACTS + ", " + SCORE)),
+                           table=HTML, more=PAGE_FACTS + ", " + SCORE)),
     "issue_matrix": (_facts(lambda f: seo.issue_matrix(seo.page_scorecard(f))),
                      sql(f"SELECT {TEMPLATE} AS template, count(*) AS pages, "
                          + ", ".join(f"count_if({n})::BIGINT AS {n}" for n in ISSUES) + " FROM s GROUP BY 1",
-                         more=PAGE_FACTS + ", " + SCORE)),
-    "render_blockers": (_resources(perf.render_blockers), sql("SELECT * FROM k", more=BLOCKERS)),
-    "performance_totals": (_resources(lambda r: perf.performance_totals(r, perf.render_blockers(r))),
+                         table=HTML, more=PAGE_FACTS + ", " + SCORE)),
+    "render_blockers": (_html(lambda r: perf.render_blockers(with_assets(r))), sql("SELECT * FROM k", more=BLOCKERS, table=HTML)),
+    "performance_totals": (lambda spark, folder: perf.performance_totals(
+        fixture.load_pages(spark, folder), perf.render_blockers(with_assets(fixture.load_html(spark, folder)))),
                            sql("SELECT 'css_bytes' AS metric, sum(size)::BIGINT AS value, 204800::BIGINT AS benchmark, sum(size) < 204800 AS ok "
                                "FROM r WHERE type = 'style' UNION ALL SELECT 'js_bytes', sum(size)::BIGINT, 512000, sum(size) < 512000 FROM r "
                                f"WHERE type = 'script' UNION ALL SELECT 'asset_hosts', count(DISTINCT {HOST}), 3, count(DISTINCT {HOST}) <= 3 "
                                "FROM r WHERE type IN ('style', 'script') UNION ALL SELECT 'blockers', max(blockers), 3, max(blockers) < 3 FROM k",
-                               more=BLOCKERS)),
-    "anti_patterns": (_resources(lambda r: perf.anti_patterns(r, PATTERNS)), sql(ANTI_SQL)),
+                               BOTH, BLOCKERS.replace("FROM r", "FROM h"))),
+    "anti_patterns": (_html(lambda r: perf.anti_patterns(r, PATTERNS)), sql(ANTI_SQL, HTML)),
 }

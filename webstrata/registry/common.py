@@ -20,11 +20,17 @@ r AS (
          (page_id % 500)::INT AS "time",
          'HTTP/1.0 200 OK' || chr(13) || chr(10) || 'Content-Type: ' || {MIMES} || chr(13) || chr(10)
            || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS headers,
-         CASE WHEN page_id % 10 <> 0 THEN html END AS content,
+         html AS content,
          TIMESTAMP '2024-01-01' + to_hours(page_id) AS created,
          TIMESTAMP '2024-01-01' + to_hours(page_id) AS modified
   FROM pages)"""
 
+# the same pages as what they are: all of them HTML, with their content
+HTML = PAGES.replace(MIMES, "'text/html'").replace("""CASE WHEN page_id % 10 = 0 THEN 'img' WHEN page_id % 10 = 1 THEN 'script'
+              WHEN page_id % 10 = 2 THEN 'style' ELSE 'html' END AS type""", "'html' AS type")
+# both at once: r as typed, h as HTML
+BOTH = PAGES + "," + HTML.replace("r AS (", "h AS (", 1)
+
 DOCUMENTS = """
 r AS (
   SELECT ('0x' || substr(sha1(source), 1, 12))::BIGINT AS site, doc_id AS id,

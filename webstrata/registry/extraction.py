@@ -9,20 +9,27 @@ from ..operators import query as q
 from ..operators import snippets as sn
 from ..plans import fixture
 from ..plans.facts import ENTITIES
-from .common import DOCUMENTS, has, sql
+from . import common
+from .common import DOCUMENTS, HTML, has
 
 # patterns in the syntax shared by Python, Java and RE2
 PATTERNS = [r'href="(/[^"/]*)"', r"track\(([0-9]+)\)", r"Content-Length: ([0-9]+)", r"<h1>([^<]*)</h1>"]
+
+
+def sql(select: str, table: str = HTML, more: str = "") -> str:
+    return common.sql(select, table, more)
+
+
 WORD = r"[^\p{L}\p{N}_]+"
 TERMS = ["the", "and", "que", "und"]
 
 
 def _resources(run):
-    return lambda spark, folder: run(fixture.load_pages(spark, folder))
+    return lambda spark, folder: run(fixture.load_html(spark, folder))
 
 
 def _html(run):
-    return lambda spark, folder: run(dom.shred_html(fixture.load_pages(spark, folder)))
+    return lambda spark, folder: run(dom.shred_html(fixture.load_html(spark, folder)))
 
 
 def _values(resources):

@@ -101,11 +101,8 @@ BYTE_UNITS = {"b": 1, "kb": 1024, "mb": 1024 ** 2, "gb": 1024 ** 3}
 IGNORED_DIRECTORIES = ["http-client-cache", "result-storage"]
 ARCHIVE_SKIPPED_DIRECTORIES = ["media", "mercury"]
 WARC_EXTENSIONS = [".warc", ".warc.gz", ".txt"]
-MAX_CONTENT_BYTES = 2_000_000
 
-DEFAULT_LIMIT, MAX_LIMIT = 20, 100
-SNIPPETS_COUNTED, SNIPPETS_SHOWN, SNIPPET_CONTEXT = 15, 3, 48
-SNIPPET_MAX_CONTENT = 2 * 1024 * 1024
+DEFAULT_LIMIT = 20
 
 # --- end of fixed values
 

@@ -26,7 +26,7 @@ def to_resources(files: DataFrame, content: bool = True, partitions: int | None
 
     Headers and content follow from the file; an existing ``headers`` column is kept.
     """
-    wanted = N.wants_content(F.col("path"), F.col("length"), F.col("type"))
+    wanted = N.wants_content(F.col("path"), F.col("type"))
     read = (with_body(files, wanted, partitions) if content
             else files.withColumn("body", F.lit(None).cast("binary")))
     headers = N.basic_headers(F.col("length"), F.col("type"), F.col("path"))

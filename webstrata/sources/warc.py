@@ -166,10 +166,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def record_time(date: Column) -> Column:
-    """ISO-8601, then the mail format, then the present for a date that is neither; NULL without a date."""
+    """ISO-8601, then the mail format; NULL for a date that is neither."""
     mail = F.regexp_replace(F.regexp_replace(date, r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC|Z)$", "+0000")
-    return F.coalesce(N.parse_zulu(date), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")),
-                      F.when(date.isNotNull(), F.current_timestamp()))
+    return F.coalesce(N.parse_zulu(date), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def warc_files(spark: SparkSession, root: str) -> DataFrame:
