@@ -110,6 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     counted = (sample.mapInArrow(count_words, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
     totals = counted.where("word IS NULL").first()
+    if totals is None or not totals["p"]:
+        return Classifier({}, -35.0)
     n_p, n_u = totals["p"], totals["u"]
     p, u = F.col("p") / n_p, F.col("u") / max(1, n_u)
     z = (p - u) / F.sqrt((p + u) / 2 * (1 - (p + u) / 2) * (1 / n_p + 1 / max(1, n_u)) + 1e-12)
