@@ -40,7 +40,8 @@ SIMILAR = 80  # percent
 BAND = 1.5  # upper size of a band over its lower one
 BUCKET_ENTRIES = 1 << 20
 BLOCK = 1024
-NEAREST = 3
+NEAREST = 1
+SHARP = 2048  # places up to which a sketch is sparse
 SMALL = 8  # members of a group up to which its pairs are listed
 BITS = 40  # of a segment and of a set, as sent; a chance match only costs a check
 PIECE = 2 << 20
@@ -93,9 +94,9 @@ def segments(shingles: np.ndarray, common: np.ndarray, similar: int = SIMILAR) -
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
-    """One bit per shingle, XORed into at least as many places, a power of two."""
+    """One bit per shingle, XORed into a power of two of places: as many as shingles at least, eight times as many for short texts."""
     width = 64
-    while width < len(shingles):
+    while width < max(len(shingles), min(8 * len(shingles), SHARP)):
         width *= 2
     places = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(places.astype(np.uint8)).tobytes()
