@@ -179,3 +179,11 @@ def test_pages_that_close_nothing(spark):
     got = {r.id: r.words for r in facts.page_facts(df).collect()}
     assert got[0] == got[1] == got[2] == 0 and got[7] == 60_000
     assert facts.link_table(df).count() <= 1 and perf.render_blockers(df).count() == 8
+
+
+def test_base_and_srcset(spark):
+    pages = [(1, 1, "https://a.com/d/x", "html", """<base href="https://b.com/z/"><a href="y">1</a><img src="p.png" srcset="q.png 1x, /r.png 2x">"""),
+             (1, 2, "https://a.com/d/x2", "html", """<script>"<base href='no'>"</script><a href="y">2</a><img srcset='s.png 100w'>""")]
+    df = spark.createDataFrame(pages, "site long, id long, url string, type string, content string")
+    got = {i: [r.href for r in facts.link_table(df).where(f"id = {i}").orderBy("pos", "href").collect()] for i in (1, 2)}
+    assert got == {1: ["https://b.com/z/y", "https://b.com/r.png", "https://b.com/z/p.png", "https://b.com/z/q.png"], 2: ["https://a.com/d/y", "https://a.com/d/s.png"]}

@@ -13,10 +13,12 @@ SALTS = 32
 def cut(df: DataFrame) -> DataFrame:
     """Write a narrow intermediate result to the checkpoint folder, so that two uses read it once.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.
+    The folder is the one the session names in ``spark.checkpoint.dir``; only a local session may leave it out.
     """
     context = df.sparkSession.sparkContext
     named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not named and context.getCheckpointDir() is None and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="webstrata-"))
     return df.checkpoint(eager=True)

@@ -123,7 +123,7 @@ def _literal_hits(postings: DataFrame, plan: _Plan, key: tuple[str, ...]) -> Dat
         # the scan skips files and row groups; past that many words it would not pay
         exact = [t for t, stem in words if not stem]
         tests = ([F.col("token").isin(exact)] if exact else []) + [F.col("token").startswith(t) for t, stem in words if stem]
-        scan = scan.where(functools.reduce(operator.or_, tests))
+        scan = scan.where(functools.reduce(operator.or_, tests, F.lit(False)))
     # a token can stand for itself and for the stems of the lengths in use
     probes = [F.struct(F.col("token").alias("probe"), F.lit(False).alias("stem"))] + [
         F.struct(F.substring("token", 1, n).alias("probe"), F.lit(True).alias("stem")) for n in sorted(plan.stems)]

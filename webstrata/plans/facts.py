@@ -20,6 +20,8 @@ NON_TEXT = (rf"(?is)<script\b{TAG_END}.*?(?:</script\s*>|\z)|<style\b{TAG_END}.*
             rf"|<[a-z/!?]{TAG_END}")
 OPAQUE = rf"(?is)<!--.*?(?:-->|\z)|(<(?:script|style)\b{TAG_END}).*?(?:</(?:script|style)\s*>|\z)"
 VALUE = r"(?is)\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+SRCSET = r"(?is)\ssrcset\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+BASE = rf"(?is)<base\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
 REL = r"(?is)\srel\s*=\s*[\"']?([^\"'>]*)"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")]
 
@@ -109,19 +111,26 @@ def page_facts(resources: DataFrame) -> DataFrame:
 
 
 def link_table(resources: DataFrame) -> DataFrame:
-    """One row per reference in an HTML page, in page order."""
+    """One row per reference in an HTML page, in page order; the candidates of a ``srcset`` follow at the place of their tag.
+
+    References are resolved against the page's ``<base href>`` where it has one.
+    """
     pages = resources.where((F.col("type") == "html") & F.col("content").isNotNull())
     markup = tags(without_scripts(F.col("content")), "a", "area", "link", "script", "img", "iframe", "source", "video",
                   "audio", "embed")
-    markup = F.filter(markup, lambda t: t.rlike(VALUE))
+    markup = F.filter(markup, lambda t: t.rlike(VALUE) | t.rlike(SRCSET))
+    against = N.resolve_url(F.col("url"), F.trim(unescape(F.concat(*[F.regexp_extract(without_scripts(F.col("content")), BASE, g) for g in (1, 2, 3)]))))
+    has_base = F.lower("content").contains("<base")
     base = spread(pages.select("site", "id", "url", "content")).select(
-        "site", "id", "url", F.posexplode(markup).alias("pos", "markup"))
+        "site", "id", "url", F.when(has_base, against).otherwise(F.col("url")).alias("against"), F.posexplode(markup).alias("pos", "markup"))
     tag = F.lower(F.regexp_extract("markup", r"^<([A-Za-z]+)", 1))
     raw = F.trim(unescape(F.concat(*[F.regexp_extract("markup", VALUE, g) for g in (1, 2, 3)])))
     rel = F.lower(F.trim(F.regexp_extract("markup", REL, 1)))
-    split = base.select("site", "id", "url", "pos", tag.alias("tag"), rel.alias("rel"), raw.alias("href_raw"))
+    candidates = F.split(F.trim(unescape(F.concat(*[F.regexp_extract("markup", SRCSET, g) for g in (1, 2)]))), r"\s*,\s+|,(?=\S+://)")
+    values = F.concat(F.array(raw), F.transform(candidates, lambda c: F.split_part(F.trim(c), F.lit(" "), F.lit(1))))
+    split = base.select("site", "id", "url", "against", "pos", tag.alias("tag"), rel.alias("rel"), F.explode(values).alias("href_raw"))
     split = split.where(F.col("href_raw") != "")
-    absolute = split.withColumn("href", N.resolve_url(F.col("url"), F.col("href_raw")))
+    absolute = split.withColumn("href", N.resolve_url(F.col("against"), F.col("href_raw")))
     return absolute.select(
         "site", "id", "url", "pos", "tag", "rel", "href_raw", "href", N.host(F.col("href")).alias("host"),
         F.coalesce(N.host(F.col("href")) == N.host(F.col("url")), F.lit(False)).alias("internal"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..operators import postings as P
@@ -86,7 +88,22 @@ def _three_ids(spark, folder):
     return q.search(pages, (q.id == ids[0]) | (q.id == ids[1]) | (q.id == ids[2])).select(*SHOWN)
 
 
+# a few hosts of the given pages, and one that none has
+HOSTS = ["thther.example.org", "therha.example.com", "tionsh.example.net", "nowhere.invalid"]
+SITE_IDS = [int(hashlib.sha1(h.encode()).hexdigest()[:12], 16) for h in HOSTS]
+
+
+def _coded(spark, folder):
+    """The pages with types as integers, as in database exports, where type names are swapped for codes."""
+    pages = fixture.load_pages(spark, folder)
+    code = F.when(F.col("type") == "img", 6).when(F.col("type") == "script", 11).when(F.col("type") == "style", 10).otherwise(1)
+    return q.search(pages.withColumn("type", code), q.type_codes(["img", "style"])).select("id", "url", "type")
+
+
 QUERIES = {
+    "search_sites": (lambda spark, folder: q.search(fixture.load_pages(spark, folder), q.text("the") | q.text("de"), SITE_IDS).select(*SHOWN),
+                     _where(f"({has('the')} OR {has('de')}) AND regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) IN ({', '.join(repr(h) for h in HOSTS)})")),
+    "search_type_codes": (_coded, sql("SELECT id, url, CASE type WHEN 'img' THEN 6 ELSE 10 END::INT AS type FROM r WHERE type IN ('img', 'style') AND status >= 100")),
     "search_text": (_pages(q.text("and")), _where(has("and"))),
     "search_phrase": (_pages(q.phrase("of the")), _where(has("of the"))),
     "search_prefix": (_pages(q.prefix("thea")), _where(has("thea", prefix=True))),
