@@ -226,6 +226,24 @@ def test_main_text(inner, text):
     assert main_text.main_text((PAGE % inner).split("</article>")[0].split("</main>")[0]).startswith(text.split("\n")[0])
 
 
+@pytest.mark.parametrize("attributes, seen", [
+    ('style="overflow:hidden"', True), ("style='color:red; overflow: hidden'", True), ('title="The hidden city"', True), ("data-state=hidden", True),
+    ('data-x="a hidden b" aria-hidden="false"', True), ('class="hidden md:block"', True), ('class="overflow-hidden"', True), ('style="display:none; display:block"', True),
+    ('style="background:url(x;display:none)"', True), ('style="backface-visibility:hidden"', True), ('title="display:none"', True), ('title="aria-hidden=true"', True),
+    ("hidden", False), ("class=x hidden", False), ('HIDDEN=""', False), ("aria-hidden=true", False), ('style="color:red;DISPLAY : none"', False),
+    ('style="display:none!important;display:block"', False), ('style="visibility:hidden"', False)])
+@pytest.mark.parametrize("tag", ["article", "main", "div", "p"])
+def test_main_text_skips_what_is_hidden_only(tag, attributes, seen):
+    words = " ".join(f"word{k}" for k in range(40))
+    inner = words if tag == "p" else f"<p>{words}</p>"
+    assert main_text.main_text(f"<body><{tag} {attributes}>{inner}</{tag}></body>") == words * seen
+
+
+def test_main_text_seen_again():
+    words = " ".join(f"word{k}" for k in range(40))
+    assert main_text.main_text(f'<article style="visibility:hidden"><p>no {words}</p><div style="visibility:visible"><p>{words}</p></div></article>') == words
+
+
 def test_main_text_of_any_page(spark):
     long = " ".join(f"w{k}" for k in range(50_000))
     pages = [None, "", "plain words only, but enough of them to be a text of its own", "<", "<p", "<p>a <b", "<p title='x>never closed</p>" + "<p a=b>" * 3000,

@@ -6,7 +6,8 @@ container marks it as boilerplate or as main content, and whether the page has s
 is grown from the labelled table below.  Kept blocks are joined in page order.
 
 NULL and empty pages give an empty text, as do pages without a block that is kept.  Scripts, styles, templates, the
-head and comments never make blocks; an unclosed one swallows the rest of the page, as in browsers.  A tag cut off at
+head and comments never make blocks, nor do containers that are hidden by an attribute or by their own style (a class
+name tells nothing, as style sheets may show it again); an unclosed one swallows the rest of the page, as in browsers.  A tag cut off at
 the page's end is markup, a quote that never closes ends at the next ``>``.  Repeated rows are read alike; extra
 columns pass through ``with_main_text`` untouched.  Nothing is cut, whatever the length or depth of a page.
 """
@@ -35,7 +36,7 @@ MAIN_TAGS = {"article", "main"}
 HEADING_TAGS = set("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense alert banner banners breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
-    "copyright disclaimer discussion disqus feedback foot footer gdpr head header hidden legal links login masthead menu menus meta modal nav navbar navigation "
+    "copyright disclaimer discussion disqus feedback foot footer gdpr head header legal links login masthead menu menus meta modal nav navbar navigation "
     "newsletter notice notices notification outbrain overlay pager pagination paywall popup privacy promo promoted promotion recommendations recommended register "
     "related replies reply respond response responses search share sharing sidebar sidebars signin signup skip social sponsor sponsored sponsors subscribe "
     "subscription taboola tags teaser toolbar topbar warning widget widgets".split())
@@ -61,12 +62,32 @@ LABELLED = """
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_NO_DECLARATION = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|\([^)]*+(?:\)|\Z)""", re.S)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END_OF_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Names in small letters and their values, empty if there is none; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _declared(style: str) -> dict[str, str]:
+    """Properties of a style attribute and their values; the last of a name counts, unless an earlier one is important."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in _NO_DECLARATION.sub(" ", style.lower()).split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        name, important = name.strip(), bool(mark)
+        if important or not found.get(name, (False, ""))[0]:
+            found[name] = important, value.strip()
+    return {name: value for name, (_, value) in found.items()}
+
+
 @dataclass
 class Block:
     text: str
@@ -85,6 +106,7 @@ class _Open:
     boilerplate: bool
     main: bool
     skipped: bool
+    unseen: bool = False  # by visibility, which a container inside can undo
 
 
 @dataclass
@@ -97,7 +119,7 @@ class _Reader:
     breaks: int = 0
 
     def text(self, raw: str) -> None:
-        if self.open[-1].skipped or not raw:
+        if self.open[-1].skipped or self.open[-1].unseen or not raw:
             return
         if self.breaks and not raw.isspace():
             self.breaks = 0
@@ -128,24 +150,28 @@ class _Reader:
         if tag == "hr" or tag not in BLOCK_TAGS and tag not in SKIPPED_TAGS:
             return
         top = self.open[-1]
+        named = _attributes(attributes) if attributes else {}
         words = set()
-        if attributes and tag not in ("html", "body"):
-            words = {w.lower() for m in _NAMES.finditer(attributes) for w in _PARTS.findall(m[1] or m[2] or m[3] or "")}
+        if tag not in ("html", "body"):
+            words = {w.lower() for n in ("class", "id", "role") for w in _PARTS.findall(named.get(n, ""))}
         if top.main or words & MAIN_WORDS:  # the head of an article belongs to it
             words -= {"head", "header", "meta"}
         marked = bool(words & BOILERPLATE_WORDS) and tag not in HEADING_TAGS and not (tag in MAIN_TAGS and not words & {"comment", "comments", "reply"})
         boilerplate = top.boilerplate or marked or tag in BOILERPLATE_TAGS or tag == "header" and not top.main
         main = top.main or tag in MAIN_TAGS or bool(words & MAIN_WORDS) and not boilerplate
-        skipped = top.skipped or tag in SKIPPED_TAGS or bool(attributes and _HIDDEN.search(attributes))
+        style = _declared(named["style"]) if "style" in named else {}
+        hidden = "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or style.get("display") == "none"
+        skipped = top.skipped or tag in SKIPPED_TAGS or hidden
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # the next of its kind ends it
             self._end(tag, until=("ul", "ol", "table", "dl", "select", "div", "section", "article", "main", "blockquote", "body"))
             top = self.open[-1]
             boilerplate, main, skipped = (top.boilerplate or marked, top.main or bool(words & MAIN_WORDS) and not (top.boilerplate or marked),
-                                          top.skipped or bool(attributes and _HIDDEN.search(attributes)))
+                                          top.skipped or hidden)
         elif self.open[-1].tag == "p":
             self._end("p")
             return self.start(tag, attributes)
-        self.open.append(_Open(tag, boilerplate, main, skipped))
+        unseen = style["visibility"] in ("hidden", "collapse") if style.get("visibility", "inherit") != "inherit" else self.open[-1].unseen
+        self.open.append(_Open(tag, boilerplate, main, skipped, unseen))
 
     def _end(self, tag: str, until: tuple[str, ...] = ()) -> None:
         for k in range(len(self.open) - 1, 0, -1):
