@@ -244,6 +244,48 @@ def test_main_text_seen_again():
     assert main_text.main_text(f'<article style="visibility:hidden"><p>no {words}</p><div style="visibility:visible"><p>{words}</p></div></article>') == words
 
 
+def prose(n, name="word"):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+SHORT_AND_LONG = f"<h2>Short</h2><p>{prose(50)}</p><p>A few words only here</p><p>{prose(60)}</p>"
+ALL_OF_IT = f"Short\n{prose(50)}\nA few words only here\n{prose(60)}"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<main><div class='elementor-widget-container'>", "</div></main>"), ("<form id=aspnetForm><div id=content>", "</div></form>"),
+    ("<div id=page class=search-enabled><article>", "</article></div>"), ("<form id=aspnetForm><main>", "</main></form>"), ("<form><article>", "</article></form>"),
+    ("<div class=widget><article>", "</article></div>"), ("<div class=sidebar><div class=entry-content>", "</div></div>"), ("<div class=related><main>", "</main></div>")])
+def test_main_text_resets_marks(before, after):
+    page = "<body><nav><a href=/>Home</a></nav>%s<div class=sidebar><p>About me and nothing else</p></div><footer>me</footer>"
+    assert main_text.main_text(page % (before + SHORT_AND_LONG + after)) == ALL_OF_IT
+
+
+def test_main_text_of_marked_containers():
+    side, body, more = prose(80, "side"), f"<p>{prose(70)}</p>" * 2, prose(80, "other")
+    page = f"<body><div>{body}</div><div class=%s><p>{side}</p><p>short one</p><p><a href=/x>{more}</a></p></div>"
+    for word in ("sidebar", "widget", "search"):  # the numbers decide
+        assert main_text.main_text(page % word) == f"{prose(70)}\n{prose(70)}\n{side}"
+    for word in ("comments", "comment-list", "related-posts"):
+        assert main_text.main_text(page % word) == f"{prose(70)}\n{prose(70)}"
+    assert main_text.main_text(f"<body>{body}<aside><p>{side}</p></aside><footer><p>{side}</p></footer>") == f"{prose(70)}\n{prose(70)}"
+    assert main_text.main_text(f"<article>{body}<section class=comments><article><p>{side}</p></article></section></article>") == f"{prose(70)}\n{prose(70)}"
+    assert main_text.main_text(f"<form id=aspnetForm>{SHORT_AND_LONG.replace('<p>A few words only here</p>', '')}</form>").endswith(f"{prose(50)}\n{prose(60)}")
+
+
+def test_main_text_links():
+    two = f"<p>{prose(50)}</p><p>{prose(60)}</p>"
+    for anchor in ("<a name=top>", "<a id=x class=href>", "<p><a href=/x>never closed</p>", "<ul><li><a href=/x>never closed<li>next</ul>", "<a href=/x>closed by<a name=y>"):
+        blocks = main_text.blocks_of(f"<body>{anchor}{two}")
+        assert [b.links for b in blocks[-2:]] == [0, 0], anchor
+    assert [b.links for b in main_text.blocks_of("<a href=/x><div>in</div><p>all</p></a><p>out</p>")] == [1, 1, 0]
+
+
+def test_main_text_tree_agrees_with_its_table():
+    table = np.array([[float(v) for v in row.split()] for line in main_text.LABELLED.split("\n") for row in line.split("|") if row.strip()])
+    assert (main_text.classify(main_text.tree(), table[:, :-1]) == table[:, -1]).all()
+
+
 def test_main_text_of_any_page(spark):
     long = " ".join(f"w{k}" for k in range(50_000))
     pages = [None, "", "plain words only, but enough of them to be a text of its own", "<", "<p", "<p>a <b", "<p title='x>never closed</p>" + "<p a=b>" * 3000,

@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks, judged by a decision tree over their own and their neighbours' numbers.
 
 A page is read once into blocks, the runs of text between block-level tags (one ``<br>`` is white space, two part
-blocks).  A block's features are its words and link density, those of the blocks before and after it, whether a
-container marks it as boilerplate or as main content, and whether the page has such a main container at all.  The tree
+blocks).  A block's features are its words and link density, those of the blocks before and after it, how surely a
+container marks it as boilerplate (1 by words or a form, 2 by tags or as others' text), whether one marks it as main content, and whether the page has such a main container at all.  The tree
 is grown from the labelled table below.  Kept blocks are joined in page order.
 
 NULL and empty pages give an empty text, as do pages without a block that is kept.  Scripts, styles, templates, the
@@ -40,7 +40,12 @@ BOILERPLATE_WORDS = set(
     "newsletter notice notices notification outbrain overlay pager pagination paywall popup privacy promo promoted promotion recommendations recommended register "
     "related replies reply respond response responses search share sharing sidebar sidebars signin signup skip social sponsor sponsored sponsors subscribe "
     "subscription taboola tags teaser toolbar topbar warning widget widgets".split())
+OTHERS_WORDS = set("comment comments discussion disqus outbrain promo promoted promotion recommendations recommended related replies reply respond response responses "
+                   "sponsor sponsored sponsors taboola teaser".split())  # what others wrote, and excerpts of other pages
 MAIN_WORDS = set("article articlebody content entry main post postbody story".split())
+PLACE_WORDS = set(
+    "area bar block blocks body bottom box button buttons center class col column container desktop div fixed float footer form global group header holder icon icons "
+    "inner item items left link list mobile outer page panel posts primary right row secondary section single site sticky sub text title top trail wrap wrapper zone".split())
 # end of fixed values
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_boilerplate", "in_main", "page_has_main"]
@@ -58,6 +63,10 @@ LABELLED = """
  4 0.00  3 1.00  2 0.00 0 0 0 0 |  3 0.00  2 0.00  4 1.00 0 0 0 0 |  5 0.00  1 0.00  3 0.60 0 0 0 0 |  6 0.50  9 0.80  0 0.00 0 0 0 0 |  1 0.00  2 1.00  2 1.00 0 0 0 0
 40 0.00  6 0.00 55 0.00 0 0 0 1 | 55 0.02 40 0.00 33 0.00 0 0 0 1 | 33 0.00 55 0.00  4 1.00 0 0 0 1 | 18 0.00  4 1.00 30 0.00 0 0 0 1 | 12 0.10 30 0.00 44 0.00 0 0 0 1
  6 0.00  4 1.00 40 0.00 0 0 0 1 |  7 0.00 35 0.00 50 0.00 0 0 0 1 | 70 0.15  3 0.00  5 1.00 0 0 0 1 | 25 0.00  2 0.00  3 0.00 0 0 0 1 | 16 0.00 60 0.00  3 1.00 0 0 0 1
+80 0.00 60 0.00 70 0.00 1 0 0 1 |120 0.02 90 0.00 99 0.00 1 0 0 1 | 60 0.00  8 0.00 45 0.00 1 0 0 1 | 45 0.05 70 0.00  3 1.00 1 0 0 1 |150 0.00  0 0.00  0 0.00 1 0 0 1
+80 0.00 60 0.00 70 0.00 2 0 0 0 |120 0.02 90 0.00 99 0.00 2 0 0 0 | 60 0.00  8 0.00 45 0.00 2 0 0 0 | 45 0.05 70 0.00  3 1.00 2 0 0 0 |150 0.00  0 0.00  0 0.00 2 0 0 0
+70 0.60 60 0.10 50 0.20 1 0 0 0 | 90 0.80  5 1.00 80 0.70 1 0 0 0 |130 0.01 80 0.00 95 0.00 1 1 1 1 |110 0.00 60 0.00 30 0.00 1 1 1 1 |120 0.70 60 0.00 40 0.20 1 1 1 0
+130 0.01 80 0.00 95 0.00 2 1 1 0 |110 0.00 60 0.00 30 0.00 2 1 1 0 |130 0.00 80 0.00 60 0.00 2 0 1 0 |130 0.00 80 0.00 60 0.00 1 0 1 0
 """
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -92,8 +101,9 @@ def _declared(style: str) -> dict[str, str]:
 class Block:
     text: str
     linked: int  # characters inside links
-    boilerplate: bool
+    boilerplate: int  # how sure its containers' mark is: 0 no mark, 1 words or a form, 2 words of others' text, 3 tags
     main: bool
+    mark: int = 0  # number of the innermost container with a mark of 1
 
     @property
     def links(self) -> float:
@@ -103,19 +113,34 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    boilerplate: bool
+    boilerplate: int
     main: bool
     skipped: bool
     unseen: bool = False  # by visibility, which a container inside can undo
+    mark: int = 0
+
+
+def _named_as(named: dict[str, str], in_main: bool) -> tuple[int, bool, bool]:
+    """The mark by class, id and role, whether it is one of comments, and whether they name main content.
+
+    A name marks only as a whole: all its parts are boilerplate words or say where on the page it is.
+    """
+    tokens = [{w.lower() for w in _PARTS.findall(t)} for n in ("class", "id", "role") for t in named.get(n, "").split()]
+    if in_main or any(t & MAIN_WORDS for t in tokens):  # the head of an article belongs to it
+        tokens = [t - {"head", "header", "meta"} for t in tokens]
+    whole = [t for t in tokens if t & BOILERPLATE_WORDS and t <= BOILERPLATE_WORDS | MAIN_WORDS | PLACE_WORDS]
+    level = max((2 if t & OTHERS_WORDS else 1 for t in whole), default=0)
+    return level, any(t & {"comment", "comments", "reply"} for t in whole), any(t & MAIN_WORDS and not t & BOILERPLATE_WORDS for t in tokens)
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
-    open: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False)])
+    open: list[_Open] = field(default_factory=lambda: [_Open("", 0, False, False)])
+    around: list[int] = field(default_factory=lambda: [0])  # for each container with a mark of 1 the one around it
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    in_link: int = 0
+    in_link: int = 0  # how many containers were open where the link begins
     breaks: int = 0
 
     def text(self, raw: str) -> None:
@@ -131,7 +156,7 @@ class _Reader:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append(Block(text, self.linked, self.open[-1].boilerplate, self.open[-1].main))
+                self.blocks.append(Block(text, self.linked, self.open[-1].boilerplate, self.open[-1].main, self.open[-1].mark))
         self.parts, self.linked, self.breaks = [], 0, 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -141,37 +166,40 @@ class _Reader:
             if self.breaks > 1:
                 self.close_block()
             return
-        if tag == "a":
-            self.in_link = 1
+        if tag == "a":  # also ends an open one
+            self.in_link = len(self.open) if "href" in _attributes(attributes) else 0
         if tag in VOID_TAGS and tag != "hr":
             return
         if tag in BLOCK_TAGS or tag in SKIPPED_TAGS:
             self.close_block()
         if tag == "hr" or tag not in BLOCK_TAGS and tag not in SKIPPED_TAGS:
             return
-        top = self.open[-1]
         named = _attributes(attributes) if attributes else {}
-        words = set()
-        if tag not in ("html", "body"):
-            words = {w.lower() for n in ("class", "id", "role") for w in _PARTS.findall(named.get(n, ""))}
-        if top.main or words & MAIN_WORDS:  # the head of an article belongs to it
-            words -= {"head", "header", "meta"}
-        marked = bool(words & BOILERPLATE_WORDS) and tag not in HEADING_TAGS and not (tag in MAIN_TAGS and not words & {"comment", "comments", "reply"})
-        boilerplate = top.boilerplate or marked or tag in BOILERPLATE_TAGS or tag == "header" and not top.main
-        main = top.main or tag in MAIN_TAGS or bool(words & MAIN_WORDS) and not boilerplate
         style = _declared(named["style"]) if "style" in named else {}
         hidden = "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or style.get("display") == "none"
-        skipped = top.skipped or tag in SKIPPED_TAGS or hidden
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # the next of its kind ends it
             self._end(tag, until=("ul", "ol", "table", "dl", "select", "div", "section", "article", "main", "blockquote", "body"))
-            top = self.open[-1]
-            boilerplate, main, skipped = (top.boilerplate or marked, top.main or bool(words & MAIN_WORDS) and not (top.boilerplate or marked),
-                                          top.skipped or hidden)
+            self._end_link()
         elif self.open[-1].tag == "p":
             self._end("p")
             return self.start(tag, attributes)
         unseen = style["visibility"] in ("hidden", "collapse") if style.get("visibility", "inherit") != "inherit" else self.open[-1].unseen
-        self.open.append(_Open(tag, boilerplate, main, skipped, unseen))
+        top = self.open[-1]
+        level, comments, named_main = _named_as(named, top.main) if named and tag not in ("html", "body") else (0, False, False)
+        if tag in HEADING_TAGS or tag in MAIN_TAGS and not comments:
+            level = 0
+        if tag in BOILERPLATE_TAGS or tag == "header" and not top.main:
+            level = max(level, 1 if tag in ("form", "fieldset") else 3)
+        # main content resets what words or a form around it say; within comments and the like only <main> does
+        inherited, mark = top.boilerplate, top.mark
+        if not level and (inherited == 1 and (tag in MAIN_TAGS or named_main) or inherited == 2 and tag == "main"):
+            inherited = mark = 0
+        if level == 1 and inherited < 2:
+            self.around.append(mark)
+            mark = len(self.around) - 1
+        boilerplate = max(level, inherited)
+        main = top.main or tag in MAIN_TAGS or named_main and not boilerplate
+        self.open.append(_Open(tag, boilerplate, main, top.skipped or tag in SKIPPED_TAGS or hidden, unseen, mark))
 
     def _end(self, tag: str, until: tuple[str, ...] = ()) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -181,12 +209,32 @@ class _Reader:
             if self.open[k].tag in until:
                 return
 
+    def _end_link(self) -> None:
+        """A link that was never closed ends with the container where it begins."""
+        if len(self.open) < self.in_link:
+            self.in_link = 0
+
     def end(self, tag: str) -> None:
         if tag == "a":
             self.in_link = 0
         elif tag in BLOCK_TAGS or tag in SKIPPED_TAGS:
             self.close_block()
             self._end(tag)
+            self._end_link()
+
+    def drop_marks(self) -> None:
+        """A mark of 1 on more than half of the page's text outside surer marks and links tells nothing."""
+        own = [round((1 - b.links) * len(b.text.split())) if b.boilerplate < 2 else 0 for b in self.blocks]
+        inside, holds = [0] * len(self.around), [False] * len(self.around)
+        for b, n in zip(self.blocks, own):
+            inside[b.mark] += n
+        for k in range(len(inside) - 1, 0, -1):  # a container comes after the one around it
+            inside[self.around[k]] += inside[k]
+        for k in range(1, len(inside)):
+            holds[k] = 2 * inside[k] <= inside[0] or holds[self.around[k]]
+        for b in self.blocks:
+            if b.boilerplate == 1 and not holds[b.mark]:
+                b.boilerplate = 0
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -228,14 +276,15 @@ def blocks_of(page: str) -> list[Block]:
             reader.text("<")
             at = k + 1
     reader.close_block()
+    reader.drop_marks()
     return reader.blocks
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
     words = np.array([0, *(len(b.text.split()) for b in blocks), 0], float)
     links = np.array([0, *(b.links for b in blocks), 0])
-    flags = np.array([(b.boilerplate, b.main) for b in blocks], float).reshape(-1, 2)
-    has_main = float((flags[:, 1] * (1 - flags[:, 0])).any())
+    flags = np.array([(min(b.boilerplate, 2), b.main) for b in blocks], float).reshape(-1, 2)
+    has_main = float((flags[:, 1] * (flags[:, 0] == 0)).any())
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], flags, np.full(len(blocks), has_main)])
 
 
@@ -248,7 +297,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
     """A decision tree by Gini impurity; ties go to the earlier feature and the lower threshold."""
     node = Node(float(y.mean()))
     if depth == 0 or y.min() == y.max():
