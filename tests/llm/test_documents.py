@@ -190,6 +190,28 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing, PIECES).select("language.*").collect()} == {"und"}
 
 
+def test_language_not_learnt(spark):
+    kinds = {"en": "the house of the people and this thing with that which they have seen before", "de": "das haus der leute und diese sache mit einer von ihnen gesehen",
+             "fr": "la maison des gens et cette chose avec une qui nous avons vue"}
+    other = {"fi": "talo ja ihmiset joita olemme nähneet tämän asian kanssa ennen kuin he tulivat", "pl": "dom ludzi oraz rzecz którą widzieliśmy przedtem gdy przyszli"}
+    rng = random.Random(6)
+    text = lambda w: " ".join(rng.choice(w.split()) for _ in range(60))
+    letters = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    clean = [(text(w), n) for n, w in kinds.items() for _ in range(40)]
+    foreign = [(text(w), lang) for w in other.values() for lang in (None, None, None)] + [(letters(), lang) for lang in (None, None, "en")] + [("привет как дела " * 20, None)]
+    docs = spark.createDataFrame([(k, t, n, "s", 1) for k, (t, n) in enumerate(clean + foreign)] + [(None, text(kinds["de"]), None, "s", 1)], DOCS)
+    model = language.fit(docs, PIECES)
+    assert sorted((r.doc_id for r in language.kept(docs, model, PIECES).collect()), key=str) == sorted([*range(len(clean)), None], key=str)
+    assert {r.lang_pred for r in language.identify(docs, model, PIECES).select("language.*").collect()} == set(kinds)
+
+
+def test_more_languages_than_learnt(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "the house", f"l{k % 3}", "s", 1) for k in range(7)], DOCS)
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.warns(UserWarning, match="more than 2 languages"):
+        assert language.fit(docs, PIECES).names == ["l0", "l1"]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]

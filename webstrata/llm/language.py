@@ -6,13 +6,17 @@ pieces (forward algorithm), a document's that of its words times the language's
 
 Words are runs of letters, lower-cased, with a mark in front; a run longer than ``LONGEST`` letters is read in stretches
 of that length.  NULL texts and texts without a letter are ``und`` with score 0.  Ties go to the first language in
-alphabetical order.  Repeated rows are scored alike; extra columns pass through ``identify`` untouched.  Training rows
-with NULL language or text are left out; with no training rows at all every document is ``und``.
+alphabetical order.  The posterior only compares the learnt languages; whether a text is in any of them is told by its
+fit, the mean log probability a letter under the language found, less the least that the language's training documents
+let expect (``floor``).  ``kept`` asks for both.  Repeated rows are scored alike; extra columns pass through ``identify`` untouched.  Training rows
+with NULL language or text are left out; with no training rows at all every document is ``und``.  Languages beyond the
+``LANGUAGES`` most frequent ones are not learnt, of which ``fit`` warns.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +36,8 @@ LONGEST = 32
 WORDS_KEPT = 400_000  # words whose probabilities a worker remembers
 MARK = "▁"
 KEEP_AT = 0.5
+#: The floor lies this many times as far below the median fit as the low quantile, and so many shares of the median below it, at least and at most.
+LOW, TIMES, LEAST, MOST = 0.01, 3, 0.25, 0.75
 PREDICTED = "lang_pred string, score double"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -149,6 +155,35 @@ class Languages:
     names: list[str]
     prior: np.ndarray  # log share of the training documents
     chances: np.ndarray  # piece by language; the last row is a letter of no piece
+    floor: np.ndarray | None = None  # least mean log probability a letter of texts in the language
+
+
+class _Words:
+    """Log probabilities of words by language, remembered."""
+
+    def __init__(self, vocab: Vocabulary, chances: np.ndarray):
+        self.vocab, self.chances = vocab, chances
+        self.index: dict[str, int] = {}
+        self.known = np.zeros((1 << 16, chances.shape[1]))
+
+    def learn(self, split: list[list[str]]) -> None:
+        if len(self.index) > WORDS_KEPT:
+            self.index.clear()
+        new, n = list({w for words in split for w in words} - self.index.keys()), len(self.index)
+        while n + len(new) > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        if new:
+            with np.errstate(over="ignore"):
+                self.known[n:n + len(new)] = log_likelihood(self.vocab, self.chances, new)
+            self.index.update(zip(new, range(n, n + len(new))))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return self.known[[self.index[w] for w in words]].sum(axis=0)
+
+
+def _letters(words: list[str]) -> int:
+    """Letters of the words, with the marks in front."""
+    return sum(map(len, words)) + len(words)
 
 
 def fit(docs: DataFrame, path: str, docs_a_language: int = DOCS_A_LANGUAGE, rounds: int = ROUNDS) -> Languages:
@@ -158,7 +193,10 @@ def fit(docs: DataFrame, path: str, docs_a_language: int = DOCS_A_LANGUAGE, roun
     the driver sees language counts and one number per piece and language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).toPandas().sort_values("lang")
+    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).toPandas()
+    if len(counted) > LANGUAGES:
+        warnings.warn(f"more than {LANGUAGES} languages: only the most frequent ones are learnt", stacklevel=2)
+    counted = counted[:LANGUAGES].sort_values("lang")
     names = counted["lang"].tolist()
     vocab_size = len(vocabulary(path)) + 1
     if not names:
@@ -204,7 +242,27 @@ def fit(docs: DataFrame, path: str, docs_a_language: int = DOCS_A_LANGUAGE, roun
         total = np.zeros_like(chances)
         total[mass["piece"], mass["lang"]] = mass["mass"]
         chances = _smoothed(total)
-    return Languages(names, np.log(counted["count"].to_numpy(float) / counted["count"].sum()), chances)
+    return Languages(names, np.log(counted["count"].to_numpy(float) / counted["count"].sum()), chances, _floors(sample, chances, path))
+
+
+def _floors(sample: DataFrame, chances: np.ndarray, path: str) -> np.ndarray:
+    """Each language's floor, from the mean log probabilities a letter of its training documents, longer ones weighing more."""
+    shared = sample.sparkSession.sparkContext.broadcast(chances)
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Words(vocabulary(path), shared.value)
+        for batch in pieces(batches, "text"):
+            split = [words_of(t) for t in texts_of(batch, "text")]
+            seen.learn(split)
+            found = [(lang, seen.total(words)[lang] / n, n) for lang, words in zip(batch.column(0).to_pylist(), split) if (n := _letters(words))]
+            yield rows("lang int, fit double, n long", *([x[k] for x in found] for k in range(3)))
+
+    of = (sample.mapInArrow(fits, "lang int, fit double, n long").groupBy("lang")
+          .agg(F.percentile("fit", 0.5, F.col("n")).alias("middle"), F.percentile("fit", LOW, F.col("n")).alias("low")).toPandas())
+    floor = np.full(chances.shape[1], -np.inf)  # a language without a letter has no text to be taken for it
+    middle = of["middle"].to_numpy(float)
+    floor[of["lang"].to_numpy(int)] = middle - np.clip(TIMES * (middle - of["low"].to_numpy(float)), -LEAST * middle, -MOST * middle)
+    return floor
 
 
 def _smoothed(mass: np.ndarray) -> np.ndarray:
@@ -214,47 +272,42 @@ def _smoothed(mass: np.ndarray) -> np.ndarray:
     return 0.995 * own + 0.004 * common + 0.001 / len(mass)
 
 
-def identify(docs: DataFrame, model: Languages, path: str, name: str = "language") -> DataFrame:
-    """The documents with one more column: a struct of lang_pred and score."""
+def identify(docs: DataFrame, model: Languages, path: str, name: str = "language", fit: bool = False) -> DataFrame:
+    """The documents with one more column: a struct of lang_pred and score, and of fit if asked for (0 or more: as good as
+    the training documents let expect)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def build():
-        model, vocab = shared.value, vocabulary(path)
-        index: dict[str, int] = {}
-        known = np.zeros((1 << 16, len(model.names)))
+        model = shared.value
+        seen = _Words(vocabulary(path), model.chances)
 
         def work(texts: list[bytes]) -> list:
-            nonlocal known
             split = [words_of(t) for t in texts]
             if not model.names:
-                return [["und"] * len(texts), [0.0] * len(texts)]
-            if len(index) > WORDS_KEPT:
-                index.clear()
-            new = list({w for words in split for w in words} - index.keys())
-            while len(index) + len(new) > len(known):
-                known = np.concatenate([known, np.zeros_like(known)])
-            if new:
-                with np.errstate(over="ignore"):
-                    known[len(index):len(index) + len(new)] = log_likelihood(vocab, model.chances, new)
-                index.update(zip(new, range(len(index), len(index) + len(new))))
-            best, score = [], []
+                split = [[] for _ in texts]
+            seen.learn(split)
+            best, score, over = [], [], []
             for words in split:
                 if not words:
                     best.append("und")
                     score.append(0.0)
+                    over.append(0.0)
                     continue
-                total = model.prior + known[[index[w] for w in words]].sum(axis=0)
+                own = seen.total(words)
+                total = model.prior + own
                 k = int(total.argmax())
                 best.append(model.names[k])
                 score.append(float(1 / np.exp(total - total[k]).sum()))
-            return [best, score]
+                over.append(float(own[k] / _letters(words) - (-np.inf if model.floor is None else model.floor[k])))
+            return [best, score, over] if fit else [best, score]
 
         return work
 
-    return docs.withColumn(name, text_function(build, PREDICTED)(F.col("text")))
+    return docs.withColumn(name, text_function(build, PREDICTED + ", fit double" * fit)(F.col("text")))
 
 
 def kept(docs: DataFrame, model: Languages, path: str) -> DataFrame:
-    """The documents whose language is recognised with a score of ``KEEP_AT`` or more, with their columns as they were."""
+    """The documents whose language is recognised with a score of ``KEEP_AT`` or more and that fit it, with their columns as they were."""
     name = next(f"language{k}" for k in range(len(docs.columns) + 1) if f"language{k}" not in docs.columns)
-    return identify(docs, model, path, name).where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= KEEP_AT)).select(*docs.columns)
+    return (identify(docs, model, path, name, fit=True)
+            .where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= KEEP_AT) & (F.col(f"{name}.fit") >= 0)).select(*docs.columns))
