@@ -3,12 +3,15 @@
 import gzip
 import json
 import os
+import random
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows_by
 from webstrata import sources
+from webstrata.functions import scalar
 from webstrata.sources import siteone
 from webstrata.sources.files import list_files
 
@@ -201,6 +204,41 @@ def test_warc(spark, tmp_path):
     assert one["https://e.com/"].headers == "HTTP/1.1 200 X\r\nContent-Type: text/html\r\n"
 
 
+def test_damaged_warc(spark, tmp_path):
+    rng = random.Random(1)
+    body = lambda: "".join(rng.choice("abcdefgh ") for _ in range(3000)).encode()
+    records = [record("response", f"https://e.com/{k}", http(200, "text/html", body())) for k in range(6)]
+    packed = [gzip.compress(r) for r in records]
+    broken = bytearray(packed[2])
+    broken[300:600] = bytes(300)
+    cut = records[2].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    short = records[2].replace(b"Content-Length: 3", b"Content-Length: 1", 1)
+    crc = packed[2][:-6] + b"\1" + packed[2][-5:]
+    damaged = {"bytes.warc.gz": packed[:2] + [bytes(broken)] + packed[3:], "cut.warc.gz": packed[:2] + [packed[2][:700]] + packed[3:],
+               "crc.warc.gz": packed[:2] + [crc] + packed[3:], "junk.warc.gz": packed[:2] + [b"no gzip at all" * 20] + packed[3:],
+               "length.warc.gz": packed[:2] + [gzip.compress(cut)] + packed[3:], "long.warc": records[:2] + [cut] + records[3:],
+               "short.warc": records[:2] + [short] + records[3:], "junk.warc": records[:2] + [b"junk\xff\0" * 900] + records[3:],
+               "cut.warc": records[:2] + [records[2][:900] + b"\n"] + records[3:], "number.warc": records[:2] + [cut.replace(b"Length: 9", b"Length: x")] + records[3:],
+               "head.warc.gz": packed[:2] + [b"\1" + packed[2][1:]] + packed[3:]}
+    for name, parts in damaged.items():
+        put(tmp_path, name, b"".join(parts))
+    put(tmp_path, "whole.warc.gz", b"".join(packed))
+    put(tmp_path, "one.warc.gz", gzip.compress(b"".join(records)))
+    whole = b"".join(records)
+    put(tmp_path, "blocks.warc.gz", b"".join(gzip.compress(whole[k:k + 1000]) for k in range(0, len(whole), 1000)))
+    put(tmp_path, "end.warc.gz", b"".join(packed)[:-900])
+    got = {}
+    for r in sources.read_warc(spark, str(tmp_path)).collect():
+        got.setdefault(r.site, []).append(r.url)
+    lost = sources.damaged_warc(spark, str(tmp_path)).collect()
+    site = {n: i for n, i in spark.createDataFrame([(n,) for n in [*damaged, "whole.warc.gz", "one.warc.gz", "blocks.warc.gz", "end.warc.gz"]], "n string")
+            .select("n", scalar.resource_id(F.col("n"))).collect()}
+    found = {n: sorted(u[-1] for u in got.get(i, [])) for n, i in site.items()}
+    assert found == {n: list("01345") for n in damaged} | {n: list("012345") for n in ("whole.warc.gz", "one.warc.gz", "blocks.warc.gz")} | {"end.warc.gz": list("01234")}
+    assert {r.name for r in lost} == {*damaged, "end.warc.gz"} and all(r.reason for r in lost)
+    assert all(r.offset >= len(b"".join(damaged[r.name][:2])) for r in lost if r.name in damaged)
+
+
 def test_archivebox(spark, tmp_path):
     def entry(name, files, when):
         for rel, body in files.items():

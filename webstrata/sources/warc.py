@@ -1,9 +1,13 @@
-"""WARC files: one site per file, one row per response record."""
+"""WARC files: one site per file, one row per response record.
+
+A damaged stretch of a file ends no reading: the stream goes on at the next gzip member, or at the next line that begins a
+record.  ``damaged_warc`` gives each stretch as a row.
+"""
 
 from __future__ import annotations
 
-import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -20,7 +24,144 @@ from .table import conform
 _RECORD = "name string, url string, date string, head string, mime string, status int, size long, body binary"
 _RECORD_ARROW = pa.schema([("name", pa.string()), ("url", pa.string()), ("date", pa.string()), ("head", pa.string()),
                            ("mime", pa.string()), ("status", pa.int32()), ("size", pa.int64()), ("body", pa.binary())])
+_DAMAGE = "path string, name string, offset long, reason string"
+_DAMAGE_ARROW = pa.schema([("path", pa.string()), ("name", pa.string()), ("offset", pa.int64()), ("reason", pa.string())])
 PIECE = 1024 * 1024
+MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
+VERSION = re.compile(rb"WARC/\d")
+_BEGINS = re.compile(rb"(?:\n|\A)(?=WARC/\d)|(?=WARC/\d\.\d{1,3}\r?\n[A-Za-z-]{1,40}:)")
+LONGEST_LINE = 1024 * 1024  # of a record's head; a longer one is damage
+
+
+SLICE = 64 * 1024  # packed bytes inflated at once
+
+
+class Damaged(EOFError):
+    """A record that cannot be read to its end."""
+
+
+class _Stream:
+    """The bytes of a file, of its gzip members one after the other if it is packed; reading goes on after ``Damaged``."""
+
+    def __init__(self, raw: BinaryIO, packed: bool):
+        self.raw, self.packed = raw, packed
+        self.buffer, self.at, self.passed = b"", 0, 0  # unread bytes from ``at`` on; bytes dropped before the buffer
+        self.input, self.taken = b"", 0  # packed bytes not inflated yet; file offset behind them
+        self.last, self.inflate, self.member = b"", None, 0  # slice inflated before, open member, its offset
+        self.inside = False  # in a record
+
+    @property
+    def offset(self) -> int:
+        """Where in the file reading is; of packed files where the member begins."""
+        return self.member if self.packed else self.passed + self.at
+
+    def _next_member(self) -> None:
+        """After damage: on to the next header of a member behind that of the damaged one."""
+        held = self.last + self.input
+        held = held[max(0, self.member + 1 - (self.taken - len(held))):]
+        self.inflate, self.last = None, b""
+        while not (found := MEMBER.search(held)):
+            piece = self.raw.read(SLICE)
+            if not piece:
+                self.input = b""
+                return
+            self.taken += len(piece)
+            held = held[-3:] + piece
+        self.input = held[found.start():]
+
+    def _inflated(self) -> bytes:
+        while True:
+            if len(self.input) < 4 and (piece := self.raw.read(SLICE)):
+                self.input, self.taken = self.input + piece, self.taken + len(piece)
+            if self.inflate is None:
+                self.input = self.input.lstrip(b"\0") if self.input[:1] == b"\0" else self.input  # padding
+                if not self.input:
+                    if not self.raw.closed and (piece := self.raw.read(SLICE)):
+                        self.input, self.taken = piece, self.taken + len(piece)
+                        continue
+                    return b""
+                self.member, self.last = self.taken - len(self.input), b""
+                if not MEMBER.match(self.input):
+                    self._next_member()
+                    raise Damaged("no gzip member begins here")
+                self.inflate, first = zlib.decompressobj(31), True
+            else:
+                first = False
+                if not self.input and not self.inflate.unconsumed_tail:
+                    self._next_member()
+                    raise Damaged("gzip member ends early")
+            try:
+                data = self.inflate.decompress(self.input, PIECE)
+            except zlib.error as error:
+                self._next_member()
+                raise Damaged(f"gzip member: {error}") from None
+            if self.inflate.eof:
+                self.input, self.inflate = self.inflate.unused_data, None
+            else:
+                used = len(self.input) - len(self.inflate.unconsumed_tail)
+                self.last, self.input = (self.last + self.input[:used])[-SLICE:], self.inflate.unconsumed_tail
+            if data:
+                if first and self.inside and VERSION.match(data):
+                    self.buffer, self.at, self.passed = data, 0, self.passed + len(self.buffer)
+                    raise Damaged("record ends before its length")
+                return data
+
+    def _more(self) -> bool:
+        data = self._inflated() if self.packed else self.raw.read(PIECE)
+        self.passed += self.at
+        self.buffer, self.at = self.buffer[self.at:] + data, 0
+        return bool(data)
+
+    def read(self, n: int) -> bytes:
+        if self.at == len(self.buffer):
+            self._more()
+        out = self.buffer[self.at:self.at + n]
+        self.at += len(out)
+        return out
+
+    def readline(self, limit: int = -1) -> bytes:
+        most, looked = LONGEST_LINE if limit < 0 else limit, 0
+        while (end := self.buffer.find(b"\n", self.at + looked, self.at + most)) < 0:
+            looked = len(self.buffer) - self.at
+            if looked >= most or not self._more():
+                break
+        n = min(most, len(self.buffer) - self.at) if end < 0 else end + 1 - self.at
+        if end < 0 and limit < 0 and n == most:
+            raise Damaged("line without end")
+        self.at += n
+        return self.buffer[self.at - n:self.at]
+
+    def blank_lines(self) -> bool:
+        """Skip white space between records; whether a record, or the end of the file, follows."""
+        while True:
+            rest = self.buffer[self.at:self.at + 64].lstrip()
+            if rest[:6] and (len(rest) >= 6 or not b"WARC/".startswith(rest[:5])):
+                self.at += len(self.buffer[self.at:self.at + 64]) - len(rest)
+                return bool(VERSION.match(rest))
+            if not rest and self.at < len(self.buffer):
+                self.at += len(self.buffer[self.at:self.at + 64])
+            elif not self._more():
+                return not rest
+
+    def ends_here(self) -> bool:
+        """Whether the two line ends behind a record come next."""
+        while len(self.buffer) - self.at < 4 and self._more():
+            pass
+        return self.buffer[self.at:self.at + 4] == b"\r\n\r\n"
+
+    def next_record(self) -> None:
+        """On to the next line that begins a record, or to the end."""
+        while not (found := _BEGINS.search(self.buffer, self.at)):
+            self.at = max(self.at, len(self.buffer) - 64)
+            if not self._more():
+                self.at = len(self.buffer)
+                return
+        self.at = found.end()
+
+    def back(self, offset: int) -> None:
+        """Read again from here, in files that are not packed."""
+        self.raw.seek(offset)
+        self.buffer, self.at, self.passed = b"", 0, offset
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
@@ -121,25 +262,63 @@ def _response(stream: BinaryIO, fields: dict[str, str], length: int, is_text) ->
     return row
 
 
-def _records(stream: BinaryIO, is_text) -> Iterator[dict]:
-    """Response records; a damaged response comes without URL, a damaged file ends early."""
+def _record(stream: _Stream, is_text) -> dict | None:
+    """The record that begins here, None if it is no response."""
+    stream.readline()
+    lines = []
+    while (line := stream.readline()).strip():
+        lines.append(line.rstrip(b"\r\n"))
+    if not line:
+        raise Damaged("head without end")
+    fields = _fields(lines)
+    if not fields.get("content-length", "0").isascii() or not fields.get("content-length", "0").isdecimal():
+        raise Damaged("length is no number")
+    length = int(fields.get("content-length", "0"))
+    if fields.get("warc-type") == "response" and fields.get("content-type", "").startswith("application/http"):
+        return _response(stream, fields, length, is_text)
+    for _ in _pieces(stream, length):
+        pass
+    return None
+
+
+def _records(stream: _Stream, is_text) -> Iterator[dict]:
+    """Response records, and a row with offset and reason for each damaged stretch, which ends at the next record."""
+    follows = False
     while True:
+        start, row = stream.offset, None
         try:
-            line = stream.readline()
-            if not line:
-                return
-            if not line.startswith(b"WARC/"):
-                continue
-            fields = _fields(_head(stream)[0])
-            length = int(fields.get("content-length", "0"))
-            if fields.get("warc-type") == "response" and fields.get("content-type", "").startswith("application/http"):
-                yield _response(stream, fields, length, is_text)
-            else:
-                for _ in _pieces(stream, length):
-                    pass
-        except (EOFError, OSError, ValueError, zlib.error):
-            yield {}
-            return
+            if not follows and not stream.blank_lines():
+                start = stream.offset
+                yield {"offset": start, "reason": "no record begins here"}
+                stream.next_record()
+            if stream.at == len(stream.buffer):
+                if not stream._more():
+                    return
+            start, begin, stream.inside = stream.offset, stream.passed + stream.at, True
+            row = _record(stream, is_text)
+            stream.inside, follows = False, False
+            ended = stream.packed or stream.ends_here()
+            follows = stream.blank_lines()
+            if row is not None and not row["url"] and not stream.packed:
+                raise Damaged("response cannot be read")
+            if not follows and not ended:
+                raise Damaged("record does not end at its length")
+            if row is not None:
+                yield row if row["url"] else {"offset": start, "reason": "response cannot be read"}
+        except EOFError as error:
+            if row is not None and not stream.inside and stream.packed:  # the damage lies behind this record
+                yield row if row["url"] else {"offset": start, "reason": "response cannot be read"}
+                start = stream.offset
+            yield {"offset": start, "reason": str(error)}
+            follows, at_record = False, stream.inside
+            stream.inside = False
+            if not stream.packed:
+                stream.back(begin + 5)
+            try:
+                if not (stream.packed and VERSION.match(stream.buffer, stream.at) and at_record):
+                    stream.next_record()
+            except EOFError as again:
+                yield {"offset": stream.offset, "reason": str(again)}
 
 
 def _textual(mime: str) -> bool:
@@ -149,20 +328,25 @@ def _textual(mime: str) -> bool:
     return not low.startswith(("font/", "image/", "audio/", "video/"))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, name in zip(*(batch.column(c).to_pylist() for c in ("path", "name"))):
-            rows, held = [], 0
-            system, inside = open_filesystem(path)
-            with system.open_input_stream(inside, compression=None) as raw:
-                plain = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
-                for row in _records(io.BufferedReader(plain, PIECE), _textual):
-                    rows.append({"name": name, **row})
-                    held += len(row.get("body") or b"") + 1024
-                    if held > BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, _RECORD_ARROW)
-                        rows, held = [], 0
-            yield pa.RecordBatch.from_pylist(rows, _RECORD_ARROW)
+def _read_into(schema: pa.Schema, wanted):
+    """Rows of the files that are wanted, in batches of bounded size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, name in zip(*(batch.column(c).to_pylist() for c in ("path", "name"))):
+                rows, held = [], 0
+                system, inside = open_filesystem(path)
+                packed = path.endswith(".gz")
+                with system.open_input_stream(inside, compression=None) if packed else system.open_input_file(inside) as raw:
+                    for row in _records(_Stream(raw, packed), _textual):
+                        if not wanted(row):
+                            continue
+                        rows.append({"path": path, "name": name, **row})
+                        held += len(row.get("body") or b"") + 1024
+                        if held > BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema)
+    return run
 
 
 def record_time(date: Column) -> Column:
@@ -182,7 +366,7 @@ def read_warc(spark: SparkSession, root: str, partitions: int | None = None) ->
     """Response records of all WARC files in a folder; each file streams through one task."""
     files = warc_files(spark, root).select("path", "name")
     tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = files.repartition(tasks, "path").mapInArrow(_read, _RECORD).where(F.col("url").isNotNull())
+    rows = files.repartition(tasks, "path").mapInArrow(_read_into(_RECORD_ARROW, lambda row: "url" in row), _RECORD)
     mime = F.col("mime")
     valid = F.is_valid_utf8(F.col("body").cast("string"))
     return conform(rows.select(
@@ -190,3 +374,10 @@ def read_warc(spark: SparkSession, root: str, partitions: int | None = None) ->
         N.type_from_mime(mime).alias("type"), "status", "size", F.lit(0).alias("time"), F.col("head").alias("headers"),
         F.when(valid & N.is_text(mime), F.col("body").cast("string")).alias("content"),
         record_time(F.col("date")).alias("created"), record_time(F.col("date")).alias("modified")))
+
+
+def damaged_warc(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+    """Damaged stretches of all WARC files in a folder: file, offset (of packed files that of the member) and reason."""
+    files = warc_files(spark, root).select("path", "name")
+    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "path").mapInArrow(_read_into(_DAMAGE_ARROW, lambda row: "reason" in row), _DAMAGE)
