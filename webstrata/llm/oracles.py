@@ -71,3 +71,65 @@ joined AS (SELECT m.conv_id, m.turn, m.role, coalesce(o.own, '') AS text, coales
 SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, tie NULLS FIRST) - 1 AS position,
        thread, reply_to, depth::BIGINT AS depth, n_quotes, n_linked FROM joined
 """
+
+FILTER_AUDIT = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM words GROUP BY t),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > first_id, false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+cells AS (
+  SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END
+         || CASE WHEN e THEN 'E' ELSE '' END AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT x AS o FROM letters UNION ALL SELECT o || x FROM orders JOIN letters ON strpos(o, x) = 0 WHERE length(o) < 5),
+placed AS (
+  SELECT part, o, n, good, toxic, fails, list_min([strpos(o, f) FOR f IN string_split(fails, '') IF f <> '']) AS gone
+  FROM cells CROSS JOIN orders WHERE length(o) = 5),
+steps AS (SELECT *, o[step] AS letter FROM placed CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+metrics AS (
+  SELECT part, o AS filter_order, step, letter, coalesce(sum(n) FILTER (gone IS NULL OR gone > step), 0) AS kept,
+         coalesce(sum(n) FILTER (gone = step), 0) AS removed, coalesce(sum(n) FILTER (gone < step AND contains(fails, letter)), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails, coalesce(sum(good) FILTER (gone = step), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (gone = step), 0) AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM metrics
+"""
+
+
+def _transform_codes(rounds: int = 6) -> str:
+    """Plain product codes: each round's squared distances of all parts to all entries, then floored means."""
+    sql = """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT r, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS v FROM kept CROSS JOIN (SELECT unnest(range(8)) AS p)),
+book0 AS (SELECT p, r - 1 AS e, v AS c FROM parts WHERE r <= 16),"""
+    distance = "list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(parts.v, c)])"
+    for k in range(rounds + 1):
+        sql += f"""
+near{k} AS (SELECT r, p, min(ROW({distance}, e)) AS best FROM parts JOIN book{k} USING (p) GROUP BY ALL),"""
+        if k < rounds:
+            sql += f"""
+mean{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, e, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM (SELECT p, best[2] AS e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{k} JOIN parts USING (r, p)) GROUP BY ALL) GROUP BY ALL),
+book{k + 1} AS (SELECT p, e, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e)),"""
+    return sql + f"""
+coded AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{rounds} GROUP BY ALL),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r) CROSS JOIN books
+"""
+
+
+TRANSFORM_CODES = _transform_codes()

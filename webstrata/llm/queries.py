@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, main_text, near_vectors, oracles, packing, parity_join, piece_trie, quality, quotes, token_output, toxicity
+from . import (filter_audit, language, main_text, near_vectors, oracles, packing, parity_join, piece_trie, quality, quotes, secret_novelty, token_output,
+               toxicity, transform_codes)
 from .common import crc_mod, table, tokenizer_path
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -63,6 +64,19 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(WORD_BPE), end_id=1)
 
 
+def op11_transform_codes(spark: SparkSession, folder: str) -> DataFrame:
+    made, books = transform_codes.transform_codes(table(spark, folder, "embeddings"))
+    return made.select("vec_id", "code", "error", "label_error", F.lit(transform_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_secret_novelty(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_novelty.span_digest(table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
@@ -74,9 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_transform_codes": op11_transform_codes,
+    "op12_secret_novelty": op12_secret_novelty,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op3_near_vectors": oracles.NEAR_VECTORS,
     "op4_quote_links": oracles.QUOTE_LINKS,
     "op5_parity_join": oracles.PARITY_JOIN,
+    "op11_transform_codes": oracles.TRANSFORM_CODES,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }
