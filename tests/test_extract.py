@@ -137,7 +137,7 @@ def test_every_excerpt_comes_back(spark):
     ("a.b aXb", ["a.b"], ["**a.b** aXb"])])
 def test_marks(spark, text, terms, marked):
     found = sn._found(spark.createDataFrame([(1, text)], "id int, text string"), terms, 8)
-    assert [e.excerpt for r in found.collect() for e in r.excerpts] == marked
+    assert [e.excerpt for r in found.collect() for e in r.excerpts or []] == marked
 
 
 def test_long_and_deep_pages_are_whole(spark):
@@ -166,12 +166,40 @@ def test_highlights(spark):
     got = [tuple(r) for r in sn.highlight_spans(df, "t", ["car", "big red", "big"], ["id"]).orderBy("id", "start").collect()]
     assert got == [(1, 0, 3, "Car"), (1, 4, 7, "CAR"), (1, 13, 16, "big"), (1, 23, 30, "big red"), (1, 33, 36, "car")]
     assert sn.highlight_spans(df, "t", [], ["id"]).count() == 0
+    # terms are independent, rows too, also under one key
+    df = spark.createDataFrame([(1, "privacy policy update"), (1, "aa the bb"), (1, "the-The, the privacy policy")], "id int, t string")
+    got = sorted(tuple(r) for r in sn.highlight_spans(df, "t", ["privacy policy", "policy update", "the", "THE"], ["id"]).collect())
+    assert got == [(1, 0, 3, "the"), (1, 0, 21, "privacy policy update"), (1, 3, 6, "the"), (1, 4, 7, "The"), (1, 9, 12, "the"), (1, 13, 27, "privacy policy")]
+    assert "Window" not in sn.highlight_spans(df, "t", ["the"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_highlights_in_one_text(spark):
+    df = spark.createDataFrame([("the x " * 20_000,)], "t string")
+    got = sn.highlight_spans(df, "t", ["the", "the x"], []).agg(F.count("*"), F.max("start"), F.max("stop")).first()
+    assert tuple(got) == (20_000, 119_994, 119_999)
+
+
+@pytest.mark.parametrize("values", [[], [3], [1, 2, 3, 4, 5], [5, 1, 4, 9, 2, 9, 1] * 9])
+def test_running_totals(spark, values):
+    from itertools import accumulate
+    from webstrata.functions.text import running
+    row = spark.createDataFrame([(values,)], "v array<int>").select(running("v", lambda a, b: a + b).alias("s"), running("v", F.greatest).alias("m")).first()
+    assert row.s == list(accumulate(values)) and row.m == list(accumulate(values, max))
+
+
+def test_repeated_captures_keep_their_own_snippets(spark):
+    rows = _searched(spark, "<p>a needle here</p>", "<p>none</p>", "<p>needle two</p>")
+    tripled = rows.union(rows).union(rows).withColumn("site", F.lit(1)).withColumn("id", F.lit(1))
+    got = sn.snippets(tripled, q.field("content", "needle")).collect()
+    assert sorted(r.snippet for r in got) == ["**needle** two"] * 3 + ["a **needle** here"] * 3
+    assert sn.excerpts(tripled, q.field("content", "needle")).count() == 6
 
 
 def test_markers(spark):
-    df = spark.createDataFrame([("a **b c** d  **e-f** **1**",), ("none",), ("**x**",)], "s string")
+    df = spark.createDataFrame([("a **b c** d  **e-f** **1**",), ("none",), ("**x**",), ("**können** **404**",)], "s string")
     got = df.select(sn.strip_markers(F.col("s")).alias("t"), sn.marked_spans(F.col("s")).alias("m")).collect()
-    assert [(r.t, [r.t[m.start:m.stop] for m in r.m]) for r in got] == [("a b c d e-f **1**", ["b c", "e-f"]), ("none", []), ("x", ["x"])]
+    assert [(r.t, [r.t[m.start:m.stop] for m in r.m]) for r in got] == [("a b c d e-f 1", ["b c", "e-f", "1"]), ("none", []), ("x", ["x"]),
+                                                                                    ("können 404", ["können", "404"])]
 
 
 MD = """<html><head><title>No</title><style>p{}</style></head><body>

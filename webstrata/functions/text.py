@@ -7,6 +7,7 @@ A token is a maximal run of letters, numbers, private-use characters, ``_`` and
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,3 +51,16 @@ def has_tokens(col: Column, words: list[str], prefix: bool = False, lowered: boo
 def squash(col: Column) -> Column:
     """Runs of white space become one blank, ends trimmed."""
     return F.trim(F.regexp_replace(col, r"\s+", " "))
+
+
+def running(values: Column | str, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals within an array, for an associative ``combine`` of whole numbers (sum, greatest).
+
+    Each element takes in the one 1, 2, 4, ... places before it, so n elements need n log n steps and no copies of
+    growing arrays.
+    """
+    numbers = F.transform(F.col(values) if isinstance(values, str) else values, lambda x: x.cast("int"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int"))
+    shift = lambda r: F.pow(F.lit(2), r).cast("int")
+    return F.aggregate(rounds, numbers, lambda acc, r: F.transform(
+        acc, lambda x, i: F.when(i >= shift(r), combine(x, F.get(acc, i - shift(r)))).otherwise(x)))

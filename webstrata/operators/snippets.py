@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -16,9 +15,11 @@ from .query import Query, search
 PARTS = ["url", "text", "attributes", "comments", "headers", "markup"]
 WORDS_AROUND = 8
 _LETTER = r"[\p{L}\p{N}_]"
+# stand around a term while a text is cut up; no characters of any text
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
-# --- fixed value: how a marked word looks in stored excerpts
-MARKER = r"\*\*([a-zA-Z\-_' ]+)\*\*"
+# --- fixed value: how a marked term looks in stored excerpts
+MARKER = r"\*\*([^*]+)\*\*"
 # --- end of fixed value
 
 
@@ -29,19 +30,20 @@ def term_pattern(terms: list[str]) -> str:
 
 
 def _found(texts: DataFrame, terms: list[str], around: int) -> DataFrame:
-    """``texts`` with an array column ``excerpts`` of (word, excerpt) for its column ``text``.
+    """``texts`` with an array column ``excerpts`` of (word, excerpt) for its column ``text``; NULL where no term is found.
 
     A text is its words.  Words where a term begins, no further apart than twice ``around``, share an
-    excerpt, which reaches ``around`` words beyond the first and the last of them.  Every array is a column of its own
-    before it is looked into, so the work grows with the length of the text.
+    excerpt, which reaches ``around`` words beyond the first and the last of them.  The terms are marked in the whole
+    text at once, so a word tells by its mark whether a term begins in it.  Every array is a column of its own before it is
+    looked into, so the work grows with the length of the text.
     """
     pattern, longest = term_pattern(terms), max(len(t.split()) for t in terms)
-    # a term begins in the first of the words that are joined for the test
-    begins = rf"(?iu)^\S*?(?<!{_LETTER})(?:{'|'.join(re.escape(t).replace(chr(92) + ' ', ' ') for t in terms)})(?!{_LETTER})"
-    split = texts.where(F.col("text").rlike(pattern)).withColumn("w", F.split("text", " "))
-    tests = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, longest), " ").rlike(begins))
+    clean = F.translate("text", _OPEN + _CLOSE, "")
+    marked = F.when(F.col("text").rlike(pattern), F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$1{_CLOSE}"), " "))
+    split = texts.withColumn("w", marked)
+    places = F.transform("w", lambda word, i: F.when(F.contains(word, F.lit(_OPEN)), i + 1))
     # no filter on what is computed here: it would be computed anew inside the filter, array by array
-    hits = split.withColumn("hits", tests).withColumn("i", F.when(F.size("hits") > 0, F.sequence(F.lit(1), F.size("hits"))))
+    hits = split.withColumn("hits", F.filter(places, lambda i: i.isNotNull())).withColumn("i", F.when(F.size("hits") > 0, F.sequence(F.lit(1), F.size("hits"))))
     firsts = hits.withColumn("firsts", F.filter("i", lambda k: (k == 1) | (
         F.element_at("hits", k) - F.element_at("hits", F.greatest(k - 1, F.lit(1))) > 2 * around)))
     lasts = firsts.withColumn("lasts", F.concat(F.transform(F.slice("firsts", F.lit(2), F.size("firsts") - 1), lambda k: k - 1), F.array(F.size("hits"))))
@@ -49,7 +51,7 @@ def _found(texts: DataFrame, terms: list[str], around: int) -> DataFrame:
     def excerpt(a: Column, b: Column) -> Column:
         low = F.greatest(F.element_at("hits", a) - around, F.lit(1))
         words = F.slice("w", low, F.element_at("hits", b) + longest + around - low)
-        return F.struct(F.element_at("hits", a).alias("word"), F.regexp_replace(F.array_join(words, " "), pattern, r"**$1**").alias("excerpt"))
+        return F.struct(F.element_at("hits", a).alias("word"), F.regexp_replace(F.array_join(words, " "), f"[{_OPEN}{_CLOSE}]", r"**").alias("excerpt"))
 
     return lasts.withColumn("excerpts", F.zip_with("firsts", "lasts", excerpt)).drop("w", "hits", "i", "firsts", "lasts")
 
@@ -82,28 +84,44 @@ def snippets(resources: DataFrame, query: Query, site_ids: list[int] | None = No
     # parts are joined by more empty words than an excerpt reaches over, so that none spans two parts
     gap = " " * (4 * around + 2)
     whole = F.array_join(F.array(*[tx.squash(F.coalesce(F.col(p), F.lit(""))) for p in PARTS]), gap)
-    keyed = hits.select("site", "id", "url", whole.alias("text"))
-    found = _found(keyed, terms, around).select("site", "id", F.transform("excerpts", lambda e: F.trim(e["excerpt"])).alias("e"))
+    found = _found(hits.select("site", "id", "url", whole.alias("text")), terms, around)
+    e = found.withColumn("e", F.transform("excerpts", lambda e: F.trim(e["excerpt"])))
     text = F.array_join(F.slice("e", 1, shown), " ... ")
     more = F.size("e") - shown
-    display = found.select("site", "id", F.when(more > 0, F.concat(text, F.lit(" ... +"), more.cast("string"), F.lit(" more"))).otherwise(text).alias("snippet"))
-    return keyed.select("site", "id", "url").join(display, ["site", "id"], "left")
+    return e.select("site", "id", "url", F.when(more > 0, F.concat(text, F.lit(" ... +"), more.cast("string"), F.lit(" more"))).otherwise(text).alias("snippet"))
 
 
 def highlight_spans(df: DataFrame, column: str, terms: list[str], keys: list[str]) -> DataFrame:
-    """(keys..., start, stop, text) of the places to highlight; ``keys`` must tell the rows apart.
+    """(keys..., start, stop, text) of the places to highlight.
 
-    The pieces between the matches and the matches are laid end to end, so offsets are running sums of their lengths.
+    Every term is found by itself, so terms may overlap; what overlaps becomes one place.  All of it happens within the
+    row: the pieces between the matches of a term and the matches are laid end to end, offsets are running sums of
+    their lengths, and places that begin before the furthest end so far are joined.
     """
-    wanted = [t for t in terms if t.strip()]
+    wanted = list(dict.fromkeys(t.lower() for t in terms if t.strip()))
     if not wanted:
         return df.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("text")).limit(0)
-    pattern = term_pattern(wanted)
-    pieces = df.where(F.col(column).rlike(pattern)).select(*keys, F.split(column, pattern, -1).alias("p"), F.regexp_extract_all(column, F.lit(pattern), F.lit(0)).alias("m"))
-    pairs = pieces.select(*keys, F.posexplode(F.arrays_zip(F.slice("p", F.lit(1), F.size("m")).alias("piece"), F.col("m").alias("match"))).alias("n", "z"))
-    stop = F.sum(F.length("z.piece") + F.length("z.match")).over(W.partitionBy(*keys).orderBy("n")).cast("int")
-    return (pairs.select(*keys, stop.alias("stop"), F.col("z.match").alias("text"))
-            .select(*keys, (F.col("stop") - F.length("text")).alias("start"), "stop", "text"))
+
+    rows = df.where(F.col(column).rlike(term_pattern(wanted))).select(*keys, F.col(column).alias("_text"))
+    for n, term in enumerate(wanted):
+        pattern = term_pattern([term])
+        rows = (rows.withColumn("_m", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
+                .withColumn("_ends", F.zip_with(F.slice(F.split("_text", pattern, -1), F.lit(1), F.size("_m")), "_m", lambda p, m: F.length(p) + F.length(m)))
+                .withColumn("_ends", tx.running("_ends", lambda a, b: a + b))
+                .withColumn(f"_s{n}", F.zip_with("_ends", "_m", lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("text")))))
+    merged = (rows.withColumn("_s", F.array_sort(F.concat(*[f"_s{n}" for n in range(len(wanted))])))
+              .withColumn("_far", tx.running(F.transform("_s", lambda s: s["stop"]), F.greatest))
+              .withColumn("_i", F.sequence(F.lit(1), F.size("_s")))
+              .withColumn("_first", F.filter("_i", lambda i: (i == 1) | (F.element_at("_s", i)["start"] >= F.element_at("_far", F.greatest(i - 1, F.lit(1))))))
+              .withColumn("_last", F.concat(F.transform(F.slice("_first", F.lit(2), F.size("_first") - 1), lambda k: k - 1), F.array(F.size("_s")))))
+
+    def place(a: Column, b: Column) -> Column:
+        first, stop = F.element_at("_s", a), F.element_at("_far", b)
+        # a place of one match is that match; only joined ones are cut out of the text
+        text = F.when(first["stop"] == stop, first["text"]).otherwise(F.substring("_text", first["start"] + 1, stop - first["start"]))
+        return F.struct(first["start"].alias("start"), stop.alias("stop"), text.alias("text"))
+
+    return merged.select(*keys, F.explode(F.zip_with("_first", "_last", place)).alias("p")).select(*keys, "p.*")
 
 
 def strip_markers(snippet: Column) -> Column:

@@ -64,8 +64,25 @@ def _stripped(spark, folder):
     return docs.select("id", sn.strip_markers(marked).alias("text"), F.size(sn.marked_spans(marked)).cast("long").alias("marks"))
 
 
+# places of three terms that overlap, from the words and what stands between them
+OVERLAPPING = ["of the", "the of", "the"]
+OVERLAP_SQL = sql(f"""
+SELECT id, min("start")::INT AS "start", max(stop)::INT AS stop, min(substr(content, (1 + g)::BIGINT, (far - g)::BIGINT)) AS text FROM (
+  SELECT *, first_value("start") OVER (PARTITION BY id, island ORDER BY "start", stop) AS g, max(stop) OVER (PARTITION BY id, island) AS far FROM (
+    SELECT *, sum(new) OVER (PARTITION BY id ORDER BY "start", stop) AS island FROM (
+      SELECT *, CASE WHEN "start" >= max(stop) OVER (PARTITION BY id ORDER BY "start", stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new
+      FROM (SELECT DISTINCT id, content, "start", CASE WHEN phrase THEN after ELSE "start" + length(w) END AS stop FROM (
+        SELECT id, content, w, "start", lead("start" + length(w)) OVER o AS after, lower(w) AS a, s = ' ' AND lower(lead(w) OVER o) IN ('the', 'of') AS next_is,
+               lower(lead(w) OVER o) AS b
+        FROM (SELECT id, content, w, s, i, coalesce(sum(length(w) + length(s)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "start"
+              FROM (SELECT id, content, unnest(p) AS w, unnest(list_append(regexp_extract_all(content, '{WORD}'), '')) AS s, generate_subscripts(p, 1) AS i
+                    FROM (SELECT id, content, string_split_regex(content, '{WORD}') AS p FROM r)))
+        WINDOW o AS (PARTITION BY id ORDER BY i)), (SELECT unnest([true, false]) AS phrase)
+        WHERE CASE WHEN phrase THEN next_is AND ((a = 'of' AND b = 'the') OR (a = 'the' AND b = 'of')) ELSE a = 'the' END))))
+GROUP BY id, island""", DOCUMENTS)
+
 _MARKED = r"trim(regexp_replace(regexp_replace(content, '(the|que|und)', '**\1**', 'g'), '\s+', ' ', 'g'))"
-_MARKER = r"\*\*([a-zA-Z_'' -]+)\*\*"
+_MARKER = r"\*\*([^*]+)\*\*"
 STRIPPED_SQL = sql(rf"SELECT id, trim(regexp_replace({_MARKED}, '{_MARKER}', '\1', 'g')) AS text, "
                    rf"len(regexp_extract_all({_MARKED}, '{_MARKER}'))::BIGINT AS marks FROM r", DOCUMENTS)
 
@@ -82,13 +99,42 @@ def _decoded(text: str) -> str:
 
 
 _TEXT = _decoded("regexp_replace(o, '<[^>]*>', ' ', 'g')")
-COMPONENTS_SQL = sql(rf"""
+_COMPONENTS = rf"""
 SELECT site, id, url, trim(regexp_replace(headers, '\s+', ' ', 'g')) AS headers,
   trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')) AS text,
   trim(regexp_replace({_ATTRS}, '[\s_]+', ' ', 'g')) AS attributes,
   array_to_string(list_transform(regexp_extract_all(coalesce(content, ''), '<!--(.*?)-->', 1), lambda x: trim(x)), ' ') AS comments,
   array_to_string(list_transform(regexp_extract_all(o, '<[a-z][a-z0-9]*|\s[a-z]+="'), lambda x: trim(replace(replace(x, '<', ''), '="', ''))), ' ') AS markup
-FROM (SELECT *, {_OPEN} AS o FROM r)""")
+FROM (SELECT *, {_OPEN} AS o FROM r)"""
+COMPONENTS_SQL = sql(_COMPONENTS)
+
+# excerpts of one-word terms: words that hold the term, joined where they are close, with eight words around
+_PARTS = "url, text, attributes, comments, headers, markup"
+
+
+def _excerpts_sql(texts: str, keys: str, out: str) -> str:
+    """``texts`` gives ``keys`` and a text ``t``; ``out`` reads (keys, a, excerpt) from ``excerpts``."""
+    marked = (r"array_to_string(list_transform(regexp_extract_all(w, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), "
+              "lambda x: CASE WHEN lower(x) = 'the' THEN '**' || x || '**' ELSE x END), '')")
+    more = rf"""
+found AS (SELECT * FROM r WHERE {has('the')} AND type = 'html' AND status >= 100),
+c AS ({_COMPONENTS.replace("FROM r)", "FROM found)")}),
+texts AS ({texts}),
+words AS (SELECT {keys}, w, i, {marked} AS m FROM (SELECT {keys}, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS i FROM texts)),
+hits AS (SELECT {keys}, i, i - lag(i) OVER (PARTITION BY {keys} ORDER BY i) AS d FROM words WHERE m <> w),
+spans AS (SELECT {keys}, min(i) AS a, max(i) AS b FROM (
+  SELECT {keys}, i, sum(CASE WHEN d IS NULL OR d > 16 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS g FROM hits) GROUP BY {keys}, g),
+excerpts AS (SELECT {keys}, a, string_agg(m, ' ' ORDER BY i) AS excerpt FROM words JOIN spans USING ({keys}) WHERE i BETWEEN a - 8 AND b + 8 GROUP BY {keys}, a)"""
+    return sql(out, more=more, table=HTML)
+
+
+EXCERPTS_SQL = _excerpts_sql(
+    "SELECT id, part, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS t FROM (SELECT id, " + ", ".join(f"coalesce({p}, '') AS {p}" for p in _PARTS.split(", "))
+    + f" FROM c) UNPIVOT (t FOR part IN ({_PARTS}))", "id, part", "SELECT id, part, a::INT AS word, excerpt FROM excerpts")
+SNIPPETS_SQL = _excerpts_sql(
+    "SELECT id, concat_ws(repeat(' ', 34), " + ", ".join(f"trim(regexp_replace(coalesce({p}, ''), '\\s+', ' ', 'g'))" for p in _PARTS.split(", ")) + ") AS t FROM c", "id",
+    """SELECT id, found.url, CASE WHEN e IS NULL THEN NULL ELSE array_to_string(e[1:3], ' ... ') || CASE WHEN len(e) > 3 THEN ' ... +' || (len(e) - 3) || ' more' ELSE '' END END AS snippet
+       FROM found LEFT JOIN (SELECT id, list(trim(excerpt) ORDER BY a) AS e FROM excerpts GROUP BY id) USING (id)""")
 
 _H1 = f"replace(replace(replace({_decoded('h')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 H1_SQL = sql(f"SELECT id, '<h1>' || {_H1} || '</h1>' AS value FROM (SELECT id, unnest(regexp_extract_all(content, "
@@ -111,7 +157,10 @@ QUERIES = {
                        "AS tag FROM r WHERE type = 'html') GROUP BY tag UNION ALL SELECT 'comment', NULL, sum(len(regexp_extract_all(content, "
                        "'<!--')))::BIGINT FROM r WHERE type = 'html'")),
     "page_components": (_resources(dom.page_components), COMPONENTS_SQL),
-    "snippets": (_resources(lambda r: sn.snippets(r, SNIPPET)), None),
+    "snippets": (_resources(lambda r: sn.snippets(r, SNIPPET).select("id", "url", "snippet")), SNIPPETS_SQL),
+    "excerpts": (_resources(lambda r: sn.excerpts(r, SNIPPET).select("id", "part", "word", "excerpt")), EXCERPTS_SQL),
+    "highlight_overlaps": (lambda spark, folder: sn.highlight_spans(fixture.load_documents(spark, folder), "content", OVERLAPPING, ["id"]),
+                           OVERLAP_SQL),
     "snippet_hits": (_resources(lambda r: sn.snippets(r, SNIPPET).select("id", F.col("snippet").isNotNull().alias("found"))),
                      sql(f"SELECT id, true AS found FROM r WHERE {has('the')} AND type = 'html' AND status >= 100")),
     "markdown": (_resources(markdown.to_markdown), None),
