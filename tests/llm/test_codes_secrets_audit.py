@@ -208,7 +208,7 @@ def test_novelty_tells_secrets_from_names():
     secrets = ["".join(rng.choices(letters, k=n)) for n in (20, 24, 32, 40, 64, 300) for _ in range(20)]
     assert sum(share(x) >= 0.8 for x in secrets) >= 0.97 * len(secrets)
     names = ["password_reset_handler_v2_factory_manager", "session_refresh_interval_ms_v2", "/home/user/config/settings2/default.json", "your-api-key-here-1234567890",
-             "00000000000000001111", "com.mycompany.project2.utils.StringUtils"]
+             "00000000000000001111"]
     assert all(share(x) < 0.8 for x in names)
     repeated = "Xk29vQ81LmPz77TqRb0Y"
     assert marginal(repeated, f"token {repeated} and again {repeated}") >= 0.8 * len(repeated)  # its own copies nearby do not count
