@@ -1,5 +1,8 @@
 """Boolean search: laws, random trees against a plain evaluator, an independent text matcher, both modes."""
 
+import functools
+import time
+import uuid
 import sqlite3
 
 import pytest
@@ -9,6 +12,9 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import text as tx
 from webstrata.operators import postings as P
+from webstrata.operators import saved
+from webstrata.operators.groups import work_folder
+from webstrata.operators.index import Index
 from webstrata.operators import query as q
 from webstrata.schema import RESOURCE
 
@@ -91,7 +97,7 @@ def test_scan_and_index_agree_with_plain_evaluation(table, batch):
     wanted = {f"q{i}": sorted(r.id for r in rows if matches(q.effective(t), r)) for i, t in enumerate(batch)}
     flags = table.select("id", *[q.effective(t).column().alias(f"q{i}") for i, t in enumerate(batch)]).collect()
     assert {n: sorted(r.id for r in flags if r[n]) for n in wanted} == wanted
-    found = P.search_postings(P.build_postings(table), table, {f"q{i}": t for i, t in enumerate(batch)}).collect()
+    found = indexed(table).search({f"q{i}": t for i, t in enumerate(batch)}).collect()
     assert {n: sorted(r.id for r in found if r.query_id == n) for n in wanted} == wanted
 
 
@@ -184,20 +190,99 @@ def test_repeated_words_in_a_phrase(spark):
             (1, 2, "u2", "html", 200, 1, 0, None, "to to be", None, None)]
     table = spark.createDataFrame(rows, RESOURCE)
     queries = {"a": q.phrase("to be or not to be"), "b": q.phrase("to to be"), "c": q.phrase("be to"), "d": q.phrase("not to b*")}
-    found = P.search_postings(P.build_postings(table), table, queries).collect()
+    found = indexed(table).search(queries).collect()
     assert sorted((r.query_id, r.id) for r in found) == [("a", 1), ("b", 2), ("d", 1)]
 
 
-def test_stored_postings(spark, documents, tmp_path):
-    built = P.build_postings(documents)
-    P.write_postings(built, str(tmp_path / "p"), 4)
-    stored = spark.read.parquet(str(tmp_path / "p"))
-    assert stored.count() == built.count()
-    queries = {"x": q.phrase("of the"), "y": q.text("de") - q.prefix("la")}
-    assert P.search_postings(stored, documents, queries).exceptAll(P.search_postings(built, documents, queries)).count() == 0
-    plan = P._literal_hits(stored, P._plan(queries), P.KEY)._jdf.queryExecution().executedPlan().toString()
-    assert "In(token" in plan                                           # reaches the Parquet scan
+@functools.cache
+def indexed(df):
+    return Index(df.sparkSession, f"{work_folder(df.sparkSession)}/index-{uuid.uuid4().hex}").append(df)
+
+
+def found(index, query):
+    return sorted(r.id for r in index.search({"x": query}).collect())
+
+
+def test_index_and_scan_agree_on_documents(documents):
+    index = indexed(documents)
+    queries = {"x": q.phrase("of the"), "y": q.text("de") - q.prefix("la"), "z": q.phrase("of the of") | q.prefix("the th"), "n": ~q.text("the")}
+    got = index.search(queries).collect()
+    assert {n: sorted(r.id for r in got if r.query_id == n) for n in queries} == {n: find(documents, t) for n, t in queries.items()}
+    assert index.view().postings.count() == P.build_postings(documents).count()
+
+
+def test_scans_of_the_index_get_the_tokens(documents):
+    view = indexed(documents).view()
+    plan = view.hits(saved.compiled({"x": q.phrase("of the"), "y": q.text("de")}))._jdf.queryExecution().explainString(view.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert plan.count("Scan parquet") == 2 and all(x in plan for x in ("EqualTo(next,the)", "PartitionFilters: [field"))
+
+
+def test_a_phrase_of_frequent_words_moves_only_its_pairs(documents):
+    view = indexed(documents).view()
+    hits = view.hits(saved.compiled({"x": q.phrase("of the")}))
+    pairs = view.postings.where("token = 'of' AND next = 'the'").count()
+    assert hits.count() == pairs < view.postings.where("token IN ('of', 'the')").count() / 4
+    exchanges = view.search({"x": q.phrase("of the") & q.text("a"), "y": ~q.phrase("the of")})._jdf.queryExecution().executedPlan().toString()
+    assert exchanges.count("Exchange hashpartitioning") <= 2                                          # postings and rows, once each
+
+
+def test_stems_are_looked_up_in_the_vocabulary(documents):
+    view = indexed(documents).view()
+    plan = view.hits(saved.compiled({"x": q.prefix("thea"), "y": q.prefix("d")}))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(token,thea)" in plan
+    assert found(indexed(documents), q.prefix("thea")) == find(documents, q.prefix("thea"))
+
+
+def test_later_segments_replace_rows_and_merging_keeps_what_is_current(spark):
+    row = lambda k, text, status=200: (1, k, f"u{k}", "html", status, 1, 0, None, text, None, None)
+    make = lambda *rows: spark.createDataFrame(rows, RESOURCE)
+    index = indexed(make(row(1, "alpha beta"), row(2, "alpha"), row(3, "gamma"), row(4, "alpha"))).append(make(row(2, "delta"), row(5, "alpha beta gamma")))
+    index.append(make(row(4, None), row(1, "alpha beta", 404)))
+    expected = {"alpha": [1, 5], "delta": [2], "gamma": [3, 5]}
+    assert {w: found(index, q.text(w)) for w in expected} == expected and index.committed() == (0, [0, 1, 2])
+    assert found(index, ~q.text("alpha")) == [2, 3, 4] and found(index, q.status == 404) == [1] and found(index, q.phrase("alpha beta gamma")) == [5]
+    before = index.view()
+    index.merge()
+    assert index.committed() == (1, [0]) and {w: found(index, q.text(w)) for w in expected} == expected
+    assert {(r.token, r.df) for r in index.view().terms().where("field = 'content'").collect()} == {("alpha", 2), ("beta", 2), ("gamma", 2), ("delta", 1)}
+    assert sorted(r.id for r in before.search({"x": q.text("alpha")}).collect()) == [1, 5]           # an earlier view stays whole
+    # an append that broke off leaves its files, but no commit
+    make(row(9, "alpha")).select("site", "id", "url", "type", "status", "size", "time").write.parquet(f"{index.path}/generation=1/rows/segment=1")
+    assert found(index, q.text("alpha")) == [1, 5] and found(index.append(make(row(6, "alpha"))), q.text("alpha")) == [1, 5, 6]
+
+
+def test_rows_without_key_and_empty_tables(spark):
+    schema = "site long, id long, url string, type string, status int, size long, time int, headers string, content string"
+    index = indexed(spark.createDataFrame([(1, None, "u", "html", 200, 1, 0, None, "alpha"), (None, 2, "u", "html", 200, 1, 0, None, "alpha")], schema))
+    assert found(index, q.text("alpha")) == [] and found(index, ~q.text("alpha")) == []
+    with pytest.raises(ValueError):
+        Index(spark, f"{work_folder(spark)}/index-none").view()
+
+
+def test_programs_do_not_multiply_out(table):
+    start = time.perf_counter()
+    query = functools.reduce(lambda a, b: a & b, (q.text(f"a{k}") | q.text(f"b{k}") for k in range(200)))
+    programs = saved.compiled({"x": query, "y": ~query})
+    assert time.perf_counter() - start < 1 and len(programs.texts) == 400
+    assert [len(ops) for _, ops, *_ in programs.queries] == [2 * 401 - 1, 2 * 401] and [possible for *_, possible in programs.queries] == [False, True]
+    index = indexed(table)
+    start = time.perf_counter()
+    twenty = functools.reduce(lambda a, b: a & b, (q.text(f"a{k}") | q.text("alpha") for k in range(20)))
+    plan = index.view().search({"x": twenty})
+    plan._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - start < 4 and sorted(r.id for r in plan.collect()) == find(table, q.text("alpha"))
+
+
+def test_more_literals_than_a_number_has_bits(table):
+    every = functools.reduce(lambda a, b: a | b, [q.text(f"none{k}") for k in range(150)] + [q.text("beta")])
+    sixty_fourth = {f"q{k}": q.text(f"w{k}") for k in range(63)} | {"last": q.text("alpha"), "next": q.text("beta"), "both": q.text("beta") - q.text("alpha")}
+    index = indexed(table)
+    assert found(index, every) == find(table, q.text("beta"))
+    got = index.search(sixty_fourth).collect()
+    assert {n: sorted(r.id for r in got if r.query_id == n) for n in ("last", "next", "both")} == {
+        "last": find(table, q.text("alpha")), "next": find(table, q.text("beta")), "both": find(table, q.text("beta") - q.text("alpha"))}
 
 
 def test_no_queries(table):
-    assert P.search_postings(P.build_postings(table), table, {"n": ~q.match_all()}).count() == 0
+    index = indexed(table)
+    assert index.search({"n": ~q.match_all()}).count() == 0 and index.search({}).count() == 0 and index.search({"e": q.text("!!")}).count() == 0

@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 32
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a narrow intermediate result to the checkpoint folder, so that two uses read it once.
+def work_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, shared by driver and executors; only a local session may lack one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="webstrata-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a local session may leave it out.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate result to the checkpoint folder, so that two uses read it once."""
     context = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not named and context.getCheckpointDir() is None and context.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="webstrata-"))
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -1,32 +1,18 @@
-"""Index-mode search: a positional postings table answers many saved queries in one job.
+"""Postings of a table as they come: one row per token occurrence, and what can be counted from them.
 
-The postings table has one row per token occurrence.  It is written range-partitioned
-and sorted by (field, token, key, pos): a frequent token spreads over as many files as
-it needs, and Parquet statistics skip the files of tokens nobody asked for.  Saved
-queries become a small table of conjunctions; text atoms are counted per conjunction
-and row in one aggregation, atoms on numbers and URLs are checked against the narrow
-resource columns afterwards.
+Searches use the stored form of ``index``.
 """
 
 from __future__ import annotations
 
-import functools
-import json
-import operator
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .groups import cut, spread
-from .query import All, Member, Number, Query, Text, Url, TEXT_FIELDS, effective
+from .groups import spread
+from .query import TEXT_FIELDS
 
 KEY = ("site", "id")
-# rows of a literal table below which it is certain to be small enough to broadcast
-BROADCAST_ROWS = 50_000
-# distinct words up to which they are written into the scan's own filter
-PUSHED_WORDS = 500
 
 
 def build_postings(resources: DataFrame, key: tuple[str, ...] = KEY,
@@ -40,14 +26,6 @@ def build_postings(resources: DataFrame, key: tuple[str, ...] = KEY,
             .select(*[F.col(f"k_{k}").alias(k) for k in key], "field", "token", "pos"))
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int | None = None,
-                   key: tuple[str, ...] = KEY) -> None:
-    order = ["field", "token", *key, "pos"]
-    ranged = (postings.repartitionByRange(partitions, *order) if partitions
-              else postings.repartitionByRange(*order))
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("field").parquet(path)
-
-
 def term_stats(postings: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Rows and occurrences per token, with the frequency bands used to pick test terms.
 
@@ -59,155 +37,3 @@ def term_stats(postings: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     band = (F.when(F.col("df") >= 10, "common").when(F.col("df") > 3, "specific")
             .otherwise("rare"))
     return stats.withColumn("band", band)
-
-
-# ---------------------------------------------------------------- saved queries
-
-@dataclass
-class _Plan:
-    """Saved queries broken into rows of small tables."""
-
-    elements: list[tuple]      # (literal, n tokens, k, field, token, is_stem)
-    uses: list[tuple]          # (literal, conjunction, negated)
-    conjunctions: list[tuple]  # (conjunction, query_id, n_positive)
-    checks: dict[int, list]    # conjunction -> [(field, op, number, text list, negated)]
-    stems: set[int]            # lengths of the stems in use
-
-
-def _check_row(atom: Query, negated: bool) -> tuple:
-    if isinstance(atom, Number):
-        return (atom.name, atom.op, float(atom.value), None, negated)
-    if isinstance(atom, Url):
-        return ("url", "contains", None, [atom.part], negated)
-    return (atom.name, "in", None, [str(v) for v in atom.values], negated)
-
-
-def _plan(queries: dict[str, Query]) -> _Plan:
-    plan = _Plan([], [], [], {}, set())
-    literals: dict[Text, int] = {}
-    for query_id, query in queries.items():
-        for conjunction in effective(query).disjuncts():
-            number = len(plan.conjunctions)
-            positives = 0
-            for atom, negated in sorted(conjunction, key=str):
-                if isinstance(atom, Text):
-                    if atom not in literals:
-                        literals[atom] = literal = len(literals)
-                        for k, word in enumerate(atom.words):
-                            stem = atom.prefix and k == len(atom.words) - 1
-                            for name in atom.possible_fields:
-                                plan.elements.append((literal, len(atom.words), k, name, word, stem))
-                            if stem:
-                                plan.stems.add(len(word))
-                    plan.uses.append((literals[atom], number, negated))
-                    positives += not negated
-                elif not isinstance(atom, All):
-                    plan.checks.setdefault(number, []).append(_check_row(atom, negated))
-            plan.conjunctions.append((number, query_id, positives))
-    return plan
-
-
-def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A literal table; broadcast only while its row count is proven small."""
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
-
-
-def _literal_hits(postings: DataFrame, plan: _Plan, key: tuple[str, ...]) -> DataFrame:
-    """(literal, key...) once per row that contains the literal."""
-    spark = postings.sparkSession
-    elements = _small(spark, plan.elements, "literal int, n int, k int, field string, probe string, stem boolean")
-    words = sorted({(t, stem) for *_, t, stem in plan.elements})
-    scan = postings.select(*key, "field", "token", "pos")
-    if len(words) <= PUSHED_WORDS:
-        # the scan skips files and row groups; past that many words it would not pay
-        exact = [t for t, stem in words if not stem]
-        tests = ([F.col("token").isin(exact)] if exact else []) + [F.col("token").startswith(t) for t, stem in words if stem]
-        scan = scan.where(functools.reduce(operator.or_, tests, F.lit(False)))
-    # a token can stand for itself and for the stems of the lengths in use
-    probes = [F.struct(F.col("token").alias("probe"), F.lit(False).alias("stem"))] + [
-        F.struct(F.substring("token", 1, n).alias("probe"), F.lit(True).alias("stem")) for n in sorted(plan.stems)]
-    probed = scan.withColumn("p", F.explode(F.array_distinct(F.array(*probes)))) if plan.stems else scan.withColumn("p", probes[0])
-    found = (probed.select(*key, "field", "pos", "p.probe", "p.stem")
-             .join(elements, ["field", "probe", "stem"]).select("literal", "n", "k", *key, "field", "pos"))
-
-    # a phrase needs all its tokens at one start; single tokens collapse per field before the shuffle
-    start = F.when(F.col("n") > 1, F.col("pos") - F.col("k"))
-    whole = (found.groupBy("literal", "n", *key, "field", start.alias("start")).agg(F.count("*").alias("seen"))
-             .where((F.col("n") == 1) | (F.col("seen") == F.col("n"))))
-    return whole.select("literal", *key).distinct()
-
-
-def _passes(checks: Column) -> Column:
-    """All checks of a conjunction hold for the current resource row."""
-    def value(name: Column) -> Column:
-        return (F.when(name == "status", F.col("status").cast("double"))
-                .when(name == "size", F.col("size").cast("double"))
-                .when(name == "time", F.col("time").cast("double")))
-
-    def compare(c: Column) -> Column:
-        # ids use all 48 bits but still fit a double exactly
-        left = F.when(c["name"] == "id", F.col("id").cast("double")).otherwise(value(c["name"]))
-        right = c["num"]
-        held = (F.when(c["op"] == "=", left == right).when(c["op"] == "!=", left != right)
-                .when(c["op"] == "<", left < right).when(c["op"] == "<=", left <= right)
-                .when(c["op"] == ">", left > right).when(c["op"] == ">=", left >= right)
-                .when(c["op"] == "contains", F.lower("url").contains(c["words"][0]))
-                .when(c["name"] == "site", F.array_contains(c["words"], F.col("site").cast("string")))
-                .when(c["name"] == "type", F.array_contains(c["words"], F.col("type"))))
-        return F.coalesce(held, F.lit(False)) != c["negated"]
-
-    return F.coalesce(F.forall(checks, compare), F.lit(True))
-
-
-CHECKS = "array<struct<name:string,op:string,num:double,words:array<string>,negated:boolean>>"
-
-
-def search_postings(postings: DataFrame, resources: DataFrame, queries: dict[str, Query],
-                    key: tuple[str, ...] = KEY) -> DataFrame:
-    """(query_id, key...) for every saved query and every row it matches."""
-    spark = postings.sparkSession
-    plan = _plan(queries)
-    narrow = resources.select(*dict.fromkeys([*key, "id", "site", "url", "type", "status", "size", "time"]))
-    known = [(c, q, n, plan.checks.get(c, [])) for c, q, n in plan.conjunctions]
-    if not known:
-        return narrow.select(F.lit("").alias("query_id"), *key).limit(0)
-    conjunctions = _small(spark, known, f"conj int, query_id string, positives int, checks {CHECKS}")
-
-    # what speaks for or against a row: a literal it holds, or an open conjunction it meets
-    events = []
-    if plan.uses:
-        uses = _small(spark, plan.uses, "literal int, conj int, negated boolean")
-        events.append(_literal_hits(postings, plan, key).join(uses, "literal").select(
-            "conj", *key, F.when(F.col("negated"), "barred").otherwise("held").alias("event")))
-    open_ended = [row for row in known if not row[2]]
-    if open_ended:
-        events.append(_open_rows(narrow, open_ended, key))
-    judged = functools.reduce(DataFrame.unionByName, events).groupBy("conj", *key).agg(
-        *[F.count_if(F.col("event") == e).alias(e) for e in ("held", "barred", "open")])
-    matched = (judged.join(conjunctions, "conj")
-               .where((F.col("barred") == 0) & (F.col("held") == F.col("positives")))
-               .where((F.col("positives") > 0) | (F.col("open") > 0)))
-    if len(open_ended) == len(known):
-        return matched.select("query_id", *key).distinct()
-    checked = matched
-    if open_ended:
-        # both halves read this: write it once
-        matched = cut(matched.select("query_id", "positives", "conj", *key))
-        checked = matched.where(F.col("positives") > 0).join(conjunctions.select("conj", "checks"), "conj")
-    result = checked.join(narrow, list(key)).where(_passes(F.col("checks"))).select("query_id", *key)
-    if open_ended:
-        result = result.unionByName(matched.where(F.col("positives") == 0).select("query_id", *key))
-    return result.distinct()
-
-
-def _open_rows(narrow: DataFrame, open_ended: list[tuple], key: tuple[str, ...]) -> DataFrame:
-    """(conj, key..., event) of rows that meet a conjunction with no text to start from.
-
-    The few such conjunctions travel as a literal and are tested against each row in place.
-    """
-    names = ("name", "op", "num", "words", "negated")
-    cases = [{"conj": c, "checks": [dict(zip(names, row)) for row in rows]} for c, _, _, rows in open_ended]
-    literal = F.from_json(F.lit(json.dumps(cases)), f"array<struct<conj:int,checks:{CHECKS}>>")
-    met = narrow.select("*", F.explode(F.filter(literal, lambda c: _passes(c["checks"]))).alias("c"))
-    return met.select(F.col("c.conj").alias("conj"), *key, F.lit("open").alias("event"))

@@ -1,15 +1,14 @@
 """Boolean search as composable predicates.
 
 ``(q.text("privacy") & q.field("type", "html")) - q.text("cookie")`` builds a small
-expression that turns into one Spark ``Column`` (scan mode) or into rows of a
-literal table (index mode, see ``postings``).  NOT binds tighter than AND, AND
+expression that turns into one Spark ``Column`` (scan mode) or into a
+small program (index mode, see ``saved`` and ``index``).  NOT binds tighter than AND, AND
 tighter than OR, and nesting is kept as written.  Every atom is false, never NULL,
 on missing text, so complements keep rows without content.
 """
 
 from __future__ import annotations
 
-import itertools
 import operator
 import dataclasses
 from dataclasses import dataclass, replace
@@ -63,18 +62,12 @@ class Query:
                  and (len(a.fields) > 1 or a.fields[0] in TERM_FIELDS)]
         return [t for t in (s.lower().strip("*") for s in found) if t]
 
-    def disjuncts(self, negate: bool = False) -> list[frozenset[tuple["Query", bool]]]:
-        """Disjunctive normal form: conjunctions of (atom, negated)."""
-        return [frozenset([(self, negate)])]
-
 
 @dataclass(frozen=True)
 class All(Query):
     def condition(self) -> Column:
         return F.lit(True)
 
-    def disjuncts(self, negate: bool = False):
-        return [] if negate else [frozenset()]
 
 
 @dataclass(frozen=True)
@@ -146,24 +139,18 @@ class And(_Compound):
     def condition(self) -> Column:
         return _fold(operator.and_, [p.condition() for p in self.parts])
 
-    def disjuncts(self, negate: bool = False):
-        return (_union if negate else _product)([p.disjuncts(negate) for p in self.parts])
 
 
 class Or(_Compound):
     def condition(self) -> Column:
         return _fold(operator.or_, [p.condition() for p in self.parts])
 
-    def disjuncts(self, negate: bool = False):
-        return (_product if negate else _union)([p.disjuncts(negate) for p in self.parts])
 
 
 class Not(_Compound):
     def condition(self) -> Column:
         return ~self.parts[0].column()
 
-    def disjuncts(self, negate: bool = False):
-        return self.parts[0].disjuncts(not negate)
 
 
 def _fold(op, columns: list[Column]) -> Column:
@@ -173,15 +160,6 @@ def _fold(op, columns: list[Column]) -> Column:
     return result
 
 
-def _union(branches):
-    return list(dict.fromkeys(c for b in branches for c in b))
-
-
-def _product(branches):
-    merged = (frozenset().union(*combo) for combo in itertools.product(*branches))
-    return list(dict.fromkeys(c for c in merged if not any((a, not n) in c for a, n in c)))
-
-
 class _NumberField:
     """``q.status >= 400`` and friends."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as N
+from ..operators.groups import work_folder
+from ..operators.index import Index
 
 
 def resources_from_pages(pages: DataFrame, typed: bool = True) -> DataFrame:
@@ -62,3 +64,11 @@ def load_html(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     return resources_from_documents(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+def document_index(spark: SparkSession, folder: str) -> Index:
+    """The stored index of the documents, in the work folder; made when the table is first met, or met anew after a change."""
+    files = spark.read.parquet(f"{folder}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    mark = files.distinct().agg(F.coalesce(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).first()[0]
+    index = Index(spark, f"{work_folder(spark)}/webstrata/index{mark}")
+    return index if index.committed()[1] else index.append(load_documents(spark, folder))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import postings as P
 from ..operators import query as q
 from ..operators import results as R
+from ..operators.groups import work_folder
+from ..operators.index import Index
 from ..plans import fixture
 from .common import DOCUMENTS, FIELDS, has, sql
 
@@ -29,6 +34,9 @@ DOC_QUERY = (q.text("the") & q.field("type", "en")) | (q.phrase("of the") - q.fi
 DOC_SQL = (f"({has('the')} AND {has('en', ('type',))}) OR ({has('of the')} AND NOT {has('1', ('site',))})"
            f" OR ({has('tion', prefix=True)} AND NOT {has('de')})")
 
+OR_PAIRS = [("the", "de"), ("of", "la"), ("in", "que"), ("and", "und"), ("a", "en"), ("to", "el"), ("is", "der"), ("on", "les"), ("er", "ch"), ("re", "st"),
+            ("th", "ie"), ("nd", "le"), ("an", "los"), ("or", "die"), ("at", "des"), ("ing", "ver"), ("ed", "eau"), ("ent", "ción"), ("sh", "ment"), ("wh", "zu")]
+
 # saved queries by name, with the condition each must equal
 SAVED = {
     "plain": (q.text("the"), has("the")),
@@ -43,18 +51,37 @@ SAVED = {
 
 
 def _saved(spark, folder):
-    docs = fixture.load_documents(spark, folder)
-    found = P.search_postings(P.build_postings(docs), docs, {name: query for name, (query, _) in SAVED.items()})
-    return found.select("query_id", "site", "id")
+    return fixture.document_index(spark, folder).search({name: query for name, (query, _) in SAVED.items()})
 
 
 def _one(name: str):
     def run(spark, folder):
-        docs = fixture.load_documents(spark, folder)
-        return P.search_postings(P.build_postings(docs), docs, {name: SAVED[name][0]}).select("query_id", "site", "id")
+        return fixture.document_index(spark, folder).search({name: SAVED[name][0]})
     return run, sql(f"SELECT '{name}' AS query_id, site, id FROM r WHERE {SAVED[name][1]}", DOCUMENTS)
 
 
+# forms of a query that a normal form would multiply out, long phrases, stems behind phrases, many literals
+MANY = {
+    "ors_and": (functools.reduce(operator.and_, (q.text(a) | q.text(b) for a, b in OR_PAIRS)), " AND ".join(f"({has(a)} OR {has(b)})" for a, b in OR_PAIRS)),
+    "long_phrase": (q.phrase("of the of") | q.phrase("de la de la"), f"{has('of the of')} OR {has('de la de la')}"),
+    "phrase_stem": (q.prefix("of th") - q.prefix("the the t"), f"{has('of th', prefix=True)} AND NOT {has('the the t', prefix=True)}"),
+    "negated": (~(q.text("the") & ~(q.text("of") | q.text("de"))) & (q.size > 500), f"NOT ({has('the')} AND NOT ({has('of')} OR {has('de')})) AND size > 500"),
+}
+
+
+def _segments(merged: bool):
+    """Two appends, the second of which replaces every third document of the first; searched as they are or merged."""
+    def run(spark, folder):
+        docs = fixture.load_documents(spark, folder)
+        index = Index(spark, f"{work_folder(spark)}/webstrata/segments-{uuid.uuid4().hex}")
+        stale = docs.withColumn("content", F.when(F.pmod("id", F.lit(3)) == 0, F.lit("stale of the")).otherwise(F.col("content")))
+        index.append(stale).append(docs.where(F.pmod("id", F.lit(3)) == 0))
+        queries = {n: SAVED[n][0] for n in ("phrase", "minus", "neither")} | {"stale": q.text("stale")}
+        return (index.merge() if merged else index).search(queries)
+    return run, sql(" UNION ALL ".join(f"SELECT '{n}' AS query_id, site, id FROM r WHERE {c}" for n, c in
+                                       [(n, SAVED[n][1]) for n in ("phrase", "minus", "neither")] + [("stale", has("stale"))]), DOCUMENTS)
+
+
 def _postings_join(spark, folder):
     """Postings with the columns of their resource, counted by type."""
     docs = fixture.load_documents(spark, folder)
@@ -145,6 +172,12 @@ QUERIES = {
                                           "WHERE t.field = 'content' GROUP BY 1", DOCUMENTS, TOKENS)),
     "saved_queries": (_saved, sql(" UNION ALL ".join(f"SELECT '{n}' AS query_id, site, id FROM r WHERE {c}"
                                                      for n, (_, c) in SAVED.items()), DOCUMENTS)),
+    "query_programs": (lambda spark, folder: fixture.document_index(spark, folder).search({name: query for name, (query, _) in MANY.items()}),
+                       sql(" UNION ALL ".join(f"SELECT '{n}' AS query_id, site, id FROM r WHERE {c}" for n, (_, c) in MANY.items()), DOCUMENTS)),
+    "index_vocabulary": (lambda spark, folder: fixture.document_index(spark, folder).view().terms(),
+                         sql("SELECT field, token, count(DISTINCT id) AS df, count(*) AS cf FROM t GROUP BY ALL", DOCUMENTS, TOKENS)),
+    "index_segments": _segments(False),
+    "index_merged": _segments(True),
     "phrase_index": _one("phrase"),
     "prefix_index": _one("stem"),
 }
