@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zlib
@@ -32,14 +33,25 @@ def work_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a table below the work folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write a table below the work folder and read it back: cuts lineage and survives lost executors.
+
+    ``by`` names a column of few values whose rows are written apart, so that they can be read apart."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_memory(name: str) -> dict:
+    """A dict that lives as long as the Python worker.
+
+    Functions travel to the tasks with fresh copies of their module's names, so what tasks of one worker share is kept
+    in a module that every worker has.
+    """
+    return sys.__dict__.setdefault("_webstrata_memory", {}).setdefault(name, {})
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column's text form, modulo ``n`` (NULL ids count as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

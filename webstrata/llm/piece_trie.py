@@ -20,13 +20,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, crc_of, pieces, rows, text_function, texts_of
+from .common import column_of, crc_of, pieces, rows, text_function, texts_of, worker_memory
 from .vocabulary import WordEncoder
 
 MARK = "▁"
@@ -152,15 +153,19 @@ class PieceEncoder(WordEncoder):
 
     def __init__(self, path: str, limit: int = 600_000):
         self.model, self.limit = PieceModel(path), limit
-        self._reset()
+        self._start()
 
     def words(self, text: bytes) -> list[str]:
         return _WORDS.findall(MARK + text.decode("utf-8", "replace").replace(" ", MARK)) if text else []
 
+    def _numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        split = [self.words(t) for t in texts]
+        counts = np.array([len(x) for x in split], dtype=np.int64)
+        return np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum())), counts
+
     def _learn(self, known: int) -> None:
         new = sorted(list(self.index)[known:])
-        while len(self.index) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self._grow()
         paths = list(self.model.paths(new))
         lengths = np.array([len(p) for p in paths], np.int64)
         flat = np.fromiter((k for p in paths for k in p), np.int32, int(lengths.sum()))
@@ -171,13 +176,11 @@ class PieceEncoder(WordEncoder):
         return ids[ids >= 0], counts - 1
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def piece_encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    known = worker_memory("piece encoders")
+    if path not in known:
+        known[path] = PieceEncoder(path)
+    return known[path]
 
 
 def encoded(text: Column, path: str) -> Column:

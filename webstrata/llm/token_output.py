@@ -9,7 +9,7 @@ other by ``block``; parts follow each other by ``part``; documents ascend by ``d
 
 Rank 0 is the most frequent id of the whole corpus (ties: smaller id).  The table ``ranks`` (id by rank) is as long as
 the vocabulary in use and belongs to the files.  NULL and empty texts are the end id alone; repeated and NULL doc_ids
-are kept as they are, NULL first and written as the smallest int64; ties are ordered by their ids' checksum.
+are kept as they are, NULL first and written as the smallest int64; ties are ordered by a hash of their text.
 An empty table gives an empty table.  Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -29,7 +29,8 @@ from .vocabulary import encoder
 BLOCK_IDS = 1 << 20
 PART_IDS = 16 << 20
 NULL_ID = -(1 << 63)
-TOKENS = "doc_id long, crc long, n long, packed binary"
+TOKENS = "kind int, doc_id long, tie long, n long, packed binary"
+OF_DOCUMENT, OF_ID = 0, 1  # kinds of rows: a document's ids; how often an id (in ``doc_id``) occurs in what a task read
 BLOCKS = "part int, block int, before long, n_ids long, doc_ids binary, lengths binary, control binary, data binary"
 # bytes of each of a control byte's four numbers
 WIDTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
@@ -60,41 +61,28 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, crc, n and the ids of each document, packed and compressed."""
+def tokenized(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataFrame:
+    """The ids of each document, packed and compressed, and each task's counts of ids: at most as many rows as the vocabulary has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, codec = encoder(path), pa.Codec("zstd", compression_level=1)
-        kind = "<u2" if coder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+        total = np.zeros(vocabulary, np.int64)
         for batch in pieces(batches, "text"):
             ids, counts = coder.encode(texts_of(batch, "text"), end_id)
-            ends = np.cumsum(counts)
-            each = [ids[a:b] for a, b in zip(ends - counts, ends)]
-            packed = [codec.compress(x.astype(kind).tobytes(), asbytes=True) for x in each]
-            yield rows(TOKENS, column_of(batch, "doc_id"), [crc_of(x) for x in each], counts, packed)
-
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, TOKENS))
-
-
-def unpack(packed: bytes, n: int, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(packed, n * np.dtype(kind).itemsize), kind).astype(np.int64)
+            total += np.bincount(ids, minlength=vocabulary)
+            ids, ends = ids.astype(kind), np.cumsum(counts)
+            packed = [codec.compress(ids[a:b].tobytes(), asbytes=True) for a, b in zip(ends - counts, ends)]
+            yield rows(TOKENS, np.full(len(counts), OF_DOCUMENT), column_of(batch, "doc_id"), column_of(batch, "tie"), counts, packed)
+        seen = np.flatnonzero(total)
+        yield rows(TOKENS, np.full(len(seen), OF_ID), seen, pa.nulls(len(seen)), total[seen], pa.nulls(len(seen)))
 
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, TOKENS)
 
-def id_counts(tokens: DataFrame, vocabulary: int) -> DataFrame:
-    """How often each id occurs in the corpus: one partial table per task, at most as long as the vocabulary."""
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for packed, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.bincount(unpack(packed, n, kind), minlength=vocabulary)
-                total += part
-        seen = np.flatnonzero(total)
-        yield rows("id long, n long", seen, total[seen])
 
-    return tokens.select("packed", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def unpack(codec: pa.Codec, packed: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(codec.decompress(packed, n * np.dtype(kind).itemsize), kind)
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, np.ndarray]:
@@ -104,8 +92,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFram
     spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    tokens = stored(tokenized(docs, path, end_id), "tokens", "none")
-    counts = id_counts(tokens, vocabulary).toPandas()  # at most one row per id of the vocabulary
+    both = stored(tokenized(docs, path, end_id, vocabulary), "tokens", "none", by="kind")
+    tokens = both.where(F.col("kind") == OF_DOCUMENT)
+    counts = both.where(F.col("kind") == OF_ID).groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n")).toPandas()  # one row per id at most
     ranked = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
     rank_of = np.zeros(vocabulary, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
@@ -113,7 +102,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFram
     parts = max(1, -(-int(counts["n"].sum()) // PART_IDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, before = TaskContext.get().partitionId(), 0, 0
+        part, block, before, codec = TaskContext.get().partitionId(), 0, 0, pa.Codec("zstd")
         docs, lengths, held, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -128,15 +117,15 @@ def write_token_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFram
             for doc, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 docs.append(NULL_ID if doc is None else doc)
                 lengths.append(n)
-                held.append(unpack(packed, n, kind))
+                held.append(unpack(codec, packed, n, kind))
                 size += n
                 if size >= BLOCK_IDS:
                     yield flush()
         if docs:
             yield flush()
 
-    ordered = (tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "crc")
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc").select("doc_id", "n", "packed"))
+    ordered = (tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie")
+               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "n", "packed"))
     blocks = stored(ordered.mapInArrow(run, BLOCKS), "token-files", "none")
     return blocks, ranked
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from itertools import chain, islice
+import re
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import ragged
+from .common import ragged, worker_memory
 
 SPECIAL = b"<|"  # how the special tokens of the vocabulary begin
 TOGETHER = 256  # words given to the tokenizer at once
+# letters, then marks that the tokenizer splits off as one word (no apostrophe, nothing that begins a special token)
+_MARKED = re.compile(rb"""([^\x00-\x40\x5b-\x60\x7b-\x7f]+)([]!"#$%&()*+,./:;=?@[\\^_`{}~-]+)""")
 
 
 class _Numbered(dict):
@@ -23,11 +28,12 @@ class _Numbered(dict):
 class WordEncoder:
     """Ids of whole texts for a lower-casing vocabulary whose tokens never cross white space.
 
-    Texts are split at ASCII white space; the ids of a text are those of its words in order, so a table of
-    words and their ids, kept between batches and started anew at ``limit`` words, replaces most of the work.
+    Texts are split at ASCII white space; the ids of a text are those of its words in order, so a table of words and their
+    ids, kept between batches, replaces most of the work.  A batch is first reduced to its distinct words.  At ``limit``
+    words the table lets go of those that were met only once.
     """
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -35,15 +41,32 @@ class WordEncoder:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.split_id = self.tokenizer.token_to_id("<|endoftext|>")
-        self.mark_ids = {m: self.tokenizer.token_to_id(m.decode() + "</w>") for m in (b",", b".")}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self._reset()
+        self._start()
 
-    def _reset(self) -> None:
+    def _start(self) -> None:
         self.index = _Numbered()
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.starts, self.lengths, self.uses = (np.zeros(1 << 18, np.int64) for _ in range(3))
+
+    def _grow(self) -> None:
+        while len(self.index) > len(self.starts):
+            self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
+
+    def _trim(self) -> None:
+        """Keep the words that were met more than once, the half of ``limit`` met most often at most."""
+        uses = self.uses[:len(self.index)]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[:self.limit // 2]])
+        chosen = np.zeros(len(uses), bool)
+        chosen[keep] = True
+        self.index = _Numbered((w, n) for n, w in enumerate(w for w, c in zip(self.index, chosen.tolist()) if c))
+        lengths = self.lengths[keep]
+        ids = self.ids[ragged(self.starts[keep], lengths)]
+        self.ids, self.used = np.concatenate([ids, np.zeros(max(1 << 20, len(ids)), np.int32)]), len(ids)
+        self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros(max(1 << 18, len(x)), np.int64)]) for x in (np.cumsum(lengths) - lengths, lengths, uses[keep] // 2))
 
     @staticmethod
     def words(text: bytes) -> list[bytes]:
@@ -55,22 +78,23 @@ class WordEncoder:
         """Ids of the words numbered since there were ``known``."""
         ascii_words, single, marked, other = [], [], [], []
 
+        def letters(w: bytes) -> bool:  # also in their small form, which may be more than one character
+            return w.isalpha() or w.decode("utf-8", "replace").lower().isalpha()
+
         def kind(w: bytes) -> list[bytes]:
-            return ascii_words if w.isalpha() else other if SPECIAL in w or not w.decode("utf-8", "replace").isalpha() else single
+            return ascii_words if w.isalpha() else single if letters(w) else other
 
         for w in list(islice(self.index, known, None)):
-            mark = self.mark_ids.get(w[-1:])
-            if mark is not None and w[-2:-1].isalpha():  # letters, then one mark: two words to the tokenizer
-                marked.append((self.index[w], w[:-1], mark))
+            parts = None if w.isalpha() else _MARKED.fullmatch(w)
+            if parts is not None and letters(parts[1]):
+                marked.append((w, parts[1], parts[2]))
             else:
                 kind(w).append(w)
         bare = len(self.index)
-        for k, (own, core, mark) in enumerate(marked):
-            marked[k] = own, self.index[core], mark
+        marked = [(self.index[w], self.index[core], self.index[marks]) for w, core, marks in marked]
         for w in islice(self.index, bare, None):
             kind(w).append(w)
-        while len(self.index) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self._grow()
         for a in range(0, len(ascii_words), TOGETHER):
             part = ascii_words[a:a + TOGETHER]
             ids = self._encode(b" ".join(part).decode(), self.bare)
@@ -95,16 +119,13 @@ class WordEncoder:
                 ids = self._encode(w.decode("utf-8", "replace"))
                 self._put([w], ids, np.array([0]), np.array([len(ids)]))
         if marked:
-            own, core, mark = (np.array(x) for x in zip(*marked))
-            lengths = self.lengths[core] + 1
-            ids = np.repeat(mark, lengths).astype(np.int32)
-            keep = np.ones(len(ids), bool)
-            keep[np.cumsum(lengths) - 1] = False
-            ids[keep] = self.ids[ragged(self.starts[core], lengths - 1)]
-            self._append(own, ids, np.cumsum(lengths) - lengths, lengths)
+            own, core, marks = (np.array(x) for x in zip(*marked))
+            both = np.stack([core, marks], axis=1).ravel()
+            lengths = self.lengths[core] + self.lengths[marks]
+            self._append(own, self.ids[ragged(self.starts[both], self.lengths[both])], np.cumsum(lengths) - lengths, lengths)
 
     def _encode(self, text: str, tokenizer=None) -> np.ndarray:
-        return np.array((tokenizer or self.tokenizer).encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
     def _put(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         self._append(np.array([self.index[w] for w in words]), ids, starts, ends - starts)
@@ -116,15 +137,28 @@ class WordEncoder:
         self.starts[numbers], self.lengths[numbers] = starts + self.used, lengths
         self.used += len(ids)
 
+    def _numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of the texts (empty ones among them), and how many each text has."""
+        if any(SPECIAL in t for t in texts):
+            split = [self.words(t) for t in texts]
+            counts = np.array([len(x) for x in split], dtype=np.int64)
+            flat = pa.array([w for x in split for w in x], pa.binary())
+        else:
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+            counts, flat = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().cast(pa.binary())
+        distinct = flat.dictionary_encode()
+        own = np.fromiter(map(self.index.__getitem__, distinct.dictionary.to_pylist()), dtype=np.int64, count=len(distinct.dictionary))
+        return own[distinct.indices.to_numpy()] if len(own) else np.zeros(0, np.int64), counts
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end_id``, and the number of ids of each text."""
         if len(self.index) > self.limit:
-            self._reset()
-        split, known = [self.words(t) for t in texts], len(self.index)
-        counts = np.array([len(x) for x in split], dtype=np.int64)
-        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+            self._trim()
+        known = len(self.index)
+        flat, counts = self._numbered(texts)
         if len(self.index) > known:
             self._learn(known)
+        self.uses[:len(self.index)] += np.bincount(flat, minlength=len(self.index))
         lengths = self.lengths[flat]
         ends = np.append(0, np.cumsum(lengths))
         last = np.cumsum(counts)
@@ -136,11 +170,9 @@ class WordEncoder:
         return out, totals
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker and file; its word table lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    known = worker_memory("encoders")
+    if path not in known:
+        known[path] = WordEncoder(path)
+    return known[path]
