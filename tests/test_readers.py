@@ -1,6 +1,7 @@
 """Readers on small crawl trees written here."""
 
 import gzip
+import io
 import json
 import os
 import random
@@ -13,7 +14,8 @@ from tests.conftest import rows_by
 from webstrata import sources
 from webstrata.functions import scalar
 from webstrata.sources import siteone
-from webstrata.sources.files import list_files
+from webstrata.sources import warc
+from webstrata.sources.files import list_files, packed
 
 
 def put(root, rel, body="x", when=None):
@@ -317,3 +319,60 @@ def test_store_and_prune(spark, pages, tmp_path, buckets):
 def test_type_codes(spark):
     df = spark.createDataFrame([(0,), (10,), (99,)], "type int")
     assert [r.type for r in sources.table.decode_type_codes(df).collect()] == ["", "style", ""]
+
+
+def warc_files_of_many_kinds():
+    rng = random.Random(7)
+    body = lambda n: "".join(rng.choice("abcdefgh \n<>") for _ in range(n)).encode()
+    records = [record("response" if k % 4 else "request", f"https://e.com/{k}", http(200, "text/html", body(rng.choice([0, 50, 700, 3000])))) for k in range(40)]
+    whole, each = b"".join(records), [gzip.compress(r) for r in records]
+    pairs = [gzip.compress(b"".join(records[k:k + 3])) for k in range(0, 40, 3)]
+    junk = records[:9] + [b"junk\xff\0" * 90] + records[9:20] + [records[20][:200] + b"\n"] + records[21:]
+    packed_junk = each[:9] + [b"no gzip at all" * 20] + each[9:20] + [each[20][:60]] + each[21:30] + [b"\1" + each[30][1:]] + each[31:]
+    return {"plain": (whole, False), "members": (b"".join(each), True), "several records a member": (b"".join(pairs), True), "one member": (gzip.compress(whole), True),
+            "blocks": (b"".join(gzip.compress(whole[k:k + 1000]) for k in range(0, len(whole), 1000)), True), "damaged": (b"".join(junk), False),
+            "damaged members": (b"".join(packed_junk), True), "cut off": (whole[:-500], False), "empty": (b"", False), "empty packed": (b"", True)}
+
+
+@pytest.mark.parametrize("kind", list(warc_files_of_many_kinds()))
+def test_ranges_of_a_warc_file_give_what_the_whole_file_gives(kind):
+    data, packed = warc_files_of_many_kinds()[kind]
+    whole = list(warc._records(warc._Stream(io.BytesIO(data), packed), warc._textual))
+    for size in (37, 500, 1234, 5000, len(data) + 1):
+        parts = []
+        for start in range(0, max(1, len(data)), size):
+            raw, stop = io.BytesIO(data), start + size if start + size < len(data) else float("inf")
+            first = warc._first_record(raw, packed, start, stop) if start else 0
+            if first is not None:
+                raw.seek(0)
+                parts.append(list(warc._records(warc._Stream(raw, packed, first), warc._textual, stop)))
+        found = [row for part in parts for row in part]
+        assert [r for r in found if "url" in r] == [r for r in whole if "url" in r], size
+        if kind in ("plain", "members"):
+            assert found == whole and len(parts) >= min(8, len(data) // size)
+        else:
+            assert {r["reason"] for r in found if "reason" in r} == {r["reason"] for r in whole if "reason" in r}
+
+
+def test_one_warc_file_is_read_by_several_tasks(spark, tmp_path):
+    records = [record("response", f"https://e.com/{k}", http(200, "text/html", b"x" * 500)) for k in range(200)]
+    put(tmp_path, "a.warc.gz", b"".join(gzip.compress(r) for r in records))
+    put(tmp_path, "b.warc", b"".join(records))
+    plain = sources.read_warc(spark, str(tmp_path), range_bytes=20_000)
+    whole = sources.read_warc(spark, str(tmp_path), range_bytes=None)
+    assert plain.count() == whole.count() == 400 and plain.exceptAll(whole).isEmpty()
+    tasks = plain.where(F.col("site") == whole.select(F.max("site")).first()[0]).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= 1 and plain.select(F.spark_partition_id().alias("p")).distinct().count() >= 5
+    assert sources.damaged_warc(spark, str(tmp_path), range_bytes=20_000).count() == 0
+
+
+def test_files_are_packed_into_tasks_by_bytes(spark, tmp_path):
+    for k in range(3000):
+        put(tmp_path, f"site/flat/f{k}.html", b"x" * (200_000 if k % 100 == 0 else 10))
+    listed = list_files(spark, str(tmp_path))
+    assert listed.count() == 3000
+    placed = packed(listed, F.col("length"), ["path"], 8 << 20).select("path", "length", F.spark_partition_id().alias("task"))
+    loads = placed.groupBy("task").agg(F.sum(F.col("length") + 65536).alias("bytes"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in loads) == 3000 and max(r.bytes for r in loads) <= (8 << 20) + 200_000 + 65536
+    assert len(loads) <= -(-sum(r.bytes for r in loads) // (8 << 20)) + 4
+    assert packed(listed.limit(0), F.col("length"), ["path"]).count() == 0

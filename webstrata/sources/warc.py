@@ -1,5 +1,11 @@
 """WARC files: one site per file, one row per response record.
 
+Files are read in ranges of bytes, each by itself.  A range begins at the first record start in it and ends at the first
+one behind it, so every record is read once, by the range where it begins.  A record start is a version line followed by
+a well-formed head that names the record's type; in packed files it is what a gzip member inflates to.  Packed
+files of a single member stay one range.  A body that holds such a head itself, unpacked or stored, could be taken for a
+record where a range border falls into it: ``range_bytes=None`` reads every file from its beginning in one piece.
+
 A damaged stretch of a file ends no reading: the stream goes on at the next gzip member, or at the next line that begins a
 record.  ``damaged_warc`` gives each stretch as a row.
 """
@@ -18,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as N
-from .files import BATCH_BYTES, list_level, name_of, open_filesystem
+from .files import BATCH_BYTES, TASK_BYTES, list_level, name_of, open_filesystem, packed
 from .table import conform
 
 _RECORD = "name string, url string, date string, head string, mime string, status int, size long, body binary"
@@ -34,6 +40,9 @@ LONGEST_LINE = 1024 * 1024  # of a record's head; a longer one is damage
 
 
 SLICE = 64 * 1024  # packed bytes inflated at once
+RANGE_BYTES = 128 * 1024 * 1024
+HEAD_BYTES = 64 * 1024  # of a head by which a record start is told
+_START = re.compile(rb"WARC/\d\.\d{1,3}\r?\n(?=(?:[^\n]+\n){0,200}?[Ww][Aa][Rr][Cc]-[Tt][Yy][Pp][Ee]:)(?:[!-9;-~]+:[^\n]*\n|[ \t][^\n]+\n){1,200}?\r?\n")
 
 
 class Damaged(EOFError):
@@ -43,12 +52,15 @@ class Damaged(EOFError):
 class _Stream:
     """The bytes of a file, of its gzip members one after the other if it is packed; reading goes on after ``Damaged``."""
 
-    def __init__(self, raw: BinaryIO, packed: bool):
+    def __init__(self, raw: BinaryIO, packed: bool, start: int = 0):
         self.raw, self.packed = raw, packed
-        self.buffer, self.at, self.passed = b"", 0, 0  # unread bytes from ``at`` on; bytes dropped before the buffer
-        self.input, self.taken = b"", 0  # packed bytes not inflated yet; file offset behind them
+        if start:
+            raw.seek(start)
+        self.buffer, self.at, self.passed = b"", 0, 0 if packed else start  # unread bytes from ``at`` on; bytes dropped before the buffer
+        self.input, self.taken = b"", start if packed else 0  # packed bytes not inflated yet; file offset behind them
         self.last, self.inflate, self.member = b"", None, 0  # slice inflated before, open member, its offset
         self.inside = False  # in a record
+        self.fresh, self.member_from = False, 0  # a member was opened and gave nothing yet; where the open member's bytes begin
 
     @property
     def offset(self) -> int:
@@ -84,7 +96,7 @@ class _Stream:
                 if not MEMBER.match(self.input):
                     self._next_member()
                     raise Damaged("no gzip member begins here")
-                self.inflate, first = zlib.decompressobj(31), True
+                self.inflate, first, self.fresh = zlib.decompressobj(31), True, True
             else:
                 first = False
                 if not self.input and not self.inflate.unconsumed_tail:
@@ -103,13 +115,17 @@ class _Stream:
             if data:
                 if first and self.inside and VERSION.match(data):
                     self.buffer, self.at, self.passed = data, 0, self.passed + len(self.buffer)
+                    self.fresh, self.member_from = False, self.passed
                     raise Damaged("record ends before its length")
                 return data
 
     def _more(self) -> bool:
         data = self._inflated() if self.packed else self.raw.read(PIECE)
         self.passed += self.at
-        self.buffer, self.at = self.buffer[self.at:] + data, 0
+        rest, self.at = self.buffer[self.at:], 0
+        if self.fresh and data:
+            self.fresh, self.member_from = False, self.passed + len(rest)
+        self.buffer = rest + data
         return bool(data)
 
     def read(self, n: int) -> bytes:
@@ -149,6 +165,15 @@ class _Stream:
             pass
         return self.buffer[self.at:self.at + 4] == b"\r\n\r\n"
 
+    def begins_record(self) -> bool:
+        """Whether a record start comes next, as a range looks for it."""
+        if self.packed and self.passed + self.at != self.member_from:
+            return False
+        while not _START.match(self.buffer, self.at) and len(self.buffer) - self.at < HEAD_BYTES and (not self.packed or self.inflate):
+            if not self._more():
+                break
+        return bool(_START.match(self.buffer[self.at:self.at + HEAD_BYTES]))
+
     def next_record(self) -> None:
         """On to the next line that begins a record, or to the end."""
         while not (found := _BEGINS.search(self.buffer, self.at)):
@@ -281,8 +306,46 @@ def _record(stream: _Stream, is_text) -> dict | None:
     return None
 
 
-def _records(stream: _Stream, is_text) -> Iterator[dict]:
-    """Response records, and a row with offset and reason for each damaged stretch, which ends at the next record."""
+def _member_begins_record(raw: BinaryIO, offset: int) -> bool:
+    raw.seek(offset)
+    inflate, data = zlib.decompressobj(31), b""
+    try:
+        while len(data) < HEAD_BYTES and not inflate.eof and (piece := inflate.unconsumed_tail or raw.read(SLICE)):
+            data += inflate.decompress(piece, HEAD_BYTES - len(data))
+    except zlib.error:
+        pass
+    return bool(_START.match(data))
+
+
+def _first_record(raw: BinaryIO, packed: bool, start: int, stop: int) -> int | None:
+    """Offset of the first record start from ``start`` on, if it lies before ``stop``."""
+    mark = MEMBER if packed else VERSION
+    held, at = b"", start
+    while at < stop:
+        raw.seek(at)
+        held = raw.read(SLICE + 8)
+        for found in mark.finditer(held[:SLICE + 6]):
+            offset = at + found.start()
+            if offset >= stop or found.start() >= SLICE:
+                break
+            if packed:
+                right = _member_begins_record(raw, offset)
+            else:
+                raw.seek(offset)
+                right = bool(_START.match(raw.read(HEAD_BYTES)))
+            if right:
+                return offset
+        if len(held) <= SLICE:
+            return None
+        at += SLICE
+    return None
+
+
+def _records(stream: _Stream, is_text, stop: float = float("inf")) -> Iterator[dict]:
+    """Response records, and a row with offset and reason for each damaged stretch, which ends at the next record.
+
+    Ends at the first record start at ``stop`` or behind it.
+    """
     follows = False
     while True:
         start, row = stream.offset, None
@@ -294,7 +357,10 @@ def _records(stream: _Stream, is_text) -> Iterator[dict]:
             if stream.at == len(stream.buffer):
                 if not stream._more():
                     return
-            start, begin, stream.inside = stream.offset, stream.passed + stream.at, True
+            start, begin = stream.offset, stream.passed + stream.at
+            if start >= stop and stream.begins_record():
+                return
+            stream.inside = True
             row = _record(stream, is_text)
             stream.inside, follows = False, False
             ended = stream.packed or stream.ends_here()
@@ -332,12 +398,16 @@ def _read_into(schema: pa.Schema, wanted):
     """Rows of the files that are wanted, in batches of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, name in zip(*(batch.column(c).to_pylist() for c in ("path", "name"))):
+            for path, name, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "start", "stop"))):
                 rows, held = [], 0
                 system, inside = open_filesystem(path)
                 packed = path.endswith(".gz")
-                with system.open_input_stream(inside, compression=None) if packed else system.open_input_file(inside) as raw:
-                    for row in _records(_Stream(raw, packed), _textual):
+                with system.open_input_file(inside) as raw:
+                    first = _first_record(raw, packed, start, stop) if start else 0
+                    if first is None:
+                        continue
+                    raw.seek(0)
+                    for row in _records(_Stream(raw, packed, first), _textual, stop):
                         if not wanted(row):
                             continue
                         rows.append({"path": path, "name": name, **row})
@@ -362,11 +432,26 @@ def warc_files(spark: SparkSession, root: str) -> DataFrame:
     return list_level(spark, root).where(~F.col("folder") & ends).withColumn("name", name_of(F.col("path")))
 
 
-def read_warc(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
-    """Response records of all WARC files in a folder; each file streams through one task."""
-    files = warc_files(spark, root).select("path", "name")
-    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = files.repartition(tasks, "path").mapInArrow(_read_into(_RECORD_ARROW, lambda row: "url" in row), _RECORD)
+def _ranges(spark: SparkSession, root: str, partitions: int | None, range_bytes: int | None) -> DataFrame:
+    """path, name, start and stop of what is read at once, in tasks of about equal bytes."""
+    files, whole = warc_files(spark, root).select("path", "name", "length"), F.lit((1 << 63) - 1)
+    if range_bytes is None:
+        ranges = files.select("path", "name", F.lit(0).cast("long").alias("start"), whole.alias("stop"), F.col("length").alias("bytes"))
+    else:
+        starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), F.lit(range_bytes).cast("long"))
+        each = files.select("path", "name", "length", F.explode(starts).alias("start"))
+        stop = F.col("start") + F.lit(range_bytes)
+        ranges = each.select("path", "name", "start", F.when(stop >= F.col("length"), whole).otherwise(stop).alias("stop"),
+                             F.least(F.col("length") - F.col("start"), F.lit(range_bytes)).alias("bytes"))
+    if partitions:
+        return ranges.repartition(partitions, "path", "start")
+    return packed(ranges, F.col("bytes"), ["path", "start"], range_bytes or TASK_BYTES)
+
+
+def read_warc(spark: SparkSession, root: str, partitions: int | None = None, range_bytes: int | None = RANGE_BYTES) -> DataFrame:
+    """Response records of all WARC files in a folder; a file is read in ranges by several tasks."""
+    ranges = _ranges(spark, root, partitions, range_bytes)
+    rows = ranges.mapInArrow(_read_into(_RECORD_ARROW, lambda row: "url" in row), _RECORD)
     mime = F.col("mime")
     valid = F.is_valid_utf8(F.col("body").cast("string"))
     return conform(rows.select(
@@ -376,8 +461,7 @@ def read_warc(spark: SparkSession, root: str, partitions: int | None = None) ->
         record_time(F.col("date")).alias("created"), record_time(F.col("date")).alias("modified")))
 
 
-def damaged_warc(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+def damaged_warc(spark: SparkSession, root: str, partitions: int | None = None, range_bytes: int | None = RANGE_BYTES) -> DataFrame:
     """Damaged stretches of all WARC files in a folder: file, offset (of packed files that of the member) and reason."""
-    files = warc_files(spark, root).select("path", "name")
-    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(tasks, "path").mapInArrow(_read_into(_DAMAGE_ARROW, lambda row: "reason" in row), _DAMAGE)
+    ranges = _ranges(spark, root, partitions, range_bytes)
+    return ranges.mapInArrow(_read_into(_DAMAGE_ARROW, lambda row: "reason" in row), _DAMAGE)
