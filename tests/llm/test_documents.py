@@ -166,7 +166,7 @@ def test_segmentations_are_summed():
     vocab = language.vocabulary(PIECES)
     chances = np.random.default_rng(1).random((len(vocab) + 1, 2))
     chances /= chances.sum(axis=0)
-    words = ["the", "a", "thing", "çédille", "日本", "zzzzz", "straße", "x" * language.LONGEST]
+    words = ["the", "a", "thing", "çédille", "日本", "zzzzz", "straße", "x" * 40, "日本語" * 9, "hi" * 25, "हिन्दी"]
     with np.errstate(over="ignore"):
         assert np.allclose(language.log_likelihood(vocab, chances, words), [plain_likelihood(vocab, chances, w) for w in words])
         uses = language.expected_counts(vocab, chances[:, 0], ["the"], np.array([2.0]))
@@ -205,11 +205,33 @@ def test_language_not_learnt(spark):
     assert {r.lang_pred for r in language.identify(docs, model, PIECES).select("language.*").collect()} == set(kinds)
 
 
-def test_more_languages_than_learnt(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, "the house", f"l{k % 3}", "s", 1) for k in range(7)], DOCS)
-    monkeypatch.setattr(language, "LANGUAGES", 2)
-    with pytest.warns(UserWarning, match="more than 2 languages"):
-        assert language.fit(docs, PIECES).names == ["l0", "l1"]
+def test_long_words_do_not_underflow():
+    vocab = language.vocabulary(PIECES)
+    chances = np.random.default_rng(1).random((len(vocab) + 1, 2))
+    chances /= chances.sum(axis=0)
+    with np.errstate(over="ignore"):
+        short, long = language.log_likelihood(vocab, chances, ["ab" * 500, "ab" * 50_000])
+        uses = language.expected_counts(vocab, chances[:, 0], ["ab" * 2000], np.array([3.0]))
+    assert np.isfinite(long).all() and np.allclose(long / short, 100, rtol=0.05)
+    assert sum(u * (len(vocab.pieces[k]) if k < len(vocab) else 1) for k, u in enumerate(uses)) == pytest.approx(3 * 4001)
+
+
+def test_words_are_letters_and_their_marks():
+    assert language.words_of("½ ² Ⅷ 7 हिन्दी é x̄y \u0301 a1b".encode()) == ["हिन्दी", "é", "x̄y", "a", "b"]
+
+
+def test_every_language_is_learnt(spark):
+    docs = spark.createDataFrame([(k, f"the house of number {chr(97 + k % 26) * 9} {chr(0x3b1 + k // 26) * 9}", f"l{k:03}", "s", 1) for k in range(600)], DOCS)
+    docs = docs.withColumn("language", F.lit(7))
+    model = language.fit(docs, PIECES, rounds=1)
+    assert len(model.names) == 600
+    found = language.identify(docs.where("doc_id IN (3, 599)"), model, PIECES, "found").select("lang", "found.lang_pred", "language").collect()
+    assert all(r.lang == r.lang_pred and r.language == 7 for r in found)
+
+
+def test_short_and_mixed_pages():
+    assert main_text.main_text("<article><p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> be a number, and so on for all the other words of this one.</p></article>").startswith("Let x+1 be")
+    assert main_text.main_text("<article><p>Plain words &am<b>p;</b> more of them, R&amp;D and so on until the end of it.</p></article>").startswith("Plain words &amp; more of them, R&D")
 
 
 def test_toxicity(spark):

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -194,3 +195,21 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == want
     assert pieces.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole")).where("NOT whole").count() == 0
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    words = lambda x, n=60: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b") + " more"), (3, words("c")), (3, words("c")), (4, words("a")), (5, ""), (5, None), (6, words("c") + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("mine"))
+    got = Counter((r.doc_id, r.component_id) for r in parity_join.parity_components(docs).collect())
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 3): 2, (4, 1): 1, (5, 5): 2, (6, 3): 1}
+    kept = parity_join.kept(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, (r.text or "")[:2]) for r in kept.collect()) == {(1, "a0"): 1, (1, "b0"): 1, (3, "c0"): 1, (5, ""): 1}
+
+
+def test_short_quotes_of_longer_paragraphs_are_linked(spark):
+    said = "I lost my key.\nWhere is it?\nTell me."
+    rows = [(1, 0, "user", said), (1, 1, "user", "Nothing to say."), (1, 2, "user", "> Where is it?\n\nOn the table.")]
+    got = {r.turn: r for r in quotes.conversations_in_reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[2].reply_to == 0 and got[2].thread == 0 and got[2].n_linked == 1 and got[1].reply_to is None

@@ -4,50 +4,47 @@ Pieces come from a fixed public vocabulary.  For each language, piece probabilit
 maximisation over word counts of training documents; a word's probability is the sum over all ways to cut it into
 pieces (forward algorithm), a document's that of its words times the language's share of the training documents.
 
-Words are runs of letters, lower-cased, with a mark in front; a run longer than ``LONGEST`` letters is read in stretches
-of that length.  NULL texts and texts without a letter are ``und`` with score 0.  Ties go to the first language in
+Words are runs of letters and of the marks that combine with them, lower-cased, with a mark in front, however long: the
+forward array is rescaled on its way.  NULL texts and texts without a letter are ``und`` with score 0.  Ties go to the first language in
 alphabetical order.  The posterior only compares the learnt languages; whether a text is in any of them is told by its
 fit, the mean log probability a letter under the language found, less the least that the language's training documents
 let expect (``floor``).  ``kept`` asks for both.  Repeated rows are scored alike; extra columns pass through ``identify`` untouched.  Training rows
-with NULL language or text are left out; with no training rows at all every document is ``und``.  Languages beyond the
-``LANGUAGES`` most frequent ones are not learnt, of which ``fit`` warns.
+with NULL language or text are left out; with no training rows at all every document is ``und``.  Every language of the
+training rows is learnt; the driver and the tasks hold one number per piece and language.
 """
 
 from __future__ import annotations
 
-import re
-import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, rows, stored, text_function, texts_of
+from .common import pieces, rows, stored, text_function, texts_of, worker_memory
 
 DOCS_A_LANGUAGE = 2_000  # training documents per language, about
-LANGUAGES = 512  # the most frequent languages are learnt
 ROUNDS = 3
-LONGEST = 32
+CELLS = 4_000_000  # numbers of a forward array, about
+RESCALE = 8  # positions after which a forward array is rescaled
 WORDS_KEPT = 400_000  # words whose probabilities a worker remembers
 MARK = "▁"
 KEEP_AT = 0.5
 #: The floor lies this many times as far below the median fit as the low quantile, and so many shares of the median below it, at least and at most.
 LOW, TIMES, LEAST, MOST = 0.01, 3, 0.25, 0.75
 PREDICTED = "lang_pred string, score double"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[str]:
+    """Runs of letters and marks that hold a letter."""
     words = _LETTERS.findall(text.decode("utf-8", "replace").lower())
-    if any(len(w) > LONGEST for w in words):
-        return [w[k:k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
-    return words
+    return [w for w in words if w[0].isalpha() or any(map(str.isalpha, w))]
 
 
 def _hashes(code_points: np.ndarray) -> np.ndarray:
@@ -107,46 +104,70 @@ class Vocabulary:
                 yield end, end - 1, hit, np.full(len(hit), len(self.pieces))
 
 
-@cache
 def vocabulary(path: str) -> Vocabulary:
-    with np.errstate(over="ignore"):
-        return Vocabulary(path)
+    known = worker_memory("language pieces")
+    if path not in known:
+        with np.errstate(over="ignore"):
+            known[path] = Vocabulary(path)
+    return known[path]
 
 
-def _by_length(words: list[str]) -> Iterator[np.ndarray]:
+def _by_length(words: list[str], width: int) -> Iterator[np.ndarray]:
+    """Places of words of one length, so many that an array of ``width`` numbers for each of their letters stays bounded."""
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
-        yield np.flatnonzero(lengths == n)
+        same = np.flatnonzero(lengths == n)
+        step = max(1, CELLS // ((int(n) + 2) * width))
+        for a in range(0, len(same), step):
+            yield same[a:a + step]
+
+
+def _summed(steps, size: int, shape: tuple[int, ...], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all ways from place 0 to each place, as numbers and the logarithms of their scales.
+
+    ``steps`` are (to, from, which words, weights) by ascending ``to``, none longer than ``reach``.
+    """
+    value, scale = np.zeros((size + 1, *shape)), np.zeros((size + 1, *shape))
+    value[0] = 1
+    now, done = np.zeros(shape), 0
+    for to, start, hit, weight in steps:
+        if to > done:
+            if done % RESCALE == 0 and done:
+                window = slice(max(0, done + 1 - reach), done + 1)
+                top = value[window].max(axis=0)
+                value[window] /= top
+                now = now + np.log(top)
+                scale[window] = now
+            done = to
+            scale[to] = now
+        value[to, hit] += value[start, hit] * weight
+    return value, scale
 
 
 def log_likelihood(vocab: Vocabulary, chances: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language (columns of ``chances``), summed over segmentations."""
     out = np.zeros((len(words), chances.shape[1]))
-    for group in _by_length(words):
+    for group in _by_length(words, chances.shape[1]):
         same = [words[k] for k in group]
-        forward = np.zeros((len(same[0]) + 2, len(same), chances.shape[1]))
-        forward[0] = 1
-        for end, start, hit, ids in vocab.lattice(same):
-            forward[end, hit] += forward[start, hit] * chances[ids]
-        out[group] = np.log(np.maximum(forward[-1], 1e-300))
+        steps = ((end, start, hit, chances[ids]) for end, start, hit, ids in vocab.lattice(same))
+        value, scale = _summed(steps, len(same[0]) + 1, (len(same), chances.shape[1]), max(vocab.table, default=1))
+        out[group] = np.log(np.maximum(value[-1], 1e-300)) + scale[-1]
     return out
 
 
 def expected_counts(vocab: Vocabulary, chances: np.ndarray, words: list[str], times: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, for one language."""
-    total = np.zeros(len(vocab) + 1)
-    for group in _by_length(words):
+    total, reach = np.zeros(len(vocab) + 1), max(vocab.table, default=1)
+    for group in _by_length(words, 2):
         same = [words[k] for k in group]
-        steps = list(vocab.lattice(same))
-        forward, backward = np.zeros((2, len(same[0]) + 2, len(same)))
-        forward[0] = backward[-1] = 1
-        for end, start, hit, ids in steps:
-            forward[end, hit] += forward[start, hit] * chances[ids]
-        for end, start, hit, ids in sorted(steps, key=lambda s: -s[0]):
-            backward[start, hit] += backward[end, hit] * chances[ids]
-        scale = times[group] / np.maximum(forward[-1], 1e-300)
+        size, steps = len(same[0]) + 1, list(vocab.lattice(same))
+        forward, up = _summed(((end, start, hit, chances[ids]) for end, start, hit, ids in steps), size, (len(same),), reach)
+        back = sorted(steps, key=lambda s: -s[1])  # the same ways from the other end
+        backward, down = _summed(((size - start, size - end, hit, chances[ids]) for end, start, hit, ids in back), size, (len(same),), reach)
+        whole = np.log(np.maximum(forward[-1], 1e-300)) + up[-1]
         for end, start, hit, ids in steps:
-            total += np.bincount(ids, forward[start, hit] * chances[ids] * backward[end, hit] * scale[hit], minlength=len(total))
+            share = forward[start, hit] * chances[ids] * backward[size - end, hit] * np.exp(up[start, hit] + down[size - end, hit] - whole[hit])
+            total += np.bincount(ids, share * times[group][hit], minlength=len(total))
     return total
 
 
@@ -193,10 +214,7 @@ def fit(docs: DataFrame, path: str, docs_a_language: int = DOCS_A_LANGUAGE, roun
     the driver sees language counts and one number per piece and language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).toPandas()
-    if len(counted) > LANGUAGES:
-        warnings.warn(f"more than {LANGUAGES} languages: only the most frequent ones are learnt", stacklevel=2)
-    counted = counted[:LANGUAGES].sort_values("lang")
+    counted = usable.groupBy("lang").count().toPandas().sort_values("lang")
     names = counted["lang"].tolist()
     vocab_size = len(vocabulary(path)) + 1
     if not names:
@@ -275,10 +293,11 @@ def _smoothed(mass: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, model: Languages, path: str, name: str = "language", fit: bool = False) -> DataFrame:
     """The documents with one more column: a struct of lang_pred and score, and of fit if asked for (0 or more: as good as
     the training documents let expect)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast object would need its class in every worker
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.prior, model.chances, model.floor))
 
     def build():
-        model = shared.value
+        model = Languages(*shared.value)
         seen = _Words(vocabulary(path), model.chances)
 
         def work(texts: list[bytes]) -> list:

@@ -17,19 +17,18 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column
 
-from .common import text_function
+from .common import text_function, worker_memory
 
 # fixed values: HTML element names, and words that sites use in class, id and role attributes
 BLOCK_TAGS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                  "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody "
                  "td tfoot th thead tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED_TAGS = set("head iframe math noembed noframes noscript object script select style svg template textarea title".split())
+SKIPPED_TAGS = set("head iframe noembed noframes noscript object script select style svg template textarea title".split())
 RAW_TAGS = set("script style textarea title iframe noembed noframes noscript".split())
 BOILERPLATE_TAGS = set("nav footer aside form menu dialog button fieldset".split())
 MAIN_TAGS = {"article", "main"}
@@ -148,13 +147,14 @@ class _Reader:
             return
         if self.breaks and not raw.isspace():
             self.breaks = 0
-        self.parts.append(raw)
+        decoded = html.unescape(raw)  # a reference ends with its piece of text
+        self.parts.append(decoded)
         if self.in_link:
-            self.linked += len(" ".join(raw.split()))
+            self.linked += len(" ".join(decoded.split()))
 
     def close_block(self) -> None:
         if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
+            text = " ".join("".join(self.parts).split())
             if text:
                 self.blocks.append(Block(text, self.linked, self.open[-1].boilerplate, self.open[-1].main, self.open[-1].mark))
         self.parts, self.linked, self.breaks = [], 0, 0
@@ -324,10 +324,13 @@ def classify(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-@cache
 def tree() -> Node:
-    table = np.array([[float(v) for v in row.split()] for line in LABELLED.split("\n") for row in line.split("|") if row.strip()])
-    return grow(table[:, :-1], table[:, -1])
+    """The classifier, grown once a worker."""
+    known = worker_memory("main text")
+    if LABELLED not in known:
+        table = np.array([[float(v) for v in row.split()] for line in LABELLED.split("\n") for row in line.split("|") if row.strip()])
+        known[LABELLED] = grow(table[:, :-1], table[:, -1])
+    return known[LABELLED]
 
 
 def main_text(page: str) -> str:

@@ -53,7 +53,7 @@ forms AS (
   UNION ALL SELECT r, run, kind, trim(regexp_replace(lower(content), '[ \\t\\r\\n\\f]+', ' ', 'g')), true FROM runs WHERE kind >= 0
   UNION ALL SELECT r, 0, 0, trim(regexp_replace(lower(own), '[ \\t\\r\\n\\f]+', ' ', 'g')), false FROM owned),
 units AS (SELECT DISTINCT m.conv_id, m.turn, f.r, f.run, f.level, f.form FROM forms f JOIN messages m USING (r)
-          WHERE form <> '' AND (NOT line OR length(form) >= 16) AND conv_id IS NOT NULL AND turn IS NOT NULL),
+          WHERE form <> '' AND (NOT line OR level = 0 OR length(form) >= 16) AND conv_id IS NOT NULL AND turn IS NOT NULL),
 originals AS (SELECT conv_id, form, min(turn) AS original FROM units WHERE level = 0 GROUP BY ALL),
 found AS (SELECT u.conv_id, u.turn, u.level, o.original, u.run, max(length(u.form)) AS chars
           FROM units u JOIN originals o ON o.conv_id = u.conv_id AND o.form = u.form WHERE u.level > 0 AND o.original < u.turn GROUP BY ALL),

@@ -17,22 +17,21 @@ XOR) are compared, and pairs whose Hamming distance allows the similarity are ch
 Sketch segments travel in packed pieces, one per task batch and bucket, not as rows.  Within a task a set that repeats is
 sent once, so thousands of copies cost no more than one per task.
 
-NULL and empty texts have empty sets and link with nothing; a shorter text than a shingle is one shingle.  Rows that
-repeat a doc_id are told apart by their sets.  Sets known only from rows with a NULL doc_id take no part, and such rows
+NULL and empty texts have empty sets and link with nothing; a shorter text than a shingle is one shingle.  Sets go by
+their own keys throughout, so rows that repeat a doc_id are told apart by their sets; ids only enter at the end.  Sets known only from rows with a NULL doc_id take no part, and such rows
 have a NULL component.  Result columns replace columns of the same name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, pieces, rows, stored, tasks_for, texts_of
+from .common import column_of, pieces, rows, stored, tasks_for, texts_of, worker_memory
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -53,7 +52,6 @@ FILTER_BITS = 23  # of the filter that lets documents without partners go early:
 _MASK = np.uint64((1 << BITS) - 1)
 
 
-@cache
 def bands(largest: int, similar: int = SIMILAR) -> list[tuple[int, int, int, int]]:
     """Lower size, first size above, largest partner size and segments d + 1 of each band up to a size."""
     out, low = [], 1
@@ -74,7 +72,8 @@ def segments(shingles: np.ndarray, common: np.ndarray, similar: int = SIMILAR) -
     top = 1
     while top < n:
         top *= 2
-    for number, (low, high, partner, wanted) in enumerate(bands(top, similar)):
+    known = worker_memory("parity bands")
+    for number, (low, high, partner, wanted) in enumerate(known.get((top, similar)) or known.setdefault((top, similar), bands(top, similar))):
         if low > n:
             break
         if n > partner:
@@ -158,11 +157,11 @@ def common_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return np.sort(listed), sum(n for k, n in numbers.items() if k >= 0) / max(1, numbers.get(-1, 0))
 
 
-FOUND = "segment long, set long, smallest long, doc_id long, n long, c1 long, c2 long"
+FOUND = "segment long, set long, smallest long, doc_id long, n long, c1 long, c2 long, text long"
 
 
 def sets_and_groups(docs: DataFrame, buckets: int, common: np.ndarray, similar: int = SIMILAR) -> DataFrame:
-    """Rows of two kinds from one reading of the texts: doc_id, n, c1 and c2 of each document (``segment`` is NULL), and
+    """Rows of two kinds from one reading of the texts: doc_id, n, c1, c2 and the text's hash of each document (``segment`` is NULL), and
     ``segment``, ``set`` and the group's smallest set for every segment that two sets or more look for."""
     shared, width = docs.sparkSession.sparkContext.broadcast(common), BITS // 8
 
@@ -183,7 +182,8 @@ def sets_and_groups(docs: DataFrame, buckets: int, common: np.ndarray, similar:
                         owners.append(np.full(len(sketches[-1]), _short(key[0]), np.uint64))
                 ids = column_of(batch, "doc_id")
                 known = np.asarray(ids.is_valid())
-                each = np.stack([np.asarray(ids.fill_null(0)), np.array(sizes), *np.array(keys, np.int64).reshape(-1, 2).T, known.astype(np.int64)], axis=1)
+                each = np.stack([np.asarray(ids.fill_null(0)), np.array(sizes), *np.array(keys, np.int64).reshape(-1, 2).T, known.astype(np.int64),
+                                 np.asarray(column_of(batch, "hash"))], axis=1)
                 to = (mixed(each[:, 0].astype(np.uint64) + each[:, 2].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 yield dealt(to, each.view(np.uint8), 1)
                 if sketches:
@@ -200,7 +200,7 @@ def sets_and_groups(docs: DataFrame, buckets: int, common: np.ndarray, similar:
 
     def meet(key, sent):
         kinds, packed = sent["kind"].to_pylist(), sent["packed"].to_pylist()
-        each = np.frombuffer(b"".join(p for p, k in zip(packed, kinds) if k), np.int64).reshape(-1, 5)
+        each = np.frombuffer(b"".join(p for p, k in zip(packed, kinds) if k), np.int64).reshape(-1, 6)
         entries = np.frombuffer(b"".join(p for p, k in zip(packed, kinds) if not k), np.uint8).reshape(-1, 2 * width)
         both = np.zeros((2, len(entries), 8), np.uint8)
         both[0, :, :width], both[1, :, :width] = entries[:, :width], entries[:, width:]
@@ -215,23 +215,27 @@ def sets_and_groups(docs: DataFrame, buckets: int, common: np.ndarray, similar:
         segment = sketch[members].astype(np.int64) + (key[0].as_py() << BITS)
         m, d = len(segment), len(each)
         no = lambda n: pa.nulls(n, pa.int64())
-        groups = rows(FOUND, segment, owner[members].astype(np.int64), np.repeat(owner[first], size)[members].astype(np.int64), no(m), no(m), no(m), no(m))
-        sets = rows(FOUND, no(d), no(d), no(d), pa.array(each[:, 0], mask=each[:, 4] == 0), each[:, 1], each[:, 2], each[:, 3])
+        groups = rows(FOUND, segment, owner[members].astype(np.int64), np.repeat(owner[first], size)[members].astype(np.int64), no(m), no(m), no(m), no(m), no(m))
+        sets = rows(FOUND, no(d), no(d), no(d), pa.array(each[:, 0], mask=each[:, 4] == 0), each[:, 1], each[:, 2], each[:, 3], each[:, 5])
         return pa.Table.from_batches([groups, sets])
 
-    sent = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, "bucket int, kind int, packed binary"))
+    sent = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("hash")).mapInArrow(send, "bucket int, kind int, packed binary"))
     return sent.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def texts_with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, text, n and bit sketch of the wanted (rep, set): rows of the id whose text has that set."""
+    """rep, text, n and bit sketch of the wanted sets (rep, doc_id): rows of the id whose text has that set."""
     schema = "rep long, text string, n long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in pieces(batches, "text", PIECE):
                 sets = shingle_sets(texts_of(batch, "text"))
-                right = np.array([set_keys(s)[0] == c for s, c in zip(sets, column_of(batch, "c1").to_pylist())], bool)
+                right = np.array([set_keys(s)[0] == c for s, c in zip(sets, column_of(batch, "rep").to_pylist())], bool)
                 keep = batch.filter(pa.array(right))
                 chosen = [s for s, k in zip(sets, right) if k]
                 yield rows(schema, column_of(keep, "rep"), column_of(keep, "text"), [len(s) for s in chosen], [bit_sketch(s) for s in chosen])
@@ -239,11 +243,10 @@ def texts_with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # most documents have no partner and go before the shuffle: a bit per hashed id, in a table of bounded length
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     word, bit = lambda c: F.shiftright(place(c), 6), lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
-    bits = wanted.groupBy(word("rep").alias("word")).agg(F.bit_or(bit("rep")).alias("bits"))
-    maybe = (docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).withColumn("word", word("rep"))
-             .join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit("rep")) != 0).select("rep", "text"))
-    found = maybe.join(wanted, "rep")
-    return found.select("rep", "text", "c1").mapInArrow(run, schema)
+    bits = wanted.groupBy(word("doc_id").alias("word")).agg(F.bit_or(bit("doc_id")).alias("bits"))
+    maybe = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).withColumn("word", word("doc_id"))
+             .join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text"))
+    return maybe.join(wanted, "doc_id").select("rep", "text").mapInArrow(run, schema)
 
 
 def checked(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -341,23 +344,24 @@ def across(groups: DataFrame, known: DataFrame, texts: DataFrame, similar: int =
     return of_small.union(of_large).distinct()
 
 
-def parity_components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+def _judged(docs: DataFrame, similar: int) -> DataFrame:
+    """doc_id, n, the text's hash, ``node`` (a key of its component; NULL without a set or an id) and component_id of each row."""
     spark = docs.sparkSession
     common, mean = common_shingles(docs)
     buckets = tasks_for(spark, int(docs.count() * mean / 2), BUCKET_ENTRIES)
     both = stored(sets_and_groups(docs, buckets, common, similar), "parity-groups")
-    sets = both.where("segment IS NULL").select("doc_id", "n", "c1", "c2")
+    sets = both.where("segment IS NULL").select("doc_id", "n", "c1", "text")
     found = both.where("segment IS NOT NULL").select("segment", "set", "smallest")
-    classes = stored(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "parity-classes")
+    # a set's name is its key; any row that holds it can show its text
+    classes = stored(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("c1").alias("rep")).agg(F.min("doc_id").alias("doc_id")), "parity-classes")
     # a set that by chance shares its short key with another is taken for both; each pair is checked later
-    names = stored(classes.select("rep", "c1", F.col("c1").bitwiseAND((1 << BITS) - 1).alias("set")), "parity-names")
+    names = stored(classes.select("rep", "doc_id", F.col("rep").bitwiseAND((1 << BITS) - 1).alias("set")), "parity-names")
     groups = stored(found.join(names, "set").select("segment", "rep"), "parity-members")
     best = (found.where("set <> smallest").groupBy("set", "smallest").count().groupBy("set")
             .agg(F.max(F.struct("count", "smallest")).alias("m")).select("set", "m.smallest"))
     first = stored(best.join(names, "set").select("smallest", F.col("rep").alias("a")).join(names.select(F.col("set").alias("smallest"), F.col("rep").alias("b")), "smallest")
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "parity-first")
-    texts = stored(texts_with_sets(docs, names.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", "c1")), "parity-texts")
+    texts = stored(texts_with_sets(docs, names.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id")), "parity-texts")
     links = stored(checked(first, texts, similar), "parity-links")
     # groups that overlap hold the same sets again and again: the one with most members of each set comes first, and there
     # the nearest sketches only, so that what hangs together does so before all pairs across components are looked at
@@ -368,17 +372,39 @@ def parity_components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     links, tried = links.union(stored(checked(near, texts, similar), "parity-links")), first.union(near)
     more = stored(across(groups, components(links, "parity-components"), texts, similar).join(tried, ["a", "b"], "left_anti"), "parity-more")
     links = links.union(stored(checked(more, texts, similar), "parity-links"))
-    grouped = components(links, "parity-components").select(F.col("node").alias("rep"), "component")
-    result = stored(classes.join(grouped, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id")), "parity-result")
-    return (sets.join(result, ["c1", "c2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+    grouped = stored(components(links, "parity-components").join(classes, F.col("node") == F.col("rep")).select("rep", "component", "doc_id"), "parity-linked")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("least"))
+    result = stored(classes.join(grouped.join(least, "component").select("rep", "component", "least"), "rep", "left")
+                    .select(F.col("rep").alias("c1"), F.coalesce("component", "rep").alias("node"), F.coalesce("least", "doc_id").alias("component_id")), "parity-result")
+    own = F.col("n") > 0
+    return (sets.join(result, "c1", "left")
+            .select("doc_id", "n", "text", F.when(own & F.col("doc_id").isNotNull(), F.col("node")).alias("node"),
+                    F.when(F.col("doc_id").isNotNull(), F.when(own, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")))
+
+
+def parity_components(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row."""
+    return _judged(docs, similar).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def kept(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns as they were.
 
-    Of rows that share that id the one whose text hashes lowest stays.  Rows with a NULL id all stay.
+    Of rows of a component that share that id the one whose text hashes lowest stays, and one of rows that are repeated.
+    Rows with a NULL id all stay.
     """
-    ids = parity_components(docs, similar).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(ids, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.coalesce("text", F.lit("")))).alias("row"))
+    judged = stored(_judged(docs, similar), "parity-judged")
+    linked = judged.where("node IS NOT NULL AND doc_id = component_id").groupBy("node", "doc_id").agg(F.min("text").alias("hash")).select("doc_id", "hash")
+    alone = judged.where("node IS NULL AND doc_id IS NOT NULL").select("doc_id", F.col("text").alias("hash"))
+    wanted, hashed = linked.union(alone).distinct(), docs.withColumn(_free(docs, "hash"), _text_hash())
+    name = hashed.columns[-1]
+    found = hashed.join(wanted.select(F.col("doc_id"), F.col("hash").alias(name)), ["doc_id", name])
+    one = found.groupBy("doc_id", name).agg(F.first(F.struct(*docs.columns)).alias("row"))
     return one.select("row.*").union(docs.where(F.col("doc_id").isNull()))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -1,9 +1,9 @@
 """Quoted passages linked to the messages they come from, and conversations in reply order without the quotes.
 
 A line's quote level is the number of ``>`` at its beginning.  Runs of lines of one level without a blank one are
-passages.  A quoted passage, and each of its lines of ``LEAST_CHARS`` characters or more, is looked up by the hash of its
-normalised form (small letters, single spaces) among the own texts of the conversation: whole messages, their
-passages and their lines.  The original is the first message that says it, and counts if its turn is earlier.  A message
+passages.  A quoted passage, and each line of ``LEAST_CHARS`` characters or more inside a longer one, is looked up by the
+hash of its normalised form (small letters, single spaces) among the own texts of the conversation: whole messages,
+their passages and all their lines, however short.  The original is the first message that says it, and counts if its turn is earlier.  A message
 replies to the original of its outermost linked quotes, the one it quotes most of (ties: the later turn).
 
 Threads begin with messages that reply to nothing; a conversation is ordered by the first turns of its threads, then by
@@ -62,10 +62,10 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def _units(passages: Column) -> Column:
-    """Level, passage number and normalised form of each passage and of its longer lines."""
+    """Level, passage number and normalised form of each passage and of its lines, of quoted ones of the longer lines."""
     def of(p: Column, number: Column) -> Column:
         forms = F.concat(F.array(normalised(F.array_join(p.lines, " "))),
-                         F.filter(F.transform(p.lines, normalised), lambda x: F.length(x) >= LEAST_CHARS))
+                         F.filter(F.transform(p.lines, normalised), lambda x: (p.level == 0) | (F.length(x) >= LEAST_CHARS)))
         return F.transform(F.array_distinct(forms), lambda x: F.struct(p.level.alias("level"), number.alias("number"), x.alias("form")))
     return F.flatten(F.transform(passages, of))
 
