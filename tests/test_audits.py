@@ -159,6 +159,10 @@ def test_group_helpers_on_a_hot_key(spark):
     sized = groups.with_group_size(df, ["title"], ["site", "id"], "n")
     got = {r.n: r["count"] for r in sized.groupBy("n").count().collect()}
     assert got == {3000: 3000, 1: 6000}
+    nulls = groups.with_group_size(df.withColumn("title", F.when(F.col("id") < 3, F.col("title"))), ["title"], ["site", "id"], "n")
+    assert nulls.count() == 9000 and nulls.agg(F.max("n")).first()[0] == 1 and nulls.columns == ["site", "id", "title", "n"]
+    plan = sized._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "_salt" not in plan
     newest = groups.latest_by(df.withColumn("x", F.col("id") % 7), ["title"], [F.col("x"), -F.col("id")])
     hot = newest.where("title = 'hot'").first()
     assert (hot.x, hot.id) == (6, 6) and newest.count() == df.select("title").distinct().count()

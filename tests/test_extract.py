@@ -276,3 +276,14 @@ def test_task_functions_need_no_installed_package():
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(markdown.markdown_text), capture_output=True, cwd="/",
                           env={"PATH": "/usr/bin"}, timeout=60)
     assert done.stdout.strip() == b"# x", done.stderr
+
+
+def test_tests_of_attributes_and_sums(spark):
+    page = "<p class='x y' data-n='3'>4</p><p data-n=' 2.5 '>x</p><p>7 apples</p><p data-n=''></p><div class=z>1</div>"
+    shredded = dom.shred_html(table(spark, page, "<p>none</p>"))
+    n = lambda **how: [r.n for r in dom.count_nodes(shredded, **how).orderBy("id").collect()]
+    assert n(tag="p", missing=["class"]) == [3, 1] and n(tag="p", contains={"class": "y"}) == [1, 0] and n(attr="data-n", missing=["class"]) == [2, 0]
+    assert n(equals={"class": "z"}) == [1, 0]
+    total = lambda **how: [(r.total, r.without_number) for r in dom.sum_nodes(shredded, **how).orderBy("id").collect()]
+    assert total(tag="p", attr="data-n") == [(5.5, 2), (0.0, 1)] and total(tag="p", pattern="([0-9]+)") == [(11.0, 2), (0.0, 1)]
+    assert [r.value for r in dom.select_nodes(shredded, "p", attr="data-n", missing=["class"]).orderBy("node").collect()] == ["2.5", ""]

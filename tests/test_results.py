@@ -1,5 +1,8 @@
 """Result shapes, scalar rules, and the plans behind them."""
 
+from datetime import datetime
+
+
 import json
 
 import pytest
@@ -154,3 +157,43 @@ def test_pages_of_any_size_and_keyset(pages):
         first = R.page(seen, sort, 7).collect()
         rest = R.page(seen, sort, 500, after=first[-1].asDict()).collect()
         assert [(r.id, r.site) for r in first + rest] == whole
+
+
+def test_stratified_sample_is_exact_and_repeatable(spark):
+    df = spark.range(6000).select((F.col("id") % 3).alias("site"), "id", F.when(F.col("id") < 5000, "html").when(F.col("id") < 5004, "img").otherwise(F.lit(None)).alias("type"))
+    one, two = R.stratified_sample(df, 50, 7), R.stratified_sample(df.repartition(13), 50, 7)
+    assert {r.type: r["count"] for r in one.groupBy("type").count().collect()} == {"html": 50, "img": 4, None: 50}
+    assert one.columns == df.columns and one.exceptAll(two).isEmpty() and not one.exceptAll(R.stratified_sample(df, 50, 8)).isEmpty()
+    assert R.stratified_sample(df, 1500, 7).where("type = 'html'").count() == 1500
+    assert one._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2     # reduced before the exchange
+
+
+def test_later_captures_replace_earlier_ones(spark, tmp_path):
+    from webstrata.schema import RESOURCE
+    from webstrata.sources import load_resources, merge_resources
+    path = str(tmp_path / "t")
+    row = lambda site, k, text, day: (site, k, f"u{k}", "html", 200, 1, 0, None, text, None, datetime(2024, 1, day) if day else None)
+    make = lambda *rows: spark.createDataFrame(rows, RESOURCE)
+    merge_resources(spark, path, make(row(1, 1, "a", 2), row(1, 2, "b", 2), row(2, 3, "c", None), row(1, 1, "older", 1)), 4)
+    merge_resources(spark, path, make(row(1, 1, "new", 3), row(1, 2, "late", 1), row(2, 3, "again", None), row(5, 9, "same bucket", 1)), 4)
+    got = {(r.site, r.id): r.content for r in load_resources(spark, path).collect()}
+    assert got == {(1, 1): "new", (1, 2): "b", (2, 3): "again", (5, 9): "same bucket"}
+    merge_resources(spark, path, make(), 4)
+    assert load_resources(spark, path).count() == 4
+    import glob
+    import pyarrow.parquet as pq
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(1) for f in glob.glob(f"{path}/site_bucket=*/*.parquet")]
+    assert columns and all(c.path_in_schema == "id" for c in columns)
+    untouched = {f for f in glob.glob(f"{path}/site_bucket=2/*.parquet")}
+    merge_resources(spark, path, make(row(1, 1, "newest", 9)), 4)
+    assert untouched == {f for f in glob.glob(f"{path}/site_bucket=2/*.parquet")}                    # only buckets of the captures are written
+
+
+def test_bloom_filters_are_written(spark, tmp_path):
+    from webstrata.sources import merge_resources
+    path = str(tmp_path / "t")
+    merge_resources(spark, path, spark.range(500).selectExpr("1L AS site", "xxhash64(id) AS id", "concat('u', id) AS url", "'html' AS type", "200 AS status", "1L AS size", "0 AS time",
+                                                            "'' AS headers", "'x' AS content", "CAST(NULL AS TIMESTAMP) AS created", "CAST(NULL AS TIMESTAMP) AS modified"), 2)
+    import glob
+    raw = b"".join(open(f, "rb").read() for f in glob.glob(f"{path}/*/*.parquet"))
+    assert len(raw) > 2 * 100_000                                                                      # two filters sized for 100,000 values

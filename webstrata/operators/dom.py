@@ -50,7 +50,8 @@ def nodes(shredded: DataFrame) -> DataFrame:
     return shredded.select("site", "id", "url", F.explode("dom.nodes").alias("n")).select("site", "id", "url", "n.*")
 
 
-def _matches(node: Column, tag: str | None, attr: str | None, path: str | None, equals: dict[str, str]) -> Column:
+def _matches(node: Column, tag: str | None, attr: str | None, path: str | None, equals: dict[str, str],
+             contains: dict[str, str] | None = None, missing: list[str] | None = None) -> Column:
     test = node["kind"] == "element"
     if tag is not None:
         test = test & (node["tag"] == tag)
@@ -60,6 +61,10 @@ def _matches(node: Column, tag: str | None, attr: str | None, path: str | None,
         test = test & F.map_contains_key(node["attrs"], attr)
     for name, value in equals.items():
         test = test & (F.try_element_at(node["attrs"], F.lit(name)) == value)
+    for name, part in (contains or {}).items():
+        test = test & F.contains(F.try_element_at(node["attrs"], F.lit(name)), F.lit(part))
+    for name in missing or []:
+        test = test & ~F.map_contains_key(node["attrs"], name)
     return F.coalesce(test, F.lit(False))
 
 
@@ -73,13 +78,15 @@ def _value(dom: Column, n: Column, attr: str | None, text: bool, tail: bool) ->
 
 
 def select_nodes(shredded: DataFrame, tag: str | None = None, attr: str | None = None, text: bool = False,
-                 path: str | None = None, equals: dict[str, str] | None = None, tail: bool = True) -> DataFrame:
+                 path: str | None = None, equals: dict[str, str] | None = None, tail: bool = True,
+                 contains: dict[str, str] | None = None, missing: list[str] | None = None) -> DataFrame:
     """One row per hit: an attribute's value, the element's own text, or its outer HTML.
 
-    ``path`` is a pattern on ``/html/body/...``; ``equals`` fixes attribute values.
+    ``path`` is a pattern on ``/html/body/...``; ``equals`` fixes attribute values, ``contains`` parts of them, and
+    ``missing`` names attributes that must not be there.
     Outer HTML includes the text right after the element unless ``tail`` is off.
     """
-    how = {"tag": tag, "attr": attr, "text": text, "path": path, "equals": equals, "tail": tail}
+    how = {"tag": tag, "attr": attr, "text": text, "path": path, "equals": equals, "tail": tail, "contains": contains, "missing": missing}
     return select_all(shredded, [how]).drop("selector")
 
 
@@ -90,7 +97,7 @@ def select_all(shredded: DataFrame, selectors: list[dict]) -> DataFrame:
 
     def hits(number: int, how: dict) -> Column:
         tail, text, attr = how.get("tail", True), how.get("text", False), how.get("attr")
-        found = F.filter("dom.nodes", lambda n: _matches(n, how.get("tag"), attr, how.get("path"), how.get("equals") or {}))
+        found = F.filter("dom.nodes", lambda n: _matches(n, how.get("tag"), attr, how.get("path"), how.get("equals") or {}, how.get("contains"), how.get("missing")))
         values = F.transform(found, lambda n: F.struct(
             F.lit(number).alias("selector"), n["node"].alias("node"), F.trim(_value(F.col("dom"), n, attr, text, tail)).alias("value")))
         # an element without own text is no hit of a text selector
@@ -100,12 +107,28 @@ def select_all(shredded: DataFrame, selectors: list[dict]) -> DataFrame:
     return shredded.select("site", "id", "url", F.explode(rows).alias("h")).select("site", "id", "url", "h.*")
 
 
-def count_nodes(shredded: DataFrame, tag: str | None = None, path: str | None = None) -> DataFrame:
-    """Number of matching elements per page, zero included."""
-    hits = F.filter("dom.nodes", lambda n: _matches(n, tag, None, path, {}))
+def count_nodes(shredded: DataFrame, tag: str | None = None, path: str | None = None, attr: str | None = None, equals: dict[str, str] | None = None,
+                contains: dict[str, str] | None = None, missing: list[str] | None = None) -> DataFrame:
+    """Number of matching elements per page, zero included; the tests are those of ``select_nodes``."""
+    hits = F.filter("dom.nodes", lambda n: _matches(n, tag, attr, path, equals or {}, contains, missing))
     return shredded.select("site", "id", "url", F.coalesce(F.size(hits), F.lit(0)).cast("long").alias("n"))
 
 
+def sum_nodes(shredded: DataFrame, tag: str | None = None, attr: str | None = None, path: str | None = None, equals: dict[str, str] | None = None,
+              contains: dict[str, str] | None = None, missing: list[str] | None = None, pattern: str | None = None) -> DataFrame:
+    """Sum of the numbers in an attribute, or in the own text, of the matching elements of a page, and how many were no numbers.
+
+    With ``pattern`` its first group is the number.  No match sums to 0.
+    """
+    hits = F.filter("dom.nodes", lambda n: _matches(n, tag, attr, path, equals or {}, contains, missing))
+    of = lambda n: n["text"] if attr is None else F.try_element_at(n["attrs"], F.lit(attr))
+    found = lambda n: of(n) if pattern is None else F.regexp_extract(of(n), pattern, 1)
+    numbers = F.transform(hits, lambda n: F.trim(found(n)).try_cast("double"))
+    counted = shredded.select("site", "id", "url", F.coalesce(numbers, F.array().cast("array<double>")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return counted.select("site", "id", "url", total.alias("total"), F.size(F.filter("v", lambda x: x.isNull())).cast("long").alias("without_number"))
+
+
 def component_columns(dom: Column, content: Column) -> dict[str, Column]:
     """Visible text, attribute values, comments and markup names of a parsed page."""
     def opaque(n: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 32
+HOT = 256
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -58,12 +61,20 @@ def salted_join(rows: DataFrame, small: DataFrame, on: list[str], row_key: list[
 
 
 def with_group_size(df: DataFrame, keys: list[str], row_key: list[str], name: str) -> DataFrame:
-    """Add the number of rows that share ``keys`` (NULL keys count as alone)."""
+    """Add the number of rows that share ``keys`` (rows with a NULL key count as alone and are not joined at all).
+
+    Groups of more than a ``HOT``-th of all rows, of which there are fewer than ``HOT``, are broadcast; rows of all others
+    meet their count in a plain join, in which no key is frequent.
+    """
     narrow = cut(df)
-    sizes = (narrow.groupBy(*keys).agg(F.count("*").alias(name))
-             .where((F.col(name) > 1) & F.col(keys[-1]).isNotNull()))
-    joined = salted_join(narrow, sizes, keys, row_key, "left")
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(1).cast("long")))
+    known = functools.reduce(operator.and_, (F.col(k).isNotNull() for k in keys))
+    sizes = cut(narrow.where(known).groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > 1))
+    frequent = F.col(name) * HOT > narrow.count()
+    hot = F.broadcast(sizes.where(frequent))
+    rows = narrow.where(known)
+    others = rows.join(hot, keys, "left_anti").join(sizes.where(~frequent), keys, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1).cast("long")))
+    alone = narrow.where(~known).withColumn(name, F.lit(1).cast("long"))
+    return rows.join(hot, keys).unionByName(others).unionByName(alone).select(*df.columns, name)
 
 
 def latest_by(df: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -63,6 +63,19 @@ def sample_by_type(df: DataFrame, fractions: dict[str, float], seed: int) -> Dat
     return df.sampleBy("type", fractions, seed)
 
 
+def stratified_sample(df: DataFrame, per_type: int, seed: int) -> DataFrame:
+    """Exactly ``per_type`` rows of each type, or all if there are fewer: those whose seeded hash of site and id is smallest.
+
+    The same rows for the same seed, whatever the partitions.  Each task first keeps its smallest of a type, then hash shares of a
+    type keep theirs, so a frequent type is no bottleneck.
+    """
+    draw = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("site").cast("string"), F.col("id").cast("string")))
+    drawn = df.withColumn("_draw", draw).withColumn("_share", F.substring(draw, -2, 2))
+    place = lambda *by: F.row_number().over(Window.partitionBy("type", *by).orderBy("_draw", "site", "id"))
+    few = drawn.withColumn("_place", place("_share")).where(F.col("_place") <= per_type)
+    return few.withColumn("_place", place()).where(F.col("_place") <= per_type).select(*df.columns)
+
+
 def search_page(resources: DataFrame, query: Query, requested: list[str] | None = None,
                 sort: str | None = None, limit: int = S.DEFAULT_LIMIT, offset: int = 0,
                 site_ids: list[int] | None = None, seed: int | None = None, after: dict | None = None) -> DataFrame:

@@ -152,6 +152,15 @@ QUERIES = {
                          "FROM r WHERE type = 'html'")),
     "count_nodes": (_html(lambda s: dom.count_nodes(s, "li").select("id", "n")),
                     sql("SELECT id, len(regexp_extract_all(content, '<li>'))::BIGINT AS n FROM r WHERE type = 'html'")),
+    "count_tests": (_html(lambda s: dom.count_nodes(s, missing=["class"]).select("id", F.col("n").alias("without_class"))
+                          .join(dom.count_nodes(s, "a", contains={"href": "ing"}).select("id", F.col("n").alias("links_with_ing")), "id")
+                          .join(dom.count_nodes(s, "div", equals={"class": "ad"}).select("id", F.col("n").alias("ads")), "id")),
+                    sql("SELECT id, (len(regexp_extract_all(content, '<[a-z][a-z0-9]*[ >]')) - len(regexp_extract_all(content, '<[a-z][a-z0-9]* class=\"')))::BIGINT AS without_class, "
+                        "len(regexp_extract_all(content, '<a href=\"[^\"]*ing[^\"]*\"'))::BIGINT AS links_with_ing, len(regexp_extract_all(content, '<div class=\"ad\">'))::BIGINT AS ads "
+                        "FROM r WHERE type = 'html'")),
+    "sum_nodes": (_html(lambda s: dom.sum_nodes(s, "script", pattern=r"track\(([0-9]+)\)").select("id", "total", "without_number")),
+                  sql("SELECT id, list_sum(list_transform(regexp_extract_all(content, 'track\\(([0-9]+)\\)', 1), lambda x: x::DOUBLE)) AS total, 0::BIGINT AS without_number "
+                      "FROM r WHERE type = 'html'")),
     "page_nodes": (_html(lambda s: dom.nodes(s).groupBy("kind", "tag").agg(F.count("*").alias("n"))),
                    sql("SELECT 'element' AS kind, tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '<([a-z][a-z0-9]*)[ >]', 1)) "
                        "AS tag FROM r WHERE type = 'html') GROUP BY tag UNION ALL SELECT 'comment', NULL, sum(len(regexp_extract_all(content, "

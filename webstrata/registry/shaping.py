@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as N
@@ -9,11 +11,12 @@ from ..operators import groups
 from ..operators import query as q
 from ..operators import results as R
 from ..plans import files, fixture
+from ..sources import table
 from .common import has, sql
 
 
-def _read(spark, folder, table):
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+def _read(spark, folder, name):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _pages(run):
@@ -173,6 +176,17 @@ def _site_join(resources):
     return joined.groupBy("site_name").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+def _merged(spark, folder):
+    """The pages stored, then merged with later captures of those that were not found and earlier ones of all others."""
+    pages = fixture.load_pages(spark, folder)
+    path = f"{groups.work_folder(spark)}/webstrata/captures-{uuid.uuid4().hex}"
+    later = pages.where("status = 404").withColumn("status", F.lit(410)).withColumn("content", F.lit(None).cast("string")).withColumn("modified", F.col("modified") + F.expr("INTERVAL 1 DAY"))
+    earlier = pages.where("status <> 404").withColumn("content", F.lit("old")).withColumn("modified", F.col("modified") - F.expr("INTERVAL 1 DAY"))
+    table.merge_resources(spark, path, pages, 8)
+    table.merge_resources(spark, path, later.unionByName(earlier), 8)
+    return table.load_resources(spark, path).select("id", "site", "url", "status", "content")
+
+
 def _result_sets(resources):
     # each result is used four times: search once
     one = groups.cut(q.search(resources, q.field("content", "the")).select("id"))
@@ -192,6 +206,10 @@ SETS_SQL = sql(" UNION ALL ".join(f"SELECT '{n}' AS operation, id FROM r WHERE s
 
 QUERIES = {
     "result_sets": (_resources(_result_sets), SETS_SQL),
+    "stratified_sample": (_resources(lambda r: R.stratified_sample(r, 7, 42).select("id", "site", "type")),
+                          sql("SELECT id, site, type FROM r QUALIFY row_number() OVER (PARTITION BY type ORDER BY sha1('42:' || site || ':' || id), site, id) <= 7")),
+    "merged_captures": (_merged, sql("SELECT id, site, url, CASE WHEN status = 404 THEN 410 ELSE status END::INT AS status, "
+                                     "CASE WHEN status = 404 THEN NULL ELSE content END AS content FROM r")),
     "site_join": (_resources(_site_join), sql(f"SELECT {_HOST} AS site_name, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY 1")),
     "result_facets": (_resources(lambda r: R.facets(r, q.text("the"))),
                       sql(" UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS value, count(*) AS n FROM r WHERE {has('the')} "
