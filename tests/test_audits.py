@@ -153,6 +153,17 @@ def test_freshness(spark):
     assert (got.pages, got.fresh, got.newest) == (3, 2, "2024-12-31")
 
 
+def test_exact_quantiles_over_many_partitions(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(rng.choice(["html", "img", None]), rng.choice([None, rng.randint(0, 50), rng.randint(0, 10**6)])) for _ in range(3000)] + [("one", 7), ("none", None)]
+    got = {r.type: (r.n, r.median, r.p90) for r in files.size_stats(spark.createDataFrame(rows, "type string, size long")).collect()}
+    for kind in {t for t, _ in rows}:
+        known = sorted(s for t, s in rows if t == kind and s is not None)
+        rank = lambda q: known[-(-len(known) * q // 10) - 1] if known else None
+        assert got[kind] == (sum(t == kind for t, _ in rows), rank(5), rank(9))
+
+
 def test_group_helpers_on_a_hot_key(spark):
     df = spark.range(9000).select(F.lit(1).alias("site"), "id", F.when(F.col("id") % 3 == 0, "hot").when(
         F.col("id") % 1000 != 1, F.concat(F.lit("k"), F.col("id").cast("string"))).alias("title"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as N
+from ..operators.groups import cut
 from .errors import host_relation, percent
 
 # bytes above which an asset is reported, by type
@@ -25,16 +26,22 @@ def type_counts(resources: DataFrame) -> DataFrame:
 
 
 def size_stats(resources: DataFrame) -> DataFrame:
-    """Count, maximum, mean and exact quantiles of the sizes of each type."""
+    """Count, maximum, mean and exact quantiles of the sizes of each type.
+
+    Ranks come from range partitions of the distinct sizes: running sums within a partition, and what the partitions
+    before it hold.  No task sees all sizes of a type.
+    """
     basic = resources.groupBy("type").agg(
         F.count("*").alias("n"), F.max("size").alias("largest"),
         F.round(F.avg("size"), 4).alias("average"),
     )
-    # exact: one row per type and size, and how many rows have that size or less
     sizes = resources.where(F.col("size").isNotNull()).groupBy("type", "size").agg(F.count("*").alias("k"))
-    upto = sizes.withColumn("upto", F.sum("k").over(W.partitionBy("type").orderBy("size")))
-    whole = sizes.groupBy(F.col("type").alias("of")).agg(F.sum("k").alias("known"))
-    reached = upto.join(whole, F.col("type").eqNullSafe(F.col("of")))
+    placed = cut(sizes.repartitionByRange("type", "size").withColumn("part", F.spark_partition_id()))
+    held = placed.groupBy(F.col("type").alias("of"), F.col("part").alias("p")).agg(F.sum("k").alias("held"))  # a row per type and partition
+    by_type = W.partitionBy("of")
+    before = held.select("of", "p", (F.sum("held").over(by_type.orderBy("p")) - F.col("held")).alias("before"), F.sum("held").over(by_type).alias("known"))
+    within = placed.withColumn("upto", F.sum("k").over(W.partitionBy("type", "part").orderBy("size")))
+    reached = within.join(before, (F.col("part") == F.col("p")) & F.col("type").eqNullSafe(F.col("of"))).withColumn("upto", F.col("upto") + F.col("before"))
     ranks = reached.groupBy("of").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("known") * F.lit(q)), F.col("size"))).alias(n)
                                           for n, q in (("median", 0.5), ("p90", 0.9))])
     return basic.join(ranks, F.col("type").eqNullSafe(F.col("of")), "left").select(
