@@ -68,9 +68,10 @@ def crawl_report_urls(resources: DataFrame, keyword: Column) -> DataFrame:
             .select(F.explode(F.array_compact(F.array(F.lit("all"), names, hit))).alias("section"), "url"))
 
 
-def file_types(resources: DataFrame, domain: str) -> DataFrame:
+def file_types(resources: DataFrame, domain: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows and bytes by type, inside and outside the domain; ``by`` names further columns, as ``site``, to tell apart."""
     inside = F.lower("url").contains(domain.lower())
-    return resources.groupBy("type").agg(
+    return resources.groupBy(*by, "type").agg(
         F.count_if(inside).alias("internal"), F.count_if(~inside).alias("external"),
         F.count("*").alias("total"), F.sum("size").alias("bytes"))
 
@@ -99,10 +100,10 @@ def best_asset_host(resources: DataFrame, domain: str) -> DataFrame:
         F.max_by("host", F.struct("score", "n", "host")).alias("host"), F.max("score").alias("score"))
 
 
-def directories(resources: DataFrame, depth: int = 1) -> DataFrame:
-    """Rows by the first path segments."""
+def directories(resources: DataFrame, depth: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows by the first path segments, and by further columns."""
     parts = [F.coalesce(N.path_segment(F.col("url"), i), F.lit("")) for i in range(1, depth + 1)]
-    return (resources.groupBy(F.concat_ws("/", *parts).alias("directory"))
+    return (resources.groupBy(*by, F.concat_ws("/", *parts).alias("directory"))
             .agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
 
 
@@ -111,8 +112,8 @@ def url_template(url: Column) -> Column:
     return F.regexp_replace(N.url_path(url), "[0-9]+", "{n}")
 
 
-def url_templates(resources: DataFrame) -> DataFrame:
-    return (resources.groupBy(url_template(F.col("url")).alias("template"))
+def url_templates(resources: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return (resources.groupBy(*by, url_template(F.col("url")).alias("template"))
             .agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
 
 

@@ -91,18 +91,18 @@ def render_blockers(resources: DataFrame) -> DataFrame:
     return facts.withColumn("blockers", F.col("stylesheets") + F.col("blocking_scripts"))
 
 
-def performance_totals(resources: DataFrame, blockers: DataFrame) -> DataFrame:
-    """Site totals against their benchmarks, one row per metric."""
-    sizes = resources.where(F.col("type").isin("style", "script")).agg(
+def performance_totals(resources: DataFrame, blockers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Totals against their benchmarks, one row per metric: of all rows, or of each value of the columns ``by``, as ``site``."""
+    sizes = resources.where(F.col("type").isin("style", "script")).groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("type") == "style", F.col("size"))), F.lit(0)).alias("css_bytes"),
         F.coalesce(F.sum(F.when(F.col("type") == "script", F.col("size"))), F.lit(0)).alias("js_bytes"),
         F.countDistinct(N.host(F.col("url"))).alias("asset_hosts"))
-    worst = blockers.agg(F.coalesce(F.max("blockers"), F.lit(0)).alias("blockers"))
+    worst = blockers.groupBy(*by).agg(F.coalesce(F.max("blockers"), F.lit(0)).alias("blockers"))
 
     def long(df: DataFrame, names: list[str]) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias("value"),
                                   F.lit(LIMITS[n]).cast("long").alias("benchmark")) for n in names])
-        return df.select(F.explode(rows).alias("r")).select("r.*")
+        return df.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
 
     table = long(sizes, ["css_bytes", "js_bytes", "asset_hosts"]).unionByName(long(worst, ["blockers"]))
     within = (F.when(F.col("metric") == "asset_hosts", F.col("value") <= F.col("benchmark"))

@@ -210,6 +210,14 @@ QUERIES = {
                    sql(f"SELECT type, count_if(contains(url, '{DOMAIN}'))::BIGINT AS internal, "
                        f"count_if(NOT contains(url, '{DOMAIN}'))::BIGINT AS external, count(*) AS total, sum(size)::BIGINT AS bytes "
                        "FROM r GROUP BY type")),
+    "site_file_types": (_resources(lambda r: files.file_types(r, DOMAIN, ("site",))),
+                        sql(f"SELECT site, type, count_if(contains(url, '{DOMAIN}'))::BIGINT AS internal, "
+                            f"count_if(NOT contains(url, '{DOMAIN}'))::BIGINT AS external, count(*) AS total, sum(size)::BIGINT AS bytes "
+                            "FROM r GROUP BY ALL")),
+    "site_directories": (_resources(lambda r: files.directories(r, 1, ("site",))),
+                         sql(f"SELECT site, split_part({FULL_PATH}, '/', 2) AS directory, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY ALL")),
+    "site_url_templates": (_resources(lambda r: files.url_templates(r, ("site",))),
+                           sql(f"SELECT site, {TEMPLATE} AS template, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY ALL")),
     "asset_hosts": (_resources(lambda r: files.asset_hosts(r, DOMAIN)),
                     sql("SELECT host, class, n, bytes, score FROM a", more=ASSET_HOSTS)),
     "best_asset_host": (_resources(lambda r: files.best_asset_host(r, DOMAIN)),
@@ -285,5 +293,13 @@ QUERIES = {
                                f"WHERE type = 'script' UNION ALL SELECT 'asset_hosts', count(DISTINCT {HOST}), 3, count(DISTINCT {HOST}) <= 3 "
                                "FROM r WHERE type IN ('style', 'script') UNION ALL SELECT 'blockers', max(blockers), 3, max(blockers) < 3 FROM k",
                                BOTH, BLOCKERS.replace("FROM r", "FROM h"))),
+    "site_performance": (lambda spark, folder: perf.performance_totals(
+        fixture.load_pages(spark, folder), perf.render_blockers(with_assets(fixture.load_html(spark, folder))), ("site",)),
+                         sql("SELECT site, unnest(['css_bytes', 'js_bytes', 'asset_hosts']) AS metric, unnest([css, js, hosts])::BIGINT AS value, "
+                             "unnest([204800, 512000, 3])::BIGINT AS benchmark, unnest([css < 204800, js < 512000, hosts <= 3]) AS ok FROM ("
+                             "SELECT site, coalesce(sum(size) FILTER (type = 'style'), 0) AS css, coalesce(sum(size) FILTER (type = 'script'), 0) AS js, "
+                             f"count(DISTINCT {HOST}) AS hosts FROM r WHERE type IN ('style', 'script') GROUP BY site) "
+                             "UNION ALL SELECT site, 'blockers', max(blockers), 3, max(blockers) < 3 FROM k GROUP BY site",
+                             BOTH, BLOCKERS.replace("FROM r", "FROM h"))),
     "anti_patterns": (_html(lambda r: perf.anti_patterns(r, PATTERNS)), sql(ANTI_SQL, HTML)),
 }
