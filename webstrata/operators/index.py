@@ -85,7 +85,7 @@ class Index:
         rows.select(*KEY, *[F.col(n).cast(t).alias(n) for n, t in NARROW.items()]).write.mode("overwrite").parquet(at("rows"))
         (postings.select(*ORDER).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
          .write.mode("overwrite").partitionBy("field").parquet(at("postings")))
-        written = self.spark.read.parquet(at("postings"))
+        written = self.spark.read.schema(SCHEMAS["postings"].replace(", segment int", "")).parquet(at("postings"))
         # a task's postings are sorted, so most of its counting is done before the exchange
         per_row = written.groupBy("field", "token", *KEY).agg(F.count("*").alias("tf"))
         counted = per_row.groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -157,6 +157,8 @@ class View:
             tokens = probes.join(self._table(stems), ["field", "token"])
             tokens = tokens.select("literal", "parts", "k", "field", F.col("whole").alias("token"), "next", F.lit(False).alias("stem"))
             found.append(self._matching(self.postings.where(begins), tokens))
+        if not found:  # terms without a token
+            return self.postings.where(F.lit(False)).select(F.lit(0).alias("literal"), F.lit(1).alias("parts"), F.lit(0).alias("k"), "field", *KEY, "segment", "pos")
         return functools.reduce(DataFrame.unionByName, found)
 
     def _table(self, elements: list[tuple]) -> DataFrame:
