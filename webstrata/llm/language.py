@@ -29,7 +29,7 @@ from .common import pieces, rows, stored, text_function, texts_of, worker_memory
 
 DOCS_A_LANGUAGE = 2_000  # training documents per language, about
 ROUNDS = 3
-CELLS = 4_000_000  # numbers of a forward array, about
+CELLS = 500_000  # numbers of a forward array, about
 RESCALE = 8  # positions after which a forward array is rescaled
 WORDS_KEPT = 400_000  # words whose probabilities a worker remembers
 MARK = "▁"
