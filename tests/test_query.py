@@ -14,6 +14,7 @@ from webstrata.functions import text as tx
 from webstrata.operators import postings as P
 from webstrata.operators import saved
 from webstrata.operators.groups import work_folder
+from webstrata.operators import index as index_module
 from webstrata.operators.index import Index
 from webstrata.operators import query as q
 from webstrata.schema import RESOURCE
@@ -286,3 +287,30 @@ def test_more_literals_than_a_number_has_bits(table):
 def test_no_queries(table):
     index = indexed(table)
     assert index.search({"n": ~q.match_all()}).count() == 0 and index.search({}).count() == 0 and index.search({"e": q.text("!!")}).count() == 0
+
+
+def test_postings_are_made_and_counted_in_tasks_of_bounded_text_without_travelling(spark, monkeypatch):
+    text = " ".join(f"w{k % 700}" for k in range(20_000))
+    rows = spark.createDataFrame([(1, k, f"u{k}", "html", 200, 1, 0, None, text) for k in range(12)] + [(1, 3, "u3", "html", 200, 1, 0, None, "w1 only")],
+                                 "site long, id long, url string, type string, status int, size long, time int, headers string, content string")
+    monkeypatch.setattr(index_module, "LEAST_BYTES", 1 << 18)
+    monkeypatch.setattr(index_module, "TASK_BYTES", 1 << 18)
+    assert index_module._tasks([12 * len(text)], spark) >= 5
+    index = indexed(rows)
+    files = index.view().postings.where("field = 'content'").select("site", "id", F.input_file_name().alias("file")).distinct().collect()
+    assert len({r.file for r in files}) > 3 and len(files) == 12                 # a resource stands in one run only
+    first = index.view().postings.where(F.input_file_name() == files[0].file).select("token", "next").collect()
+    assert [tuple(r) for r in first] == sorted(tuple(r) for r in first)
+    counts = {r.token: (r.df, r.cf) for r in index.view().terms().where("field = 'content' AND token IN ('w1', 'only')").collect()}
+    assert counts == {"w1": (12, 12 * sum(k % 700 == 1 for k in range(20_000)) + 1), "only": (1, 1)}
+
+
+def test_merging_neither_sorts_nor_moves_postings(spark, monkeypatch):
+    make = lambda *rows: spark.createDataFrame([(1, k, f"u{k}", "html", 200, 1, 0, None, t, None, None) for k, t in rows], RESOURCE)
+    terms = lambda i: {(r.field, r.token, r.df, r.cf) for r in i.view().terms().collect()}
+    postings = lambda i: sorted(tuple(r) for r in i.view().postings.drop("segment").collect())
+    whole = indexed(make((1, "a a b"), (2, "c"), (3, "a b a b"), (4, "d c")))
+    for sent in (0, 100):
+        monkeypatch.setattr(index_module, "SENT", sent)
+        merged = indexed(make((1, "a old"), (2, "c"), (3, "x a"))).append(make((3, "b"), (4, "d c"))).append(make((1, "a a b"), (3, "a b a b"))).merge()
+        assert terms(merged) == terms(whole) and postings(merged) == postings(whole)

@@ -1,14 +1,15 @@
 """A stored index: word-pair postings that grow by segments and answer saved queries in one pass.
 
 An index is a folder.  ``append`` adds a segment: the narrow columns of its resources, one posting per token occurrence
-with the token that follows it, range-partitioned and sorted by (field, token, next, row, position), and a sorted
-vocabulary.  A token is a range of the sorted table, a pair of tokens a narrower one; Parquet statistics skip the rest.  A
-resource appended again replaces its earlier capture, whichever segments they are in; ``merge`` writes what is current as
-one segment of a new generation.  A segment counts once its number stands in the table ``commits``, so a write that fails
+with the token that follows it, and a sorted vocabulary.  Resources are dealt into tasks of bounded text; the postings of a
+task and field are a run of their own, sorted by (token, next), so they never travel, and all that is known of a
+field of a resource stands in one run.  A token is a range of each run, a pair of tokens a narrower one; Parquet statistics skip the
+rest.  A resource appended again replaces its earlier capture, whichever segments they are in; ``merge`` writes what is current as
+one segment of a new generation, run by run without sorting or moving it, and takes what was replaced off the counts.  A segment counts once its number stands in the table ``commits``, so a write that fails
 half-way changes nothing and its leftovers are overwritten.  One writer at a time; readers see whole segments only.
 
 A search reads the postings of the words that its queries need, reduces them to a few bits per row where they are read, and
-joins these with the narrow rows: one exchange by row on either side.  Phrases are looked up pair by pair, so frequent
+joins these with the narrow rows: one exchange by row on either side, of about one row for each resource that is met.  Phrases are looked up pair by pair, so frequent
 words travel only where they stand together; the pairs of longer phrases are counted by place.  Stems are looked up in
 the vocabulary and become tokens.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import saved
-from .groups import spread
+from .groups import cut, spread
 from .query import TEXT_FIELDS, Query
 
 KEY = ["site", "id"]
 NARROW = {"url": "string", "type": "string", "status": "int", "size": "long", "time": "int"}
-ORDER = ["field", "token", "next", *KEY, "pos"]
+POSTING = ["token", "next", *KEY, "pos"]
+TASK_BYTES = 16 << 20  # text whose postings one task sorts, about
+LEAST_BYTES = 1 << 20  # text that is worth a task of its own
+ROW_GROUP = 16 << 20  # of postings; its statistics are what a search skips by
+SENT = 2 << 20  # replaced resources that are sent to every task, at most
 SCHEMAS = {"rows": "site long, id long, " + ", ".join(f"{n} {t}" for n, t in NARROW.items()) + ", segment int",
            "postings": "token string, next string, site long, id long, pos int, segment int, field string",
            "vocabulary": "field string, token string, df long, cf long, segment int"}
@@ -44,12 +49,36 @@ _ELEMENTS = pa.schema([("literal", pa.int32()), ("parts", pa.int32()), ("k", pa.
 
 def occurrences(resources: DataFrame, fields: Iterable[str] = TEXT_FIELDS) -> DataFrame:
     """(field, token, next, site, id, pos): every token of every indexed field with its successor, '' at the end; no shuffle."""
+    fields = tuple(fields)
+    return _occurrences(spread(resources.select(*dict.fromkeys([*KEY, *fields]))).where(F.col("site").isNotNull() & F.col("id").isNotNull()), fields)
+
+
+def _words(own: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])
-    own = spread(resources.select(*dict.fromkeys([*KEY, *fields]))).where(F.col("site").isNotNull() & F.col("id").isNotNull())
-    each = own.select(F.col("site").alias("_site"), F.col("id").alias("_id"), F.explode(texts).alias("t"))
-    words = each.select("_site", "_id", "t.field", tx.tokens(F.col("t.text")).alias("w"))
-    pairs = words.select("_site", "_id", "field", F.posexplode(F.arrays_zip(F.col("w").alias("token"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("pos", "z"))
-    return pairs.select("field", "z.token", F.coalesce("z.next", F.lit("")).alias("next"), F.col("_site").alias("site"), F.col("_id").alias("id"), "pos")
+    each = own.select(*KEY, F.explode(texts).alias("t"))
+    return each.select(*KEY, "t.field", tx.tokens(F.col("t.text")).alias("w"))
+
+
+def _occurrences(own: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    pairs = _words(own, fields).select(*KEY, "field", F.posexplode(F.arrays_zip(F.col("w").alias("token"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("pos", "z"))
+    return pairs.select("field", "z.token", F.coalesce("z.next", F.lit("")).alias("next"), *KEY, "pos")
+
+
+def _sizes(resources: DataFrame, fields: tuple[str, ...]) -> dict[str, int]:
+    """Bytes of text by field."""
+    size = resources.agg(*[F.sum(F.octet_length(F.col(f).cast("string")).cast("long")).alias(f"s{n}") for n, f in enumerate(fields)], F.lit(0)).first()
+    return {f: size[n] or 0 for n, f in enumerate(fields)}
+
+
+def _tasks(sizes: list[int], spark: SparkSession) -> int:
+    """As many tasks as bounded texts need; a smaller input is spread over the cores."""
+    size, cores = sum(sizes), spark.sparkContext.defaultParallelism
+    return max(1, min(cores, -(-size // LEAST_BYTES)), -(-size // TASK_BYTES))
+
+
+def _counted(by_row) -> DataFrame:
+    """field, token, df, cf of postings grouped by field, token and row."""
+    return by_row.agg(F.count("*").alias("tf")).groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @dataclass(frozen=True)
@@ -80,32 +109,52 @@ class Index:
 
     # ---- writing
 
-    def _write(self, generation: int, segment: int, rows: DataFrame, postings: DataFrame) -> None:
-        at = lambda name: f"{self.path}/generation={generation}/{name}/segment={segment}"
-        rows.select(*KEY, *[F.col(n).cast(t).alias(n) for n, t in NARROW.items()]).write.mode("overwrite").parquet(at("rows"))
-        (postings.select(*ORDER).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-         .write.mode("overwrite").partitionBy("field").parquet(at("postings")))
-        written = self.spark.read.schema(SCHEMAS["postings"].replace(", segment int", "")).parquet(at("postings"))
-        # a task's postings are sorted, so most of its counting is done before the exchange
-        per_row = written.groupBy("field", "token", *KEY).agg(F.count("*").alias("tf"))
-        counted = per_row.groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        counted.repartitionByRange("field", "token").sortWithinPartitions("field", "token").write.mode("overwrite").parquet(at("vocabulary"))
+    def _at(self, generation: int, segment: int, name: str) -> str:
+        return f"{self.path}/generation={generation}/{name}/segment={segment}"
+
+    def _commit(self, generation: int, segment: int, rows: DataFrame, vocabulary: DataFrame) -> None:
+        """Rows and vocabulary beside postings that are written; the segment counts from here on."""
+        rows.select(*KEY, *[F.col(n).cast(t).alias(n) for n, t in NARROW.items()]).write.mode("overwrite").parquet(self._at(generation, segment, "rows"))
+        (vocabulary.repartitionByRange("field", "token").sortWithinPartitions("field", "token")
+         .write.mode("overwrite").parquet(self._at(generation, segment, "vocabulary")))
         self.spark.createDataFrame([(generation, segment)], "generation int, segment int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
+    def _postings(self, generation: int, segment: int) -> Callable[[str, DataFrame], None]:
+        """What writes the postings of a field; what a failed write left is cleared first."""
+        at = self._at(generation, segment, "postings")
+        self.spark.createDataFrame([], SCHEMAS["postings"].replace(", segment int", "")).write.mode("overwrite").partitionBy("field").parquet(at)
+        return lambda name, postings: postings.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{at}/field={name}")
+
     def append(self, resources: DataFrame, fields: Iterable[str] = TEXT_FIELDS) -> "Index":
         """One more segment; its resources replace earlier captures of theirs."""
         generation, segments = self.committed()
+        segment, fields = max(segments, default=-1) + 1, tuple(fields)
         known = resources.where(F.col("site").isNotNull() & F.col("id").isNotNull())
-        self._write(generation, max(segments, default=-1) + 1, known, occurrences(known, fields))
+        # all rows of a resource meet in one task, which counts and sorts alone
+        dealt = lambda *names: known.select(*dict.fromkeys([*KEY, *names])).repartition(_tasks([sizes[n] for n in names], self.spark), *KEY)
+        sizes, write = _sizes(known, fields), self._postings(generation, segment)
+        for name in fields:
+            write(name, _occurrences(dealt(name), (name,)).select(*POSTING).sortWithinPartitions("token", "next"))
+        tokens = _words(dealt(*fields), fields).select(*KEY, "field", F.explode("w").alias("token"))
+        self._commit(generation, segment, known, _counted(tokens.groupBy("field", "token", *KEY)))
         return self
 
     def merge(self) -> "Index":
         """What is current, as the only segment of the next generation; earlier generations are left to their owner."""
         generation, segments = self.committed()
         if len(segments) > 1:
-            now = self.view()
-            newest, same = now.rows.groupBy(*KEY).agg(F.max("segment").alias("segment")), [*KEY, "segment"]
-            self._write(generation + 1, 0, now.rows.join(newest, same, "left_semi"), now.postings.join(newest, same, "left_semi"))
+            now, place = self.view(), [*KEY, "segment"]
+            held = now.rows.groupBy(*KEY).agg(F.collect_set("segment").alias("s"))
+            replaced = cut(held.where(F.size("s") > 1).select(*KEY, F.explode(F.filter("s", lambda x: x < F.array_max("s"))).alias("segment")))
+            gone = F.broadcast(replaced) if replaced.count() <= SENT else replaced
+            # a field at a time, as it is read: runs stay sorted
+            write = self._postings(generation + 1, 0)
+            for name in sorted(r.field for r in now.vocabulary.select("field").distinct().collect()):
+                write(name, now.postings.where(F.col("field") == name).join(gone, place, "left_anti").select(*POSTING))
+            stale = _counted(now.postings.join(gone, place, "left_semi").groupBy("field", "token", *place))
+            counts = now.vocabulary.select("field", "token", "df", "cf").union(stale.select("field", "token", -F.col("df"), -F.col("cf")))
+            current = counts.groupBy("field", "token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+            self._commit(generation + 1, 0, now.rows.join(gone, place, "left_anti"), current)
         return self
 
 
