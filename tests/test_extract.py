@@ -5,6 +5,7 @@ import subprocess
 import sys
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -287,3 +288,13 @@ def test_tests_of_attributes_and_sums(spark):
     total = lambda **how: [(r.total, r.without_number) for r in dom.sum_nodes(shredded, **how).orderBy("id").collect()]
     assert total(tag="p", attr="data-n") == [(5.5, 2), (0.0, 1)] and total(tag="p", pattern="([0-9]+)") == [(11.0, 2), (0.0, 1)]
     assert [r.value for r in dom.select_nodes(shredded, "p", attr="data-n", missing=["class"]).orderBy("node").collect()] == ["2.5", ""]
+
+
+def test_a_batch_of_pages_is_parsed_in_bounded_pieces():
+    page = "<p>" + "<i>x</i>" * 50_000 + "</p>"
+    pages = pa.array([page, None, "", "<b>y</b>"] * 6 + [None])
+    pieces = list(dom.parsed(iter([pages, pages.slice(0, 0)]), False))
+    assert [len(p) for p in pieces[-1:]] == [0] and sum(map(len, pieces)) == len(pages)
+    assert len(pieces) >= 3 and max(len([x for x in p.field("html") if len(x.as_py() or "") > 1000]) for p in pieces) <= 3
+    whole = pa.concat_arrays(pieces)
+    assert [x.is_valid for x in whole][:4] == [True, False, False, True] and [len(x) for x in whole.field("nodes").to_pylist()[:4:3]] == [50_001, 1]

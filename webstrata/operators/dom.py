@@ -7,7 +7,11 @@ need no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from .groups import spread
 
 DOM = ("struct<html:string,lead:string,nodes:array<struct<node:int,parent:int,depth:int,last:int,kind:string,"
        "tag:string,path:string,attrs:map<string,string>,text:string,tail:string,start:int,stop:int,tail_stop:int>>>")
+PARSED_BYTES = 1 << 20  # markup whose nodes are held at once inside a task
 _NODE = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("last", pa.int32()),
                    ("kind", pa.string()), ("tag", pa.string()), ("path", pa.string()),
                    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("tail", pa.string()),
@@ -24,19 +29,29 @@ _NODE = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.in
 _DOM = pa.struct([("html", pa.string()), ("lead", pa.string()), ("nodes", pa.list_(_NODE))])
 
 
+def parsed(batches: Iterator[pa.Array], paths: bool = True) -> Iterator[pa.Array]:
+    """Pages as ``DOM``, in pieces of bounded markup: the nodes of a page are many times its size."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch), 0), dtype=np.int64)
+        group = (np.cumsum(sizes) - sizes) // PARSED_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+        for a, b in zip(edges, edges[1:]):
+            # page by page into Arrow: the Python rows of a whole piece would be many times its size
+            parts = [pa.array([flatten(p.as_py(), paths) if p.is_valid and p.as_py().strip() else None], _DOM) for p in batch.slice(a, b - a)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], _DOM)
+
+
 def parse(html: Column, paths: bool = True) -> Column:
     """Parsed page, NULL for missing or blank input.
 
     ``paths`` are as long as a node is deep; leave them out where no selector asks for them.
     """
-    @F.arrow_udf(DOM)
-    def run(pages: pa.Array) -> pa.Array:
-        # page by page into Arrow: the Python rows of a whole batch would be many times its size
-        parts = [pa.array([flatten(p.as_py(), paths) if p.is_valid and p.as_py().strip() else None], _DOM) for p in pages]
-        return pa.concat_arrays(parts) if parts else pa.array([], _DOM)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return parsed(batches, paths)
 
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     # not repeatable in the optimizer's eyes, or it would parse once more to filter empty pages
-    return run.asNondeterministic()(html)
+    return F.arrow_udf(run, DOM).asNondeterministic()(html)
 
 
 def shred_html(resources: DataFrame, paths: bool = True) -> DataFrame:
