@@ -133,9 +133,9 @@ def sum_nodes(shredded: DataFrame, tag: str | None = None, attr: str | None = No
               contains: dict[str, str] | None = None, missing: list[str] | None = None, pattern: str | None = None) -> DataFrame:
     """Sum of the numbers in an attribute, or in the own text, of the matching elements of a page, and how many were no numbers.
 
-    With ``pattern`` its first group is the number.  No match sums to 0.
+    With ``pattern`` its first group is the number.  An element without the attribute holds no number.  No match sums to 0.
     """
-    hits = F.filter("dom.nodes", lambda n: _matches(n, tag, attr, path, equals or {}, contains, missing))
+    hits = F.filter("dom.nodes", lambda n: _matches(n, tag, None, path, equals or {}, contains, missing))
     of = lambda n: n["text"] if attr is None else F.try_element_at(n["attrs"], F.lit(attr))
     found = lambda n: of(n) if pattern is None else F.regexp_extract(of(n), pattern, 1)
     numbers = F.transform(hits, lambda n: F.trim(found(n)).try_cast("double"))
