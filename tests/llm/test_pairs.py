@@ -213,3 +213,16 @@ def test_short_quotes_of_longer_paragraphs_are_linked(spark):
     rows = [(1, 0, "user", said), (1, 1, "user", "Nothing to say."), (1, 2, "user", "> Where is it?\n\nOn the table.")]
     got = {r.turn: r for r in quotes.conversations_in_reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[2].reply_to == 0 and got[2].thread == 0 and got[2].n_linked == 1 and got[1].reply_to is None
+
+
+def test_common_shingles_are_counted_over_all_documents(spark):
+    passage = lambda k: " ".join(f"p{k}x{j}" for j in range(5))
+    # of 2,000 documents the first twenty passages stand in 60, the share asked for, the others in 59
+    texts = [" ".join([f"own{d}"] + [passage(k) + f" gap{d}k{k}" for k in range(40) if d % 33 == 0 and d // 33 < (60 if k < 20 else 59)]) for d in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with np.errstate(over="ignore"):
+        wanted = sorted(int(shingle_sets([passage(k).encode()])[0][0]) for k in range(20))
+        common, mean = parity_join.common_shingles(docs, 100)
+        sizes = [len(x) for x in shingle_sets([t.encode() for t in texts])]
+    assert [int(x) for x in common] == wanted
+    assert mean == pytest.approx(sum(sizes) / len(sizes))

@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, crc_of, pieces, rows, texts_of
+from .common import column_of, crc_of, pieces, released, rows, texts_of
 from .vocabulary import encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP_IDS = 64 << 10
 POOL_IDS = 4 << 20  # ids packed at once inside a task
+ENCODED_BYTES = 2 << 20  # text encoded at once
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "context int, step_group long")
 
@@ -150,14 +151,16 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, tiers: tuple[int, ..
 
         pool = 0
         for batch in pieces(batches, "text"):
-            ids, counts = coder.encode(texts_of(batch, "text"), end_id)
-            ends = np.cumsum(counts)
-            for doc, a, b in zip(column_of(batch, "doc_id").to_pylist(), ends - counts, ends):
-                packer.add(doc, ids[a:b])
-            pool += len(ids)
+            for part in pieces([batch], "text", ENCODED_BYTES):
+                ids, counts = coder.encode(texts_of(part, "text"), end_id)
+                ends = np.cumsum(counts)
+                for doc, a, b in zip(column_of(part, "doc_id").to_pylist(), ends - counts, ends):
+                    packer.add(doc, ids[a:b])
+                pool += len(ids)
             if pool >= POOL_IDS:
                 yield from emit(False)
                 pool = 0
         yield from emit(True)
+        released()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

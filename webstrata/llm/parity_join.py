@@ -5,9 +5,9 @@ shingles, so one shingle more or less changes one segment, and the number of seg
 symmetric difference.  For a size band whose similar pairs differ in at most ``d`` shingles, sketches have 2d + 2 segments:
 similar sets agree in d + 2 of them, and of these in one of the d + 1 best of either set, in any order that both sets see
 alike, so each set looks for partners by d + 1 segments only and no similar pair is missed.  The best hold the most
-shingles that are not known as common, then the most shingles.  Common are those that several documents of a bounded
-sample share; that list only decides which segments are looked up, so passages that many documents quote make few
-chance partners, and no result depends on it.  A set enters its own band and those lower ones that hold similar smaller sets.
+shingles that are not known as common, then the most shingles.  Common are those that a certain share of all documents
+hold, counted over the whole table; that list only decides which segments are looked up, so passages that many documents
+quote make few chance partners, and no result depends on it.  A set enters its own band and those lower ones that hold similar smaller sets.
 
 Equal sets are folded first.  Sets that agree in a segment form a group.  Each set is first checked exactly against the
 partner it agrees with most among the smallest members of its groups; components of what is found are then taken
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, pieces, rows, stored, tasks_for, texts_of, worker_memory
+from .common import column_of, pieces, released, rows, stored, tasks_for, texts_of, worker_memory
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -45,9 +45,10 @@ SMALL = 8  # members of a group up to which its pairs are listed
 BITS = 40  # of a segment and of a set, as sent; a chance match only costs a check
 PIECE = 2 << 20
 SEEN = 100_000  # sets a task remembers having sent
-SAMPLE = 8_000  # documents, about, whose shared shingles count as common
-SHARED_BY = 3
+SHARED_BY, OF_EVERY = 3, 8_000  # documents that hold a common shingle, of so many; as many at least in smaller tables
 COMMON = 500_000  # shingles listed as common at most
+COUNTED = 1 << 20  # shingles counted together, about
+COUNT_PARTS = 1024  # parts in which shingles are counted, at most
 FILTER_BITS = 23  # of the filter that lets documents without partners go early: 2 ** 17 rows at most
 _MASK = np.uint64((1 << BITS) - 1)
 
@@ -126,32 +127,48 @@ def _short(key: int) -> int:
     return key & ((1 << BITS) - 1)
 
 
-def common_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Shingles that several documents of a sample share, sorted, and the mean size of the sample's sets."""
-    share = min(1.0, sample / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else docs
-    parts = 32
+def common_shingles(docs: DataFrame, of_every: int = OF_EVERY) -> tuple[np.ndarray, float]:
+    """Shingles that ``SHARED_BY`` documents of every ``of_every`` hold, sorted, and the mean size of the sets; all documents are counted.
+
+    A text that a task meets again counts once.
+    """
+    measured = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("size")).first()
+    least = max(SHARED_BY, SHARED_BY * measured["n"] / of_every)
+    parts = min(COUNT_PARTS, tasks_for(docs.sparkSession, (measured["size"] or 0) // 6, COUNTED))
+    schema = "part int, packed binary, n long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in pieces(batches, "text", PIECE):
-                sets = shingle_sets(texts_of(batch, "text"))
+                texts = []
+                for text in texts_of(batch, "text"):
+                    if (key := hash(text)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        texts.append(text)
+                sets = shingle_sets(texts)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                part = (flat >> np.uint64(59)).astype(np.int64)
-                found = np.unique(part)
-                yield rows("part int, packed binary, n long", [-1, *found], [b"", *(flat[part == k].tobytes() for k in found)], [len(sets), *(int((part == k).sum()) for k in found)])
+                part = (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16)
+                flat = flat[np.argsort(part, kind="stable")]
+                size = np.bincount(part, minlength=parts)
+                ends, full = np.cumsum(size), np.flatnonzero(size)
+                yield rows(schema, [-1, *full], [b"", *(flat[ends[k] - size[k]:ends[k]].tobytes() for k in full)], [len(sets), *size[full]])
+        released()
 
     def count(key, packed):
-        flat = np.frombuffer(b"".join(packed["packed"].to_pylist()), np.uint64)
-        values, times = np.unique(flat, return_counts=True)
-        keep = values[times >= SHARED_BY]
+        flat = np.sort(np.frombuffer(b"".join(packed["packed"].to_pylist()), np.uint64))
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[:len(flat)])
+        times = np.diff(np.append(first, len(flat)))
+        shared = times >= least
+        keep, times = flat[first[shared]], times[shared]
         if len(keep) > COMMON // parts:  # the most frequent of this part
-            keep = np.sort(values[np.argsort(-times, kind="stable")[:COMMON // parts]])
-        total = sum(packed["n"].to_pylist())
-        return pa.Table.from_batches([rows("part int, packed binary, n long", [key[0].as_py()], [keep.tobytes()], [total])])
+            keep = np.sort(keep[np.argsort(-times, kind="stable")[:COMMON // parts]])
+        return pa.Table.from_batches([rows(schema, [key[0].as_py()], [keep.tobytes()], [sum(packed["n"].to_pylist())])])
 
-    found = (drawn.select(F.col("text").cast("string")).mapInArrow(send, "part int, packed binary, n long")
-             .groupBy("part").applyInArrow(count, "part int, packed binary, n long").collect())  # COMMON numbers at most
+    found = (docs.select(F.col("text").cast("string")).mapInArrow(send, schema)
+             .groupBy("part").applyInArrow(count, schema).collect())  # COMMON numbers at most
     numbers = {r["part"]: r["n"] for r in found}
     listed = np.concatenate([np.frombuffer(r["packed"], np.uint64) for r in found] or [np.zeros(0, np.uint64)])
     return np.sort(listed), sum(n for k, n in numbers.items() if k >= 0) / max(1, numbers.get(-1, 0))
@@ -190,6 +207,7 @@ def sets_and_groups(docs: DataFrame, buckets: int, common: np.ndarray, similar:
                     sketch, owner = np.concatenate(sketches), np.concatenate(owners)
                     bucket = ((sketch >> np.uint64(BITS)) * np.uint64(buckets) >> np.uint64(64 - BITS)).astype(np.int64)
                     yield dealt(bucket, np.hstack([(x & _MASK).view(np.uint8).reshape(-1, 8)[:, :width] for x in (sketch, owner)]), 0)
+        released()
 
     def dealt(bucket: np.ndarray, entries: np.ndarray, kind: int) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
@@ -217,6 +235,7 @@ def sets_and_groups(docs: DataFrame, buckets: int, common: np.ndarray, similar:
         no = lambda n: pa.nulls(n, pa.int64())
         groups = rows(FOUND, segment, owner[members].astype(np.int64), np.repeat(owner[first], size)[members].astype(np.int64), no(m), no(m), no(m), no(m), no(m))
         sets = rows(FOUND, no(d), no(d), no(d), pa.array(each[:, 0], mask=each[:, 4] == 0), each[:, 1], each[:, 2], each[:, 3], each[:, 5])
+        released()
         return pa.Table.from_batches([groups, sets])
 
     sent = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("hash")).mapInArrow(send, "bucket int, kind int, packed binary"))
@@ -239,6 +258,7 @@ def texts_with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 keep = batch.filter(pa.array(right))
                 chosen = [s for s, k in zip(sets, right) if k]
                 yield rows(schema, column_of(keep, "rep"), column_of(keep, "text"), [len(s) for s in chosen], [bit_sketch(s) for s in chosen])
+        released()
 
     # most documents have no partner and go before the shuffle: a bit per hashed id, in a table of bounded length
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import islice
 
@@ -34,6 +35,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, limit: int = 500_000):
+        # one text at a time: threads would only take memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
