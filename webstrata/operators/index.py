@@ -146,11 +146,13 @@ class Index:
             now, place = self.view(), [*KEY, "segment"]
             held = now.rows.groupBy(*KEY).agg(F.collect_set("segment").alias("s"))
             replaced = cut(held.where(F.size("s") > 1).select(*KEY, F.explode(F.filter("s", lambda x: x < F.array_max("s"))).alias("segment")))
-            gone = F.broadcast(replaced) if replaced.count() <= SENT else replaced
-            # a field at a time, as it is read: runs stay sorted
+            few = replaced.count() <= SENT
+            gone = F.broadcast(replaced) if few else replaced
+            # a field at a time, as it is read: runs stay sorted, unless so much is replaced that postings meet it in a shuffle
             write = self._postings(generation + 1, 0)
             for name in sorted(r.field for r in now.vocabulary.select("field").distinct().collect()):
-                write(name, now.postings.where(F.col("field") == name).join(gone, place, "left_anti").select(*POSTING))
+                kept = now.postings.where(F.col("field") == name).join(gone, place, "left_anti").select(*POSTING)
+                write(name, kept if few else kept.sortWithinPartitions("token", "next"))
             stale = _counted(now.postings.join(gone, place, "left_semi").groupBy("field", "token", *place))
             counts = now.vocabulary.select("field", "token", "df", "cf").union(stale.select("field", "token", -F.col("df"), -F.col("cf")))
             current = counts.groupBy("field", "token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
