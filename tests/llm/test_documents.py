@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webstrata.llm import boosting, language, main_text, packing, piece_trie, quality, token_output, toxicity
-from webstrata.llm.common import crc_of, tokenizer_path
+from webstrata.llm.common import crc_of, quantiles, tokenizer_path
 from webstrata.llm.vocabulary import WordEncoder
 
 WORD_BPE, PIECES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -135,6 +135,28 @@ def test_quality(spark):
     assert quality.kept(docs, plain).count() == sum(not r.base_failed for r in rows)
 
 
+def test_all_labels_are_learnt(spark):
+    n = 21_000
+    word = lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(400)))
+    marks = F.array_repeat(F.lit("#"), F.pmod(F.xxhash64("id"), F.lit(30)).cast("int"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(word(k) for k in range(50)), F.concat_ws("", marks)).alias("text"))
+    labels = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 9, None).otherwise((F.length(F.concat_ws("", marks)) < F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(30))).cast("int")).alias("quality"))
+    trees = quality.fit(docs, labels)
+    seen = docs.join(labels, "doc_id").where("quality IS NOT NULL").select("quality", quality.statistics_of("text").alias("s")).select("quality", "s.*").toPandas()
+    want = boosting.fit_trees(seen[list(quality.FEATURES)].to_numpy(float), seen["quality"].to_numpy(float), np.array(list(quality.FEATURES.values())))
+    assert np.array_equal(trees.feature, want.feature) and np.allclose(trees.threshold, want.threshold, rtol=1e-12) and np.allclose(trees.leaf, want.leaf)
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(4)
+    made = [(k, float(v), int(t)) for k in (0, 1, 5) for v, t in zip(rng.integers(0, 40, 500) / 7 if k else rng.random(500), rng.integers(1, 4, 500))] + [(6, 2.5, 1)]
+    shares = [0.0, 0.01, 1 / 3, 0.5, 0.97, 1.0]
+    got = quantiles(spark.createDataFrame(made, "key int, value double, times long").repartition(7), shares)
+    assert set(got) == {0, 1, 5, 6} and quantiles(spark.createDataFrame([], "key int, value double, times long"), shares) == {}
+    for key, found in got.items():
+        assert np.allclose(found, np.quantile(np.repeat(*zip(*[(v, t) for k, v, t in made if k == key])), shares), rtol=1e-12)
+
+
 def test_trees_keep_their_constraints():
     rng = np.random.default_rng(2)
     x = rng.random((2000, 3))
@@ -190,6 +212,23 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing, PIECES).select("language.*").collect()} == {"und"}
 
 
+def test_all_documents_of_a_language_are_learnt(spark):
+    rng = random.Random(8)
+    made = [("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) + " house", n) for n in ("en", "de") for _ in range(5000 if n == "en" else 50)]
+    model = language.fit(spark.createDataFrame([(k, t, n, "s", 1) for k, (t, n) in enumerate(made)], DOCS), PIECES, rounds=2)
+    whole = [(k, " ".join(t for t, lang in made if lang == n), n, "s", 1) for k, n in enumerate(("en", "de"))]  # the same words in one document
+    assert np.allclose(model.chances, language.fit(spark.createDataFrame(whole, DOCS), PIECES, rounds=2).chances, rtol=1e-9)
+    fits = []
+    with np.errstate(over="ignore"):
+        vocab = language.vocabulary(PIECES)
+        for t, n in made:
+            if n == "en":
+                words = t.split()
+                fits.append((language.log_likelihood(vocab, model.chances, words)[:, 1].sum() / sum(len(w) + 1 for w in words), sum(len(w) + 1 for w in words)))
+    middle, low = np.quantile(np.repeat(*zip(*fits)), [0.5, language.LOW])
+    assert model.names == ["de", "en"] and model.floor[1] == pytest.approx(middle - np.clip(language.TIMES * (middle - low), -language.LEAST * middle, -language.MOST * middle))
+
+
 def test_language_not_learnt(spark):
     kinds = {"en": "the house of the people and this thing with that which they have seen before", "de": "das haus der leute und diese sache mit einer von ihnen gesehen",
              "fr": "la maison des gens et cette chose avec une qui nous avons vue"}

@@ -226,3 +226,17 @@ def test_common_shingles_are_counted_over_all_documents(spark):
         sizes = [len(x) for x in shingle_sets([t.encode() for t in texts])]
     assert [int(x) for x in common] == wanted
     assert mean == pytest.approx(sum(sizes) / len(sizes))
+
+
+def test_copies_count_as_common_and_all_common_shingles_are_listed(spark):
+    passage = lambda k: " ".join(f"p{k}x{j}" for j in range(5))
+    # copies of one document, which only together reach the share asked for; half of the rows hold many common shingles each
+    long = " ".join(passage(k) for k in range(110_000))
+    texts = [" ".join(["copied", passage(0), passage(1)])] * 3 + ["", None, long + " a"] + [long] * 2 + ["one two three four five six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    with np.errstate(over="ignore"):
+        common, mean = parity_join.common_shingles(docs)
+        sets = shingle_sets([(t or "").encode() for t in texts])
+    times = Counter(int(x) for s in sets for x in s)
+    assert len(common) > 500_000 and [int(x) for x in common] == sorted(x for x, n in times.items() if n >= parity_join.SHARED_BY)
+    assert mean == pytest.approx(np.mean([len(s) for s in sets]))

@@ -10,14 +10,16 @@ alphabetical order.  The posterior only compares the learnt languages; whether a
 fit, the mean log probability a letter under the language found, less the least that the language's training documents
 let expect (``floor``).  ``kept`` asks for both.  Repeated rows are scored alike; extra columns pass through ``identify`` untouched.  Training rows
 with NULL language or text are left out; with no training rows at all every document is ``und``.  Every language of the
-training rows is learnt; the driver and the tasks hold one number per piece and language.
+training rows is learnt, from all of them; the driver and the tasks hold one number per piece and language.
 """
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, rows, stored, text_function, texts_of, worker_memory
+from .common import pieces, quantiles, released, rows, stored, text_function, texts_of, worker_memory
 
-DOCS_A_LANGUAGE = 2_000  # training documents per language, about
 ROUNDS = 3
 CELLS = 500_000  # numbers of a forward array, about
 RESCALE = 8  # positions after which a forward array is rescaled
@@ -39,19 +40,42 @@ LOW, TIMES, LEAST, MOST = 0.01, 3, 0.25, 0.75
 PREDICTED = "lang_pred string, score double"
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SLOT, _SLOTS = np.uint64(0xD6E8FEB86659FD93), 20
+#: ASCII letters as they are, anything else as a blank
+_ASCII = bytes(k if chr(k).isalpha() and k < 128 else 32 for k in range(256))
+_OTHER, _LETTER, _JOINED = 0, 1, 2  # what a character is to words; marks only join letters
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character."""
+    known = worker_memory("language pieces")
+    if "kinds" not in known:
+        kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+        every = "".join(map(chr, chain(range(0xD800), range(0xE000, sys.maxunicode + 1))))
+        place = lambda k: k + 0x800 * (k >= 0xD800)  # noqa: E731  surrogates are no characters
+        for run in _LETTERS.finditer(every):
+            kinds[place(run.start()):place(run.end() - 1) + 1] = [_LETTER if c.isalpha() else _JOINED for c in run[0]]
+        known["kinds"] = kinds
+    return known["kinds"]
 
 
 def words_of(text: bytes) -> list[str]:
-    """Runs of letters and marks that hold a letter."""
-    words = _LETTERS.findall(text.decode("utf-8", "replace").lower())
-    return [w for w in words if w[0].isalpha() or any(map(str.isalpha, w))]
+    """Runs of letters and marks that hold a letter, in lower case."""
+    if text.isascii():
+        return text.translate(_ASCII).decode("ascii").lower().split()
+    points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+    kinds = _kinds()[points]
+    words = np.where(kinds != _OTHER, points, np.uint32(32)).tobytes().decode("utf-32-le").split()
+    if (kinds == _JOINED).any():
+        words = [w for w in words if w[0].isalpha() or any(map(str.isalpha, w))]
+    return words
 
 
 def _hashes(code_points: np.ndarray) -> np.ndarray:
-    """Hash of each prefix of each row, the empty one first."""
-    out = np.zeros((len(code_points), code_points.shape[1] + 1), np.uint64)
+    """Hash of each prefix of each row, the empty one first; a column for each row."""
+    out = np.zeros((code_points.shape[1] + 1, len(code_points)), np.uint64)
     for k in range(code_points.shape[1]):
-        out[:, k + 1] = out[:, k] * _BASE + code_points[:, k]
+        out[k + 1] = out[k] * _BASE + code_points[:, k]
     return out
 
 
@@ -59,6 +83,10 @@ def _code_points(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * _SLOT) >> np.uint64(64 - _SLOTS)
+
+
 class Vocabulary:
     """The pieces made of small letters, with or without the mark; ids 0 .. n - 1, and n for a letter that is no piece by itself."""
 
@@ -73,9 +101,11 @@ class Vocabulary:
             by_length.setdefault(len(p), []).append(k)
         self.table = {}
         for n, ids in by_length.items():
-            keys = _hashes(_code_points([self.pieces[k] for k in ids]))[:, -1]
+            keys = _hashes(_code_points([self.pieces[k] for k in ids]))[-1]
             order = np.argsort(keys)
-            self.table[n] = keys[order], np.array(ids)[order]
+            slots = np.zeros(1 << _SLOTS, bool)  # most strings are no piece, which one look shows
+            slots[_slot(keys)] = True
+            self.table[n] = keys[order], np.array(ids)[order], slots
 
     def __len__(self) -> int:
         return len(self.pieces)
@@ -91,14 +121,18 @@ class Vocabulary:
             for size in sorted(self.table):
                 if size > end:
                     break
-                keys, ids = self.table[size]
-                wanted = prefix[:, end] - prefix[:, end - size] * power[size]
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == wanted)
+                keys, ids, slots = self.table[size]
+                wanted = prefix[end] - prefix[end - size] * power[size]
+                hit = np.flatnonzero(slots[_slot(wanted)])
+                if not len(hit):
+                    continue
+                at = np.minimum(np.searchsorted(keys, wanted[hit]), len(keys) - 1)
+                right = keys[at] == wanted[hit]
+                hit, at = hit[right], at[right]
                 if size == 1:
                     unknown[hit] = False
                 if len(hit):
-                    yield end, end - size, hit, ids[at[hit]]
+                    yield end, end - size, hit, ids[at]
             if unknown.any():
                 hit = np.flatnonzero(unknown)
                 yield end, end - 1, hit, np.full(len(hit), len(self.pieces))
@@ -207,11 +241,10 @@ def _letters(words: list[str]) -> int:
     return sum(map(len, words)) + len(words)
 
 
-def fit(docs: DataFrame, path: str, docs_a_language: int = DOCS_A_LANGUAGE, rounds: int = ROUNDS) -> Languages:
-    """Learn from the documents given (the caller leaves out held-out rows).
+def fit(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Languages:
+    """Learn from all the documents given (the caller leaves out held-out rows).
 
-    The sample per language are the documents whose id hashes below a share set so that about ``docs_a_language`` pass;
-    the driver sees language counts and one number per piece and language.
+    Rounds run over the distinct words of each language; the driver sees language counts and one number per piece and language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = usable.groupBy("lang").count().toPandas().sort_values("lang")
@@ -219,27 +252,28 @@ def fit(docs: DataFrame, path: str, docs_a_language: int = DOCS_A_LANGUAGE, roun
     vocab_size = len(vocabulary(path)) + 1
     if not names:
         return Languages([], np.zeros(0), np.zeros((vocab_size, 0)))
-    shares = F.create_map(*(F.lit(x) for n, c in zip(names, counted["count"]) for x in (n, min(1.0, docs_a_language / c))))
     numbers = F.create_map(*(F.lit(x) for k, n in enumerate(names) for x in (n, k)))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.where(draw < shares[F.col("lang")]).select(numbers[F.col("lang")].alias("lang"), "text")
+    training = usable.select(numbers[F.col("lang")].alias("lang"), "text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[int, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            out = rows("lang int, word string, n long", [k[0] for k in seen], [k[1] for k in seen], list(seen.values()))
+            of = np.repeat(np.array(list(seen), np.int32), [len(c) for c in seen.values()])
+            out = rows("lang int, word string, n long", of, list(chain.from_iterable(seen.values())),
+                       np.fromiter(chain.from_iterable(c.values() for c in seen.values()), np.int64, len(of)))
             seen.clear()
             return out
 
         for batch in pieces(batches, "text"):
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text")):
-                seen.update((lang, w) for w in words_of(text))
-            if len(seen) > 500_000:
+                seen.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, seen.values())) > 500_000:
                 yield flush()
         yield flush()
+        released()
 
-    words = stored(sample.mapInArrow(count_words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = stored(training.mapInArrow(count_words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     chances = np.full((vocab_size, len(names)), 1.0 / vocab_size)
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(chances)
@@ -254,18 +288,19 @@ def fit(docs: DataFrame, path: str, docs_a_language: int = DOCS_A_LANGUAGE, roun
                         total[:, lang] += expected_counts(vocab, shared.value[:, lang], [texts[k] for k in own], counts[own].astype(float))
             piece, lang = np.nonzero(total)
             yield rows("piece int, lang int, mass double", piece, lang, total[piece, lang])
+            released()
 
         mass = (words.select("lang", "word", "n").mapInArrow(expect, "piece int, lang int, mass double")
                 .groupBy("piece", "lang").agg(F.sum("mass").alias("mass")).toPandas())
         total = np.zeros_like(chances)
         total[mass["piece"], mass["lang"]] = mass["mass"]
         chances = _smoothed(total)
-    return Languages(names, np.log(counted["count"].to_numpy(float) / counted["count"].sum()), chances, _floors(sample, chances, path))
+    return Languages(names, np.log(counted["count"].to_numpy(float) / counted["count"].sum()), chances, _floors(training, chances, path))
 
 
-def _floors(sample: DataFrame, chances: np.ndarray, path: str) -> np.ndarray:
+def _floors(training: DataFrame, chances: np.ndarray, path: str) -> np.ndarray:
     """Each language's floor, from the mean log probabilities a letter of its training documents, longer ones weighing more."""
-    shared = sample.sparkSession.sparkContext.broadcast(chances)
+    shared = training.sparkSession.sparkContext.broadcast(chances)
 
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words(vocabulary(path), shared.value)
@@ -273,13 +308,13 @@ def _floors(sample: DataFrame, chances: np.ndarray, path: str) -> np.ndarray:
             split = [words_of(t) for t in texts_of(batch, "text")]
             seen.learn(split)
             found = [(lang, seen.total(words)[lang] / n, n) for lang, words in zip(batch.column(0).to_pylist(), split) if (n := _letters(words))]
-            yield rows("lang int, fit double, n long", *([x[k] for x in found] for k in range(3)))
+            yield rows("key int, value double, times long", *([x[k] for x in found] for k in range(3)))
+        seen = None
+        released()
 
-    of = (sample.mapInArrow(fits, "lang int, fit double, n long").groupBy("lang")
-          .agg(F.percentile("fit", 0.5, F.col("n")).alias("middle"), F.percentile("fit", LOW, F.col("n")).alias("low")).toPandas())
     floor = np.full(chances.shape[1], -np.inf)  # a language without a letter has no text to be taken for it
-    middle = of["middle"].to_numpy(float)
-    floor[of["lang"].to_numpy(int)] = middle - np.clip(TIMES * (middle - of["low"].to_numpy(float)), -LEAST * middle, -MOST * middle)
+    for lang, (middle, low) in quantiles(training.mapInArrow(fits, "key int, value double, times long"), [0.5, LOW]).items():
+        floor[lang] = middle - np.clip(TIMES * (middle - low), -LEAST * middle, -MOST * middle)
     return floor
 
 

@@ -24,6 +24,7 @@ have a NULL component.  Result columns replace columns of the same name; an empt
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, pieces, released, rows, stored, tasks_for, texts_of, worker_memory
+from .common import column_of, maybe_among, pieces, released, rows, stored, tasks_for, texts_of, worker_memory
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -46,10 +47,8 @@ BITS = 40  # of a segment and of a set, as sent; a chance match only costs a che
 PIECE = 2 << 20
 SEEN = 100_000  # sets a task remembers having sent
 SHARED_BY, OF_EVERY = 3, 8_000  # documents that hold a common shingle, of so many; as many at least in smaller tables
-COMMON = 500_000  # shingles listed as common at most
 COUNTED = 1 << 20  # shingles counted together, about
 COUNT_PARTS = 1024  # parts in which shingles are counted, at most
-FILTER_BITS = 23  # of the filter that lets documents without partners go early: 2 ** 17 rows at most
 _MASK = np.uint64((1 << BITS) - 1)
 
 
@@ -130,50 +129,53 @@ def _short(key: int) -> int:
 def common_shingles(docs: DataFrame, of_every: int = OF_EVERY) -> tuple[np.ndarray, float]:
     """Shingles that ``SHARED_BY`` documents of every ``of_every`` hold, sorted, and the mean size of the sets; all documents are counted.
 
-    A text that a task meets again counts once.
+    There are ``of_every`` / ``SHARED_BY`` times as many as a set of mean size holds, at most.
     """
     measured = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("size")).first()
     least = max(SHARED_BY, SHARED_BY * measured["n"] / of_every)
     parts = min(COUNT_PARTS, tasks_for(docs.sparkSession, (measured["size"] or 0) // 6, COUNTED))
-    schema = "part int, packed binary, n long"
+    schema = "part int, once binary, again binary, times binary, n long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in pieces(batches, "text", PIECE):
-                texts = []
-                for text in texts_of(batch, "text"):
-                    if (key := hash(text)) not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(key)
-                        texts.append(text)
-                sets = shingle_sets(texts)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                part = (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16)
-                flat = flat[np.argsort(part, kind="stable")]
-                size = np.bincount(part, minlength=parts)
-                ends, full = np.cumsum(size), np.flatnonzero(size)
-                yield rows(schema, [-1, *full], [b"", *(flat[ends[k] - size[k]:ends[k]].tobytes() for k in full)], [len(sets), *size[full]])
+                texts = Counter(texts_of(batch, "text"))  # copies are one text that counts more
+                sets = shingle_sets(list(texts))
+                flat, times = _added(np.concatenate(sets), np.repeat(np.array(list(texts.values())), [len(s) for s in sets]))
+                part = (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)  # ascends
+                edges, several = np.searchsorted(part, np.arange(parts + 1)), times > 1
+                full = np.flatnonzero(np.diff(edges))
+                packed = [(flat[a:b][~m], flat[a:b][m], times[a:b][m], times[a:b].sum()) for a, b in zip(edges[full], edges[full + 1]) for m in (several[a:b],)]
+                yield rows(schema, [-1, *full], *([b"", *(x[k].tobytes() for x in packed)] for k in range(3)), [batch.num_rows, *(x[3] for x in packed)])
         released()
 
     def count(key, packed):
-        flat = np.sort(np.frombuffer(b"".join(packed["packed"].to_pylist()), np.uint64))
-        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[:len(flat)])
-        times = np.diff(np.append(first, len(flat)))
-        shared = times >= least
-        keep, times = flat[first[shared]], times[shared]
-        if len(keep) > COMMON // parts:  # the most frequent of this part
-            keep = np.sort(keep[np.argsort(-times, kind="stable")[:COMMON // parts]])
-        return pa.Table.from_batches([rows(schema, [key[0].as_py()], [keep.tobytes()], [sum(packed["n"].to_pylist())])])
-
-    found = (docs.select(F.col("text").cast("string")).mapInArrow(send, schema)
-             .groupBy("part").applyInArrow(count, schema).collect())  # COMMON numbers at most
+        read = lambda name, kind: np.frombuffer(b"".join(packed[name].to_pylist()), kind)
+        once = np.sort(read("once", np.uint64))
+        first = np.flatnonzero(np.append(True, once[1:] != once[:-1])[:len(once)])
+        held, times = once[first], np.diff(np.append(first, len(once)))
+        again, more = _added(read("again", np.uint64), read("times", np.int64))
+        at = np.minimum(np.searchsorted(held, again), max(0, len(held) - 1))
+        both = np.flatnonzero(held[at] == again) if len(held) else np.zeros(0, np.int64)
+        times[at[both]] += more[both]
+        more[both] = 0
+        keep = np.concatenate([held[times >= least], again[more >= least]])
+        return pa.Table.from_batches([rows(schema, [key[0].as_py()], [keep.tobytes()], [b""], [b""], [sum(packed["n"].to_pylist())])])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(send, schema).groupBy("part").applyInArrow(count, schema).select("part", "once", "n").collect()
     numbers = {r["part"]: r["n"] for r in found}
-    listed = np.concatenate([np.frombuffer(r["packed"], np.uint64) for r in found] or [np.zeros(0, np.uint64)])
+    listed = np.concatenate([np.frombuffer(r["once"], np.uint64) for r in found] or [np.zeros(0, np.uint64)])
     return np.sort(listed), sum(n for k, n in numbers.items() if k >= 0) / max(1, numbers.get(-1, 0))
 
 
+def _added(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the sum of what each counts."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
+    return values[first], np.add.reduceat(times[order], first) if len(first) else times[:0].copy()
+
+
 FOUND = "segment long, set long, smallest long, doc_id long, n long, c1 long, c2 long, text long"
 
 
@@ -260,12 +262,8 @@ def texts_with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield rows(schema, column_of(keep, "rep"), column_of(keep, "text"), [len(s) for s in chosen], [bit_sketch(s) for s in chosen])
         released()
 
-    # most documents have no partner and go before the shuffle: a bit per hashed id, in a table of bounded length
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    word, bit = lambda c: F.shiftright(place(c), 6), lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))")
-    bits = wanted.groupBy(word("doc_id").alias("word")).agg(F.bit_or(bit("doc_id")).alias("bits"))
-    maybe = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).withColumn("word", word("doc_id"))
-             .join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text"))
+    # most documents have no partner and go before the shuffle
+    maybe = maybe_among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")), wanted, "doc_id")
     return maybe.join(wanted, "doc_id").select("rep", "text").mapInArrow(run, schema)
 
 

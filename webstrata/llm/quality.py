@@ -2,7 +2,7 @@
 
 Words are runs of characters other than ASCII white space.  The base rules reject documents of fewer than 50 words and
 those with more than half of their words in 3-word windows that the text repeats.  What passes is judged by boosted
-trees fitted to the labelled rows; the score may only fall as the shares of symbols, capitals, repeated lines and
+trees fitted to all labelled rows; the score may only fall as the shares of symbols, capitals, repeated lines and
 repeated words grow.
 
 NULL and empty texts have all counts 0 and are rejected.  Repeated rows are judged alike, each for itself.  Extra
@@ -18,10 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Trees, fit_trees
-from .common import text_function
+from .boosting import Trees, fit_table
+from .common import maybe_among, stored, text_function
 
-LABELLED_ROWS = 20_000  # rows of labels used for the fit
 KEEP_AT = 0.5
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -85,15 +84,14 @@ def statistics_of(text: str) -> Column:
     return text_function(build, STATISTICS)(F.col(text))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> Trees:
-    """Trees for P(quality = 1), from the ``limit`` labelled documents whose ids have the smallest hashes."""
-    labelled = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("label"))
-                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    seen = (docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")  # at most ``limit`` rows of two numbers
-            .select("doc_id", "label", statistics_of("text").alias("s")).groupBy("doc_id").agg(F.first("label").alias("label"), F.max("s").alias("s"))
-            .select("label", *(f"s.{x}" for x in FEATURES), "s.n_words", "s.n_repeat_words").toPandas())
-    seen = seen[~_base_failed(seen["n_words"], seen["n_repeat_words"])]
-    return fit_trees(seen[list(FEATURES)].to_numpy(float), seen["label"].to_numpy(float), np.array(list(FEATURES.values())))
+def fit(docs: DataFrame, labels: DataFrame) -> Trees:
+    """Trees for P(quality = 1), from all labelled documents that pass the base rules."""
+    labelled = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("label")))
+    seen = (maybe_among(docs.select("doc_id", "text"), labelled, "doc_id").select("doc_id", statistics_of("text").alias("s"))
+            .join(labelled, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.max("s").alias("s"))
+            .select("label", *(f"s.{x}" for x in FEATURES), "s.n_words", "s.n_repeat_words"))
+    seen = stored(seen.where(~_base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("label", *FEATURES), "quality-labelled")
+    return fit_table(seen, list(FEATURES), "label", np.array(list(FEATURES.values())))
 
 
 def _base_failed(n_words, n_repeat_words):
